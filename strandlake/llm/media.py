@@ -90,7 +90,8 @@ def _store(folder: str, unit: int, shard_bytes: int):
         files, root = _filesystem(folder)
         files.create_dir(root, recursive=True)
         seen: dict[bytes, tuple[str, int, int]] = {}
-        out = tar = None
+        tar: tarfile.TarFile | None = None
+        out = None
         name = ""
         for batch in batches:
             rows = []
@@ -98,7 +99,7 @@ def _store(folder: str, unit: int, shard_bytes: int):
                 body = payload_of(text, unit)
                 digest = hashlib.sha256(body).digest()
                 if digest not in seen:
-                    if out is None or out.tell() >= shard_bytes:
+                    if tar is None or tar.offset >= shard_bytes:
                         if tar is not None:
                             tar.close()
                             out.close()
