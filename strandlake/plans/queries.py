@@ -13,6 +13,7 @@ from ..functions import tags
 from ..functions.structure import structure_penalty
 from ..operators import align, annotate, classify, kmers, report, tiling
 from . import base as B
+from . import design
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -519,3 +520,40 @@ def metrics_table(spark, sf):
     p = tiling.with_metrics(tiling.number(B.candidates(spark, sf)))
     out = report.metrics_table(p)
     return out.select(F.element_at(F.split("probe_id", r"\|"), -1).alias("gene_id"), I.field(F.col("probe_id"), "start").alias("start"), "seq", "order_seq", "length", "homopolymer")
+
+
+# ------------------------------------------------------------------------------------ whole designs
+
+
+@query()
+def design_microbiome(spark, sf):
+    """Gene input against catalogs: sources are inferred from the alignments, their genomes' own k-mers are excused."""
+    return design.of_genes(B.genes(spark, sf), B.contigs(spark, sf), design.Options(is_microbiome=True), species=B.species_map(spark, sf)).safe.select("probe_id", "seq", "status")
+
+
+@query()
+def design_host_internal(spark, sf):
+    return design.of_genes(B.genes(spark, sf), B.contigs(spark, sf), design.Options(host_internal=True), gene_map=B.gene_map(spark, sf)).features
+
+
+_DESIGN = f"""WITH {B.COUNTS}, bad AS (SELECT DISTINCT gene_id, "start" FROM kmers WHERE ckmer IN (SELECT ckmer FROM counts)),
+p AS (SELECT gene_id || '_' || "start" AS id, seq FROM candidates),
+q AS (SELECT id, 0 AS flag, seq FROM p UNION ALL SELECT id, 16, {B.rc('seq')} FROM p),
+seeds AS (SELECT id, flag, seq, CAST(j * {B.SEED} AS INTEGER) AS off, substr(seq, CAST(j * {B.SEED} + 1 AS INTEGER), {B.SEED}) AS seed FROM q, range({B.ERRORS + 1}) t(j)),
+ref AS (SELECT contig, p, substr(seq, p, {B.SEED}) AS seed FROM (SELECT contig, seq, unnest(range(1, length(seq) - {B.SEED - 2})) AS p FROM contigs)),
+cand AS (SELECT DISTINCT id, flag, seeds.seq, contig, p - off AS pos FROM ref JOIN seeds USING (seed) WHERE p > off),
+hit AS (SELECT DISTINCT id FROM cand JOIN contigs c USING (contig) WHERE length(substr(c.seq, pos, 36)) = 36 AND hamming(cand.seq, substr(c.seq, pos, 36)) <= {B.ERRORS})
+SELECT gene_id, "start", seq FROM candidates WHERE gene_id || '_' || "start" NOT IN (SELECT id FROM hit)
+  AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.gene_id = candidates.gene_id AND bad."start" = candidates."start")"""
+
+
+@query(_DESIGN)
+def design_microbe_mode(spark, sf):
+    """Gene input whose every alignment is off target: only probes without alignments and without shared k-mers are safe."""
+    d = design.of_genes(B.genes(spark, sf), B.contigs(spark, sf), design.Options(microbe_mode=True))
+    return d.safe.where("status IS NULL").select("gene_id", "start", "seq")
+
+
+@query()
+def design_stats(spark, sf):
+    return design.of_genes(B.genes(spark, sf), B.contigs(spark, sf), design.Options(microbe_mode=True)).stats
