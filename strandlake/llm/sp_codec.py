@@ -4,6 +4,7 @@ A unit (a word with the spaces before it, or a line break) starts as characters.
 piece, best score first, leftmost among equals. A candidate is skipped if the keyed hash of (seed, variant, unit, place, piece) falls below the
 dropout rate, so a unit has several segmentations; which variant an occurrence takes follows from its place in the text and the
 text's checksum. Encoding is a pure function of seed and text, so retried tasks give the same ids.
+Units that a task meets for the first time are encoded together, one merge of each at a time, with numpy.
 With rate 0 the ids are those of the library's own encoder. Characters that are no piece become byte pieces.
 
 Edge cases: a null text is the empty text, with no ids; the piece of the space mark (U+2581) in a text is written as bytes, so that decoding is exact;
@@ -14,7 +15,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ from .common import prepare
 MARK = "▁"
 UNIT = re.compile(r" *[^ \n]+|\n| +")
 VARIANTS = 4
-TABLE = 150_000  # units held per variant; what doesn't fit is encoded again
+TABLE = 250_000  # units held per variant; what doesn't fit is encoded again
+SHORT = 40  # up to so many characters a plain list is the faster agenda
+NEVER = 1 << 30
 
 
 class Codec:
@@ -34,11 +38,12 @@ class Codec:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.rate, self.seed = rate, seed
+        self.seed, self.limit = seed, int(rate * 4294967296)
         self.ids: dict[str, int] = {}
         self.byte_ids = [0] * 256
-        self.score: dict[str, float] = {}
+        self.rank: dict[str, int] = {}  # of each piece as a merge: the lowest goes first
         self.bytes_of: list[bytes] = []
+        scores: dict[str, float] = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             body = b""
@@ -48,77 +53,208 @@ class Codec:
                 body = bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece] = i
-                self.score[piece] = model.get_score(i)
+                scores[piece] = model.get_score(i)
                 body = piece.replace(MARK, " ").encode()
             self.bytes_of.append(body)
-        self.tables: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if rate else 1)]
-
-    def skip(self, variant: int, unit: str, at: int, piece: str) -> bool:
-        return zlib.crc32(f"{self.seed}\0{variant}\0{unit}\0{at}\0{piece}".encode()) < self.rate * 4294967296
+        order = {x: i for i, x in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.rank = {piece: order[x] for piece, x in scores.items()}
+        self.tables: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if self.limit else 1)]
+        # merges of two symbols by their numbers: pieces by id
+        merges = {}
+        for piece, i in self.ids.items():
+            for cut in range(1, len(piece)):
+                left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
+                if left is not None and right is not None:
+                    merges[left << 20 | right] = (self.rank[piece], i)
+        self.pair = np.array(sorted(merges), np.int64)
+        self.pair_rank = np.array([merges[k][0] for k in self.pair.tolist()], np.int64)
+        self.pair_id = np.array([merges[k][1] for k in self.pair.tolist()], np.int64)
+        self.id_of_char = np.full(0x110000, -1, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.id_of_char[ord(piece)] = i
+        self.id_of_char[ord(" ")] = self.ids.get(MARK, -1)
+        self.id_of_char[ord(MARK)] = -1  # a mark in the text becomes bytes
+        single = {c for piece in self.ids for c in piece}
+        self.alone = all(c in self.ids for c in single)  # else a character that is no piece may be part of one
+
+    def key(self, unit: str, variant: int) -> int:
+        return zlib.crc32(f"{self.seed}\0{variant}\0{unit}".encode())
+
+    def skipped(self, key: int, at: int, rank: int) -> bool:
+        """Keyed hash of a candidate: the unit's key, the place of its left character and the merge."""
+        x = ((key ^ (at * 0x9E3779B1)) + rank * 0x85EBCA6B) & 0xFFFFFFFF
+        x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+        x = ((x ^ (x >> 12)) * 0x297A2D39) & 0xFFFFFFFF
+        return (x ^ (x >> 15)) < self.limit
+
+    def merge_short(self, symbols: list[str], key: int) -> list[str]:
+        """The agenda as a list of the adjacent pairs' ranks."""
+        rank = self.rank
+        pairs = [rank.get(a + b, NEVER) if a and b else NEVER for a, b in zip(symbols, symbols[1:], strict=False)]
+        places = list(range(len(symbols)))
+        while pairs:
+            r = min(pairs)
+            if r == NEVER:
+                break
+            i = pairs.index(r)
+            if self.limit and self.skipped(key, places[i], r):
+                pairs[i] = NEVER  # until one of its symbols changes
+                continue
+            symbols[i] += symbols[i + 1]
+            del symbols[i + 1], places[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank.get(symbols[i] + symbols[i + 1], NEVER) if symbols[i + 1] else NEVER
+            if i:
+                pairs[i - 1] = rank.get(symbols[i - 1] + symbols[i], NEVER) if symbols[i - 1] else NEVER
+        return symbols
+
+    def merge_long(self, symbols: list[str], key: int) -> list[str]:
+        """The agenda as a heap, for long units: the same merges."""
+        rank, n = self.rank, len(symbols)
+        after, before, dead = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
+        agenda = []
+
+        def propose(i: int, j: int) -> None:
+            if i >= 0 and j < n and symbols[i] and symbols[j] and (r := rank.get(symbols[i] + symbols[j])) is not None:
+                heappush(agenda, (r, i, symbols[i] + symbols[j]))
+
+        for i in range(n - 1):
+            propose(i, i + 1)
+        while agenda:
+            r, i, piece = heappop(agenda)
+            j = after[i]
+            if dead[i] or j >= n or symbols[i] + symbols[j] != piece or self.limit and self.skipped(key, i, r):
+                continue
+            symbols[i], dead[j] = piece, True
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            propose(i, after[i])
+            propose(before[i], i)
+        return [s for s, gone in zip(symbols, dead, strict=True) if not gone]
 
     def encode_unit(self, unit: str, variant: int) -> bytes:
-        symbols: list[str] = [MARK if c == " " else ("" if c == MARK else c) for c in unit]
-        score = self.score
-        n = len(symbols)
-        if n > 1:
-            after = list(range(1, n + 1))
-            before = list(range(-1, n - 1))
-            agenda = []
-            for i in range(n - 1):
-                if symbols[i] and symbols[i + 1] and (s := score.get(symbols[i] + symbols[i + 1])) is not None:
-                    agenda.append((-s, i, symbols[i] + symbols[i + 1]))
-            heapify(agenda)
-            dead = [False] * n
-            while agenda:
-                _, i, piece = heappop(agenda)
-                j = after[i]
-                if dead[i] or j >= n or symbols[i] + symbols[j] != piece:
-                    continue
-                if self.rate and self.skip(variant, unit, i, piece):
-                    continue
-                symbols[i] = piece
-                dead[j] = True
-                after[i] = k = after[j]
-                if k < n:
-                    before[k] = i
-                    if symbols[k] and (s := score.get(piece + symbols[k])) is not None:
-                        heappush(agenda, (-s, i, piece + symbols[k]))
-                h = before[i]
-                if h >= 0 and symbols[h] and (s := score.get(symbols[h] + piece)) is not None:
-                    heappush(agenda, (-s, h, symbols[h] + piece))
-            live = [i for i in range(n) if not dead[i]]
-        else:
-            live = [0]
-        out = []
-        for i in live:
-            if symbols[i] in self.ids:
-                out.append(self.ids[symbols[i]])
+        symbols = [MARK if c == " " else ("" if c == MARK else c) for c in unit]  # the mark itself becomes bytes
+        key = self.key(unit, variant) if self.limit else 0
+        merged = self.merge_short(symbols, key) if len(symbols) <= SHORT else self.merge_long(symbols, key)
+        out: list[int] = []
+        for s in merged:
+            i = self.ids.get(s)
+            if i is not None:
+                out.append(i)
+            else:
+                out += [self.byte_ids[b] for b in (s or MARK).encode()]
+        return pack(f"<{len(out)}I", *out)
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the merges of two arrays of symbols (NEVER where there is none)."""
+        key = left << 20 | right
+        at = np.searchsorted(self.pair, key)
+        at[at == len(self.pair)] = 0
+        ok = (self.pair[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(ok, self.pair_rank[at], NEVER), self.pair_id[at]
+
+    def encode_units(self, units: list[str], variant: int) -> list[bytes]:
+        """encode_unit of many units of one length, whose characters all are pieces or none."""
+        n, size = len(units), len(units[0])
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size)
+        symbol = self.id_of_char[codes].astype(np.int64)
+        plain = (symbol >= 0).all(1) & self.alone
+        symbol = symbol[plain]
+        rows = np.arange(len(symbol))
+        keys = np.array([self.key(u, variant) for u, p in zip(units, plain.tolist(), strict=True) if p], np.uint64) if self.limit else None
+        after = np.tile(np.arange(1, size + 1), (len(rows), 1))
+        before = np.tile(np.arange(-1, size - 1), (len(rows), 1))
+        alive = np.ones(symbol.shape, bool)
+        rank = np.full((len(rows), size), NEVER, np.int64)
+        made = np.zeros((len(rows), size), np.int64)
+        if size > 1 and len(rows):
+            found = self._look_up(symbol[:, :-1].ravel(), symbol[:, 1:].ravel())
+            rank[:, :-1], made[:, :-1] = (x.reshape(-1, size - 1) for x in found)
+        while len(rows):
+            at = rank[rows].argmin(1)  # the leftmost of the best
+            r = rank[rows, at]
+            go = r < NEVER
+            rows, at, r = rows[go], at[go], r[go]
+            if self.limit and len(rows):
+                skip = self._skipped(keys[rows], at, r)
+                rank[rows[skip], at[skip]] = NEVER
+                todo, place = rows[~skip], at[~skip]
             else:
-                out += [self.byte_ids[b] for b in (symbols[i] or MARK).encode()]
-        return np.array(out, "<u4").tobytes()
+                todo, place = rows, at
+            gone = after[todo, place]
+            nxt = after[todo, gone]
+            symbol[todo, place] = made[todo, place]
+            alive[todo, gone] = False
+            rank[todo, gone] = NEVER
+            after[todo, place] = nxt
+            has = nxt < size
+            before[todo[has], nxt[has]] = place[has]
+            rank[todo, place] = NEVER
+            for i, j, own in ((place, nxt, has), (before[todo, place], place, before[todo, place] >= 0)):
+                w, i, j = todo[own], i[own], j[own]
+                rank[w, i], made[w, i] = self._look_up(symbol[w, i], symbol[w, j])
+        blob = symbol[alive].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(alive.sum(1))).tolist() if len(symbol) else []
+        quick = iter([blob[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+        return [next(quick) if p else self.encode_unit(u, variant) for u, p in zip(units, plain.tolist(), strict=True)]
+
+    def _skipped(self, key: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """skipped() of many candidates."""
+        mask = np.uint64(0xFFFFFFFF)
+        x = ((key ^ (at.astype(np.uint64) * np.uint64(0x9E3779B1))) + rank.astype(np.uint64) * np.uint64(0x85EBCA6B)) & mask
+        x = ((x ^ (x >> np.uint64(15))) * np.uint64(0x2C1B3C6D)) & mask
+        x = ((x ^ (x >> np.uint64(12))) * np.uint64(0x297A2D39)) & mask
+        return (x ^ (x >> np.uint64(15))) < np.uint64(self.limit)
+
+    def learn(self, units: set[str], variant: int) -> None:
+        """Put units into the variant's table."""
+        table = self.tables[variant]
+        if len(table) + len(units) > TABLE:
+            table.clear()
+        by_size: dict[int, list[str]] = {}
+        for u in units:
+            if 1 < len(u) <= SHORT:
+                by_size.setdefault(len(u), []).append(u)
+            else:
+                table[u] = self.encode_unit(u, variant) if u else b""
+        for same in by_size.values():
+            for i in range(0, len(same), 20_000):
+                part = same[i : i + 20_000]
+                table.update(zip(part, self.encode_units(part, variant), strict=True))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        variants = len(self.tables)
+        split, new = [], [set() for _ in range(variants)]
+        for text in texts:
+            text_ = " " + text
+            if not text:
+                units = []
+            elif "  " in text_ or "\0" in text_:
+                units = UNIT.findall(text_)
+            else:  # the same units, and empty ones
+                units = text_.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            first = zlib.crc32(text.encode("utf-8", "surrogatepass")) if variants > 1 else 0
+            split.append((units, first))
+            for j in range(min(variants, len(units))):
+                new[(first + j) % variants].update(units[j::variants])
+        for v in range(variants):
+            missing = new[v] - self.tables[v].keys()
+            if len(self.tables[v]) + len(missing) > TABLE:  # the table is cleared, so all that this batch needs goes in
+                missing = new[v]
+            self.learn(missing, v)
+        out = []
+        for units, first in split:
+            parts: list = [None] * len(units)
+            for j in range(min(variants, len(units))):
+                parts[j::variants] = list(map(self.tables[(first + j) % variants].__getitem__, units[j::variants]))
+            out.append(b"".join(parts))
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
-        if not text:
-            return b""
-        units = UNIT.findall(" " + text)
-        variants = len(self.tables)
-        first = zlib.crc32(text.encode("utf-8", "surrogatepass")) if variants > 1 else 0
-        parts: list = [None] * len(units)
-        for j in range(min(variants, len(units))):
-            v = (first + j) % variants
-            table, own = self.tables[v], units[j::variants]
-            got = list(map(table.get, own))
-            if None in got:
-                if len(table) > TABLE:
-                    table.clear()
-                for k, (unit, found) in enumerate(zip(own, got, strict=True)):
-                    if found is None:
-                        if unit not in table:
-                            table[unit] = self.encode_unit(unit, v)
-                        got[k] = table[unit]
-            parts[j::variants] = got
-        return b"".join(parts)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -136,11 +272,24 @@ def codec(path: str, rate: float, seed: int) -> Codec:
     return _CODECS[key]
 
 
+def encoded(c: Codec, texts: list[str | None]):
+    """(text, ids) of each text, about a million characters at a time; one long text stays whole."""
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        part.append(t or "")
+        size += len(part[-1])
+        if size > 1_000_000:
+            yield from zip(part, c.encode_many(part), strict=True)
+            part, size = [], 0
+    yield from zip(part, c.encode_many(part), strict=True)
+
+
 def _encode(path: str, rate: float, seed: int):
     def run(batches):
         c = codec(path, rate, seed)
         for batch in batches:
-            found = [np.frombuffer(c.encode(t or ""), "<i4") for t in batch.column(1).to_pylist()]
+            found = [np.frombuffer(ids, "<i4") for _, ids in encoded(c, batch.column(1).to_pylist())]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
@@ -163,9 +312,8 @@ def _digest(path: str, rate: float, seed: int):
         c = codec(path, rate, seed)
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                ids = c.encode(text or "")
-                rows.append((len(ids) // 4, zlib.crc32(ids), c.decode(ids) == (text or "")))
+            for text, ids in encoded(c, batch.column(1).to_pylist()):
+                rows.append((len(ids) // 4, zlib.crc32(ids), c.decode(ids) == text))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True))], names=["doc_id", "n_ids", "ids_crc32", "lossless"])
 

@@ -314,6 +314,16 @@ def test_sentencepiece(docs, none):
     assert sp_codec.encode(none, PIECES).collect() == []
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.3])
+def test_both_agendas_merge_alike(rate):
+    r = random.Random(8)
+    c = sp_codec.Codec(PIECES, rate, 3)
+    for _ in range(300):
+        unit = " " + "".join(r.choice("aeinrst▁é日\n") for _ in range(r.randrange(1, 40)))
+        symbols = ["▁" if x == " " else "" if x == "▁" else x for x in unit]
+        assert c.merge_short(list(symbols), c.key(unit, 1)) == c.merge_long(list(symbols), c.key(unit, 1))
+
+
 def test_dropout_takes_fewer_merges_and_keeps_odd_characters():
     plain, much, all_ = (sp_codec.Codec(PIECES, rate, 4) for rate in (0.0, 0.5, 1.0))
     text = "The ▁ mark,  two spaces\n\nand \ttabs 日本 😀 " * 5
