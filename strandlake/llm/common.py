@@ -52,6 +52,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """A written stage whose rows lie in buckets of a key, so that joins on the key don't shuffle it again."""
+    spark = df.sparkSession
+    table = f"strandlake_{name}_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, key)
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", stage_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 # ---------------------------------------------------------------------------------------------
 # Words [^\x20\x09-\x0D]+ of many texts at once, as 64-bit hashes.
 
