@@ -162,3 +162,29 @@ def kmer_report(per_probe: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def gapped_records(hits: DataFrame) -> DataFrame:
+    """records() of alignments that may hold gaps."""
+    from ..functions.view import gapped_view
+
+    view = gapped_view("seq", "cigar", "md")
+    out = hits.withColumn("_v", view)
+    subs, gaps = tags.substitutions(F.col("md")), tags.bulges(F.col("cigar"))
+    return out.select(
+        "probe_id", F.col("_v.sequence").alias("sequence"), F.col("_v.target_sequence").alias("target_sequence"), F.col("rname").alias("target_transcript"),
+        (subs + gaps).alias("mismatches"), subs.alias("substitutions"), gaps.alias("bulges"), F.col("pos").alias("position"), F.when(tags.is_reverse(F.col("flag")), "-").otherwise("+").alias("strand"),
+    )
+
+
+def metric_filter(probes: DataFrame, **wanted: tuple[float, float] | str) -> DataFrame:
+    """Probes by shown metrics: a (low, high) range, or a text that the value's one-decimal form begins with."""
+    for name, want in wanted.items():
+        ok = F.startswith(F.format_string("%.1f", F.col(name)), F.lit(want)) if isinstance(want, str) else F.col(name).between(*want)
+        probes = probes.where(ok)
+    return probes
+
+
+def identity_pct(length: int, errors: int) -> int:
+    """The least identity, in whole percent, that so many errors leave."""
+    return (length - errors) * 100 // length

@@ -64,3 +64,13 @@ def cached_genes(spark: SparkSession, read, release: int, folder: str) -> DataFr
     if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         read().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def check_host(names: list[str], chunks: list[str], pattern: str) -> int:
+    """The release of a host whose genome file and reference chunks are there; raises ValueError that says what is missing."""
+    release = latest_release(names, pattern)
+    if release is None:
+        raise ValueError("no genome file matches the host's pattern")
+    if not any(c.endswith((".fa", ".fna", ".fa.gz", ".fna.gz")) for c in chunks):
+        raise ValueError("the host has no reference chunks")
+    return release

@@ -109,3 +109,21 @@ def test_streamed_probes(spark, tmp_path):
     stream = P.read_probes(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda df, _: seen.extend(P.screen(df, counts, 16, tm=None).collect()))
     stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert [(r.probe_id, r.hits) for r in seen] == [("p1", 1)]
+
+
+def test_views_and_filters(spark):
+    from strandlake.functions.view import columns
+
+    assert columns("ACGTACGT", "8M", "0T4N1A0") == ("aCGTAcGt", "tCGTAnGa")
+    assert columns("ACGGT", "2M1I2M", "1T2") == ("AcgGT", "At-GT")
+    assert columns("ACGT", "2M2D2M", "2^TT1A") == ("AC--Gt", "ACttGa")
+    df = spark.createDataFrame([("p", 0, "c", 4, "2M1I2M", 2, "1T2", "ACGGT", "ATGT")], "probe_id string, flag int, rname string, pos int, cigar string, nm int, md string, seq string, target string")
+    r = report.gapped_records(df).first()
+    assert (r.sequence, r.target_sequence, r.substitutions, r.bulges, r.strand) == ("AcgGT", "At-GT", 1, 1, "+")
+    m = spark.createDataFrame([(1, 45.26, 50.0), (2, 44.0, 60.0)], "i int, tm double, gc double")
+    assert [x.i for x in report.metric_filter(m, tm="45.3").collect()] == [1] and [x.i for x in report.metric_filter(m, tm=(40.0, 50.0), gc=(55.0, 65.0)).collect()] == [2]
+    assert report.identity_pct(36, 2) == 94
+    assert annotation.check_host(["g.v9.fa"], ["a.fa"], r"v(\d+)") == 9
+    for args in (([], ["a.fa"]), (["g.v9.fa"], ["x"])):
+        with pytest.raises(ValueError):
+            annotation.check_host(*args, r"v(\d+)")
