@@ -61,6 +61,17 @@ def test_jaccard_with_hot_lists_and_chains(spark, monkeypatch):
     assert kept == {c for _, c in want.values()}
 
 
+def test_jaccard_keeps_a_pair_at_the_bound_of_its_lists(spark):
+    r = random.Random(9)
+    say = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    passage = say(16)  # 12 shingles, frequent in long texts
+    docs = [(i, f"{passage} {say(i)}") for i in (1, 2, 3)] + [(100 + i, f"{passage} {say(300)}") for i in range(30)]
+    want = brute.jaccard_components(docs)
+    assert want[2] == (14, 1) and want[3] == (15, 3)
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+
+
 def test_overlap_probe():
     r = random.Random(1)
     for _ in range(200):
