@@ -5,8 +5,8 @@ beginnings, weighted by their log-odds in labelled texts (Spark counts them). On
 an exception phrase don't count, and a word counts once, with its heaviest entry. A logistic curve over the
 hits' weight, normalised by the text's length, gives the score; it is fitted out of fold, on lexicons from the other half.
 
-The classifier is fitted on a bounded sample of labelled rows (`positives`, `negatives`: documented bounds); scoring covers every text
-as a whole. Labels, ids, language and source are not inputs of a score.
+The classifier is fitted on a bounded sample of labelled rows (`positives`, `negatives`: documented bounds); in the curve its rows
+weigh as much as the classes have among all labelled texts, which Spark counts. Scoring covers every text as a whole. Labels, ids, language and source are not inputs of a score.
 
 Edge cases: a null or empty text has no hits and gets the score of no hits; without labelled rows of both classes every score is
 the smoothed share of positive labels; equal texts get equal scores; a document labelled more than once counts as toxic if
@@ -110,14 +110,17 @@ def features(total: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), np.log1p(total), total / np.sqrt(n), np.log1p(100 * total / n)], 1)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, ...]:
-    """Logistic regression by Newton steps."""
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rate: float | None = None) -> tuple[float, ...]:
+    """Logistic regression by Newton steps; rate: the positives' share that the rows are weighted to."""
     w = np.zeros(x.shape[1])
-    w[0] = math.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5))
+    share = np.ones(len(y))
+    if rate is not None and 0 < y.sum() < len(y):
+        share = np.where(y > 0, rate / y.mean(), (1 - rate) / (1 - y.mean()))
+    w[0] = math.log(((share * y).sum() + 0.5) / ((share * (1 - y)).sum() + 0.5))
     penalty = np.diag([1e-3] + [ridge] * (x.shape[1] - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (share * (p - y)) + penalty @ w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -165,6 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives: in
     sample = F.broadcast(some[0].union(some[1]))  # at most positives + negatives rows
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(sample, "key").dropDuplicates(["text"])
     rows = materialise(rows.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), "toxic"), "labelled")
+    every = dict(known.groupBy("toxic").agg(F.count("*")).collect())
+    rate = None
+    if every.get(1, 0) > positives or every.get(0, 0) > negatives:  # the sample has another share of positives than all labelled texts
+        texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text")).join(known, "key").groupBy("text").agg(F.max("toxic").alias("toxic"))
+        rate = texts.agg(F.avg("toxic")).first()[0]
     sizes = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     p, n = (sum(v for (_, t), v in sizes.items() if t == side) for side in (1, 0))
     prior = (math.log((p + 0.5) / (n + 0.5)), 0.0, 0.0, 0.0)
@@ -197,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives: in
         if got:
             xs.append(features(np.array([r["total"] for r in got]), np.array([r["n_words"] for r in got])))
             ys.append(np.array([r["key"] for r in got], float))
-    return Model(lexicon((0, 1)), fit_curve(np.concatenate(xs), np.concatenate(ys)), exceptions)
+    return Model(lexicon((0, 1)), fit_curve(np.concatenate(xs), np.concatenate(ys), rate=rate), exceptions)
 
 
 def _scores(model: Model, threshold: float):

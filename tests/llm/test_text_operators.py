@@ -163,6 +163,18 @@ def test_toxicity_learns(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
 
 
+def test_toxicity_has_the_rate_of_all_labels(spark):
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["scumbag", "word"] if r.random() < 0.3 else ["word", f"own{i}"]) for _ in range(12)) + f" t{i}" for i in range(1500)]
+    toxic = [int(r.random() < (0.05 + 0.12 * t.count("scumbag"))) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    rate = sum(toxic) / len(toxic)
+    for model in (toxicity.fit(docs, labels), toxicity.fit(docs, labels, positives=120, negatives=120)):  # the second one's sample is half positive
+        scores = [x.score for x in toxicity.score(docs, model).collect()]
+        assert abs(sum(scores) / len(scores) - rate) < 0.04
+
+
 def test_toxicity_without_labels(spark, docs, none):
     lab = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs, lab)
