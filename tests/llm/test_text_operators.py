@@ -72,6 +72,15 @@ def test_jaccard_keeps_a_pair_at_the_bound_of_its_lists(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
 
 
+def test_jaccard_links_the_texts_of_one_id(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    docs = [(5, x), (5, y), (3, y), (9, x), (7, z), (7, ""), (8, z + " more")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()}
+    assert got == {(5, 26, 3), (3, 26, 3), (9, 26, 3), (7, 26, 7), (7, 0, 7), (8, 27, 7)}
+    assert sorted(r.doc_id for r in ngram_join.keep_one(df).collect()) == [3, 7, 7]
+
+
 def test_overlap_probe():
     r = random.Random(1)
     for _ in range(200):
