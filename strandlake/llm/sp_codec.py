@@ -1,10 +1,12 @@
 """SentencePiece-style encoding with seeded merge-dropout, and its lossless decoding.
 
 A unit (a word with the spaces before it, or a line break) starts as characters. The agenda holds the adjacent pairs whose union is a
-piece, best score first, leftmost among equals. A candidate is skipped if the keyed hash of (seed, variant, unit, place, piece) falls below the
-dropout rate, so a unit has several segmentations; which variant an occurrence takes follows from its place in the text and the
-text's checksum. Encoding is a pure function of seed and text, so retried tasks give the same ids.
-Units that a task meets for the first time are encoded together, one merge of each at a time, with numpy.
+piece, best score first, leftmost among equals. A candidate is skipped if the keyed hash of (seed, text's checksum, number of the unit in the
+text, unit, place, merge) falls below the dropout rate: every occurrence of a unit has draws of its own.
+Encoding is a pure function of seed and text, so retried tasks give the same ids.
+What a unit becomes depends only on which of its candidates, in their order, are skipped. A table holds those outcomes (a unit and the
+skips so far, with the candidates that follow); an occurrence walks it by its own draws. Outcomes that a task meets for
+the first time are worked out together, one candidate of each at a time, with numpy.
 With rate 0 the ids are those of the library's own encoder. Characters that are no piece become byte pieces.
 
 Edge cases: a null text is the empty text, with no ids; the piece of the space mark (U+2581) in a text is written as bytes, so that decoding is exact;
@@ -27,8 +29,8 @@ from .common import prepare
 
 MARK = "▁"
 UNIT = re.compile(r" *[^ \n]+|\n| +")
-VARIANTS = 4
-TABLE = 250_000  # units held per variant; what doesn't fit is encoded again
+TABLE = 250_000  # outcomes held; what doesn't fit is worked out again
+DRAWS = 62  # candidates of a unit that an outcome can tell apart; units with more are encoded on their own
 SHORT = 40  # up to so many characters a plain list is the faster agenda
 NEVER = 1 << 30
 
@@ -58,7 +60,7 @@ class Codec:
             self.bytes_of.append(body)
         order = {x: i for i, x in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {piece: order[x] for piece, x in scores.items()}
-        self.tables: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if self.limit else 1)]
+        self.forget()
         # merges of two symbols by their numbers: pieces by id
         merges = {}
         for piece, i in self.ids.items():
@@ -78,8 +80,17 @@ class Codec:
         single = {c for piece in self.ids for c in piece}
         self.alone = all(c in self.ids for c in single)  # else a character that is no piece may be part of one
 
-    def key(self, unit: str, variant: int) -> int:
-        return zlib.crc32(f"{self.seed}\0{variant}\0{unit}".encode())
+    def key(self, unit: str, at: int, text: int = 0) -> int:
+        """Key of the draws of a text's unit number `at`; text: the text's checksum."""
+        return int(self._keys(np.array([zlib.crc32(unit.encode("utf-8", "surrogatepass"))], np.uint64), np.array([at], np.uint64), np.array([text], np.uint64))[0])
+
+    def _keys(self, units: np.ndarray, at: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        x = units | texts << np.uint64(32)
+        with np.errstate(over="ignore"):
+            for y in (at + np.uint64((self.seed * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF), np.uint64(0)):
+                x = (x ^ y) * np.uint64(0xD6E8FEB86659FD93)
+                x ^= x >> np.uint64(32)
+        return x & np.uint64(0xFFFFFFFF)
 
     def skipped(self, key: int, at: int, rank: int) -> bool:
         """Keyed hash of a candidate: the unit's key, the place of its left character and the merge."""
@@ -134,9 +145,8 @@ class Codec:
             propose(before[i], i)
         return [s for s, gone in zip(symbols, dead, strict=True) if not gone]
 
-    def encode_unit(self, unit: str, variant: int) -> bytes:
+    def encode_unit(self, unit: str, key: int = 0) -> bytes:
         symbols = [MARK if c == " " else ("" if c == MARK else c) for c in unit]  # the mark itself becomes bytes
-        key = self.key(unit, variant) if self.limit else 0
         merged = self.merge_short(symbols, key) if len(symbols) <= SHORT else self.merge_long(symbols, key)
         out: list[int] = []
         for s in merged:
@@ -155,15 +165,21 @@ class Codec:
         ok = (self.pair[at] == key) & (left >= 0) & (right >= 0)
         return np.where(ok, self.pair_rank[at], NEVER), self.pair_id[at]
 
-    def encode_units(self, units: list[str], variant: int) -> list[bytes]:
-        """encode_unit of many units of one length, whose characters all are pieces or none."""
+    def outcomes(self, units: list[str], skips: list[int]) -> tuple[list[bytes | None], np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units of one length if the candidates whose bit is set in `skips` are skipped; numbers, places and merges of the candidates.
+
+        The ids are None, without candidates, for units with a character that is no piece, or with too many candidates.
+        """
         n, size = len(units), len(units[0])
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size)
         symbol = self.id_of_char[codes].astype(np.int64)
         plain = (symbol >= 0).all(1) & self.alone
         symbol = symbol[plain]
         rows = np.arange(len(symbol))
-        keys = np.array([self.key(u, variant) for u, p in zip(units, plain.tolist(), strict=True) if p], np.uint64) if self.limit else None
+        bits = np.array(skips, np.int64)[plain]
+        drawn = np.zeros(len(rows), np.int64)
+        width = min(DRAWS, 3 * size)  # a pair, and two more for each merge
+        places, ranks = np.zeros((len(rows), width), np.int32), np.zeros((len(rows), width), np.int32)
         after = np.tile(np.arange(1, size + 1), (len(rows), 1))
         before = np.tile(np.arange(-1, size - 1), (len(rows), 1))
         alive = np.ones(symbol.shape, bool)
@@ -178,7 +194,10 @@ class Codec:
             go = r < NEVER
             rows, at, r = rows[go], at[go], r[go]
             if self.limit and len(rows):
-                skip = self._skipped(keys[rows], at, r)
+                t = np.minimum(drawn[rows], width - 1)
+                places[rows, t], ranks[rows, t] = at, r
+                skip = bits[rows] >> t & 1 == 1
+                drawn[rows] += 1
                 rank[rows[skip], at[skip]] = NEVER
                 todo, place = rows[~skip], at[~skip]
             else:
@@ -197,8 +216,16 @@ class Codec:
                 rank[w, i], made[w, i] = self._look_up(symbol[w, i], symbol[w, j])
         blob = symbol[alive].astype("<u4").tobytes()
         ends = (4 * np.cumsum(alive.sum(1))).tolist() if len(symbol) else []
-        quick = iter([blob[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        return [next(quick) if p else self.encode_unit(u, variant) for u, p in zip(units, plain.tolist(), strict=True)]
+        ids: list[bytes | None] = [None] * n
+        known = drawn < DRAWS
+        for i, x, y, ok in zip(np.flatnonzero(plain).tolist(), [0, *ends], ends, known.tolist(), strict=False):
+            if ok:
+                ids[i] = blob[x:y]
+        drawn[~known] = 0
+        counts = np.zeros(n, np.int64)
+        counts[plain] = drawn
+        taken = np.arange(width) < drawn[:, None]
+        return ids, counts, places[taken], ranks[taken]
 
     def _skipped(self, key: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """skipped() of many candidates."""
@@ -208,26 +235,73 @@ class Codec:
         x = ((x ^ (x >> np.uint64(12))) * np.uint64(0x297A2D39)) & mask
         return (x ^ (x >> np.uint64(15))) < np.uint64(self.limit)
 
-    def learn(self, units: set[str], variant: int) -> None:
-        """Put units into the variant's table."""
-        table = self.tables[variant]
-        if len(table) + len(units) > TABLE:
-            table.clear()
-        by_size: dict[int, list[str]] = {}
-        for u in units:
-            if 1 < len(u) <= SHORT:
-                by_size.setdefault(len(u), []).append(u)
-            else:
-                table[u] = self.encode_unit(u, variant) if u else b""
-        for same in by_size.values():
+    def forget(self) -> None:
+        """Empty the table. Node i is an outcome: a unit and its skips; its candidates after the last skip can still be drawn."""
+        self.nodes: dict[str | int, int] = {}  # by the unit (no skips), or by a node << 6 | the candidate that is skipped next
+        self.unit_of: list[str] = []
+        self.skips: list[int] = []
+        self.ids_of: list[bytes | None] = []  # None: encoded on its own
+        self.crc = np.zeros(1 << 16, np.uint64)
+        self.first = np.zeros(1 << 16, np.int64)  # the next candidate's number, and the end
+        self.last = np.zeros(1 << 16, np.int64)
+        self.begin = np.zeros(1 << 16, np.int64)  # candidate t is at begin + t of the arrays of places and ranks
+        self.places, self.ranks = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        self.used = 0
+
+    def learn(self, names: list, units: list[str], skips: list[int], first: list[int]) -> None:
+        """Add nodes: names, units, skips so far and the first candidates that can be drawn."""
+        by_size: dict[int, list[int]] = {}
+        for i, unit in enumerate(units):
+            by_size.setdefault(len(unit) if len(unit) <= SHORT else 0, []).append(i)
+        for size, same in by_size.items():
             for i in range(0, len(same), 20_000):
                 part = same[i : i + 20_000]
-                table.update(zip(part, self.encode_units(part, variant), strict=True))
+                unit, skip = [units[j] for j in part], [skips[j] for j in part]
+                if size:
+                    ids, counts, places, ranks = self.outcomes(unit, skip)
+                else:
+                    ids, counts, places, ranks = [None if u else b"" for u in unit], np.zeros(len(part), np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+                if not self.limit:
+                    ids = [self.encode_unit(u) if x is None else x for u, x in zip(unit, ids, strict=True)]
+                a, used = len(self.unit_of), self.used
+                b, self.used = a + len(part), used + len(places)
+                while b > len(self.crc):
+                    self.crc, self.first, self.last, self.begin = (np.concatenate((x, np.zeros_like(x))) for x in (self.crc, self.first, self.last, self.begin))
+                while self.used > len(self.places):
+                    self.places, self.ranks = (np.concatenate((x, np.zeros_like(x))) for x in (self.places, self.ranks))
+                self.places[used : self.used], self.ranks[used : self.used] = places, ranks
+                self.crc[a:b] = [zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in unit]
+                self.first[a:b] = [first[j] for j in part]
+                self.last[a:b] = counts
+                self.begin[a:b] = used + np.cumsum(counts) - counts
+                self.nodes.update(zip([names[j] for j in part], range(a, b), strict=True))
+                self.unit_of += unit
+                self.skips += skip
+                self.ids_of += ids
+
+    def walk(self, node: np.ndarray, keys: np.ndarray) -> None:
+        """Move each occurrence, in place, from its unit's node to the one of its own draws."""
+        rows = np.flatnonzero(self.first[node] < self.last[node])
+        t = self.first[node[rows]]
+        while len(rows):
+            at = node[rows]
+            i = self.begin[at] + t
+            skip = self._skipped(keys[rows], self.places[i], self.ranks[i])
+            if skip.any():
+                gone, which = at[skip], t[skip]
+                pair, back = np.unique(gone << 6 | which, return_inverse=True)
+                names = pair.tolist()
+                new = [x for x in names if x not in self.nodes]
+                self.learn(new, [self.unit_of[x >> 6] for x in new], [self.skips[x >> 6] | 1 << (x & 63) for x in new], [(x & 63) + 1 for x in new])
+                node[rows[skip]] = np.array([self.nodes[x] for x in names], np.int64)[back]
+            t = t + 1
+            go = t < self.last[node[rows]]
+            rows, t = rows[go], t[go]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        variants = len(self.tables)
-        split, new = [], [set() for _ in range(variants)]
+        every: list[str] = []
+        sizes = []
         for text in texts:
             text_ = " " + text
             if not text:
@@ -236,22 +310,24 @@ class Codec:
                 units = UNIT.findall(text_)
             else:  # the same units, and empty ones
                 units = text_.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            first = zlib.crc32(text.encode("utf-8", "surrogatepass")) if variants > 1 else 0
-            split.append((units, first))
-            for j in range(min(variants, len(units))):
-                new[(first + j) % variants].update(units[j::variants])
-        for v in range(variants):
-            missing = new[v] - self.tables[v].keys()
-            if len(self.tables[v]) + len(missing) > TABLE:  # the table is cleared, so all that this batch needs goes in
-                missing = new[v]
-            self.learn(missing, v)
-        out = []
-        for units, first in split:
-            parts: list = [None] * len(units)
-            for j in range(min(variants, len(units))):
-                parts[j::variants] = list(map(self.tables[(first + j) % variants].__getitem__, units[j::variants]))
-            out.append(b"".join(parts))
-        return out
+            every += units
+            sizes.append(len(units))
+        if len(self.unit_of) > TABLE:
+            self.forget()
+        new = list(set(every) - self.nodes.keys())
+        self.learn(new, new, [0] * len(new), [0] * len(new))
+        node = np.array(list(map(self.nodes.__getitem__, every)), np.int64)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        if self.limit and len(node):
+            checks = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
+            at = np.arange(len(node)) - np.repeat(ends - sizes, sizes)
+            keys = self._keys(self.crc[node], at.astype(np.uint64), np.repeat(checks, sizes))
+            self.walk(node, keys)
+        ids = list(map(self.ids_of.__getitem__, node.tolist()))
+        if None in ids:
+            for i in [i for i, x in enumerate(ids) if x is None]:
+                ids[i] = self.encode_unit(every[i], int(keys[i]))
+        return [b"".join(ids[b - n : b]) for b, n in zip(ends.tolist(), sizes, strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]

@@ -356,6 +356,24 @@ def test_both_agendas_merge_alike(rate):
         assert c.merge_short(list(symbols), c.key(unit, 1)) == c.merge_long(list(symbols), c.key(unit, 1))
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.6])
+def test_each_occurrence_has_its_own_draws(rate, monkeypatch):
+    r = random.Random(2)
+    c = sp_codec.Codec(PIECES, rate, 3)
+    words = ["".join(r.choice("aeinrst▁é日") for _ in range(r.choice((1, 3, 8, 30, 60)))) for _ in range(40)]
+    texts = [" ".join(r.choices(words, k=50)) for _ in range(20)] + ["", "internationally " * 400]
+    want = [b"".join(c.encode_unit(u, c.key(u, i, zlib.crc32(t.encode()))) for i, u in enumerate((" " + t).replace(" ", "\0 ").split("\0") if t else [])) for t in texts]
+    assert c.encode_many(texts) == want
+    monkeypatch.setattr(sp_codec, "TABLE", 3)
+    assert [c.encode(t) for t in texts] == want
+    assert all(c.decode(x) == t for x, t in zip(want, texts, strict=True))
+    units = ["", *[" internationally"] * 400]
+    found = Counter(c.encode_unit(u, c.key(u, i, zlib.crc32(texts[-1].encode()))) for i, u in enumerate(units))
+    assert len(found) > 8
+    plain = sp_codec.Codec(PIECES, 0.0, 3).encode_unit(units[1])
+    assert rate > 0.1 or 0.1 * 400 < found[plain] < 0.9 * 400
+
+
 def test_dropout_takes_fewer_merges_and_keeps_odd_characters():
     plain, much, all_ = (sp_codec.Codec(PIECES, rate, 4) for rate in (0.0, 0.5, 1.0))
     text = "The ▁ mark,  two spaces\n\nand \ttabs 日本 😀 " * 5
