@@ -43,6 +43,14 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
 )
 
+#: To the END line without another one before it, or over the header fields and base64 lines that follow. Possessive, so that no text is tried twice.
+_KEY = (
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nr]){1,4}[A-Za-z-]{1,30}: [^\r\n]*+)*+(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{20,}+)++(?:\s{1,4}[A-Za-z0-9+/]{1,76}={0,2}(?=\s*(?:[\r\n]|$)))?+)?+)"
+)
+#: What redact() covers: of a private key not only its BEGIN line, which is all that summary() reports, but the key.
+COVERED = tuple(Rule(r.kind, r.pattern + _KEY) if r.kind == "pem" else r for r in RULES)
+
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """The alternatives of a pattern's trigram query, each a set of trigrams; [] if the rule must scan."""
@@ -170,7 +178,7 @@ def summary(docs: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rules=COVERED, mark: str = "[SECRET]") -> DataFrame:
     """docs whose texts have each stretch covered by matches replaced by a mark (a null text stays null)."""
     found = find_secrets(docs, rules)
     # stretches that touch or overlap are one
