@@ -5,18 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: Runtime settings the operators rely on. Arrow batches are bounded in bytes, because one
-#: document can be very long; shuffle files of a finished stage are freed at once.
+#: Runtime settings of an operator's Python steps: Arrow batches are bounded in bytes, because one document can be very long.
 SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
+#: Set while a stage is written: the shuffle files of that write are freed at its end.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Bytes of text that a numpy step handles at once (its arrays take about 40 times as much).
 CHUNK_BYTES = 2 << 20
 
@@ -27,17 +29,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset.
-
-    Without the setting, a local master gets a temporary folder and a cluster the warehouse folder.
-    """
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary folder; a cluster has to name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-            folder = "file://" + tempfile.mkdtemp(prefix="spark-strandlake-")
-            spark.conf.set("spark.checkpoint.dir", folder)
-        else:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_strandlake"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-strandlake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
@@ -45,20 +44,60 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """Frees a write's shuffle files with the write, and leaves the session as it was."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before) if before is not None else spark.conf.unset(FREE_SHUFFLES)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a stage to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = stage_path(spark, name)
+    with _freeing(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage = path
+    return out
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """A written stage whose rows lie in buckets of a key, so that joins on the key don't shuffle it again."""
     spark = df.sparkSession
-    table = f"strandlake_{name}_{uuid.uuid4().hex}"
+    table, path = f"strandlake_{name}_{uuid.uuid4().hex}", stage_path(spark, name)
     rows = df.repartition(buckets, key)
-    rows.write.bucketBy(buckets, key).sortBy(key).option("path", stage_path(spark, name)).saveAsTable(table)
-    return spark.table(table)
+    with _freeing(spark):
+        rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.stage, out.table = path, table
+    return out
+
+
+def release(*stages: DataFrame | None) -> None:
+    """Delete stages that nothing will read again. (A stage that a returned DataFrame still reads stays until `clear`.)"""
+    for df in stages:
+        path = getattr(df, "stage", None) if df is not None else None
+        if path is None:
+            continue
+        spark = df.sparkSession
+        if getattr(df, "table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {df.table}")
+        _delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all stages in the shared folder, once their results have been read."""
+    _delete(spark, f"{shared_folder(spark)}/strandlake")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 # ---------------------------------------------------------------------------------------------

@@ -72,6 +72,36 @@ def test_jaccard_keeps_a_pair_at_the_bound_of_its_lists(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
 
 
+@pytest.mark.parametrize(("seed", "small"), [(0, 1), (1, 6)])
+def test_jaccard_in_large_groups(spark, monkeypatch, seed, small):
+    """Groups around one text with replaced, dropped and added words, in few and in many places, and shared changes: only some pairs link."""
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(10**6)}"
+    docs = []
+    for group in range(3):
+        base = [word() for _ in range((25, 60, 130)[group])]
+        branches = []
+        for i in range(40):
+            text = list(base if i % 3 or not branches else r.choice(branches))
+            for _ in range(r.randrange(1, 2 + len(base) // 15)):
+                at = r.randrange(len(text))
+                change = r.random()
+                if change < 0.5:
+                    text[at] = word()
+                elif change < 0.7:
+                    del text[at]
+                elif change < 0.9:
+                    text.insert(at, word())
+                else:
+                    text = text[: max(at, len(base) * 3 // 4)]
+            branches.append(text)
+            docs.append((1000 * group + i, " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df).collect()}
+    assert got == brute.jaccard_components(docs)
+
+
 def test_jaccard_links_the_texts_of_one_id(spark):
     x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
     docs = [(5, x), (5, y), (3, y), (9, x), (7, z), (7, ""), (8, z + " more")]
