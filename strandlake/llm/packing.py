@@ -6,18 +6,24 @@ length: a histogram of at most `capacity` entries, which Spark counts and the dr
 how many bins hold which lengths; Spark numbers the pieces of each length without gaps and joins them to
 their places. Both tables on the driver are bounded by the capacity, whatever the input.
 
-The solver builds bins around the largest piece left, tries the undominated fillings of its gap in
-order of waste, prunes by the waste that the incumbent allows, and starts with best-fit decreasing as the incumbent.
+The solver builds bins around the largest piece left, tries all undominated fillings of its gap in
+order of waste, prunes by the waste that the incumbent allows and by a lower bound of the rest, and starts with best-fit decreasing
+as the incumbent.
 
 Edge cases: a null or empty text is the end token alone; repeated rows are packed each; ties among equal lengths
-go by id; an empty table gives no rows; other columns are ignored.
+go by id; an empty table gives no rows; other columns are ignored. A text is encoded whole, however long: its ids and some 20 times its bytes are held by one task at a time; one that the faster
+engine can't take (such as a very long run of white space) is encoded by the tokenizer itself.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, prepare
 
+#: With at most so many lengths left, the search compares how many fillings each has.
+FEW = 100
+_LOG = logging.getLogger(__name__)
+
 Plan = list[tuple[tuple[int, ...], int]]  # lengths of one bin, how many such bins
 
 
@@ -72,115 +82,183 @@ def best_fit_decreasing(lengths: Counter, capacity: int) -> Plan:
     return list(bins.items())
 
 
-def fillings(counts: np.ndarray, gap: int, keep: int = 8) -> list[tuple[int, ...]]:
-    """Undominated ways to fill a gap from the lengths left, least waste first."""
-    if gap <= 0:
-        return [()]
-    if gap < len(counts) and counts[gap]:
-        return [(gap,)]  # one piece that fits exactly dominates all others
-    have = np.flatnonzero(counts[: gap + 1])
-    if not len(have):
-        return [()]
-    floor = np.zeros(gap + 1, np.int64)  # the largest length at hand that is at most i
-    floor[have] = have
-    floor = np.maximum.accumulate(floor)
-    options: set[tuple[int, ...]] = set()
-    rows = [have]
-    rest = gap - have
-    used = have.copy()
-    for _ in range(5):  # each start is completed greedily, longest piece first
-        nxt = floor[np.minimum(rest, used)]
-        same = (nxt == used) & (nxt > 0)
-        if same.any():  # a length may be used as often as it is there
-            times = sum((r == nxt).astype(np.int64) for r in rows)
-            short = same & (times >= counts[nxt])
-            lower = floor[np.maximum(np.minimum(nxt - 1, rest), 0)]
-            nxt = np.where(short, lower, nxt)
-        if not nxt.any():
-            break
-        rows.append(nxt)
-        rest = rest - nxt
-        used = np.where(nxt > 0, nxt, used)
-    table = np.stack(rows, 1)
-    order = np.lexsort((-table[:, 0], rest))[: 4 * keep]
-    out: list[tuple[int, ...]] = []
-    for i in order:
-        f = tuple(int(x) for x in table[i] if x)
-        if f in options:
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Bins that any packing needs: for each size a, pieces above capacity - a stand alone, those above half of it open bins, and those of a..half fill what is left."""
+    sizes = np.arange(capacity + 1)
+    half = capacity // 2
+    many, much = np.cumsum(counts[::-1])[::-1], np.cumsum((counts * sizes)[::-1])[::-1]  # pieces of at least i, and their tokens
+    alone = np.append(many[1:], 0)[capacity - np.arange(half + 1)]  # pieces above capacity - a
+    alone_much = np.append(much[1:], 0)[capacity - np.arange(half + 1)]
+    large, large_much = many[half + 1] - alone, much[half + 1] - alone_much
+    small = much[: half + 1] - much[half + 1]
+    rest = np.maximum(small - (large * capacity - large_much), 0)
+    return int((alone + large + -(-rest // capacity)).max())
+
+
+def _dominated(filling: tuple[int, ...], at_hand: int, waste: int) -> bool:
+    """Whether a piece at hand (a bit for each length) could take the place of some of the filling's pieces, none included, that are no longer than it."""
+    sums, several = 1, 0  # sums of subsets; of those of two pieces or more
+    for k in filling:
+        several |= (several << k) | ((sums & ~1) << k)
+        sums |= sums << k
+    reach, width = 0, 0  # sums moved up by 1..waste
+    step = sums << 1
+    while width < waste:
+        more = min(width or 1, waste - width)
+        step = sums << 1 if not width else reach << more
+        reach |= step
+        width += more
+    return bool(at_hand & (reach | several))
+
+
+def fillings(counts: np.ndarray, gap: int, most: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated ways to fill a gap from the lengths left with a waste of at most `most`, least waste first. None: a step without one."""
+    sizes = [int(k) for k in np.flatnonzero(counts[: gap + 1])[::-1]]
+    have = [min(int(counts[k]), gap // k) for k in sizes]
+    mask = (1 << gap + 1) - 1
+    reach = [1]  # sums that the sizes from here on can make
+    for k, n in zip(sizes[::-1], have[::-1], strict=True):
+        sums, part = reach[-1], 1
+        while n:  # n copies as 1, 2, 4, ... and a rest
+            part = min(part, n)
+            sums |= (sums << k * part) & mask
+            n -= part
+            part *= 2
+        reach.append(sums)
+    reach.reverse()
+
+    def exact(i: int, rest: int) -> Iterator[tuple[int, ...]]:
+        if not rest:
+            yield ()
+            return
+        while i < len(sizes) and reach[i] >> rest & 1:
+            k = sizes[i]
+            for n in range(min(have[i], rest // k), 0, -1):
+                if reach[i + 1] >> rest - n * k & 1:
+                    for more in exact(i + 1, rest - n * k):
+                        yield (k,) * n + more
+            i += 1
+
+    at_hand = sum(1 << k for k in sizes)
+    for waste in range(min(most, gap) + 1):
+        if not reach[0] >> gap - waste & 1:
             continue
-        options.add(f)
-        if not any(len(g) == len(f) and all(a >= b for a, b in zip(g, f, strict=True)) for g in out):
-            out.append(f)
-        if len(out) == keep:
-            break
-    return out
+        for f in exact(0, gap - waste):
+            left = at_hand
+            for k in set(f):
+                if f.count(k) == counts[k]:
+                    left ^= 1 << k
+            yield None if _dominated(f, left, waste) else f
+
+
+class Solution(NamedTuple):
+    plan: Plan
+    bins: int
+    bound: int  #: no packing has fewer bins; bins - bound is the most that could be gained
+
 
+def bin_completion(lengths: dict[int, int], capacity: int, steps: int = 200_000) -> Solution:
+    """Bins for a histogram of lengths (1..capacity).
 
-def bin_completion(lengths: dict[int, int], capacity: int, nodes: int = 6000) -> Plan:
-    """Bins for a histogram of lengths (1..capacity). `nodes` bounds the search, not the input."""
-    lengths = Counter({k: v for k, v in lengths.items() if v > 0})
+    The search is complete: bins are built around the largest piece left (where at most FEW lengths are left, around the one with the fewest
+    fillings), every undominated filling is tried, and each as often as it fits down to once. It ends when the lower bound is reached, when all is tried, or after `steps` fillings; then `bins` may exceed the optimum by at
+    most bins - bound. `steps` limits the driver's time, not the input: what is packed is always whole.
+    """
+    lengths = Counter({int(k): int(v) for k, v in lengths.items() if v > 0})
     if not lengths:
-        return []
+        return Solution([], 0, 0)
     if min(lengths) < 1 or max(lengths) > capacity:
         raise ValueError("lengths must be from 1 to the capacity")
     best = best_fit_decreasing(lengths, capacity)
     best_bins = sum(n for _, n in best)
     total = sum(k * v for k, v in lengths.items())
-    bound = max(-(-total // capacity), sum(v for k, v in lengths.items() if 2 * k > capacity))
     counts = np.zeros(capacity + 1, np.int64)
     for k, v in lengths.items():
         counts[k] = v
+    bound = max(-(-total // capacity), lower_bound(counts, capacity))
     plan: Plan = []
-    waste = [0]
-
-    def options() -> list:
-        top = int(np.flatnonzero(counts)[-1])
-        counts[top] -= 1
-        out = [(top, *f) for f in fillings(counts, capacity - top)]
-        counts[top] += 1
-        return out[::-1]
-
-    stack = [options()]
-    while stack and best_bins > bound and nodes > 0:
-        if not stack[-1]:
-            stack.pop()
-            if plan:
-                filling, n = plan.pop()
-                waste.pop()
-                for k in filling:
-                    counts[k] += n
-            continue
-        nodes -= 1
-        filling = stack[-1].pop()
-        need = Counter(filling)
-        n = int(min(counts[k] // v for k, v in need.items()))
-        if not n:
-            continue
-        w = waste[-1] + n * (capacity - sum(filling))
-        if w > (best_bins - 1) * capacity - total:  # more waste than a better solution can have
-            if n == 1:
+    bins = waste = 0
+
+    def ways(piece: int, spare: int) -> Iterator[tuple[int, ...] | None]:
+        rest = counts.copy()
+        rest[piece] -= 1
+        return fillings(rest, capacity - piece, spare)
+
+    class Node:
+        """The bins of one piece: its fillings, the one at work, and how often it may still be taken."""
+
+        def __init__(self, again: int | None, tried: frozenset):
+            nonlocal steps
+            left = [int(k) for k in np.flatnonzero(counts)[::-1]]
+            spare = (best_bins - 1) * capacity - total - waste
+            self.piece, fewest = left[0] if again is None else again, FEW
+            if again is None and len(left) <= FEW:
+                for k in left:
+                    n = sum(1 for _ in islice(ways(k, spare), fewest))
+                    steps -= n + 1
+                    if n < fewest:
+                        self.piece, fewest = k, n
+                    if not n:
+                        break
+            self.tried = tried  # fillings of this piece that an earlier node settled
+            self.ways = ways(self.piece, spare)
+            self.filling: tuple[int, ...] = ()
+            self.times = 0
+
+    def undo(node: Node) -> None:
+        nonlocal bins, waste
+        filling, n = plan.pop()
+        for k in filling:
+            counts[k] += n
+        bins -= n
+        waste -= n * (capacity - sum(filling))
+
+    stack = [Node(None, frozenset())]
+    placed = [False]
+    while stack and best_bins > bound and steps > 0:
+        node = stack[-1]
+        if placed[-1]:
+            undo(node)
+            placed[-1] = False
+        steps -= 1
+        if not node.times:
+            way = next(node.ways, False)
+            if way is False:
+                stack.pop()
+                placed.pop()
                 continue
-            n = 1
-            w = waste[-1] + capacity - sum(filling)
-            if w > (best_bins - 1) * capacity - total:
+            if way is None or way in node.tried:
                 continue
-        for k, v in need.items():
-            counts[k] -= n * v
-        plan.append((filling, n))
-        waste.append(w)
-        if counts.any():
-            stack.append(options())
-        else:
-            best, best_bins = list(plan), sum(m for _, m in plan)
-            stack.append([])
-    return best
+            node.filling = (node.piece, *way)
+            node.times = min(int(counts[k]) // v for k, v in Counter(node.filling).items())
+        lost = capacity - sum(node.filling)
+        spare = (best_bins - 1) * capacity - total - waste  # more waste than a better solution can have
+        n = min(node.times, spare // lost) if lost else node.times
+        node.times = max(n - 1, 0)
+        if spare < 0 or n < 1:
+            node.times = 0
+            continue
+        for k in node.filling:
+            counts[k] -= n
+        plan.append((node.filling, n))
+        bins += n
+        waste += n * lost
+        placed[-1] = True
+        if not counts.any():
+            if bins < best_bins:
+                best, best_bins = list(plan), bins
+        elif bins + lower_bound(counts, capacity) < best_bins:
+            same = counts[node.piece] > 0
+            stack.append(Node(node.piece, node.tried | {node.filling[1:]}) if same else Node(None, frozenset()))
+            placed.append(False)
+    return Solution(best, best_bins, bound)
 
 
 def _tokens(path: str):
     """A function from a text to its token ids (little-endian uint32).
 
     The vocabulary and its merge order are read from the tokenizer's file; a second engine applies them, several times as fast, with the same
-    ids. A text that holds a special token goes to the tokenizer itself.
+    ids. A text that holds a special token, or that the second engine refuses, goes to the tokenizer itself.
     """
     import json
     import os
@@ -201,9 +279,12 @@ def _tokens(path: str):
     engine = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> bytes:
-        if any(s in text for s in special):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return engine.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if not any(s in text for s in special):
+            try:
+                return engine.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # its pattern has a limit on backtracking
+                pass
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     return encode
 
@@ -251,7 +332,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, ke
     pieces = materialise(pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), "pieces")
     counts = materialise(pieces.groupBy("length", "block").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan = spark.createDataFrame(places(bin_completion(histogram, capacity)), "length long, lo long, hi long, per long, bin long, at long")
+    solution = bin_completion(histogram, capacity)
+    if solution.bins > solution.bound:
+        _LOG.info("packed into %d sequences; the lower bound is %d", solution.bins, solution.bound)
+    plan = spark.createDataFrame(places(solution.plan), "length long, lo long, hi long, per long, bin long, at long")
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")

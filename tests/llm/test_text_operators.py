@@ -298,20 +298,49 @@ def optimum(lengths, capacity):
     return best[0]
 
 
-def test_bin_completion_is_near_the_optimum():
+def packed(lengths, capacity, **more):
+    found = packing.bin_completion(Counter(lengths), capacity, **more)
+    assert Counter(k for f, n in found.plan for k in f * n) == Counter(lengths) and all(sum(f) <= capacity for f, _ in found.plan)
+    assert found.bins == sum(n for _, n in found.plan) >= found.bound
+    return found
+
+
+def test_bin_completion_finds_the_optimum():
     r = random.Random(2)
-    worse = 0
-    for _ in range(60):
-        lengths = [r.randrange(2, 20) for _ in range(r.randrange(1, 11))]
-        plan = packing.bin_completion(Counter(lengths), 20)
-        assert Counter(k for f, n in plan for k in f * n) == Counter(lengths) and all(sum(f) <= 20 for f, _ in plan)
-        worse += sum(n for _, n in plan) > optimum(lengths, 20)
-    assert worse <= 1
-    assert packing.bin_completion({}, 20) == []
+    for _ in range(150):
+        capacity = r.choice((12, 20, 50))
+        lengths = [r.randrange(1, capacity) for _ in range(r.randrange(1, 12))]
+        found = packed(lengths, capacity)
+        assert found.bins == optimum(lengths, capacity) >= found.bound
+    assert packing.bin_completion({}, 20) == ([], 0, 0)
     with pytest.raises(ValueError):
         packing.bin_completion({21: 1}, 20)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_bin_completion_solves_exact_triples(seed):
+    r = random.Random(seed)
+    lengths = []
+    while len(lengths) < 60:
+        a, b = r.randrange(380, 490), r.randrange(251, 380)
+        if 1000 - a - b > 200:
+            lengths += [a, b, 1000 - a - b]
+    assert packed(lengths, 1000).bins == 20
+
+
+def test_bin_completion_takes_fillings_in_between():
+    """Ten sixes, fours and threes: only a mix of two fillings of one length has no waste."""
+    assert packed([6] * 4 + [4] * 2 + [2] * 6 + [5] * 2 + [3] * 2, 10).bins == 6
+
+
+def test_tokens_of_long_blanks():
+    from tokenizers import Tokenizer
+
+    encode = packing._tokens(BPE)
+    for text in ("x" + " " * 2_000_000 + "a", "\n" * 700_000, "ab" * 300_000):
+        assert encode(text) == np.array(Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 # ---------------------------------------------------------------------------------- exact top-k
 
 
