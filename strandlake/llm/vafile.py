@@ -1,141 +1,215 @@
 """Exact top-k inner-product search over vector-approximation files.
 
-Vectors are integers floor(scale * x). They lie in blocks; a block's file is a grid of quantised cells (one byte a component) with
-the cells' edges per component, beside the exact vectors. For a block of queries the cells are scanned first: they give an upper
-and a lower bound of every score. Exact vectors are then read in the order of the upper bounds (the lower-bound
-order of distances) until the k-th exact score is at least the next bound, so the block's k best are certain. The blocks' k best are merged.
+Vectors are integers floor(scale * x). Two files are written: the exact vectors, a row each, and the approximation, blocks of one byte (`bits`
+bits) a component that name the component's cell on a grid. The grid's ends are each component's least and greatest value over all vectors, so its cells are
+equally wide, and the middle of a vector's cells is off by at most a radius that only depends on the query.
 
-Blocks of queries meet blocks of vectors by an equi-join on (vector block, query block), so no side is
-broadcast or held by one task, and no pair of single rows is ever made.
+1. The scan: every block of queries meets every block of cells (an equi-join on block numbers). A product with the cells' middles gives each score's bounds; a
+   vector stays in play if its upper bound reaches the k-th best lower bound seen so far.
+2. Over all blocks, only vectors whose upper bound reaches the k-th best lower bound are left.
+3. Exact vectors are read in the order of their bounds: those of each query's k best bounds first; then only those whose upper bound reaches the k-th
+   exact score. Nobody else can be among the k best, so the result is exact.
+
+Nothing is broadcast but the grid (two numbers for each component of each dimension that occurs), and no pair of single rows is made but for vectors in play.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part; vectors only meet queries of their own
 dimension; an empty vector scores 0 with empty ones; ties go to the smaller id; rows that repeat an id are candidates
-each, but a query has no candidate of its own id, and a query id that repeats is answered once per row;
-an empty table or no query gives no rows; other columns are ignored.
+each, but a query has no candidate of its own id, and a query id that repeats is answered once per row; scores beyond a long's
+range stop at its ends; an empty table or no query gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare
-
-#: Beyond this a product of two components may not be exact in float64 sums; such blocks use Python's integers.
-SAFE = 1 << 20
+from .common import bucketed, materialise, prepare, release
 
+#: Sums of products up to this are exact in float64; beyond, Python's integers add up.
+SAFE = float(1 << 53)
+_LONG = (-(1 << 63), (1 << 63) - 1)
 
-def _blocks(scale: float, size: int):
-    """Rows (id, vector) as blocks of one dimension: their ids and integer vectors."""
 
-    def pack(ids, vectors):
-        x = np.array(vectors, np.float64).reshape(len(ids), -1)
-        return {"ids": np.array(ids, np.int64).tobytes(), "dims": x.shape[1], "vectors": np.floor(scale * x).astype(np.float64).tobytes()}
+def _clean(scale: float):
+    """vec_id, dims, v (integers as float64, which holds them exactly) of the vectors that take part."""
 
     def run(batches):
-        held: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            out = []
+            ids, vectors = [], []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
+                if i is None or v is None or any(x is None for x in v):
                     continue
-                ids, vectors = held.setdefault(len(v), ([], []))
-                ids.append(i)
-                vectors.append(v)
-                if len(ids) == size:
-                    out.append(pack(*held.pop(len(v))))
+                x = np.array(v, np.float64)
+                if np.isfinite(x).all():
+                    ids.append(i)
+                    vectors.append(np.floor(scale * x))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in vectors], pa.int32()), pa.array([x.tobytes() for x in vectors], pa.binary())], names=["vec_id", "dims", "v"])
+
+    return run
+
+
+def _extent(batches):
+    """The least and greatest value of each component that the task meets."""
+    ends: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for d, x in _by_dims(batch.column(0), batch.column(1)):
+            lo, hi = x.min(0), x.max(0)
+            if d in ends:
+                lo, hi = np.minimum(lo, ends[d][0]), np.maximum(hi, ends[d][1])
+            ends[d] = lo, hi
+    rows = [(d, i, lo[i], hi[i]) for d, (lo, hi) in ends.items() for i in range(d)]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["dims", "at", "lo", "hi"])
+
+
+def _by_dims(dims, vectors):
+    """The vectors of each dimension as one matrix."""
+    size = dims.to_numpy(zero_copy_only=False)
+    for d in np.unique(size):
+        own = vectors.take(pa.array(np.flatnonzero(size == d))).to_pylist()
+        yield int(d), np.frombuffer(b"".join(own), np.float64).reshape(len(own), d)
+
+
+def cells(x: np.ndarray, lo: np.ndarray, width: np.ndarray, bits: int) -> np.ndarray:
+    """The cell of each component."""
+    return np.clip((x - lo) / width, 0, (1 << bits) - 1).astype(np.uint8)
+
+
+def _held(size: int, columns: int, pack, schema: pa.Schema):
+    """Rows by dimension (the last column but one) in blocks of `size`."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True):
+                rows = held.setdefault(row[-2], [])
+                rows.append(row)
+                if len(rows) == size:
+                    out.append(pack(held.pop(row[-2])))
             if out:
-                yield pa.RecordBatch.from_pylist(out, SCHEMA)
-        rest = [pack(*x) for x in held.values()]
-        if rest:
-            yield pa.RecordBatch.from_pylist(rest, SCHEMA)
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist([pack(rows) for rows in held.values()], schema)
 
     return run
 
 
-SCHEMA = pa.schema([("ids", pa.binary()), ("dims", pa.int32()), ("vectors", pa.binary())])
-SPARK_SCHEMA = "ids binary, dims int, vectors binary"
-
-
-def cells(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each component's cell number and the cells' edges (2**bits + 1 per component, from the block's quantiles)."""
-    n = 1 << bits
-    edges = np.quantile(x, np.linspace(0, 1, n + 1), axis=0, method="nearest").T.copy()
-    grid = np.stack([np.clip(np.searchsorted(e[1:-1], c, side="right"), 0, n - 1) for e, c in zip(edges, x.T, strict=True)], 1) if x.shape[1] else np.zeros(x.shape, int)
-    return grid.astype(np.uint8), edges
-
-
-def block_top(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bits: int = 4) -> list[tuple[int, int, int, int]]:
-    """(position of the query, query id, id, score): each query's k best of the block."""
-    order = np.argsort(ids, kind="stable")
-    x, ids = x[order], ids[order]
-    exact_ok = max(np.abs(x).max(initial=0), np.abs(queries).max(initial=0)) <= SAFE
-    if exact_ok:
-        grid, edges = cells(x, bits)
-        dims = np.arange(x.shape[1])
-        low, high = edges[dims, grid], edges[dims, grid + 1]  # what the approximation tells of each vector
-        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        upper = plus @ high.T + minus @ low.T
-        lower = plus @ low.T + minus @ high.T
-    out = []
-    for q in range(len(queries)):
-        own = ids == query_ids[q]
-        if not exact_ok:
-            scores = [(-sum(int(a) * int(b) for a, b in zip(queries[q], v, strict=True)), int(i)) for v, i in zip(x, ids, strict=True) if i != query_ids[q]]
-            out += [(q, int(query_ids[q]), i, -s) for s, i in sorted(scores)[:k]]
-            continue
-        bound = np.where(own, -np.inf, upper[q])
-        least = np.where(own, -np.inf, lower[q])
-        at_least = np.partition(least, -k)[-k] if len(least) > k else -np.inf
-        may = np.flatnonzero((bound >= at_least) & ~own)
-        may = may[np.argsort(-bound[may], kind="stable")]
-        best: list[tuple[float, int]] = []  # (-score, id)
-        step = 4 * k
-        for i in range(0, len(may), step):
-            if len(best) == k and -best[-1][0] > bound[may[i]]:
-                break  # no vector further on can reach the k-th score
-            part = may[i : i + step]
-            exact = x[part] @ queries[q]
-            best = sorted([*best, *((-s, int(j)) for s, j in zip(exact, ids[part], strict=True))])[:k]
-        out += [(q, int(query_ids[q]), i, int(-s)) for s, i in best]
-    return out
-
-
-def _search(k: int, bits: int):
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples():
-                ids, qids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.query_ids, np.int64)
-                x = np.frombuffer(r.vectors, np.float64).reshape(len(ids), r.dims)
-                queries = np.frombuffer(r.queries, np.float64).reshape(len(qids), r.dims)
-                rows += [(r.query_block, *t) for t in block_top(queries, qids, x, ids, k, bits)]
-            yield pd.DataFrame(rows, columns=["query_block", "place", "query_id", "vec_id", "score"])
+BLOCK = pa.schema([("dims", pa.int32()), ("rows", pa.binary()), ("ids", pa.binary()), ("data", pa.binary())])
+SPARK_BLOCK = "dims int, rows binary, ids binary, data binary"
+
+
+def _pack(form):
+    """Rows (row, id, dims, vector) as a block, its vectors in a form of their own."""
+
+    def pack(rows):
+        row, ids, dims, v = zip(*rows, strict=True)
+        x = np.frombuffer(b"".join(v), np.float64).reshape(len(rows), dims[0])
+        return {"dims": dims[0], "rows": np.array(row, np.int64).tobytes(), "ids": np.array(ids, np.int64).tobytes(), "data": form(x).tobytes()}
+
+    return pack
+
+
+def middles(queries: np.ndarray, grid: np.ndarray, lo: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the queries with the middles of the vectors' cells, and how far off each query's may be."""
+    scaled = queries * width
+    score = scaled @ grid.T.astype(np.float64) + (queries @ (lo + width / 2))[:, None]
+    far = np.abs(queries) @ (np.abs(lo) + 257 * width)
+    return score, np.abs(scaled).sum(1) / 2 + far * (len(width) + 2) * 1e-15  # half a cell in each component, and float64's rounding
+
+
+def _scan(k: int, edges: dict[int, tuple[np.ndarray, np.ndarray]]):
+    def run(batches):
+        at, best = None, None  # the block of queries at work, and its best middles so far
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, query_ids = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["query_ids"], np.int64)
+                rows, ids = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64)
+                lo, width = edges[r["dims"]]
+                queries = np.frombuffer(r["queries"], np.float64).reshape(len(keys), r["dims"])
+                score, radius = middles(queries, np.frombuffer(r["data"], np.uint8).reshape(len(rows), r["dims"]), lo, width)
+                order = np.argsort(ids, kind="stable")
+                first, last = np.searchsorted(ids, query_ids, "left", order), np.searchsorted(ids, query_ids, "right", order)
+                for q in np.flatnonzero(first < last):
+                    score[q, order[first[q] : last[q]]] = -np.inf  # its own id
+                if at != r["query_block"]:
+                    at, best = r["query_block"], np.full((len(keys), k), -np.inf)
+                top = np.partition(score, -k, axis=1)[:, -k:] if score.shape[1] > k else score
+                best = np.sort(np.concatenate([best, top], 1), axis=1)[:, -k:]
+                q, v = np.nonzero((score >= (best[:, 0] - 2 * radius)[:, None]) & (score > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[q]), pa.array(rows[v]), pa.array(score[q, v]), pa.array(radius[q])], names=["key", "row", "middle", "radius"])
 
     return run
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", size: int = 4096, bits: int = 4) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best vectors (all, if fewer) but those of its own id."""
-    prepare(vectors.sparkSession)
+def _exact(batches):
+    """The integer inner product of each pair."""
+    for batch in batches:
+        out = np.zeros(batch.num_rows, np.int64)
+        size = batch.column(4).to_numpy(zero_copy_only=False)
+        for d in np.unique(size):
+            own = np.flatnonzero(size == d)
+            x, y = (np.frombuffer(b"".join(batch.column(i).take(pa.array(own)).to_pylist()), np.float64).reshape(len(own), d) for i in (5, 6))
+            out[own] = (x * y).sum(1) if d else 0
+            for j in np.flatnonzero((np.abs(x) * np.abs(y)).sum(1) > SAFE):
+                out[own[j]] = min(max(sum(int(a) * int(b) for a, b in zip(x[j], y[j], strict=True)), _LONG[0]), _LONG[1])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out)], names=["key", "row", "query_id", "vec_id", "score"])
 
-    def blocks(df: DataFrame, n: int, name: str) -> DataFrame:
-        rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-        packed = rows.mapInArrow(_blocks(scale, n), SPARK_SCHEMA)
-        return materialise(packed.withColumn("block", F.monotonically_increasing_id()), name)
 
-    data, asked = blocks(vectors, size, "vector-blocks"), blocks(queries, size // 4, "query-blocks")
-    asked = asked.select(F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), "dims", F.col("vectors").alias("queries"))
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", size: int = 4096, bits: int = 8) -> tuple[DataFrame, DataFrame]:
+    """query_id, rank, vec_id, score: each query's k best vectors (all, if fewer) but those of its own id; and key, row: the exact vectors that each query read."""
+    spark = vectors.sparkSession
+    prepare(spark)
+
+    def clean(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        return rows.mapInArrow(_clean(scale), "vec_id long, dims int, v binary")
+
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    exact = bucketed(clean(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors", "row", buckets)
+    asked = materialise(clean(queries).withColumn("key", F.monotonically_increasing_id()), "queries")
+    ends = exact.select("dims", "v").mapInArrow(_extent, "dims int, at int, lo double, hi double").groupBy("dims", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    edges: dict[int, tuple[np.ndarray, np.ndarray]] = {0: (np.zeros(0), np.ones(0))}
+    for r in sorted(ends, key=lambda r: (r["dims"], r["at"])):
+        lo, width = edges.setdefault(r["dims"], (np.zeros(r["dims"]), np.ones(r["dims"])))
+        lo[r["at"]], width[r["at"]] = r["lo"], (r["hi"] - r["lo"]) / (1 << bits) or 1.0
+
+    approximation = exact.select("row", "vec_id", "dims", "v").mapInArrow(_held(size, 4, _pack(lambda x: cells(x, *edges[x.shape[1]], bits)), BLOCK), SPARK_BLOCK)
+    approximation = materialise(approximation.withColumn("block", F.monotonically_increasing_id()), "cells")
+    held = asked.select("key", "vec_id", "dims", "v").mapInArrow(_held(size // 4, 4, _pack(lambda x: x), BLOCK), SPARK_BLOCK)
+    held = materialise(held.withColumn("query_block", F.monotonically_increasing_id()), "query-blocks")
+    held = held.select("query_block", "dims", F.col("rows").alias("keys"), F.col("ids").alias("query_ids"), F.col("data").alias("queries"))
     # a row for each pair of blocks of one dimension: block numbers only, as many as (rows / size) x (queries / size)
-    pairs = data.select("block", "dims").join(asked.select("query_block", "dims"), "dims").select("block", "query_block")
-    met = pairs.join(data, "block").join(asked.drop("dims"), "query_block")
-    met = met.select("query_block", "query_ids", "queries", "ids", "dims", "vectors").repartition(F.xxhash64("query_block", F.xxhash64("ids")))
-    found = met.mapInPandas(_search(k, bits), "query_block long, place int, query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_block", "place").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = approximation.select("block", "dims").join(held.select("query_block", "dims"), "dims").select("block", "query_block")
+    met = pairs.join(approximation, "block").join(held.drop("dims"), "query_block")
+    met = met.repartition("query_block", F.pmod("block", F.lit(64))).sortWithinPartitions("query_block")
+    found = met.select("query_block", "keys", "query_ids", "queries", "dims", "rows", "ids", "data").mapInArrow(_scan(k, edges), "key long, row long, middle double, radius double")
+
+    best = Window.partitionBy("key").orderBy(F.desc("middle"), "row")
+    play = found.withColumn("r", F.row_number().over(best)).withColumn("kth", F.max(F.when(F.col("r") == k, F.col("middle"))).over(Window.partitionBy("key")))
+    play = materialise(play.where("kth IS NULL OR middle >= kth - 2 * radius").select("key", "row", "middle", "radius", "r"), "in-play")
+    release(approximation, held)
+
+    def scores(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(exact.select("row", "vec_id", "dims", "v"), "row").join(asked.select("key", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "key")
+        return joined.select("key", "row", "query_id", "vec_id", "dims", "v", "q").mapInArrow(_exact, "key long, row long, query_id long, vec_id long, score long")
+
+    first = materialise(scores(play.where(F.col("r") <= k).select("key", "row")), "first-scores")
+    least = first.groupBy("key").agg(F.min("score").alias("least"))
+    rest = play.where(F.col("r") > k).join(least, "key").where(F.col("middle") + F.col("radius") >= F.col("least"))
+    read = materialise(first.union(scores(rest.select("key", "row"))), "scores")
+    release(first, play, exact, asked)
+    w = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id", "row")
+    top = read.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return top, read.select("key", "row")
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", size: int = 4096, bits: int = 8) -> DataFrame:
+    """query_id, rank, vec_id, score of `search`."""
+    return search(vectors, queries, k, scale, key, vector, size, bits)[0]
 
 
 #: DuckDB SQL of the query: exact integer products of all queries with all vectors.

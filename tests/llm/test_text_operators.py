@@ -360,6 +360,29 @@ def test_top_k(spark):
     assert vafile.exact_top_k(df.where("false"), df.where("false")).collect() == []
 
 
+def test_few_exact_vectors_are_read(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(3000, 48)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    top, read = vafile.search(df, df.where("vec_id % 100 = 0"), size=500)
+    x = np.floor(256 * np.array([v for _, v in rows]))
+    score = x[::100] @ x.T
+    score[np.arange(30), np.arange(0, 3000, 100)] = -np.inf
+    got = {(t.query_id, t.rank): t.score for t in top.collect()}
+    assert got == {(100 * q, k + 1): int(s) for q in range(30) for k, s in enumerate(np.sort(score[q])[::-1][:5])}
+    assert read.count() < 30 * 3000 * 0.01
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(5)
+    x, q = np.floor(r.normal(size=(500, 20)) * 256), np.floor(r.standard_cauchy(size=(40, 20)) * 256)
+    for bits in (2, 4, 8):
+        lo = x.min(0)
+        width = (x.max(0) - lo) / (1 << bits)
+        score, radius = vafile.middles(q, vafile.cells(x, lo, width, bits), lo, width)
+        assert (np.abs(score - q @ x.T) <= radius[:, None]).all()
+
+
 # --------------------------------------------------------------------------------- media columns
 
 
