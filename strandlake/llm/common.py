@@ -111,6 +111,7 @@ _LOWER[65:91] += 32
 _BASE = _U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_VALUE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE_CHECK = np.random.Generator(np.random.PCG64(20240608)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -135,6 +136,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[bytes], fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of the texts, all in one array, and where each text's words begin (one more entry)."""
+    words, _, at = _word_hashes(texts, fold_case, False)
+    return words, at
+
+
+def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, with a second, independent hash of each word: together 128 bits."""
+    return _word_hashes(texts, False, True)
+
+
+def _word_hashes(texts: list[bytes], fold_case: bool, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     if fold_case:
         buf = _LOWER[buf]
@@ -144,12 +155,15 @@ def word_hashes(texts: list[bytes], fold_case: bool = False) -> tuple[np.ndarray
         edge = np.concatenate(([0], edge))
     start, end = edge[0::2], edge[1::2]  # the buffer ends with white space, so edges come in pairs
     p, q = _powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[buf] * p[: len(buf)], out=total[1:])
-    words = mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64))
+
+    def hashed(value: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(value[buf] * p[: len(buf)], out=total[1:])
+        return mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64))
+
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begins = np.concatenate(([0], np.cumsum(lengths)))
-    return words, np.searchsorted(start, begins)
+    return hashed(_BYTE_VALUE), hashed(_BYTE_CHECK) if second else None, np.searchsorted(start, begins)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

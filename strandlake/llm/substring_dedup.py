@@ -1,156 +1,220 @@
 """Exact removal of repeated word windows, found by recompression.
 
 Each round of recompression replaces maximal runs of one symbol and then pairs (a, b) with a on the left and
-b on the right side of a partition of the symbols. New symbols are named by hashing what they replace, so
-all documents name them alike without exchanging anything: equal passages get equal symbols except near
-their ends. For each window, the symbols that the window alone determines are known at every round; the window's
-anchor is the widest of those at its highest round that has any (the words themselves are round 0, so there always is one).
-Equal windows thus have equal anchors at equal places. Spark counts anchors; only windows whose
-anchor occurs again are hashed, counted and, where repeated, removed.
+b on the right side of a partition of the symbols. A new symbol is named by what it replaces, so all
+documents name equal passages alike, except near their ends; a name has 128 bits, two independent hashes of the words it stands for.
+
+1. The words and the first rounds, whose symbols are a few words wide, are named where a document is read.
+2. Then Spark jobs over all documents go on, a few rounds each: symbols are counted by name; one that occurs once can't lie in a repeat, nor can any wider symbol with
+   it, so documents keep only the sequences of shared symbols, which the next round replaces. Rounds go on until nothing can be replaced. A shared
+   symbol at least as wide as the window proves that all windows in it repeat.
+3. A window that determines a symbol of the first rounds that isn't shared is unique. All other windows are counted by their own names (128 bits
+   again), where of windows in a wide shared symbol only those of one occurrence are sent, for others to find.
 
 Edge cases: a null or empty text has no words; a document shorter than a window keeps everything; a window repeated
 within one document counts; rows that repeat an id and text count as two documents; one document's result
-depends on the input only, not on what is cut elsewhere; an empty table gives no rows; other columns are ignored.
-Windows count as equal if their 64-bit hashes are.
+depends on the input only, not on what is cut elsewhere; an empty table gives no rows; other columns are ignored. A very long text is held
+whole by one task, with some 60 bytes of arrays a word.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, chunks, materialise, mix, prepare, utf8, word_hashes
+from .common import _powers, bucketed, chunks, materialise, mix, prepare, release, utf8, word_names
 
-ROUNDS = 3
+#: Rounds where a document is read; their symbols are narrower than a window.
+FIRST = 3
+#: Rounds of replacement in each Spark job after that.
+STEP = 3
+#: The jobs end when so small a part of the first symbols is left in sequences; their windows are counted one by one, so no result depends on it.
+REST = 0.01
 _U = np.uint64
 
 
-def anchors(words: np.ndarray, at: np.ndarray, window: int, rounds: int = ROUNDS):
-    """For documents at words[at[i]:at[i + 1]]: rows (symbol, document, first start, number of starts).
-
-    Each row is a run of windows of one document that have the same anchor occurrence.
-    """
-    lengths = np.diff(at)
-    starts_of = np.maximum(lengths - window + 1, 0)
-    n = int(starts_of.sum())
-    if not n:
-        return np.zeros(0, _U), *(np.zeros(0, np.int64) for _ in range(3))
-    doc = np.repeat(np.arange(len(lengths)), starts_of)
-    place = np.arange(n) - np.repeat(np.cumsum(starts_of) - starts_of, starts_of)
-    lo = place + at[doc]  # symbols lo..hi-1 are those that the window determines
-    hi = lo + window
-    symbols, begin = words, np.arange(len(words))
-    fresh = np.zeros(len(words) + 1, bool)  # the symbol begins a document
+class Round(NamedTuple):
+    """The symbols after a round, where each begins among the round's input, and what the round decided about its input."""
+
+    names: np.ndarray
+    checks: np.ndarray
+    begin: np.ndarray
+    run_of: np.ndarray
+    right: np.ndarray
+    pair_of: np.ndarray
+
+
+def compress(names: np.ndarray, checks: np.ndarray, fresh: np.ndarray, level: int) -> Round:
+    """One round over sequences of symbols; fresh: the symbol begins a sequence."""
+    head = fresh.copy()
+    head[1:] |= (names[1:] != names[:-1]) | (checks[1:] != checks[:-1])
+    run_of = np.cumsum(head) - 1
+    heads = np.flatnonzero(head)
+    count = np.diff(np.append(heads, len(names))).astype(_U)
+
+    def run(x, factor):
+        return np.where(count > 1, mix(x[heads] * _U(factor) + count), x[heads])
+
+    runs, run_checks, run_fresh = run(names, 0xA24BAED4963EE407), run(checks, 0x9FB21C651E98DF25), fresh[heads]
+    right = (mix(runs + _U(level * 0x9FB21C651E98DF25 & (1 << 64) - 1)) & _U(1)).astype(bool)
+    second = np.zeros(len(runs), bool)
+    second[1:] = right[1:] & ~right[:-1] & ~run_fresh[1:]
+    firsts = np.flatnonzero(~second)
+    has = np.append(second, False)[firsts + 1]
+
+    def pair(x, factor):
+        out = x[firsts]
+        out[has] = mix(mix(out[has] * _U(factor)) + x[firsts[has] + 1] + _U(level))
+        return out
+
+    return Round(pair(runs, 0xC6A4A7935BD1E995), pair(run_checks, 0xD6E8FEB86659FD93), heads[firsts], run_of, right, np.cumsum(~second) - 1)
+
+
+def first_rounds(names: np.ndarray, checks: np.ndarray, at: np.ndarray, window: int | None = None):
+    """Symbols of documents at names[at[i]:at[i + 1]] after the first rounds: names, checks, first word, and with `window`, the range of symbols that each window determines."""
+    begin, fresh = np.arange(len(names)), np.zeros(len(names) + 1, bool)
     fresh[at] = True
-    fresh = fresh[: len(words)]
-    open_, anchor, name = np.arange(n), np.zeros(n, np.int64), np.zeros(n, _U)
-
-    def settle(which, lo, hi, level):
-        """The widest symbol of lo..hi-1 (then by hash, then the leftmost) becomes the anchor."""
-        width = np.diff(np.append(begin, len(words)))
-        key = (_U(63) - np.minimum(width, 63).astype(_U) << _U(58)) | (mix(symbols) >> _U(36) << _U(30)) | np.arange(len(symbols), dtype=_U)
-        size = hi - lo
-        best = np.full(len(which), np.iinfo(_U).max, _U)
-        step, table = 1, key
-        while True:
-            own = np.flatnonzero((size >= step) & (size < 2 * step))
-            best[own] = np.minimum(table[lo[own]], table[hi[own] - step])
-            if 2 * step > size.max():
-                break
-            table = np.minimum(table[:-step], table[step:])
-            step *= 2
-        at_symbol = (best & _U((1 << 30) - 1)).astype(np.int64)
-        anchor[which] = begin[at_symbol]
-        name[which] = mix(symbols[at_symbol] + _U(level))
-
-    for level in range(1, rounds + 1):
-        # runs
-        head = fresh.copy()
-        head[1:] |= symbols[1:] != symbols[:-1]
-        run_of = np.cumsum(head) - 1
-        heads = np.flatnonzero(head)
-        count = np.diff(np.append(heads, len(symbols))).astype(_U)
-        runs = symbols[heads]
-        runs = np.where(count > 1, mix(runs * _U(0xA24BAED4963EE407) + count), runs)
-        run_begin, run_fresh = begin[heads], fresh[heads]
-        # pairs
-        right = (mix(runs + _U(level * 0x9FB21C651E98DF25 & (1 << 64) - 1)) & _U(1)).astype(bool)
-        second = np.zeros(len(runs), bool)
-        second[1:] = right[1:] & ~right[:-1] & ~run_fresh[1:]
-        firsts = np.flatnonzero(~second)
-        pair_of = np.cumsum(~second) - 1
-        paired = np.zeros(len(runs) + 1, bool)
-        paired[:-1] = second
-        has = paired[firsts + 1]
-        merged = runs[firsts]
-        merged[has] = mix(merged[has] * _U(0xC6A4A7935BD1E995) + runs[firsts[has] + 1] + _U(level))
-        # what a window still determines: its outer runs may go on outside, its outer symbols may be paired outside
-        a, b = run_of[lo] + 1, run_of[hi - 1]
-        ok = a < b
-        a_, b_ = np.where(ok, a, 0), np.where(ok, b, 1)
-        a_ = a_ + right[a_]
-        b_ = b_ - ~right[b_ - 1]
-        ok &= a_ < b_
-        if not ok.all():
-            settle(open_[~ok], lo[~ok], hi[~ok], level - 1)
-        lo, hi, open_ = pair_of[a_[ok]], pair_of[b_[ok] - 1] + 1, open_[ok]
-        symbols, begin, fresh = merged, run_begin[firsts], run_fresh[firsts]
-        if not len(open_):
+    fresh = fresh[:-1]
+    lo = hi = None
+    if window:
+        lengths = np.maximum(np.diff(at) - window + 1, 0)
+        lo = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(at[:-1], lengths)
+        hi = lo + window  # a window determines symbols lo..hi-1; none if hi <= lo
+    for level in range(1, FIRST + 1):
+        if not len(names):
             break
-    if len(open_):
-        settle(open_, lo, hi, rounds)
-    new = np.ones(n, bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1])
-    heads = np.flatnonzero(new)
-    return name[heads], doc[heads], place[heads], np.diff(np.append(heads, n))
+        r = compress(names, checks, fresh, level)
+        if window:  # its outer runs may go on outside, its outer symbols may be paired outside
+            a, b = r.run_of[np.minimum(lo, len(names) - 1)] + 1, r.run_of[np.maximum(hi, 1) - 1]
+            ok = (lo < hi) & (a < b)
+            a, b = np.where(ok, a, 0), np.where(ok, b, 1)
+            a, b = a + r.right[a], b - ~r.right[b - 1]
+            ok &= a < b
+            lo, hi = np.where(ok, r.pair_of[np.where(ok, a, 0)], 0), np.where(ok, r.pair_of[np.where(ok, b - 1, 0)] + 1, 0)
+        names, checks, begin, fresh = r.names, r.checks, begin[r.begin], fresh[r.begin]
+    return names, checks, begin, lo, hi
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+SYMBOLS = "k long, name array<long>, check array<long>, begin array<int>, width array<int>"
 
 
-def _anchors(window: int):
+def _symbols(window: int):
+    """The sequence of symbols of each document that has a window."""
+
     def run(batches):
         for batch in batches:
-            ids, prints, texts = batch.column(0), batch.column(1), utf8(batch.column(2))
+            keys, texts = batch.column(0).to_numpy(), utf8(batch.column(1))
             for begin, end in chunks(texts):
-                words, at = word_hashes(texts[begin:end])
-                name, doc, place, count = anchors(words, at, window)
-                rows = pa.array(doc + begin)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), ids.take(rows), prints.take(rows), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))], names=["symbol", "d", "h", "place", "count"])
+                words, checks, at = word_names(texts[begin:end])
+                names, checks, first, _, _ = first_rounds(words, checks, at)
+                edge = np.searchsorted(first, at)
+                width = np.diff(np.append(first, len(words)))
+                long = np.flatnonzero(np.diff(at) >= window)
+                take = np.concatenate([np.arange(edge[i], edge[i + 1]) for i in long]) if len(long) else np.zeros(0, np.int64)
+                offsets = np.concatenate(([0], np.cumsum(np.diff(edge)[long])))
+                place = first - np.repeat(at[:-1], np.diff(edge))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[begin:end][long]), *(_lists(x[take], offsets) for x in (names.view(np.int64), checks.view(np.int64), place.astype(np.int32), width.astype(np.int32)))], names=["k", "name", "check", "begin", "width"])
+
+    return run
+
+
+def _next_rounds(job: int, window: int):
+    """STEP rounds over the shared symbols of each document. A gap between two symbols ends a sequence; sequences that can't make a new symbol as wide as a window are done."""
+
+    def run(batches):
+        for batch in batches:
+            lists = [batch.column(i) for i in range(1, 5)]
+            offsets = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
+            names, checks, begin, width = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+            if not len(names):
+                continue
+            names, checks, stop = names.view(_U), checks.view(_U), begin + width
+            fresh = np.ones(len(names), bool)
+            fresh[1:] = begin[1:] != stop[:-1]
+            fresh[offsets[:-1][offsets[:-1] < len(names)]] = True
+            parts = np.ones(len(names), np.int64)  # input symbols in each symbol
+            for level in range(STEP):
+                r = compress(names, checks, fresh, job * STEP + level)
+                last = np.append(r.begin[1:], len(names)) - 1
+                names, checks, begin, stop, fresh = r.names, r.checks, begin[r.begin], stop[last], fresh[r.begin]
+                parts = np.add.reduceat(parts, r.begin)
+            heads = np.flatnonzero(fresh)
+            tails = np.append(heads[1:], len(names)) - 1
+            old = (heads == tails) & (parts[heads] == 1)
+            keep = np.flatnonzero(np.repeat(~old & (stop[tails] - begin[heads] >= window), tails - heads + 1))
+            edge = np.searchsorted(keep, np.searchsorted(np.cumsum(parts) - parts, offsets))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(_lists(x[keep], edge) for x in (names.view(np.int64), checks.view(np.int64), begin, stop - begin))], names=["k", "name", "check", "begin", "width"])
 
     return run
 
 
-def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
-    p, q = _powers(len(words) + 1)
-    total = np.zeros(len(words) + 1, _U)
-    np.cumsum(words * p[: len(words)], out=total[1:])
-    n = len(words) - window + 1
-    return mix((total[window:] - total[:n]) * q[:n])
+def window_names(names: np.ndarray, window: int) -> np.ndarray:
+    """Hash of each window of words."""
+    p, q = _powers(len(names) + 1)
+    total = np.zeros(len(names) + 1, _U)
+    np.cumsum(names * p[: len(names)], out=total[1:])
+    n = max(len(names) - window + 1, 0)
+    return mix((total[window : window + n] - total[:n]) * q[:n])
+
+
+def _covered(spans: list, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows that lie in a wide shared symbol, and of those, the ones that this occurrence sends for all others."""
+    sure, send, level = np.zeros(n, bool), np.zeros(n, bool), np.full(n, -1)
+    for s in sorted(spans, key=lambda s: s["level"]):  # a wider symbol decides for the narrower ones in it
+        part = slice(s["begin"], s["begin"] + s["width"] - window + 1)
+        sure[part] = True
+        send[part] = s["sends"]
+        level[part] = s["level"]
+    return sure, send
 
 
 def _windows(window: int):
+    """The windows that may repeat: first start and names of each run of them; sure: known to repeat."""
+
     def run(batches):
         for batch in batches:
-            ids, prints, texts, marks = batch.column(0), batch.column(1), utf8(batch.column(2)), batch.column(3).to_pylist()
+            keys, texts, shared, spans = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2), batch.column(3).to_pylist()
             for begin, end in chunks(texts):
-                words, at = word_hashes(texts[begin:end])
-                rows, firsts, lists = [], [], []
+                words, checks, at = word_names(texts[begin:end])
+                names, _, first, lo, hi = first_rounds(words, checks, at, window)
+                unique = np.ones(len(names) + 1, np.int64)  # of symbols: not shared
+                unique[-1] = 0
+                edge = np.searchsorted(first, at)
                 for i in range(end - begin):
-                    hashes = window_hashes(words[at[i] : at[i + 1]], window).view(np.int64)
-                    last = -1
-                    for place, count in sorted({(m["place"], m["count"]) for m in marks[begin + i]}):
-                        place, stop = max(place, last), place + count
-                        if place < stop:
-                            rows.append(begin + i)
-                            firsts.append(place)
-                            lists.append(hashes[place:stop])
-                            last = stop
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-                values = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.take(take), prints.take(take), pa.array(firsts, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["d", "h", "first", "hashes"])
+                    if shared[begin + i].is_valid:
+                        place = shared[begin + i].values.to_numpy() + at[i]
+                        unique[np.searchsorted(first, place)] = 0
+                total = np.concatenate(([0], np.cumsum(unique[:-1])))
+                may = total[np.maximum(hi, lo)] == total[lo]
+                rows, firsts, sures, lists, check_lists, n = [], [], [], [], [], 0
+                for i in range(end - begin):
+                    count = max(at[i + 1] - at[i] - window + 1, 0)
+                    own, n = may[n : n + count], n + count
+                    sure, send = _covered(spans[begin + i] or [], count, window)
+                    out = np.where(sure, np.where(send, 2, 0), np.where(own, 1, 0))
+                    if not out.any():
+                        continue
+                    h, c = window_names(words[at[i] : at[i + 1]], window).view(np.int64), window_names(checks[at[i] : at[i + 1]], window).view(np.int64)
+                    cuts = np.flatnonzero(np.diff(out)) + 1
+                    for a, b in zip([0, *cuts], [*cuts, count], strict=True):
+                        if out[a]:
+                            rows.append(keys[begin + i])
+                            firsts.append(a)
+                            sures.append(bool(out[a] == 2))
+                            lists.append(h[a:b])
+                            check_lists.append(c[a:b])
+                if rows:
+                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(firsts, pa.int32()), pa.array(sures), _lists(np.concatenate(lists), offsets), _lists(np.concatenate(check_lists), offsets)], names=["k", "first", "sure", "hashes", "checks"])
 
     return run
 
@@ -158,16 +222,20 @@ def _windows(window: int):
 def _cut(window: int, digest: bool):
     def run(batches):
         for batch in batches:
-            ids, texts, marks = batch.column(0), utf8(batch.column(1)), batch.column(2)
+            ids, texts, marks, spans = batch.column(0), utf8(batch.column(1)), batch.column(2), batch.column(3).to_pylist()
             totals, removed, kept = [], [], []
             for i, text in enumerate(texts):
                 words = text.split()
                 gone = 0
-                if marks[i].is_valid:
-                    starts = marks[i].values.to_numpy()
+                if marks[i].is_valid or spans[i]:
                     edge = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + window, -1)
+                    if marks[i].is_valid:
+                        starts = marks[i].values.to_numpy()
+                        np.add.at(edge, starts, 1)
+                        np.add.at(edge, starts + window, -1)
+                    for s in spans[i] or []:
+                        edge[s["begin"]] += 1
+                        edge[s["begin"] + s["width"]] -= 1
                     covered = np.cumsum(edge[:-1]) > 0
                     gone = int(covered.sum())
                     rest = [words[j] for j in np.flatnonzero(~covered)]
@@ -184,19 +252,49 @@ def _cut(window: int, digest: bool):
 
 def drop_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by a space; with digest: their SHA-256)."""
-    prepare(docs.sparkSession)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # a row is named by its id and a hash of its text
-    docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"), "doc_id", "text")
-    found = materialise(docs.select("d", "h", "text").mapInArrow(_anchors(window), "symbol long, d long, h long, place int, count int"), "anchors")
-    again = found.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol")
-    marks = found.join(again, "symbol").groupBy("d", "h").agg(F.collect_list(F.struct("place", "count")).alias("marks"))
-    marks = materialise(marks, "marks")
-    hashed = docs.select("d", "h", "text").join(marks, ["d", "h"]).select("d", "h", "text", "marks")
-    hashed = materialise(hashed.mapInArrow(_windows(window), "d long, h long, first int, hashes array<long>"), "windows")
-    counts = hashed.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    single = hashed.select("d", "h", "first", F.posexplode("hashes").alias("i", "hash"))
-    starts = single.join(counts, "hash").groupBy("d", "h").agg(F.collect_set(F.col("first") + F.col("i")).alias("starts"))
-    starts = materialise(starts, "starts")
-    cut = docs.join(starts, ["d", "h"], "left").select("doc_id", "text", "starts")
+    spark = docs.sparkSession
+    prepare(spark)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.monotonically_increasing_id().alias("k"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = bucketed(docs, "texts", "k", buckets)  # three passes join it by row
+
+    symbols = materialise(texts.select("k", "text").mapInArrow(_symbols(window), SYMBOLS), "symbols")
+    spans, first_shared, job = None, None, 0
+    left = first = symbols.agg(F.coalesce(F.sum(F.size("name")), F.lit(0))).first()[0]
+    while left > REST * first:
+        each = symbols.select("k", F.explode(F.arrays_zip("name", "check", "begin", "width")).alias("s")).select("k", "s.*")
+        sender = F.min(F.when(F.col("width") >= window, F.struct("k", "begin"))) if job else F.lit(None).cast("int")  # the first symbols are narrow but for runs
+        counts = each.groupBy("name", "check").agg(F.count("*").alias("n"), sender.alias("sender")).where("n > 1").drop("n")
+        shared = materialise(each.join(counts, ["name", "check"]), "shared")
+        release(symbols)
+        if job:
+            sends = (F.col("k") == F.col("sender.k")) & (F.col("begin") == F.col("sender.begin"))
+            found = materialise(shared.where(F.col("width") >= window).select("k", "begin", "width", F.lit(job).alias("level"), sends.alias("sends")), "spans")
+            spans = found if spans is None else spans.union(found)
+        else:
+            first_shared = materialise(shared.groupBy("k").agg(F.sort_array(F.collect_list("begin")).alias("shared")), "first-shared")
+        per = shared.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("begin", "width", "name", "check"))).alias("s"))
+        per = per.select("k", F.col("s.name").alias("name"), F.col("s.check").alias("check"), F.col("s.begin").alias("begin"), F.col("s.width").alias("width"))
+        job += 1
+        symbols = materialise(per.mapInArrow(_next_rounds(job, window), SYMBOLS), "symbols")
+        release(shared)
+        left = symbols.agg(F.coalesce(F.sum(F.size("name")), F.lit(0))).first()[0]
+    release(symbols)
+    if first_shared is None:
+        first_shared = spark.createDataFrame([], "k long, shared array<int>")
+    marks = None
+    if spans is not None:
+        marks = materialise(spans.groupBy("k").agg(F.collect_list(F.struct("begin", "width", "level", "sends")).alias("spans")), "marks")
+    else:
+        marks = first_shared.select("k", F.lit(None).cast("array<struct<begin:int,width:int,level:int,sends:boolean>>").alias("spans"))
+
+    seen = texts.select("k", "text").join(first_shared, "k", "left").join(marks, "k", "left").select("k", "text", "shared", "spans")
+    windows = materialise(seen.mapInArrow(_windows(window), "k long, first int, sure boolean, hashes array<long>, checks array<long>"), "windows")
+    each = windows.select("k", "first", "sure", F.posexplode(F.arrays_zip("hashes", "checks")).alias("i", "w")).select("k", (F.col("first") + F.col("i")).alias("start"), "sure", F.col("w.hashes").alias("hash"), F.col("w.checks").alias("check"))
+    counts = each.groupBy("hash", "check").agg(F.sum(F.when(F.col("sure"), 2).otherwise(1)).alias("n")).where("n > 1").select("hash", "check")
+    again = materialise(each.where("NOT sure").join(counts, ["hash", "check"]).select("k", "start"), "repeats")
+    release(windows, first_shared)
+    starts = materialise(again.groupBy("k").agg(F.collect_set("start").alias("starts")), "starts")
+    release(again)
+    cut = texts.join(starts, "k", "left").join(marks, "k", "left").select("doc_id", "text", "starts", "spans")
     return cut.mapInArrow(_cut(window, digest), "doc_id long, n_words long, n_removed long, kept string")

@@ -13,7 +13,7 @@ import pytest
 from compare import same
 
 from strandlake.llm import entry, line_dedup, media, ngram_join, packing, secret_scan, sharding, sp_codec, substring_dedup, toxicity, vafile
-from strandlake.llm.common import word_hashes
+from strandlake.llm.common import word_names
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -493,21 +493,37 @@ def test_repeats(docs, none):
     assert substring_dedup.drop_repeats(none).collect() == []
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_anchors_depend_on_the_window_alone(seed):
+def passages(seed, letters, docs):
     r = random.Random(seed)
-    window, letters = r.choice((5, 8, 12, 35)), r.choice((1, 2, 3, 50))
-    pool = [[str(r.randrange(letters)) for _ in range(r.randrange(60))] for _ in range(3)]
-    docs = [" ".join(w for _ in range(r.randrange(4)) for w in r.choice([*pool, [str(r.randrange(letters)) for _ in range(30)]])).encode() for _ in range(30)]
-    name, doc, place, count = substring_dedup.anchors(*word_hashes(docs), window)
+    pool = [[str(r.randrange(letters)) for _ in range(r.randrange(200))] for _ in range(3)]
+    return [" ".join(w for _ in range(r.randrange(4)) for w in r.choice([*pool, [str(r.randrange(letters)) for _ in range(30)]])) for _ in range(docs)]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_determined_symbols_depend_on_the_window_alone(seed):
+    window, letters = (5, 8, 12, 35)[seed % 4], (1, 2, 3, 50)[seed // 2]
+    docs = [x.encode() for x in passages(seed, letters, 30)]
+    words, checks, at = word_names(docs)
+    names, other, begin, lo, hi = substring_dedup.first_rounds(words, checks, at, window)
     of: dict = {}
-    seen = set()
-    for a, d, p, c in zip(name, doc, place, count, strict=True):
-        for s in range(p, p + c):
-            of.setdefault(tuple(docs[d].split()[s : s + window]), set()).add(int(a))
-            assert (d, s) not in seen
-            seen.add((d, s))
-    assert all(len(v) == 1 for v in of.values()) and len(seen) == sum(max(0, len(x.split()) - window + 1) for x in docs)
+    n = 0
+    for d, text in enumerate(docs):
+        w = text.split()
+        for s in range(max(len(w) - window + 1, 0)):
+            a, b = lo[n], max(hi[n], lo[n])
+            assert all(at[d] + s <= x <= at[d] + s + window for x in begin[a:b])
+            of.setdefault(tuple(w[s : s + window]), set()).add((tuple(names[a:b]), tuple(other[a:b]), tuple(begin[a:b] - at[d] - s)))
+            n += 1
+    assert n == len(lo) and all(len(v) == 1 for v in of.values())
+
+
+@pytest.mark.parametrize(("seed", "letters"), [(0, 2), (1, 1000)])
+def test_repeats_over_all_rounds(spark, monkeypatch, seed, letters):
+    monkeypatch.setattr(substring_dedup, "REST", 0.0)
+    rows = list(enumerate(passages(seed, letters, 40)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.drop_repeats(df, 12, digest=True).collect())
+    assert got == Counter(brute.drop_repeats(rows, 12))
 
 
 # -------------------------------------------------------------------------------------- sharding
