@@ -1,14 +1,14 @@
 """Site-relative line deduplication with DataFrame functions only.
 
-A line is boilerplate on a host if the share of the host's pages that hold it exceeds a ratio.
-Pages are counted once per line. A host can have at most (mean distinct lines a page) / ratio such
-lines, so the table of boilerplate is small; Spark broadcasts it if it fits its own threshold and
-otherwise joins by host, splitting large hosts.
+A line is boilerplate on a host if the share of the host's other pages that hold it, seen from a page that does, exceeds a ratio. (Counted
+with the page itself, every line of a host with few pages would exceed it.) Pages are counted once per line. A host can have at most
+(mean distinct lines a page) / ratio such lines, and so many more as a page has, so the table of boilerplate is small; Spark broadcasts it if it fits
+its own threshold and otherwise joins by host, splitting large hosts.
 
 Edge cases: a null text stays null and holds no lines; a null host is a host of its own; blank lines are never
-counted and never dropped; line order is kept; repeated rows count as pages; a page of boilerplate
-only becomes the empty text; an empty table gives no rows; other columns pass through, and names that
-clash with the operator's own (`_host`, `_lines`, `_bad`) are refused.
+counted and never dropped; line order is kept; repeated rows count as pages; a host of one page keeps everything; a page of boilerplate
+only becomes the empty text; an empty table gives no rows; a very long text is split into its lines by one task, which holds them twice; other columns
+pass through whatever their names; `n_lines` and `n_dropped` replace input columns of that name.
 """
 
 from __future__ import annotations
@@ -18,41 +18,36 @@ from pyspark.sql import functions as F
 
 from .common import materialise, prepare
 
-OWN = ("_host", "_lines", "_bad")
-
 
 def _key(line: Column) -> Column:
     """128 bits of a line."""
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def boilerplate(docs: DataFrame, ratio: float, min_pages: int, text: str = "text", host: str = "source") -> DataFrame:
-    """One row per host with boilerplate: _host, _bad (array of line keys)."""
-    pages = docs.select(F.coalesce(F.col(host), F.lit("\0")).alias("_host"), F.col(text).alias("_text"))
-    totals = pages.groupBy("_host").agg(F.count("*").alias("pages"))
-    lines = pages.select("_host", F.explode(F.array_distinct(F.split("_text", "\n", -1))).alias("line")).where(F.trim("line") != "")
-    counts = lines.groupBy("_host", _key(F.col("line")).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    bad = counts.join(totals, "_host").where(F.col("n") > F.lit(ratio) * F.col("pages"))
-    return bad.groupBy("_host").agg(F.collect_list("key").alias("_bad"))
+def boilerplate(docs: DataFrame, ratio: float, text: str = "text", host: str = "source") -> DataFrame:
+    """One row per host with boilerplate: host, bad (array of line keys)."""
+    pages = docs.select(F.coalesce(F.col(host), F.lit("\0")).alias("host"), F.col(text).alias("body"))
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    lines = pages.select("host", F.explode(F.array_distinct(F.split("body", "\n", -1))).alias("line")).where(F.trim("line") != "")
+    counts = lines.groupBy("host", _key(F.col("line")).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    bad = counts.join(totals, "host").where(F.col("n") - 1 > F.lit(ratio) * (F.col("pages") - 1))
+    return bad.groupBy("host").agg(F.collect_list("key").alias("bad"))
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = 0.05, min_pages: int = 5, text: str = "text", host: str = "source") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = 0.05, text: str = "text", host: str = "source") -> DataFrame:
     """docs with boilerplate lines cut from the text, and n_lines and n_dropped besides."""
-    if clash := set(docs.columns) & {*OWN, "n_lines", "n_dropped"}:
-        raise ValueError(f"columns {sorted(clash)} are the operator's own")
     prepare(docs.sparkSession)
-    bad = materialise(boilerplate(docs, ratio, min_pages, text, host), "boilerplate")
-    joined = docs.withColumn("_host", F.coalesce(F.col(host), F.lit("\0"))).join(bad, "_host", "left")
-    lines = F.split(F.col(text), "\n", -1)
+    bad = materialise(boilerplate(docs, ratio, text, host), "boilerplate")
+    # the input's columns stay in one struct, where no name of ours meets theirs
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("body"), F.coalesce(F.col(host), F.lit("\0")).alias("host"))
+    lines = F.split("body", "\n", -1)
     # the inner lambda binds a row's boilerplate and lines once
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_bad"), _key(x)))
-    kept = F.when(F.col("_bad").isNull(), lines).otherwise(kept)
-    joined = joined.withColumn("_lines", kept)
-    n = F.coalesce(F.size(lines), F.lit(0))
-    n = F.when(F.col(text).isNull(), 0).otherwise(n)
-    n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines"))
-    out = joined.withColumns({"n_lines": n, "n_dropped": n - n_kept})
-    return out.select(*[F.array_join("_lines", "\n").alias(c) if c == text else F.col(c) for c in docs.columns], "n_lines", "n_dropped")
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("bad"), _key(x)))
+    rows = rows.join(bad, "host", "left").withColumn("kept", F.when(F.col("bad").isNull(), lines).otherwise(kept))
+    n = F.when(F.col("body").isNull(), 0).otherwise(F.size(lines))
+    n_kept = F.when(F.col("body").isNull(), 0).otherwise(F.size("kept"))
+    own = [F.array_join("kept", "\n").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.select(*own, n.alias("n_lines"), (n - n_kept).alias("n_dropped"))
 
 
 #: DuckDB SQL of the query: site = source, the production parameters.
@@ -61,7 +56,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS
 totals AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
 l AS (SELECT DISTINCT r, host, unnest(lines) AS line FROM d),
 bad AS (SELECT l.host, line FROM l JOIN totals USING (host) WHERE trim(line) <> '' GROUP BY l.host, line, pages
-        HAVING count(*) >= 5 AND count(*) > 0.05 * pages),
+        HAVING count(*) > 1 AND count(*) - 1 > 0.05 * (pages - 1)),
 pos AS (SELECT r, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
 kept AS (SELECT pos.r, array_to_string(list(pos.line ORDER BY i) FILTER (bad.line IS NULL), chr(10)) AS text,
                 count(*) AS n_lines, count(bad.line) AS n_dropped

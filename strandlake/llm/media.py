@@ -1,14 +1,16 @@
 """Content-addressed media payloads in tar shards, with metadata columns from header-only range reads.
 
-A payload is stored once per task that meets it, under its digest, as an 8-bit grey PNG in a tar shard in the shared folder.
-Rows carry the digest, shard, offset and length of the stored form; of several stored copies of one
-digest all rows use the same one. Image headers are read by a range of 33 bytes; features are computed from the bytes that are read back.
+A payload is stored under its digest as an 8-bit grey PNG in a tar shard in the shared folder.
+Rows carry the digest, shard, offset and length of the stored form, one place for each digest: a task stores a payload once, and of the copies that
+several tasks stored at the same time, the index names one (moving all payloads by digest first would cost more disk than it saves).
+`header_columns` fills columns from the image headers alone, a range of 33 bytes each; `media_columns` reads members whole and computes features.
 
 A shard's name is drawn anew by each attempt of a task, and only the shards of attempts that succeeded are in
 the index, so lost executors and retried tasks leave no broken rows.
 
 Edge cases: a null text is the empty text, whose payload is one unit of padding; equal texts share payload, stored
-form and features; rows without id keep a null id; an empty table gives no rows; other columns are ignored.
+form and features; rows without id keep a null id; an empty table gives no rows; other columns are ignored. A very long text is held by one task
+as text, payload, image rows and image, about four times its bytes.
 """
 
 from __future__ import annotations
@@ -126,33 +128,67 @@ def _store(folder: str, unit: int, shard_bytes: int):
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 SPARK_INDEX = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
+HEADS = "digest binary, shard string, offset long, length long, width int, height int, payload_bytes long"
 READ = "digest binary, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _read(folder: str):
+def _ranges(folder: str):
+    """A reader of ranges of shards that keeps the last shard open."""
+    files, root = _filesystem(folder)
+    name, source = "", None
+
+    def read(shard: str, at: int, length: int) -> bytes:
+        nonlocal name, source
+        if shard != name:
+            name, source = shard, files.open_input_file(f"{root}/{shard}")
+        return source.read_at(length, at)
+
+    return read
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _heads(folder: str):
     def run(batches):
-        files, root = _filesystem(folder)
-        name, source = "", None
+        read = _ranges(folder)
         for batch in batches:
             rows = []
             for digest, shard, at, length in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if shard != name:
-                    name, source = shard, files.open_input_file(f"{root}/{shard}")
-                width, height, _ = read_header(source.read_at(HEADER, at))
-                media = source.read_at(length, at)
+                width, height, depth = read_header(read(shard, at, HEADER))
+                rows.append((digest, shard, at, length, width, height, width * height * depth // 8))
+            yield _batch(rows, HEADS)
+
+    return run
+
+
+def _read(folder: str):
+    def run(batches):
+        read = _ranges(folder)
+        for batch in batches:
+            rows = []
+            for digest, shard, at, length, width, height, size in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                media = read(shard, at, length)
                 samples = decode_png(media)
                 sha = hashlib.sha256(samples)
-                if sha.digest() != digest or width * height != len(samples):
+                if sha.digest() != digest or size != len(samples):
                     raise ValueError(f"{shard} at {at} does not hold what its digest says")
-                rows.append((digest, width, height, len(samples), sha.hexdigest(), zlib.crc32(samples[-32:]), length, hashlib.sha256(media).hexdigest(), feature_of(samples)))
-            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = [x.split()[0] for x in READ.split(", ")]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                rows.append((digest, width, height, size, sha.hexdigest(), zlib.crc32(samples[-32:]), length, hashlib.sha256(media).hexdigest(), feature_of(samples)))
+            yield _batch(rows, READ)
 
     return run
 
 
+def _places(index: DataFrame) -> DataFrame:
+    """A row for each digest, those of one stretch of a shard together."""
+    places = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"))
+    return places.select("digest", "p.shard", "p.offset", "p.length").repartition("shard", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("shard", "offset")
+
+
 def store_media(docs: DataFrame, unit: int = WIDTH * WIDTH, key: str = "doc_id", text: str = "text", shard_bytes: int = 256 << 20) -> tuple[DataFrame, str]:
     """The index (doc_id, n_bytes, digest, shard, offset, length), one row per row of docs, and the shards' folder."""
     spark = docs.sparkSession
@@ -164,9 +200,12 @@ def store_media(docs: DataFrame, unit: int = WIDTH * WIDTH, key: str = "doc_id",
     return materialise(rows.mapInArrow(_store(folder, unit, shard_bytes), SPARK_INDEX), "media-index"), folder
 
 
+def header_columns(index: DataFrame, folder: str) -> DataFrame:
+    """index with place, width, height and payload size of each stored payload, from its header alone: 33 bytes are read, whatever its length."""
+    return index.select("doc_id", "n_bytes", "digest").join(_places(index).mapInArrow(_heads(folder), HEADS), "digest")
+
+
 def media_columns(index: DataFrame, folder: str) -> DataFrame:
     """index with what is read back of each stored payload: size, digests, checksum and features."""
-    places = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"))
-    places = places.select("digest", "p.shard", "p.offset", "p.length").repartition("shard", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("shard", "offset")
-    read = places.mapInArrow(_read(folder), READ)
+    read = _places(index).mapInArrow(_heads(folder), HEADS).mapInArrow(_read(folder), READ)
     return index.select("doc_id", "n_bytes", "digest").join(read, "digest")

@@ -3,11 +3,13 @@
 Each rule is a regular expression. Its Boolean trigram query (an OR of ANDs of trigrams that a match must
 contain) is derived from the expression; the postings (trigram, document) of those trigrams are
 intersected, and only the candidates are verified with the expression. A rule without a mandatory trigram
-scans every text. The index holds ASCII-lower-cased trigrams, so candidates are a superset.
+scans every text. The index holds ASCII-lower-cased trigrams, so candidates are a superset. Of each alternative, a text is asked for its
+trigram of the rarest letters first; one that lacks it gets no posting of the others.
 
-Edge cases: a null text is scanned as the empty text; documents that share an id or have none share
-their candidates, which only adds work; matches of one rule never overlap, matches of several rules may;
-an empty table gives no rows. Offsets are code points, end exclusive.
+Edge cases: a null text is scanned as the empty text; documents that share an id share
+their candidates, which only adds work, and so do those of one text that have no id; matches of one rule never overlap, matches of several rules may;
+an empty table gives no rows. Offsets are code points, end exclusive. A very long text is scanned whole by one task, its matches in blocks, so that time
+grows with their number. Other columns pass through whatever their names; `_spans` replaces an input column of that name.
 """
 
 from __future__ import annotations
@@ -105,27 +107,53 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return [] if frozenset() in query else sorted(query, key=sorted)
 
 
-def postings(docs: DataFrame, trigrams: list[str], key: Column, text: Column) -> DataFrame:
-    """The inverted index's rows for the given trigrams: trigram, doc."""
-    found = F.flatten(F.transform(F.array(F.lower(text)), lambda low: F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(low, t))))
+def _rarity(trigram: str) -> int:
+    """How rare a trigram's letters are in running text, by the order of their frequency."""
+    return sum("etaoinshrdlucmfwypvbgkqjxz".find(c) % 30 for c in trigram)
+
+
+def postings(docs: DataFrame, branches: list[frozenset[str]], key: Column, text: Column) -> DataFrame:
+    """The inverted index's rows for the trigrams of the alternatives: trigram, doc."""
+    rest: dict[str, set[str]] = {}
+    for trigrams in branches:
+        lead = max(trigrams, key=lambda t: (_rarity(t), t))
+        rest.setdefault(lead, set()).update(trigrams)
+    table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, sorted(x))) for lead in sorted(rest) for x in (lead, rest[lead])])
+
+    def within(low: Column) -> Column:
+        leads = F.filter(F.array(*map(F.lit, sorted(rest))), lambda t: F.contains(low, t))
+        return F.filter(F.array_distinct(F.flatten(F.transform(leads, lambda t: F.element_at(table, t)))), lambda t: F.contains(low, t))
+
+    found = F.flatten(F.transform(F.array(F.lower(text)), within))
     return docs.select(key.alias("doc"), F.explode(found).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules, key: Column, text: Column) -> DataFrame:
     """doc, rules (array of kinds): the documents whose postings satisfy a rule's query."""
     spark = docs.sparkSession
-    branches = [(r.kind, f"{r.kind}{i}", t, len(q)) for r in rules for i, q in enumerate(trigram_query(r.pattern)) for t in sorted(q)]
-    table = F.broadcast(spark.createDataFrame(branches, "kind string, branch string, trigram string, need int"))  # as many rows as the rules have trigrams
-    index = postings(docs, sorted({b[2] for b in branches}), key, text)
+    queries = [(r.kind, i, q) for r in rules for i, q in enumerate(trigram_query(r.pattern))]
+    rows = [(kind, f"{kind}{i}", t, len(q)) for kind, i, q in queries for t in sorted(q)]
+    table = F.broadcast(spark.createDataFrame(rows, "kind string, branch string, trigram string, need int"))  # as many rows as the rules have trigrams
+    index = postings(docs, [q for _, _, q in queries], key, text)
     hits = index.join(table, "trigram").groupBy("doc", "kind", "branch", "need").agg(F.count_distinct("trigram").alias("n"))
     return hits.where("n = need").groupBy("doc").agg(F.collect_set("kind").alias("rules"))
 
 
+_SPANS = "array<struct<start:int,kind:string,end:int>>"
+
+
+def _in_blocks(items: Column, fold, size: int = 1000) -> Column:
+    """fold(block) of each `size` items, as an array: appending to one array over and over copies it each time."""
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / size), F.lit(0)).cast("int")), lambda b: fold(F.slice(x, b * size + 1, F.lit(size))))
+    return F.transform(F.array(items), cut)[0]
+
+
 def matches(text: Column, rule: Rule) -> Column:
     """Array of (start, kind, end) of a rule's matches, in code points."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:string,end:int>>").alias("spans"))
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+    none = F.array().cast(_SPANS)
 
     def step(acc: Column, z: Column) -> Column:
         start = acc["at"] + F.length(z["gap"])
@@ -135,32 +163,39 @@ def matches(text: Column, rule: Rule) -> Column:
         keep = F.length(value) >= rule.least
         return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    spans = F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
-    return F.when(F.rlike(text, F.lit(rule.pattern)), spans).otherwise(F.array().cast("array<struct<start:int,kind:string,end:int>>"))
+    def add(acc: Column, block: Column) -> Column:  # a block's spans count from its own beginning
+        moved = F.transform(block["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.array_append(acc["blocks"], moved).alias("blocks"))
 
+    blocks = _in_blocks(pairs, lambda part: F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+    spans = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("blocks")), add, lambda acc: F.flatten(acc["blocks"]))
+    return F.when(F.rlike(text, F.lit(rule.pattern)), spans).otherwise(none)
 
-def find_secrets(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with a column _spans besides: array of (start, kind, end), by start, then by the rules' order."""
+
+def _scanned(docs: DataFrame, rules, key: str, text: str) -> DataFrame:
+    """row (the input's columns), body, spans: array of (start, kind, end), by start, then by the rules' order."""
     prepare(docs.sparkSession)
-    if clash := set(docs.columns) & {"_spans", "_doc", "_rules", "_body"}:
-        raise ValueError(f"columns {sorted(clash)} are the operator's own")
-    ident = F.coalesce(F.col(key).cast("string"), F.lit(""))
     body = F.coalesce(F.col(text), F.lit(""))
+    ident = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.xxhash64(body).cast("string")))
     found = materialise(candidates(docs, rules, ident, body), "secret-candidates")
-    found = found.select(F.col("doc").alias("_doc"), F.col("rules").alias("_rules"))
-    joined = docs.withColumns({"_doc": ident, "_body": body}).join(found, "_doc", "left")
-    none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
+    joined = docs.select(F.struct(*docs.columns).alias("row"), ident.alias("doc"), body.alias("body")).join(found, "doc", "left")
+    none = F.array().cast(_SPANS)
     parts = []
     for rule in rules:
-        spans = matches(F.col("_body"), rule)
+        spans = matches(F.col("body"), rule)
         if trigram_query(rule.pattern):
-            spans = F.when(F.array_contains("_rules", rule.kind), spans).otherwise(none)
+            spans = F.when(F.array_contains("rules", rule.kind), spans).otherwise(none)
         parts.append(F.coalesce(spans, none))
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     by = F.array_sort(F.transform(F.concat(*parts), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = F.transform(by, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return joined.select(*docs.columns, spans.alias("_spans"))
+    return joined.select("row", "body", spans.alias("spans"))
+
+
+def find_secrets(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with a column _spans besides: array of (start, kind, end), by start, then by the rules' order."""
+    found = _scanned(docs, rules, key, text)
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "_spans"], F.col("spans").alias("_spans"))
 
 
 def join_spans(spans: Column) -> Column:
@@ -180,20 +215,30 @@ def summary(docs: DataFrame, rules=RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules=COVERED, mark: str = "[SECRET]") -> DataFrame:
     """docs whose texts have each stretch covered by matches replaced by a mark (a null text stays null)."""
-    found = find_secrets(docs, rules)
-    # stretches that touch or overlap are one
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(False).alias("any"))
-    body = F.coalesce(F.col("text"), F.lit(""))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(body, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = ~acc["any"] | (s["start"] > acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"), F.lit(True).alias("any"))
-
-    clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(body, acc["at"] + 1)))
-    new = F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))
-    return found.select(*[new.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    found = _scanned(docs, rules, "doc_id", "text")
+    body = F.col("body")
+    pieces = F.array().cast("array<string>")
+
+    def step(part: Column, base: Column):
+        def run(acc: Column, s: Column) -> Column:  # stretches that touch or overlap are one
+            gap = F.substr(part, acc["at"] - base + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+            fresh = ~acc["any"] | (s["start"] > acc["at"])
+            out = F.when(fresh, F.array_append(acc["out"], F.concat(gap, F.lit(mark)))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"), F.lit(True).alias("any"))
+
+        return run
+
+    def add(acc: Column, block: Column) -> Column:  # a block goes on where the ones before it end, and cuts its own part out of the text first
+        zero = F.struct(acc["at"].alias("at"), pieces.alias("out"), acc["any"].alias("any"))
+        part = F.substr(body, acc["at"] + 1, F.greatest(F.array_max(F.transform(block, lambda s: s["end"])) - acc["at"], F.lit(0)))
+        done = F.transform(F.array(part), lambda p: F.aggregate(block, zero, step(p, acc["at"])))
+        done = F.transform(done, lambda d: F.struct(d["at"].alias("at"), F.array_append(acc["out"], F.array_join(d["out"], "")).alias("out"), d["any"].alias("any")))
+        return done[0]
+
+    zero = F.struct(F.lit(0).alias("at"), pieces.alias("out"), F.lit(False).alias("any"))
+    clean = F.aggregate(_in_blocks(F.col("spans"), lambda part: part), zero, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1)))
+    new = F.when(F.size("spans") > 0, clean).otherwise(F.col("row.text"))
+    return found.select(*[new.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def sql(rules=RULES) -> str:

@@ -4,12 +4,14 @@ Each round of recompression replaces maximal runs of one symbol and then pairs (
 b on the right side of a partition of the symbols. A new symbol is named by what it replaces, so all
 documents name equal passages alike, except near their ends; a name has 128 bits, two independent hashes of the words it stands for.
 
-1. The words and the first rounds, whose symbols are a few words wide, are named where a document is read.
-2. Then Spark jobs over all documents go on, a few rounds each: symbols are counted by name; one that occurs once can't lie in a repeat, nor can any wider symbol with
-   it, so documents keep only the sequences of shared symbols, which the next round replaces. Rounds go on until nothing can be replaced. A shared
-   symbol at least as wide as the window proves that all windows in it repeat.
-3. A window that determines a symbol of the first rounds that isn't shared is unique. All other windows are counted by their own names (128 bits
-   again), where of windows in a wide shared symbol only those of one occurrence are sent, for others to find.
+1. Where a document is read, its words and the first rounds' symbols are named. A window determines some of them whatever is around it; its anchor is the widest of
+   those at the last of ANCHOR rounds that has any (the words are round 0, so there always is one), and equal windows have equal anchors at equal places.
+2. Spark counts anchors over all documents; a window whose anchor occurs once is unique.
+3. Further rounds are Spark jobs over all documents: symbols are counted by name; one that occurs once can't lie in a repeat, nor can any wider symbol with
+   it, so documents keep only the sequences of shared symbols, which the next job replaces. A shared symbol at least as wide as the window proves
+   that all windows in it repeat.
+4. All other windows with a shared anchor are counted by names of their own (96 bits: two independent hashes of their words), where of windows in a wide
+   shared symbol only those of one occurrence are sent, for others to find.
 
 Edge cases: a null or empty text has no words; a document shorter than a window keeps everything; a window repeated
 within one document counts; rows that repeat an id and text count as two documents; one document's result
@@ -20,6 +22,7 @@ whole by one task, with some 60 bytes of arrays a word.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -27,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, bucketed, chunks, materialise, mix, prepare, release, utf8, word_names
+from .common import _powers, chunks, materialise, mix, prepare, release, utf8, word_names
 
-#: Rounds where a document is read; their symbols are narrower than a window.
-FIRST = 3
+#: Rounds that look for anchors, and rounds where a document is read.
+ANCHOR, FIRST = 3, 9
 #: Rounds of replacement in each Spark job after that.
 STEP = 3
 #: The jobs end when so small a part of the first symbols is left in sequences; their windows are counted one by one, so no result depends on it.
@@ -75,54 +78,100 @@ def compress(names: np.ndarray, checks: np.ndarray, fresh: np.ndarray, level: in
     return Round(pair(runs, 0xC6A4A7935BD1E995), pair(run_checks, 0xD6E8FEB86659FD93), heads[firsts], run_of, right, np.cumsum(~second) - 1)
 
 
-def first_rounds(names: np.ndarray, checks: np.ndarray, at: np.ndarray, window: int | None = None):
-    """Symbols of documents at names[at[i]:at[i + 1]] after the first rounds: names, checks, first word, and with `window`, the range of symbols that each window determines."""
-    begin, fresh = np.arange(len(names)), np.zeros(len(names) + 1, bool)
-    fresh[at] = True
-    fresh = fresh[:-1]
-    lo = hi = None
-    if window:
-        lengths = np.maximum(np.diff(at) - window + 1, 0)
-        lo = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(at[:-1], lengths)
-        hi = lo + window  # a window determines symbols lo..hi-1; none if hi <= lo
+class First(NamedTuple):
+    """Symbols after the first rounds, and runs of windows of one document that have the same anchor occurrence: anchor, document, first start, count."""
+
+    names: np.ndarray
+    checks: np.ndarray
+    begin: np.ndarray
+    anchor: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray
+    count: np.ndarray
+
+
+def first_rounds(names: np.ndarray, checks: np.ndarray, at: np.ndarray, window: int) -> First:
+    """For documents at names[at[i]:at[i + 1]]."""
+    starts_of = np.maximum(np.diff(at) - window + 1, 0)
+    n, words = int(starts_of.sum()), len(names)
+    doc = np.repeat(np.arange(len(starts_of)), starts_of)
+    place = np.arange(n) - np.repeat(np.cumsum(starts_of) - starts_of, starts_of)
+    lo = place + at[doc]  # symbols lo..hi-1 are those that the window determines
+    hi = lo + window
+    begin, fresh = np.arange(words), np.zeros(words + 1, bool)
+    fresh[at] = True  # the symbol begins a document
+    fresh = fresh[:words]
+    open_, where, anchor = np.arange(n), np.zeros(n, np.int64), np.zeros(n, _U)
+
+    def settle(which, lo, hi, level):
+        """The widest symbol of lo..hi-1 (then by hash, then the leftmost) becomes the anchor."""
+        width = np.diff(np.append(begin, words))
+        key = (_U(63) - np.minimum(width, 63).astype(_U) << _U(58)) | (mix(names) >> _U(36) << _U(30)) | np.arange(len(names), dtype=_U)
+        size = hi - lo
+        best = np.full(len(which), np.iinfo(_U).max, _U)
+        step, table = 1, key
+        while True:
+            own = np.flatnonzero((size >= step) & (size < 2 * step))
+            best[own] = np.minimum(table[lo[own]], table[hi[own] - step])
+            if 2 * step > size.max():
+                break
+            table = np.minimum(table[:-step], table[step:])
+            step *= 2
+        at_symbol = (best & _U((1 << 30) - 1)).astype(np.int64)
+        where[which] = begin[at_symbol]
+        anchor[which] = mix(names[at_symbol] + _U(level))
+
     for level in range(1, FIRST + 1):
         if not len(names):
             break
         r = compress(names, checks, fresh, level)
-        if window:  # its outer runs may go on outside, its outer symbols may be paired outside
-            a, b = r.run_of[np.minimum(lo, len(names) - 1)] + 1, r.run_of[np.maximum(hi, 1) - 1]
-            ok = (lo < hi) & (a < b)
+        if len(open_):  # a window's outer runs may go on outside, its outer symbols may be paired outside
+            a, b = r.run_of[lo] + 1, r.run_of[hi - 1]
+            ok = (a < b) & (level <= ANCHOR)
             a, b = np.where(ok, a, 0), np.where(ok, b, 1)
             a, b = a + r.right[a], b - ~r.right[b - 1]
             ok &= a < b
-            lo, hi = np.where(ok, r.pair_of[np.where(ok, a, 0)], 0), np.where(ok, r.pair_of[np.where(ok, b - 1, 0)] + 1, 0)
+            if not ok.all():
+                settle(open_[~ok], lo[~ok], hi[~ok], level - 1)
+            lo, hi, open_ = r.pair_of[a[ok]], r.pair_of[b[ok] - 1] + 1, open_[ok]
         names, checks, begin, fresh = r.names, r.checks, begin[r.begin], fresh[r.begin]
-    return names, checks, begin, lo, hi
+    new = np.ones(n, bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (where[1:] != where[:-1]) | (anchor[1:] != anchor[:-1])
+    heads = np.flatnonzero(new)
+    return First(names, checks, begin, anchor[heads], doc[heads], place[heads], np.diff(np.append(heads, n)))
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-SYMBOLS = "k long, name array<long>, check array<long>, begin array<int>, width array<int>"
+SYMBOLS = "d long, h long, name array<long>, check array<long>, begin array<int>, width array<int>"
+READ = SYMBOLS + ", anchor array<long>, place array<int>, count array<int>"
 
 
 def _symbols(window: int):
-    """The sequence of symbols of each document that has a window."""
+    """The sequence of symbols and the anchors of each document that has a window."""
 
     def run(batches):
         for batch in batches:
-            keys, texts = batch.column(0).to_numpy(), utf8(batch.column(1))
+            ids, prints, texts = batch.column(0), batch.column(1), utf8(batch.column(2))
             for begin, end in chunks(texts):
                 words, checks, at = word_names(texts[begin:end])
-                names, checks, first, _, _ = first_rounds(words, checks, at)
-                edge = np.searchsorted(first, at)
-                width = np.diff(np.append(first, len(words)))
+                f = first_rounds(words, checks, at, window)
                 long = np.flatnonzero(np.diff(at) >= window)
-                take = np.concatenate([np.arange(edge[i], edge[i + 1]) for i in long]) if len(long) else np.zeros(0, np.int64)
-                offsets = np.concatenate(([0], np.cumsum(np.diff(edge)[long])))
-                place = first - np.repeat(at[:-1], np.diff(edge))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[begin:end][long]), *(_lists(x[take], offsets) for x in (names.view(np.int64), checks.view(np.int64), place.astype(np.int32), width.astype(np.int32)))], names=["k", "name", "check", "begin", "width"])
+
+                def by_doc(edge, *columns, long=long):
+                    take = np.concatenate([np.arange(edge[i], edge[i + 1]) for i in long]) if len(long) else np.zeros(0, np.int64)
+                    offsets = np.concatenate(([0], np.cumsum(np.diff(edge)[long])))
+                    return [_lists(x[take], offsets) for x in columns]
+
+                edge = np.searchsorted(f.begin, at)
+                width = np.diff(np.append(f.begin, len(words))).astype(np.int32)
+                place = (f.begin - np.repeat(at[:-1], np.diff(edge))).astype(np.int32)
+                symbols = by_doc(edge, f.names.view(np.int64), f.checks.view(np.int64), place, width)
+                anchors = by_doc(np.searchsorted(f.doc, np.arange(end - begin + 1)), f.anchor.view(np.int64), f.place.astype(np.int32), f.count.astype(np.int32))
+                rows = pa.array(long + begin)
+                yield pa.RecordBatch.from_arrays([ids.take(rows), prints.take(rows), *symbols, *anchors], names=[x.split()[0] for x in READ.split(", ")])
 
     return run
 
@@ -132,7 +181,7 @@ def _next_rounds(job: int, window: int):
 
     def run(batches):
         for batch in batches:
-            lists = [batch.column(i) for i in range(1, 5)]
+            lists = [batch.column(i) for i in range(2, 6)]
             offsets = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
             names, checks, begin, width = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
             if not len(names):
@@ -143,7 +192,7 @@ def _next_rounds(job: int, window: int):
             fresh[offsets[:-1][offsets[:-1] < len(names)]] = True
             parts = np.ones(len(names), np.int64)  # input symbols in each symbol
             for level in range(STEP):
-                r = compress(names, checks, fresh, job * STEP + level)
+                r = compress(names, checks, fresh, FIRST + job * STEP + level)
                 last = np.append(r.begin[1:], len(names)) - 1
                 names, checks, begin, stop, fresh = r.names, r.checks, begin[r.begin], stop[last], fresh[r.begin]
                 parts = np.add.reduceat(parts, r.begin)
@@ -152,7 +201,7 @@ def _next_rounds(job: int, window: int):
             old = (heads == tails) & (parts[heads] == 1)
             keep = np.flatnonzero(np.repeat(~old & (stop[tails] - begin[heads] >= window), tails - heads + 1))
             edge = np.searchsorted(keep, np.searchsorted(np.cumsum(parts) - parts, offsets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(_lists(x[keep], edge) for x in (names.view(np.int64), checks.view(np.int64), begin, stop - begin))], names=["k", "name", "check", "begin", "width"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(_lists(x[keep], edge) for x in (names.view(np.int64), checks.view(np.int64), begin, stop - begin))], names=["d", "h", "name", "check", "begin", "width"])
 
     return run
 
@@ -182,39 +231,34 @@ def _windows(window: int):
 
     def run(batches):
         for batch in batches:
-            keys, texts, shared, spans = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2), batch.column(3).to_pylist()
+            ids, prints, texts, marks, spans = batch.column(0), batch.column(1), utf8(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for begin, end in chunks(texts):
                 words, checks, at = word_names(texts[begin:end])
-                names, _, first, lo, hi = first_rounds(words, checks, at, window)
-                unique = np.ones(len(names) + 1, np.int64)  # of symbols: not shared
-                unique[-1] = 0
-                edge = np.searchsorted(first, at)
-                for i in range(end - begin):
-                    if shared[begin + i].is_valid:
-                        place = shared[begin + i].values.to_numpy() + at[i]
-                        unique[np.searchsorted(first, place)] = 0
-                total = np.concatenate(([0], np.cumsum(unique[:-1])))
-                may = total[np.maximum(hi, lo)] == total[lo]
-                rows, firsts, sures, lists, check_lists, n = [], [], [], [], [], 0
+                rows, firsts, sures, lists, check_lists = [], [], [], [], []
                 for i in range(end - begin):
                     count = max(at[i + 1] - at[i] - window + 1, 0)
-                    own, n = may[n : n + count], n + count
+                    may = np.zeros(count + 1, np.int64)
+                    for m in marks[begin + i] or []:
+                        may[m["place"]] += 1
+                        may[m["place"] + m["count"]] -= 1
                     sure, send = _covered(spans[begin + i] or [], count, window)
-                    out = np.where(sure, np.where(send, 2, 0), np.where(own, 1, 0))
+                    out = np.where(sure, np.where(send, 2, 0), np.cumsum(may[:-1]) > 0)
                     if not out.any():
                         continue
-                    h, c = window_names(words[at[i] : at[i + 1]], window).view(np.int64), window_names(checks[at[i] : at[i + 1]], window).view(np.int64)
+                    h, c = (window_names(x[at[i] : at[i + 1]], window) for x in (words, checks))
+                    h, c = h.view(np.int64), (c >> _U(32)).astype(np.uint32).view(np.int32)
                     cuts = np.flatnonzero(np.diff(out)) + 1
                     for a, b in zip([0, *cuts], [*cuts, count], strict=True):
                         if out[a]:
-                            rows.append(keys[begin + i])
+                            rows.append(begin + i)
                             firsts.append(a)
                             sures.append(bool(out[a] == 2))
                             lists.append(h[a:b])
                             check_lists.append(c[a:b])
                 if rows:
                     offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(firsts, pa.int32()), pa.array(sures), _lists(np.concatenate(lists), offsets), _lists(np.concatenate(check_lists), offsets)], names=["k", "first", "sure", "hashes", "checks"])
+                    take = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids.take(take), prints.take(take), pa.array(firsts, pa.int32()), pa.array(sures), _lists(np.concatenate(lists), offsets), _lists(np.concatenate(check_lists), offsets)], names=["d", "h", "first", "sure", "hashes", "checks"])
 
     return run
 
@@ -254,47 +298,48 @@ def drop_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: s
     """doc_id, n_words, n_removed and kept (the words left, joined by a space; with digest: their SHA-256)."""
     spark = docs.sparkSession
     prepare(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.monotonically_increasing_id().alias("k"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = bucketed(docs, "texts", "k", buckets)  # three passes join it by row
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # a row is named by its id and a hash of its text
+    docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    row = ["d", "h"]
+    read = materialise(docs.select("d", "h", "text").mapInArrow(_symbols(window), READ), "symbols")
+
+    anchors = read.select("d", "h", F.explode(F.arrays_zip("anchor", "place", "count")).alias("a")).select("d", "h", "a.*")
+    again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = materialise(anchors.join(again, "anchor").select("d", "h", "place", "count"), "anchors")
+    marks = materialise(again.groupBy(*row).agg(F.collect_list(F.struct("place", "count")).alias("marks")), "marks")
+    release(again)
 
-    symbols = materialise(texts.select("k", "text").mapInArrow(_symbols(window), SYMBOLS), "symbols")
-    spans, first_shared, job = None, None, 0
+    symbols, found, job = read, [], 0
     left = first = symbols.agg(F.coalesce(F.sum(F.size("name")), F.lit(0))).first()[0]
     while left > REST * first:
-        each = symbols.select("k", F.explode(F.arrays_zip("name", "check", "begin", "width")).alias("s")).select("k", "s.*")
-        sender = F.min(F.when(F.col("width") >= window, F.struct("k", "begin"))) if job else F.lit(None).cast("int")  # the first symbols are narrow but for runs
+        each = symbols.select("d", "h", F.explode(F.arrays_zip("name", "check", "begin", "width")).alias("s")).select("d", "h", "s.*")
+        sender = F.min(F.when(F.col("width") >= window, F.struct("d", "h", "begin")))
         counts = each.groupBy("name", "check").agg(F.count("*").alias("n"), sender.alias("sender")).where("n > 1").drop("n")
         shared = materialise(each.join(counts, ["name", "check"]), "shared")
         release(symbols)
-        if job:
-            sends = (F.col("k") == F.col("sender.k")) & (F.col("begin") == F.col("sender.begin"))
-            found = materialise(shared.where(F.col("width") >= window).select("k", "begin", "width", F.lit(job).alias("level"), sends.alias("sends")), "spans")
-            spans = found if spans is None else spans.union(found)
-        else:
-            first_shared = materialise(shared.groupBy("k").agg(F.sort_array(F.collect_list("begin")).alias("shared")), "first-shared")
-        per = shared.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("begin", "width", "name", "check"))).alias("s"))
-        per = per.select("k", F.col("s.name").alias("name"), F.col("s.check").alias("check"), F.col("s.begin").alias("begin"), F.col("s.width").alias("width"))
+        sends = F.struct("d", "h", "begin") == F.col("sender")
+        found.append(materialise(shared.where(F.col("width") >= window).select("d", "h", "begin", "width", F.lit(job).alias("level"), sends.alias("sends")), "spans"))
+        per = shared.groupBy(*row).agg(F.array_sort(F.collect_set(F.struct("begin", "width", "name", "check"))).alias("s"))
+        per = per.select("d", "h", F.col("s.name").alias("name"), F.col("s.check").alias("check"), F.col("s.begin").alias("begin"), F.col("s.width").alias("width"))
         job += 1
         symbols = materialise(per.mapInArrow(_next_rounds(job, window), SYMBOLS), "symbols")
         release(shared)
         left = symbols.agg(F.coalesce(F.sum(F.size("name")), F.lit(0))).first()[0]
     release(symbols)
-    if first_shared is None:
-        first_shared = spark.createDataFrame([], "k long, shared array<int>")
-    marks = None
-    if spans is not None:
-        marks = materialise(spans.groupBy("k").agg(F.collect_list(F.struct("begin", "width", "level", "sends")).alias("spans")), "marks")
-    else:
-        marks = first_shared.select("k", F.lit(None).cast("array<struct<begin:int,width:int,level:int,sends:boolean>>").alias("spans"))
-
-    seen = texts.select("k", "text").join(first_shared, "k", "left").join(marks, "k", "left").select("k", "text", "shared", "spans")
-    windows = materialise(seen.mapInArrow(_windows(window), "k long, first int, sure boolean, hashes array<long>, checks array<long>"), "windows")
-    each = windows.select("k", "first", "sure", F.posexplode(F.arrays_zip("hashes", "checks")).alias("i", "w")).select("k", (F.col("first") + F.col("i")).alias("start"), "sure", F.col("w.hashes").alias("hash"), F.col("w.checks").alias("check"))
+    proved = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "d long, h long, begin int, width int, level int, sends boolean")
+    proved = materialise(proved.groupBy(*row).agg(F.collect_set(F.struct("begin", "width", "level", "sends")).alias("spans")), "proved")
+    release(*found)
+
+    seen = docs.select("d", "h", "text").join(marks, row).join(proved, row, "left").select("d", "h", "text", "marks", "spans")
+    windows = materialise(seen.mapInArrow(_windows(window), "d long, h long, first int, sure boolean, hashes array<long>, checks array<int>"), "windows")
+    release(marks)
+    each = windows.select("d", "h", "first", "sure", F.posexplode(F.arrays_zip("hashes", "checks")).alias("i", "w"))
+    each = each.select("d", "h", (F.col("first") + F.col("i")).alias("start"), "sure", F.col("w.hashes").alias("hash"), F.col("w.checks").alias("check"))
     counts = each.groupBy("hash", "check").agg(F.sum(F.when(F.col("sure"), 2).otherwise(1)).alias("n")).where("n > 1").select("hash", "check")
-    again = materialise(each.where("NOT sure").join(counts, ["hash", "check"]).select("k", "start"), "repeats")
-    release(windows, first_shared)
-    starts = materialise(again.groupBy("k").agg(F.collect_set("start").alias("starts")), "starts")
+    again = materialise(each.where("NOT sure").drop("sure").join(counts, ["hash", "check"]).select("d", "h", "start"), "repeats")
+    release(windows)
+    starts = materialise(again.groupBy(*row).agg(F.collect_set("start").alias("starts")), "starts")
     release(again)
-    cut = texts.join(starts, "k", "left").join(marks, "k", "left").select("doc_id", "text", "starts", "spans")
+    cut = docs.join(starts, row, "left").join(proved, row, "left").select("doc_id", "text", "starts", "spans")
     return cut.mapInArrow(_cut(window, digest), "doc_id long, n_words long, n_removed long, kept string")

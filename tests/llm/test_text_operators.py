@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from compare import same
+from pyspark.sql import functions as F
 
 from strandlake.llm import entry, line_dedup, media, ngram_join, packing, secret_scan, sharding, sp_codec, substring_dedup, toxicity, vafile
 from strandlake.llm.common import word_names
@@ -126,13 +127,14 @@ def test_overlap_probe():
 def test_lines(spark, none):
     rows = [(i, "s", f"own line {i}\nfooter\n\nfooter \nend {i}") for i in range(10)] + [(10, "s", None), (11, None, "footer"), (12, "t", "footer\nfooter"), (12, "t", "footer\nfooter"), (13, "s", "footer")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, key int")
-    got = sorted((r.doc_id, r.text, r.n_lines, r.n_dropped, r.key) for r in line_dedup.drop_boilerplate(df, ratio=0.5, min_pages=2).collect() if r.text is not None)
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_dropped, r.key) for r in line_dedup.drop_boilerplate(df, ratio=0.5).collect() if r.text is not None)
     assert got[:10] == [(i, f"own line {i}\n\nend {i}", 5, 2, 1) for i in range(10)]  # 'footer ' is a line of its own, as frequent
     rest = {(r[0], r[1], r[3]) for r in got[10:]}
     assert rest == {(11, "footer", 0), (12, "", 2), (13, "", 1)}
     assert line_dedup.drop_boilerplate(none).collect() == []
-    with pytest.raises(ValueError):
-        line_dedup.drop_boilerplate(df.withColumnRenamed("key", "_bad"))
+    clash = df.withColumnRenamed("key", "bad").withColumns({"row": F.lit(7), "body": F.lit(8), "n_lines": F.lit(9)})
+    assert {(r.doc_id, r.bad, r.row, r.body) for r in line_dedup.drop_boilerplate(clash, ratio=0.5).collect()} == {(r[0], 1, 7, 8) for r in rows}
+    assert {r.n_lines for r in line_dedup.drop_boilerplate(clash, ratio=0.5).collect()} == {0, 1, 2, 5}
 
 
 # ---------------------------------------------------------------------------------- secret scans
@@ -164,6 +166,17 @@ def test_secrets(spark, docs, none):
     clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
     assert clean[71] == "[SECRET]" and clean[70] == "😀 [SECRET]' x [SECRET]" and clean[4] == "one two three" and clean[1] is None
     assert secret_scan.summary(none).collect() == []
+    clash = df.withColumns({"row": F.lit(7), "body": F.lit(8), "doc": F.lit(9), "rules": F.lit(10), "_spans": F.lit(11)})
+    assert {r.doc_id: (r.text, r.row, r.body, r.doc, r.rules, r._spans) for r in secret_scan.redact(clash).collect()} == {d: (t, 7, 8, 9, 10, 11) for d, t in clean.items()}
+
+
+def test_very_many_secrets_in_one_text(spark):
+    text = "a token=abcdef; " * 60_000
+    df = spark.createDataFrame([(1, text), (None, "token=abcdef"), (None, "no")], "doc_id long, text string")
+    found = {r.doc_id: (r.n_assign, r.base_sha256) for r in secret_scan.summary(df).where("doc_id = 1").collect()}
+    want = ",".join(f"assign:{16 * i + 2}:{16 * i + 14}" for i in range(60_000))
+    assert found == {1: (60_000, hashlib.sha256(want.encode()).hexdigest())}
+    assert sorted(r.text for r in secret_scan.redact(df).collect()) == sorted(["a [SECRET]; " * 60_000, "[SECRET]", "no"])
 
 
 def test_redaction_covers_the_whole_key(spark):
@@ -404,6 +417,8 @@ def test_media(docs, none):
         assert r.media_sha256 == hashlib.sha256(stored).hexdigest()
         forms.setdefault(r.payload_sha256, set()).add(r.media_sha256)
     assert all(len(v) == 1 for v in forms.values())
+    heads = {(r.doc_id, r.n_bytes, r.width, r.height, r.payload_bytes) for r in media.header_columns(index, folder).collect()}
+    assert heads == {(r.doc_id, r.n_bytes, r.width, r.height, r.payload_bytes) for r in got}
     empty, folder = media.store_media(none)
     assert media.media_columns(empty, folder).collect() == []
 
@@ -500,26 +515,24 @@ def passages(seed, letters, docs):
 
 
 @pytest.mark.parametrize("seed", range(8))
-def test_determined_symbols_depend_on_the_window_alone(seed):
+def test_anchors_depend_on_the_window_alone(seed):
     window, letters = (5, 8, 12, 35)[seed % 4], (1, 2, 3, 50)[seed // 2]
     docs = [x.encode() for x in passages(seed, letters, 30)]
-    words, checks, at = word_names(docs)
-    names, other, begin, lo, hi = substring_dedup.first_rounds(words, checks, at, window)
+    f = substring_dedup.first_rounds(*word_names(docs), window)
     of: dict = {}
-    n = 0
-    for d, text in enumerate(docs):
-        w = text.split()
-        for s in range(max(len(w) - window + 1, 0)):
-            a, b = lo[n], max(hi[n], lo[n])
-            assert all(at[d] + s <= x <= at[d] + s + window for x in begin[a:b])
-            of.setdefault(tuple(w[s : s + window]), set()).add((tuple(names[a:b]), tuple(other[a:b]), tuple(begin[a:b] - at[d] - s)))
-            n += 1
-    assert n == len(lo) and all(len(v) == 1 for v in of.values())
+    seen = set()
+    for a, d, p, c in zip(f.anchor, f.doc, f.place, f.count, strict=True):
+        for s in range(p, p + c):
+            of.setdefault(tuple(docs[d].split()[s : s + window]), set()).add(int(a))
+            assert (d, s) not in seen
+            seen.add((d, s))
+    assert all(len(v) == 1 for v in of.values()) and len(seen) == sum(max(0, len(x.split()) - window + 1) for x in docs)
 
 
 @pytest.mark.parametrize(("seed", "letters"), [(0, 2), (1, 1000)])
 def test_repeats_over_all_rounds(spark, monkeypatch, seed, letters):
     monkeypatch.setattr(substring_dedup, "REST", 0.0)
+    monkeypatch.setattr(substring_dedup, "FIRST", 3)
     rows = list(enumerate(passages(seed, letters, 40)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.drop_repeats(df, 12, digest=True).collect())
