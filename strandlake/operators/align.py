@@ -138,13 +138,25 @@ def _gapped(seeds, errors: int, bulges: int):
 COLUMNS = [c.split()[0] for c in HITS.split(", ")]
 
 
-def _probes(probes: DataFrame, errors: int) -> tuple[list[tuple[str, str]], int]:
-    """The probes (a query's own, small side, broadcast in blocks) and the seeds' width over the whole set."""
-    rows = [(r["probe_id"], r["seq"]) for r in probes.select("probe_id", "seq").distinct().orderBy("probe_id", "seq").toLocalIterator()]
-    width = min(min((len(s) for _, s in rows), default=1) // (errors + 1), 31)
-    if rows and width < 1:
+def _blocks(probes: DataFrame, errors: int, size: int, scan_one) -> DataFrame:
+    """The union of one scan for each block of probes. A block is a part of the probes by hash, of about `size`; the driver holds one at a time, and its seeds are broadcast.
+
+    Seeds are as wide as the shortest probe of all allows.
+    """
+    spark = probes.sparkSession
+    wanted = probes.select("probe_id", "seq").distinct()
+    r = wanted.agg(F.count("*").alias("n"), F.min(F.length("seq")).alias("shortest")).first()
+    width = min((r["shortest"] or errors + 1) // (errors + 1), 31)
+    if r["n"] and width < 1:
         raise ValueError("the shortest probe is too short for this many errors")
-    return rows, max(width, 1)
+    count = max(1, -(-r["n"] // size))
+    out = None
+    for i in range(count):
+        part = wanted if count == 1 else wanted.where(F.pmod(F.xxhash64("probe_id", "seq"), F.lit(count)) == i)
+        seeds = Seeds(sorted((p["probe_id"], p["seq"]) for p in part.collect()), errors, max(width, 1))
+        one = scan_one(spark.sparkContext.broadcast(seeds))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def align_ungapped(probes: DataFrame, contigs: DataFrame, errors: int, block: int = PROBES) -> DataFrame:
@@ -152,15 +164,8 @@ def align_ungapped(probes: DataFrame, contigs: DataFrame, errors: int, block: in
 
     probes: probe_id, seq. contigs: contig, seq. N in the reference is a mismatch.
     """
-    spark = probes.sparkSession
-    rows, width = _probes(probes, errors)
     ref = contigs.select("contig", "seq")
-
-    def one(part: list) -> DataFrame:
-        seeds = spark.sparkContext.broadcast(Seeds(part, errors, width))
-        return ref.mapInPandas(_ungapped(seeds, errors), HITS)
-
-    hits = scan.in_blocks(spark, rows, block, one)
+    hits = _blocks(probes, errors, block, lambda seeds: ref.mapInPandas(_ungapped(seeds, errors), HITS))
     return hits.withColumn("md", tags.md_ungapped(F.col("seq"), F.col("target")))
 
 
@@ -168,30 +173,26 @@ def align_gapped(probes: DataFrame, contigs: DataFrame, errors: int, bulges: int
     """As align_ungapped with up to `bulges` single-base insertions or deletions among the errors; dominated overlaps are dropped."""
     if not bulges:
         return align_ungapped(probes, contigs, errors, block)
-    spark = probes.sparkSession
-    rows, width = _probes(probes, errors)
     ref = contigs.select("contig", "seq")
-
-    def one(part: list) -> DataFrame:
-        seeds = spark.sparkContext.broadcast(Seeds(part, errors, width))
-        return ref.mapInPandas(_gapped(seeds, errors, bulges), HITS)
-
-    return suppress_overlaps(scan.in_blocks(spark, rows, block, one), errors)
+    return suppress_overlaps(_blocks(probes, errors, block, lambda seeds: ref.mapInPandas(_gapped(seeds, errors, bulges), HITS)), errors)
 
 
 def suppress_overlaps(hits: DataFrame, errors: int) -> DataFrame:
     """Drop hits that overlap a kept hit of the same probe, strand and contig with strictly fewer edits.
 
-    A dropped hit suppresses nothing, so hits are settled by their number of edits: each level is
-    anti-joined with what the lower levels kept.
+    A dropped hit suppresses nothing, so hits are settled by their number of edits. One shuffle brings a probe's hits on a strand of a contig together; at each
+    level, the furthest end of the kept hits before a hit and the nearest begin of those after it tell whether one overlaps it.
     """
-    hits = hits.withColumns({"_b": F.col("pos"), "_e": F.col("pos") + F.length("target")})
-    kept = hits.where(F.col("nm") == 0)
+    own = Window.partitionBy("probe_id", "flag", "rname")
+    before = own.orderBy("_b", "_e").rowsBetween(Window.unboundedPreceding, -1)
+    after = own.orderBy(F.desc("_b"), F.desc("_e")).rowsBetween(Window.unboundedPreceding, -1)
+    out = hits.withColumns({"_b": F.col("pos"), "_e": F.col("pos") + F.length("target"), "_kept": F.col("nm") == 0})
     for level in range(1, errors + 1):
-        now, by = hits.where(F.col("nm") == level).alias("x"), kept.select("probe_id", "flag", "rname", "_b", "_e").alias("y")
-        on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("probe_id", "flag", "rname")]
-        kept = kept.unionByName(now.join(by, [*on, F.col("x._b") < F.col("y._e"), F.col("y._b") < F.col("x._e")], "left_anti"))
-    return kept.drop("_b", "_e")
+        ends, begins = F.max(F.when(F.col("_kept"), F.col("_e"))).over(before), F.min(F.when(F.col("_kept"), F.col("_b"))).over(after)
+        out = out.withColumns({"_before": ends, "_after": begins})
+        free = F.coalesce(F.col("_before") <= F.col("_b"), F.lit(True)) & F.coalesce(F.col("_after") >= F.col("_e"), F.lit(True))
+        out = out.withColumn("_kept", F.col("_kept") | ((F.col("nm") == level) & free))
+    return out.where("_kept").select(*hits.columns)
 
 
 def dedup(hits: DataFrame, order: str = "line") -> DataFrame:

@@ -9,6 +9,7 @@ Single-base gaps are reported at their leftmost place.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -100,43 +101,28 @@ def _trace(query: np.ndarray, ref: np.ndarray, moves: np.ndarray, j: int, bulges
 
 
 def leftmost(columns: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Move each gap left while the base before it is the gap's own base, matched."""
-    out = list(columns)
-    moved = True
-    while moved:
-        moved = False
-        for i in range(1, len(out)):
-            (q, r), before = out[i], out[i - 1]
-            if bool(q) != bool(r) and before == ((q or r), (q or r)):
-                out[i - 1], out[i] = out[i], before
-                moved = True
+    """Put each gap before the run of its own base, matched, that it stands behind."""
+    out: list[tuple[str, str]] = []
+    for q, r in columns:
+        at = len(out)
+        if not (q and r):
+            while at and out[at - 1] == (q or r, q or r):
+                at -= 1
+        out.insert(at, (q, r))
     return out
 
 
 def describe(columns: list[tuple[str, str]]) -> tuple[str, str]:
     """CIGAR and MD; the MD has no run of 0 at its end."""
-    cigar: list[list] = []
-    md: list[str] = []
-    run = 0
-    in_deletion = False
-    for q, r in columns:
-        op = "M" if q and r else "I" if q else "D"
-        if cigar and cigar[-1][1] == op:
-            cigar[-1][0] += 1
-        else:
-            cigar.append([1, op])
-        if op == "D":
-            if not in_deletion:
-                md += [str(run), "^"]
-                run = 0
-            md.append(r)
-        elif op == "M":
-            if q == r:
-                run += 1
-            else:
-                md += [str(run), r]
-                run = 0
-        in_deletion = op == "D"
-    if run or not md:
-        md.append(str(run))
-    return "".join(f"{n}{op}" for n, op in cigar), "".join(md)
+    kinds = ["M" if q and r else "I" if q else "D" for q, r in columns]
+    cigar = "".join(f"{sum(1 for _ in run)}{kind}" for kind, run in groupby(kinds))
+    items, same = [], 0
+    target = [("=" if q == r else "X" if q else "D", r) for q, r in columns if r]
+    for kind, run in groupby(target, key=lambda c: c[0]):
+        letters = [r for _, r in run]
+        if kind == "=":
+            same = len(letters)
+            continue
+        items.append(f"{same}^{''.join(letters)}" if kind == "D" else f"{same}{'0'.join(letters)}")
+        same = 0
+    return cigar, "".join(items) + (str(same) if same or not items else "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids as I
@@ -26,33 +26,25 @@ def code(kmer: Column, k: int) -> Column:
 
 
 def _counter(k: int, wanted, keys: int):
+    """Partial counts of each batch by its leading key columns: of the wanted codes, or of all k-mers where none are given."""
+
     def run(batches):
-        table = wanted.value
+        table = wanted.value if wanted is not None else None
         for batch in batches:
-            names = [batch.column(i).to_pylist() for i in range(keys)]
-            seqs = batch.column(keys).to_pylist()
-            sums: dict[tuple, np.ndarray] = {}
-            for i, s in enumerate(seqs):
-                if not s:
-                    continue
-                for _, codes in scan.pieces(scan.encode(s.encode()), k - 1):
+            rows, found = [], []
+            for i, s in enumerate(batch.column(keys).to_pylist()):
+                for _, codes in scan.pieces(scan.encode((s or "").encode()), k - 1):
                     w, ok = scan.window_codes(codes, k)
                     w = w[ok]
-                    at = scan.found_in(np.minimum(w, scan.revcomp_codes(w, k)), table)
-                    own = tuple(n[i] for n in names)
-                    sums[own] = sums.get(own, 0) + np.bincount(at[at >= 0], minlength=len(table))
-            cols: list[list] = [[] for _ in range(keys)]
-            found, n = [], []
-            for own, c in sums.items():
-                hit = np.flatnonzero(c)
-                for i in range(keys):
-                    cols[i] += [own[i]] * len(hit)
-                found.append(table[hit])
-                n.append(c[hit])
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, batch.schema.field(i).type) for i, c in enumerate(cols)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), pa.array(np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64))],
-                names=[*batch.schema.names[:keys], "code", "n"],
-            )
+                    w = np.minimum(w, scan.revcomp_codes(w, k))
+                    if table is not None:
+                        w = w[scan.found_in(w, table) >= 0]
+                    w, n = np.unique(w, return_counts=True)
+                    rows.append(np.full(len(w), i))
+                    found.append((w, n))
+            code, n = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(keys)), pa.array(code), pa.array(n)], names=[*batch.schema.names[:keys], "code", "n"])
 
     return run
 
@@ -60,21 +52,17 @@ def _counter(k: int, wanted, keys: int):
 def count_kmers(contigs: DataFrame, kmers: DataFrame, k: int, by: tuple[str, ...] = ("grp",), block: int = scan.BLOCK) -> DataFrame:
     """by..., ckmer, cnt: how often each wanted canonical k-mer (column ckmer of kmers) occurs in the contigs.
 
-    Each task counts what it meets; Spark adds the partial counts up by group and k-mer.
+    Up to `block` wanted k-mers are broadcast, and each task counts those it meets; beyond, tasks count all k-mers, and a join keeps the
+    wanted ones. Either way Spark adds the partial counts up by group and k-mer.
     """
-    spark = contigs.sparkSession
-    wanted = kmers.select("ckmer").distinct().select("ckmer", code(F.col("ckmer"), k).alias("code"))
     if k > 31:
         raise ValueError("k must be at most 31")
-    codes = np.sort(np.array([r["code"] for r in wanted.select("code").toLocalIterator()], np.int64))  # the probes' k-mers, in blocks of a fixed size below
+    wanted = kmers.select("ckmer").distinct().select("ckmer", code(F.col("ckmer"), k).alias("code"))
     rows = contigs.select(*by, "seq")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-
-    def one(part: np.ndarray) -> DataFrame:
-        table = spark.sparkContext.broadcast(np.asarray(part, np.int64))
-        return rows.mapInArrow(_counter(k, table, len(by)), f"{schema}, code long, n long" if by else "code long, n long")
-
-    partial = scan.in_blocks(spark, codes, block, one)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["code long", "n long"])
+    few = wanted.select("code").limit(block + 1).toArrow().column("code").to_numpy()  # whether they are few, and then all of them
+    table = contigs.sparkSession.sparkContext.broadcast(np.sort(few)) if len(few) <= block else None
+    partial = rows.mapInArrow(_counter(k, table, len(by)), schema)
     return partial.groupBy(*by, "code").agg(F.sum("n").alias("cnt")).join(wanted, "code").select(*by, "ckmer", "cnt")
 
 
@@ -115,13 +103,25 @@ def own_sequences(contigs: DataFrame, sources: DataFrame, versionless: bool = Fa
 
 
 def write_counts(counts: DataFrame, path: str, k: int) -> None:
-    """The k-mer database: Parquet by group and k."""
-    counts.withColumn("k", F.lit(k)).write.mode("append").partitionBy("grp", "k").parquet(path)
+    """The k-mer database: Parquet by k and group. What is written replaces its own partitions, so that a rebuild or a retry counts nothing twice."""
+    out = counts.withColumn("k", F.lit(k)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("k", "grp").parquet(path)
 
 
 def build_database(contigs: DataFrame, k: int, path: str) -> None:
-    """All canonical k-mers of each group, counted; native shuffle with map-side sums."""
-    chunks = contigs.select("grp", F.explode(F.sequence(F.lit(1), F.greatest(F.length("seq"), F.lit(1)), F.lit(512))).alias("at"), "seq")
-    chunks = chunks.select("grp", F.substr("seq", "at", F.lit(512 + k - 1)).alias("seq"))
-    w = chunks.select("grp", F.explode(S.windows(F.upper("seq"), k)).alias("w")).select("grp", F.col("w.window").alias("kmer")).where(~F.rlike("kmer", F.lit("[^ACGT]")))
-    write_counts(w.groupBy("grp", S.canonical(F.col("kmer")).alias("ckmer")).agg(F.count("*").alias("cnt")), path, k)
+    """All canonical k-mers of each group, counted by the scan with partial sums."""
+    rows = contigs.select("grp", "seq")
+    partial = rows.mapInArrow(_counter(k, None, 1), "grp string, code long, n long")
+    write_counts(partial.groupBy("grp", "code").agg(F.sum("n").alias("cnt")).select("grp", kmer_of(F.col("code"), k).alias("ckmer"), "cnt"), path, k)
+
+
+def read_database(spark: SparkSession, path: str, k: int, groups: list[str] | None = None) -> DataFrame:
+    """grp, ckmer, cnt of a k-mer database; k and groups prune its folders."""
+    out = spark.read.parquet(path).where(F.col("k") == k)
+    return (out.where(F.col("grp").isin(*groups)) if groups else out).select("grp", "ckmer", "cnt")
+
+
+def kmer_of(code_: Column, k: int) -> Column:
+    """The k-mer of a 2-bit code."""
+    digits = F.lpad(F.conv(code_.cast("string"), 10, 4), k, "0")
+    return F.translate(digits, "0123", "ACGT")

@@ -9,13 +9,8 @@ from ..functions import ids as I
 from ..functions import seq as S
 from ..functions import tags
 
-# Feature colours and descriptions by class.
-RISK = {
-    "safe": ("#28a745", "Safe probe"),
-    "medium_risk": ("#ffc107", "Medium risk probe"),
-    "high_risk": ("#dc3545", "High risk probe"),
-    "no_alignment": ("#6c757d", "No alignment"),
-}
+# Feature colours by class.
+COLOURS = {"high_risk": "#dc2626", "medium_risk": "#ea580c", "safe": "#10b981", "no_alignment": "#6b7280"}
 
 KEY = ("probe_id", "rname", "pos", "flag")
 
@@ -67,6 +62,12 @@ def page(hits: DataFrame, number: int, size: int) -> DataFrame:
     return hits.orderBy("probe_id", "rname", "pos", "flag").offset((number - 1) * size).limit(size)
 
 
+def total_pages(hits: DataFrame, size: int) -> DataFrame:
+    """n, pages: how many distinct alignments there are, and pages of them (0 if none)."""
+    n = F.col("n")
+    return count_alignments(hits).select("n", F.ceil(n / size).cast("long").alias("pages"))
+
+
 def of_probe(hits: DataFrame, probe: str) -> DataFrame:
     return hits.where((F.col("probe_id") == probe) | (I.base_id(F.col("probe_id")) == probe))
 
@@ -87,22 +88,27 @@ def region_totals(regions: DataFrame) -> DataFrame:
     return regions.agg(F.count("*").alias("n"), F.max("end").alias("gene_length"))
 
 
-def features(probes: DataFrame, statuses: DataFrame, safe: DataFrame) -> DataFrame:
-    """probe_id, start, end, status, mismatches, reason: class and k-mer screen together, in four states."""
+def features(probes: DataFrame, statuses: DataFrame, safe: DataFrame, host_internal: bool = False) -> DataFrame:
+    """probe_id, start, end, status, mismatches, reason: class and k-mer screen together, in four states (no_alignment only in host-internal runs)."""
     joined = probes.join(statuses.select("probe_id", "status", "min_mismatches"), "probe_id", "left").join(safe.select("probe_id", F.lit(True).alias("_safe")), "probe_id", "left")
-    on = F.col("status").isNull() | (F.col("status") == "safe")
-    state = F.when(on & F.col("_safe"), "safe").when(on, "medium_risk").otherwise(F.col("status"))
+    none, on = F.col("status").isNull(), F.col("status").isNull() | (F.col("status") == "safe")
+    state = F.when(on & F.col("_safe"), "safe").when(none & F.lit(host_internal), "no_alignment").when(on, "medium_risk").otherwise(F.col("status"))
     reason = F.when(on & F.col("_safe").isNull(), "kmer").when(~on, "mismatch")
-    return joined.select("probe_id", "start", "end", state.alias("status"), F.col("min_mismatches").alias("mismatches"), reason.alias("reason"))
+    shown = F.when(on & F.col("_safe").isNull(), F.lit(None)).otherwise(F.col("min_mismatches"))
+    return joined.select("probe_id", "start", "end", state.alias("status"), shown.alias("mismatches"), reason.alias("reason"))
 
 
 def gff3_lines(feature_rows: DataFrame, seq_id: Column) -> DataFrame:
-    """start, line: GFF3 feature lines with id, risk, colour and description."""
-    colour = F.create_map(*[F.lit(x) for k, v in RISK.items() for x in (k, v[0])])
-    text = F.create_map(*[F.lit(x) for k, v in RISK.items() for x in (k, v[1])])
-    words = F.concat(F.element_at(text, F.col("status")), F.coalesce(F.concat(F.lit(" ("), F.col("mismatches").cast("string"), F.lit(" mismatches)")), F.lit("")))
-    attrs = F.concat_ws(";", F.concat(F.lit("ID="), I.base_id(F.col("probe_id"))), F.concat(F.lit("risk="), F.col("status")), F.concat(F.lit("color="), F.element_at(colour, F.col("status"))), F.concat(F.lit("description="), words))
-    return feature_rows.select("start", F.concat_ws("\t", seq_id, F.lit("strandlake"), F.lit("probe"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), F.lit("+"), F.lit("."), attrs).alias("line"))
+    """start, line: GFF3 feature lines with id, class, errors, colour and description."""
+    n = F.col("mismatches").cast("string")
+    is_ = lambda name: F.col("status") == name
+    text = F.when(is_("safe"), "Safe: No off-target alignments").when(is_("no_alignment"), "No alignment to source gene")
+    text = text.when(is_("high_risk"), F.coalesce(F.concat(F.lit("High risk: "), n, F.lit(" mismatch(es)")), F.lit("High risk: Off-target alignment")))
+    text = text.when(is_("medium_risk"), F.coalesce(F.concat(F.lit("Medium risk: "), n, F.lit(" mismatches")), F.lit("Medium risk: Failed k-mer safety analysis")))
+    colour = F.element_at(F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv]), F.col("status"))
+    base = I.base_id(F.col("probe_id"))
+    attrs = F.concat_ws(";", *[F.concat(F.lit(f"{k}="), v) for k, v in (("ID", base), ("Name", base), ("risk_level", F.col("status")), ("mismatches", n), ("color", colour), ("description", text))])
+    return feature_rows.select("start", F.concat_ws("\t", seq_id, F.lit("probe_design"), F.lit("probe"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), F.lit("+"), F.lit("."), attrs).alias("line"))
 
 
 def risk_histogram(feature_rows: DataFrame) -> DataFrame:
@@ -134,12 +140,24 @@ def options(hits: DataFrame) -> DataFrame:
     return hits.select(F.col("nm").alias("mismatches")).distinct().orderBy("mismatches")
 
 
+def bulge_options(hits: DataFrame) -> DataFrame:
+    """The distinct numbers of gap bases to choose from."""
+    return hits.select(tags.bulges(F.col("cigar")).alias("bulges")).distinct().orderBy("bulges")
+
+
+def kmer_off_target(on_target: DataFrame, safe: DataFrame) -> DataFrame:
+    """probes: how many that went into the k-mer screen didn't pass it."""
+    return on_target.agg(F.count("*").alias("a")).crossJoin(safe.agg(F.count("*").alias("b"))).select(F.greatest(F.lit(0), F.col("a") - F.col("b")).alias("probes"))  # one row with one row
+
+
 def metrics_table(probes: DataFrame) -> DataFrame:
-    """The metrics report's columns in order of place, with the order-ready reverse complement; numbers as text."""
+    """The metrics report's nine columns in order of place, with the order-ready reverse complement; numbers as text."""
+    from ..functions.structure import structure_penalty
+
     yes = F.when(F.col("homopolymer"), "Yes").otherwise("No")
     return probes.orderBy("gene_id", "start").select(
-        "probe_id", "seq", S.revcomp(F.col("seq")).alias("order_seq"), F.format_string("%.2f", F.col("tm")).alias("tm"), F.format_string("%.1f", F.col("gc")).alias("gc"),
-        F.length("seq").alias("length"), yes.alias("homopolymer"), F.format_string("%.3f", F.col("complexity")).alias("complexity"),
+        "probe_id", "seq", F.format_string("%.2f", F.col("tm")).alias("tm"), F.format_string("%.1f", F.col("gc")).alias("gc"), F.length("seq").alias("length"),
+        F.format_string("%.3f", F.col("complexity")).alias("complexity"), F.format_string("%.3f", structure_penalty(F.col("seq"))).alias("structure"), yes.alias("homopolymer"), S.revcomp(F.col("seq")).alias("order_seq"),
     )
 
 

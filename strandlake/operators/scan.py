@@ -1,8 +1,8 @@
 """Scans of reference sequences for k-mers and seeds.
 
 A scan encodes a batch of contigs as base codes with numpy and looks all windows up in a sorted table of wanted codes; only hits leave the
-task, so nothing of the reference is shuffled. The wanted table comes from the probes. It is broadcast in blocks of a checked size: a
-larger set of probes takes several scans, whose results are united.
+task, so nothing of the reference is shuffled. The wanted table comes from the probes. It is broadcast where its checked size allows it: a
+larger set of probes takes several scans, whose results are united, and a larger set of k-mers is joined by a shuffle.
 
 Windows never span contigs, and windows with a base other than ACGT never match. A very long contig is handled in overlapping
 pieces, so a task's memory doesn't grow with it.
@@ -10,10 +10,9 @@ pieces, so a task's memory doesn't grow with it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 
 #: Wanted codes broadcast at once: 8 bytes each.
 BLOCK = 4_000_000
@@ -83,12 +82,3 @@ def found_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     at = np.searchsorted(table, values)
     at[at == len(table)] = 0
     return np.where(table[at] == values, at, -1)
-
-
-def in_blocks(spark: SparkSession, rows: list, size: int, scan: Callable[[list], DataFrame]) -> DataFrame:
-    """The union of one scan for each block of rows."""
-    blocks = [rows[i : i + size] for i in range(0, len(rows), size)] or [[]]
-    out = scan(blocks[0])
-    for b in blocks[1:]:
-        out = out.unionByName(scan(b))
-    return out

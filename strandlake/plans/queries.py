@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids as I
@@ -12,22 +10,12 @@ from ..functions import seq as S
 from ..functions import tags
 from ..functions.structure import structure_penalty
 from ..operators import align, annotate, classify, kmers, report, tiling
+from ..sources import stage
 from . import base as B
 from . import design
+from .registry import QUERIES, SQL, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
-        if sql:
-            SQL[name or f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["QUERIES", "SQL"]
 
 
 def _probe_name(df: DataFrame) -> DataFrame:
@@ -265,13 +253,36 @@ def align_budget(spark, sf):
     return align.within_budget(B.hits(spark, sf), 1, 0).select(*_COLS)
 
 
-@query()
+@query(f"WITH {B.GAPPED} SELECT probe_id, flag, rname, pos, nm, q AS seq, target FROM gapped")
 def align_gapped(spark, sf):
-    p = B.probes(spark, sf)
-    # one base left out of, or doubled in, the middle of a probe
-    short = p.select(F.concat("probe_id", F.lit("|del")).alias("probe_id"), F.concat(F.substring("seq", 1, 17), F.substr("seq", F.lit(19))).alias("seq"))
-    long = p.select(F.concat("probe_id", F.lit("|ins")).alias("probe_id"), F.concat(F.substring("seq", 1, 18), F.substr("seq", F.lit(18))).alias("seq"))
-    return align.align_gapped(short.union(long), B.contigs(spark, sf), B.ERRORS, 1).drop("seq")
+    return align.align_gapped(B.bulged(spark, sf), B.contigs(spark, sf), B.ERRORS, 1).select(*_COLS, "seq", "target")
+
+
+@query(f"WITH {B.GAPPED} SELECT probe_id, flag, rname, pos, abs(length(q) - length(target)) AS bulges, nm - abs(length(q) - length(target)) AS substitutions FROM gapped")
+def gapped_tags(spark, sf):
+    """Gaps and substitutions of gapped alignments, from their CIGAR and MD."""
+    h = align.align_gapped(B.bulged(spark, sf), B.contigs(spark, sf), B.ERRORS, 1)
+    return h.select("probe_id", "flag", "rname", "pos", tags.bulges(F.col("cigar")).cast("long").alias("bulges"), tags.substitutions(F.col("md")).cast("long").alias("substitutions"))
+
+
+@query(f"WITH {B.GAPPED} SELECT probe_id, flag, rname, pos, nm, target FROM gapped WHERE nm <= 1")
+def gapped_budget(spark, sf):
+    h = align.align_gapped(B.bulged(spark, sf), B.contigs(spark, sf), B.ERRORS, 1)
+    return align.within_budget(h, 1, 1).select("probe_id", "flag", "rname", "pos", "nm", "target")
+
+
+@query(f"WITH {B.GAPPED} SELECT probe_id, flag, rname AS target_transcript, pos AS position, upper(q) AS letters, upper(target) AS target_letters, CAST(nm AS INTEGER) AS mismatches, CASE WHEN flag = 16 THEN '-' ELSE '+' END AS strand FROM gapped")
+def gapped_records(spark, sf):
+    """Gapped alignments as shown to a reader; without their gaps and marks, both lines are the sequences."""
+    h = align.align_gapped(B.bulged(spark, sf), B.contigs(spark, sf), B.ERRORS, 1)
+    bare = lambda c: F.upper(F.replace(c, F.lit("-")))
+    r = report.gapped_records(h).withColumn("flag", F.when(F.col("strand") == "-", 16).otherwise(0))
+    return r.select("probe_id", "flag", "target_transcript", "position", bare(F.col("sequence")).alias("letters"), bare(F.col("target_sequence")).alias("target_letters"), "mismatches", "strand")
+
+
+@query(f"WITH {B.GAPPED} SELECT DISTINCT abs(length(q) - length(target)) AS bulges FROM gapped")
+def bulge_options(spark, sf):
+    return report.bulge_options(align.align_gapped(B.bulged(spark, sf), B.contigs(spark, sf), B.ERRORS, 1)).select(F.col("bulges").cast("long").alias("bulges"))
 
 
 @query(
@@ -347,13 +358,13 @@ src AS (SELECT job, list_sort(list(rname)) AS sources FROM iso GROUP BY job)"""
 
 @query(_INFER + " SELECT job, array_to_string(sources, ',') AS sources FROM src")
 def source_infer(spark, sf):
-    return classify.infer_source(B.hits(spark, sf)).select("job", F.array_join("sources", ",").alias("sources"))
+    return classify.infer_source(stage.keep(B.hits(spark, sf), "hits")).select("job", F.array_join("sources", ",").alias("sources"))
 
 
 @query(_INFER + f""", {B.GENE_MAP}, g AS (SELECT job, top, gene AS source_gene FROM top LEFT JOIN gene_map ON transcript = top)
 SELECT job, source_gene, array_to_string(coalesce(list_sort(list(DISTINCT transcript) FILTER (transcript IS NOT NULL)), [top]), ',') AS sources FROM g LEFT JOIN gene_map ON gene = source_gene GROUP BY job, source_gene, top""")
 def source_infer_genes(spark, sf):
-    return classify.infer_source(B.hits(spark, sf), B.gene_map(spark, sf)).select("job", "source_gene", F.array_join("sources", ",").alias("sources"))
+    return classify.infer_source(stage.keep(B.hits(spark, sf), "hits"), B.gene_map(spark, sf)).select("job", "source_gene", F.array_join("sources", ",").alias("sources"))
 
 
 # ---------------------------------------------------------------------------------- classification
@@ -374,7 +385,7 @@ _A = f"{_INFER}, {B.GENE_MAP}, a AS (SELECT hits.*, coalesce(gene, rname) AS gen
 
 @query(_classify_sql("NOT list_contains(list_transform(sources, lambda t: split_part(t, '.', 1)), split_part(rname, '.', 1))", f"CASE WHEN exact THEN 'safe' ELSE {_RISK} END", _A, "LEFT JOIN src USING (job)"))
 def classify_gene_input(spark, sf):
-    h = B.hits(spark, sf).persist()
+    h = stage.keep(B.hits(spark, sf), "hits")
     return classify.classify(annotate.annotate_genes(h, B.gene_map(spark, sf)), classify.infer_source(h)).select(*_OUT)
 
 
@@ -422,34 +433,35 @@ def region_totals(spark, sf):
     return report.region_totals(report.regions(B.probes(spark, sf), B.hits(spark, sf)))
 
 
-def _features(spark, sf):
+def features(spark, sf):
+    """The probes' classes together with their k-mer screen."""
     p = B.probes(spark, sf)
     statuses = classify.classify(_genes_of(spark, sf), is_probe_input=True)
-    return report.features(p, statuses, p.where("start % 3 = 0").select("probe_id"))
+    words = kmers.explode_kmers(p, B.K)
+    return report.features(p, statuses, kmers.safe_probes(p, words, kmers.count_kmers(B.contigs(spark, sf), words, B.K, by=())))
 
 
-_FEATURES = f"""WITH {B.HITS}, m AS (SELECT probe_id, min(nm) AS mm FROM hits GROUP BY 1), f AS (SELECT probe_id, "start", "end",
-  CASE WHEN mm IS NULL THEN CASE WHEN "start" % 3 = 0 THEN 'safe' ELSE 'medium_risk' END WHEN mm <= 1 THEN 'high_risk' ELSE 'medium_risk' END AS status, mm AS mismatches,
-  CASE WHEN mm IS NOT NULL THEN 'mismatch' WHEN "start" % 3 <> 0 THEN 'kmer' END AS reason FROM probes LEFT JOIN m USING (probe_id))"""
+_FEATURES = f"""WITH {B.HITS}, {B.SCREEN}, m AS (SELECT probe_id, min(nm) AS mm FROM hits GROUP BY 1), f AS (SELECT probes.probe_id, "start", "end",
+  CASE WHEN mm IS NULL THEN CASE WHEN screened.probe_id IS NULL THEN 'medium_risk' ELSE 'safe' END WHEN mm <= 1 THEN 'high_risk' ELSE 'medium_risk' END AS status, mm AS mismatches,
+  CASE WHEN mm IS NOT NULL THEN 'mismatch' WHEN screened.probe_id IS NULL THEN 'kmer' END AS reason FROM probes LEFT JOIN m USING (probe_id) LEFT JOIN screened ON screened.probe_id = probes.probe_id)"""
 
 
 @query(_FEATURES + " SELECT * FROM f")
 def gff3_features(spark, sf):
-    return _features(spark, sf)
+    return features(spark, sf)
 
 
-_COLOUR = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in report.RISK.items()) + " END"
-_WORDS = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in report.RISK.items()) + " END"
-
-
-@query(_FEATURES + f""" SELECT "start", concat_ws(chr(9), 'ref', 'strandlake', 'probe', "start", "end", '.', '+', '.', 'ID=' || split_part(probe_id, '|', 1) || ';risk=' || status || ';color=' || {_COLOUR} || ';description=' || {_WORDS} || coalesce(' (' || mismatches || ' mismatches)', '')) AS line FROM f""")
+@query(_FEATURES + """ SELECT "start", concat_ws(chr(9), 'ref', 'probe_design', 'probe', "start", "end", '.', '+', '.', 'ID=' || split_part(probe_id, '|', 1) || ';Name=' || split_part(probe_id, '|', 1) || ';risk_level=' || status
+|| coalesce(';mismatches=' || mismatches, '') || ';color=' || CASE status WHEN 'high_risk' THEN '#dc2626' WHEN 'medium_risk' THEN '#ea580c' WHEN 'safe' THEN '#10b981' ELSE '#6b7280' END || ';description='
+|| CASE WHEN status = 'safe' THEN 'Safe: No off-target alignments' WHEN status = 'high_risk' THEN 'High risk: ' || mismatches || ' mismatch(es)' WHEN mismatches IS NULL THEN 'Medium risk: Failed k-mer safety analysis'
+ELSE 'Medium risk: ' || mismatches || ' mismatches' END) AS line FROM f""")
 def gff3_lines(spark, sf):
-    return report.gff3_lines(_features(spark, sf), F.lit("ref"))
+    return report.gff3_lines(features(spark, sf), F.lit("ref"))
 
 
 @query(_FEATURES + " SELECT count(*) FILTER (status = 'safe') AS safe, count(*) FILTER (status = 'high_risk') AS high_risk, count(*) FILTER (status = 'medium_risk' AND reason = 'kmer') AS medium_kmer, count(*) FILTER (status = 'medium_risk' AND reason = 'mismatch') AS medium_mismatch, count(*) AS total FROM f")
 def risk_histogram(spark, sf):
-    return report.risk_histogram(_features(spark, sf))
+    return report.risk_histogram(features(spark, sf))
 
 
 # ------------------------------------------------------------------------------------ read queries
@@ -460,9 +472,26 @@ def alignments_page(spark, sf):
     return report.page(B.hits(spark, sf), 2, 50).select(*_COLS)
 
 
-@query(f"WITH {B.HITS} SELECT {', '.join(_COLS)} FROM hits WHERE split_part(probe_id, '|', 1) = 'probe_g1_11_0'")
+@query(f"WITH {B.HITS} SELECT count(*) AS n, CAST(ceil(count(*) / 50) AS BIGINT) AS pages FROM hits")
+def alignment_pages(spark, sf):
+    return report.total_pages(B.hits(spark, sf), 50)
+
+
+@query(f"WITH {B.HITS} SELECT {', '.join(_COLS)} FROM hits WHERE split_part(probe_id, '|', 1) = (SELECT min(split_part(probe_id, '|', 1)) FROM hits)")
 def alignments_for_probe(spark, sf):
-    return report.of_probe(B.hits(spark, sf), "probe_g1_11_0").select(*_COLS)
+    """All alignments of the first probe that has any."""
+    h = stage.keep(B.hits(spark, sf), "hits")
+    first = h.agg(F.min(I.base_id(F.col("probe_id")))).first()[0]
+    return report.of_probe(h, first or "").select(*_COLS)
+
+
+@query(f"WITH {B.HITS}, {B.GENE_MAP}, s AS (SELECT job, min(rname) AS src, min(gene) AS g FROM hits LEFT JOIN gene_map ON transcript = rname GROUP BY job) SELECT probe_id, flag, rname, pos, nm FROM hits JOIN s USING (job) LEFT JOIN gene_map ON transcript = rname WHERE split_part(rname, '.', 1) <> split_part(src, '.', 1) AND coalesce(gene, rname) IS DISTINCT FROM g")
+def off_target_hits(spark, sf):
+    """Alignments that are not on the job's own source: its least transcript and its least gene."""
+    h = annotate.annotate_genes(stage.keep(B.hits(spark, sf), "hits"), B.gene_map(spark, sf))
+    named = h.join(B.gene_map(spark, sf).select(F.col("transcript").alias("rname"), "gene"), "rname", "left")
+    sources = named.groupBy("job").agg(F.min("gene").alias("source_gene"), F.array(F.min("rname")).alias("sources"))
+    return report.off_target(h, sources).select(*_COLS)
 
 
 @query(f"WITH {B.HITS} SELECT {', '.join(_COLS)} FROM hits WHERE nm = 1")
@@ -486,7 +515,7 @@ def alignment_records(spark, sf):
 
 @query(_ANN + ", c AS (SELECT gene_id AS label, count(*) AS cnt FROM a GROUP BY 1) SELECT label, cnt, round(cnt / sum(cnt) OVER () * 100, 6) AS pct FROM (SELECT * FROM c ORDER BY cnt DESC, label LIMIT 12)")
 def offtarget_topn(spark, sf):
-    h = _genes_of(spark, sf)
+    h = stage.keep(_genes_of(spark, sf), "hits")
     best = report.summary(h, I.label(F.col("gene_id"), F.col("rname"))).orderBy(F.desc("cnt"), "label").limit(12)
     total = best.agg(F.sum("cnt").alias("t"))
     return best.crossJoin(F.broadcast(total)).select("label", "cnt", R6(F.col("cnt") / F.col("t") * 100).alias("pct"))
@@ -495,14 +524,15 @@ def offtarget_topn(spark, sf):
 @query(_ANN + """, c AS (SELECT gene_id AS label, count(*) AS cnt FROM a GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY cnt DESC, label) AS r FROM c)
 SELECT CASE WHEN r <= 12 THEN label ELSE 'others' END AS label, CAST(sum(cnt) AS BIGINT) AS cnt, round(sum(cnt) / (SELECT sum(cnt) FROM c) * 100, 6) AS pct FROM r GROUP BY 1""")
 def offtarget_others(spark, sf):
-    return report.summary(_genes_of(spark, sf), I.label(F.col("gene_id"), F.col("rname")), 12).withColumn("pct", R6(F.col("pct")))
+    return report.summary(stage.keep(_genes_of(spark, sf), "hits"), I.label(F.col("gene_id"), F.col("rname")), 12).withColumn("pct", R6(F.col("pct")))
 
 
-@query(_ANN + """, r AS (SELECT probe_id, CASE WHEN min(nm) <= 1 THEN 'high_risk' ELSE 'medium_risk' END AS risk FROM hits GROUP BY 1)
-SELECT probe_id, seq AS probe_sequence, target AS target_sequence, rname AS target, gene_id AS label, nm AS mismatches, pos, CASE WHEN flag = 16 THEN '-' ELSE '+' END AS strand, risk FROM a JOIN r USING (probe_id) WHERE risk = 'high_risk'""")
+@query(_ANN + f""", r AS (SELECT probe_id, CASE WHEN min(nm) <= 1 THEN 'high_risk' ELSE 'medium_risk' END AS risk FROM hits GROUP BY 1)
+SELECT probe_id, seq AS probe_sequence, printf('%.1f%%', {B.gc('seq')}) AS gc, target AS target_sequence, rname AS target, gene_id AS label, nm AS mismatches, pos, CASE WHEN flag = 16 THEN '-' ELSE '+' END AS strand, risk FROM a JOIN r USING (probe_id) WHERE risk = 'high_risk'""")
 def risk_report_tsv(spark, sf):
-    risks = report.regions(B.probes(spark, sf), B.hits(spark, sf)).where("risk = 'high_risk'")
-    return report.risk_table(_genes_of(spark, sf), risks).drop("gc")
+    h = stage.keep(B.hits(spark, sf), "hits")
+    risks = report.regions(B.probes(spark, sf), h).where("risk = 'high_risk'")
+    return report.risk_table(annotate.annotate_genes(h, B.gene_map(spark, sf)), risks)
 
 
 @query(f"""WITH {B.HITS} SELECT probe_id, count(*) AS n, min(nm) AS best, string_agg(nm || ':' || rname || ':' || pos || ':' || flag, ',' ORDER BY nm, rname, pos, flag) AS alignments FROM hits GROUP BY probe_id""")
@@ -515,11 +545,15 @@ def mismatch_options(spark, sf):
     return report.options(B.hits(spark, sf))
 
 
-@query(f"WITH {B.CANDIDATES}, s AS (SELECT *, {B.rc('seq')} AS order_seq FROM candidates) SELECT gene_id, \"start\", seq, order_seq, CAST(36 AS INTEGER) AS length, 'No' AS homopolymer FROM s")
+@query(
+    f"""WITH {B.CANDIDATES}, n AS (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY "start") - 1 AS i FROM candidates)
+SELECT 'probe_' || i || '|start=' || "start" || '|end=' || "end" || '|' || gene_id AS probe_id, seq, round({B.tm('seq')}, 2) AS tm, round({B.gc('seq')}, 1) AS gc, CAST(36 AS INTEGER) AS length,
+round({B.complexity('seq')}, 3) AS complexity, 'No' AS homopolymer, {B.rc('seq')} AS order_seq FROM n"""
+)
 def metrics_table(spark, sf):
-    p = tiling.with_metrics(tiling.number(B.candidates(spark, sf)))
-    out = report.metrics_table(p)
-    return out.select(F.element_at(F.split("probe_id", r"\|"), -1).alias("gene_id"), I.field(F.col("probe_id"), "start").alias("start"), "seq", "order_seq", "length", "homopolymer")
+    """The report's columns but the secondary structure, whose model SQL can't express (secondary_structure has it)."""
+    out = report.metrics_table(tiling.with_metrics(tiling.number(B.candidates(spark, sf)))).drop("structure")
+    return out.withColumns({c: F.col(c).cast("double") for c in ("tm", "gc", "complexity")})
 
 
 # ------------------------------------------------------------------------------------ whole designs

@@ -43,10 +43,13 @@ def genome_species(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("species <> ''")
 
 
-def refseq(spark: SparkSession, path: str) -> DataFrame:
-    """accession, symbol, species (null if there is none): tabs, a header line, the first line of an accession wins."""
+def refseq(spark: SparkSession, path: str, header: str = "accession") -> DataFrame:
+    """accession, symbol, species (null if there is none): tabs; lines that begin with the header's first word are headers, one in each file; of lines
+    with an accession and a symbol, an accession's first counts, by file name and place in the file."""
     cols = F.split("value", "\t")
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), cols.alias("c")).where((F.col("at") > 0) & (F.size("c") >= 2))
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = spark.read.text(path).select(order.alias("at"), cols.alias("c")).where((F.size("c") >= 2) & (F.col("c")[0] != "") & (F.col("c")[1] != ""))
+    rows = rows.where(F.lower(F.ltrim(F.col("c")[0], F.lit("#"))) != header.lower())
     first = rows.groupBy(F.col("c")[0].alias("accession")).agg(F.min_by("c", "at").alias("c"))
     return first.select("accession", F.col("c")[1].alias("symbol"), F.get("c", F.lit(2)).alias("species"))
 

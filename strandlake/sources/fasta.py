@@ -65,11 +65,15 @@ def faults(records: DataFrame) -> DataFrame:
     return records.select("seq_id", fault.alias("fault")).where("fault IS NOT NULL")
 
 
-def contigs(spark: SparkSession, groups: dict[str, str | list[str]]) -> DataFrame:
+#: The names of reference chunks, of hosts and of catalogs.
+CHUNKS = {"host": "*.{fa,fa.gz}", "microbiome": "*.{fna,fna.gz}"}
+
+
+def contigs(spark: SparkSession, groups: dict[str, str | list[str]], glob: str = "*.{fa,fna,fasta,fa.gz,fna.gz}") -> DataFrame:
     """contig, genome, grp, seq, file of the reference files of each group."""
     out = None
     for name, path in groups.items():
-        part = read(spark, path).select(F.col("seq_id").alias("contig"), F.substring_index("seq_id", "_", 1).alias("genome"), F.lit(name).alias("grp"), "seq", "file")
+        part = read(spark, path, glob).select(F.col("seq_id").alias("contig"), F.substring_index("seq_id", "_", 1).alias("genome"), F.lit(name).alias("grp"), "seq", "file")
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no groups")

@@ -26,8 +26,29 @@ def read_gff3(spark: SparkSession, path: str) -> DataFrame:
 
 
 def risks_of(gff: DataFrame) -> DataFrame:
-    """probe_id, risk, description of probe features."""
-    return gff.select(F.col("attrs")["ID"].alias("probe_id"), F.col("attrs")["risk"].alias("risk"), F.col("attrs")["description"].alias("description"))
+    """probe_id, risk, mismatches, description of probe features."""
+    a = F.col("attrs")
+    return gff.select(a["ID"].alias("probe_id"), a["risk_level"].alias("risk"), a["mismatches"].try_cast("int").alias("mismatches"), a["description"].alias("description"))
+
+
+METRICS = ("probe_id", "seq", "tm", "gc", "length", "complexity", "structure", "homopolymer", "order_seq")
+
+
+def write_metrics(table: DataFrame, path: str) -> None:
+    """The metrics report as text, two blanks between columns, its heading first."""
+    head = ["=" * 245, "NON-ALIGNED PROBE METRICS", "=" * 245, "", "Probe ID  Sequence  Tm(°C)  GC%  Len  Complexity  SecStruct  Homopoly  OrderReadySeq", "-" * 245]
+    rows = table.select(F.monotonically_increasing_id().alias("o"), F.concat_ws("  ", *[F.col(c).cast("string") for c in METRICS]).alias("line"))
+    top = table.sparkSession.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "o long, line string")
+    top.union(rows).coalesce(1).sortWithinPartitions("o").select("line").write.text(path)  # a report of one run
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a metrics report: its columns, and name (the probe_<n> in its id); headings and rules are left out."""
+    c = F.split("value", r"\s+")
+    rows = spark.read.text(path).where("value NOT RLIKE '^(#|=|-|Probe|$)'").where(F.size(c) == len(METRICS))
+    kinds = {"tm": "double", "gc": "double", "length": "int", "complexity": "double", "structure": "double"}
+    out = rows.select(*[c[i].cast(kinds.get(n, "string")).alias(n) for i, n in enumerate(METRICS)])
+    return out.withColumn("name", F.regexp_extract("probe_id", r"probe_\d+", 0))
 
 
 def write_json(df: DataFrame, path: str) -> None:

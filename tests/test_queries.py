@@ -3,6 +3,7 @@
 import pytest
 from compare import same
 
+from strandlake.plans import files  # noqa: F401 - registers its queries
 from strandlake.plans import queries as plans
 
 

@@ -35,8 +35,10 @@ def test_annotation_files(spark, tmp_path):
     assert sorted(tuple(r) for r in annotation.gff3_genes(spark, str(tmp_path / "a.gff3")).collect()) == [("t1", "N1"), ("t2", "g2"), ("t3", "g9")]
     (tmp_path / "m.tsv").write_text("\t".join(f"c{i}" for i in range(15)) + "\n" + "\t".join(["MG1"] + ["x"] * 13 + ["d__B;s__Some species"]) + "\n")
     assert [tuple(r) for r in annotation.genome_species(spark, str(tmp_path / "m.tsv")).collect()] == [("MG1", "Some species")]
-    (tmp_path / "r.tsv").write_text("acc\tsym\tsp\nNM_1\tA\thuman\nNM_1\tB\thuman\nNM_2\tC\n")
-    assert sorted(tuple(r) for r in annotation.refseq(spark, str(tmp_path / "r.tsv")).collect()) == [("NM_1", "A", "human"), ("NM_2", "C", None)]
+    (tmp_path / "r.tsv").write_text("acc\tsym\tsp\nNM_1\tA\thuman\nNM_1\tB\thuman\nNM_2\tC\nNM_4\t\n")
+    (tmp_path / "s.tsv").write_text("#Acc\tsym\tsp\nNM_1\tD\thuman\nNM_3\tE\n")
+    got = sorted(tuple(r) for r in annotation.refseq(spark, str(tmp_path / "[rs].tsv"), header="acc").collect())
+    assert got == [("NM_1", "A", "human"), ("NM_2", "C", None), ("NM_3", "E", None)]
     assert annotation.latest_release(["g.v9.gtf", "g.v10.gtf", "x"], r"v(\d+)\.gtf") == 10 and annotation.latest_release([], "x") is None
     genes = lambda: annotation.gtf_genes(spark, str(tmp_path / "a.gtf"))
     assert annotation.cached_genes(spark, genes, 9, str(tmp_path / "cache")).count() == 1
@@ -71,7 +73,7 @@ def test_gff3_round_trip(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part*"))).splitlines()
     assert text[:2] == ["##gff-version 3", "##sequence-region ref 1 100"] and text[2].split("\t")[3] == "3"
     got = reports.risks_of(reports.read_gff3(spark, str(tmp_path / "g"))).collect()
-    assert sorted(tuple(r) for r in got) == [("probe_1", "safe", "Safe probe"), ("probe_2", "high_risk", "High risk probe (1 mismatches)")]
+    assert sorted(tuple(r) for r in got) == [("probe_1", "safe", None, "Safe: No off-target alignments"), ("probe_2", "high_risk", 1, "High risk: 1 mismatch(es)")]
     reports.write_json(feats.select("probe_id"), str(tmp_path / "j"))
     assert reports.read_json(spark, str(tmp_path / "j"), "probe_id string").count() == 2
     reports.write_table(feats, str(tmp_path / "t"))
