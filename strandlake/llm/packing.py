@@ -83,7 +83,8 @@ def best_fit_decreasing(lengths: Counter, capacity: int) -> Plan:
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: for each size a, pieces above capacity - a stand alone, those above half of it open bins, and those of a..half fill what is left."""
+    """Bins that any packing needs: for each size a, pieces above capacity - a stand alone, those above half of it open bins, and those of a..half fill what is left;
+    and of pieces above capacity / (j + 1), no bin holds more than j."""
     sizes = np.arange(capacity + 1)
     half = capacity // 2
     many, much = np.cumsum(counts[::-1])[::-1], np.cumsum((counts * sizes)[::-1])[::-1]  # pieces of at least i, and their tokens
@@ -92,7 +93,9 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     large, large_much = many[half + 1] - alone, much[half + 1] - alone_much
     small = much[: half + 1] - much[half + 1]
     rest = np.maximum(small - (large * capacity - large_much), 0)
-    return int((alone + large + -(-rest // capacity)).max())
+    j = np.arange(1, capacity + 1)
+    per_bin = -(-many[capacity // (j + 1) + 1] // j)
+    return int(max((alone + large + -(-rest // capacity)).max(), per_bin.max()))
 
 
 def _dominated(filling: tuple[int, ...], at_hand: int, waste: int) -> bool:
@@ -157,11 +160,11 @@ class Solution(NamedTuple):
     bound: int  #: no packing has fewer bins; bins - bound is the most that could be gained
 
 
-def bin_completion(lengths: dict[int, int], capacity: int, steps: int = 200_000) -> Solution:
+def bin_completion(lengths: dict[int, int], capacity: int, steps: int = 1_500_000) -> Solution:
     """Bins for a histogram of lengths (1..capacity).
 
     The search is complete: bins are built around the largest piece left (where at most FEW lengths are left, around the one with the fewest
-    fillings), every undominated filling is tried, and each as often as it fits down to once. It ends when the lower bound is reached, when all is tried, or after `steps` fillings; then `bins` may exceed the optimum by at
+    fillings), every undominated filling is tried, and each as often as it fits down to once. It ends when the lower bound is reached, when all is tried, or after `steps` fillings and lengths looked at; then `bins` may exceed the optimum by at
     most bins - bound. `steps` limits the driver's time, not the input: what is packed is always whole.
     """
     lengths = Counter({int(k): int(v) for k, v in lengths.items() if v > 0})
@@ -185,26 +188,33 @@ def bin_completion(lengths: dict[int, int], capacity: int, steps: int = 200_000)
         return fillings(rest, capacity - piece, spare)
 
     class Node:
-        """The bins of one piece: its fillings, the one at work, and how often it may still be taken."""
+        """The bins of one piece: its fillings, the one at work, and how often it may still be taken. Below other nodes it only knows how many fillings it has had."""
 
         def __init__(self, again: int | None, tried: frozenset):
             nonlocal steps
             left = [int(k) for k in np.flatnonzero(counts)[::-1]]
-            spare = (best_bins - 1) * capacity - total - waste
+            self.spare = (best_bins - 1) * capacity - total - waste
             self.piece, fewest = left[0] if again is None else again, FEW
+            steps -= len(left)
             if again is None and len(left) <= FEW:
                 for k in left:
-                    n = sum(1 for _ in islice(ways(k, spare), fewest))
-                    steps -= n + 1
+                    n = sum(1 for _ in islice(ways(k, self.spare), fewest))
+                    steps -= len(left) + n
                     if n < fewest:
                         self.piece, fewest = k, n
                     if not n:
                         break
             self.tried = tried  # fillings of this piece that an earlier node settled
-            self.ways = ways(self.piece, spare)
+            self.had, self.ways = 0, None
             self.filling: tuple[int, ...] = ()
             self.times = 0
 
+        def next(self) -> tuple[int, ...] | bool | None:
+            if self.ways is None:
+                self.ways = islice(ways(self.piece, self.spare), self.had, None)
+            self.had += 1
+            return next(self.ways, False)
+
     def undo(node: Node) -> None:
         nonlocal bins, waste
         filling, n = plan.pop()
@@ -220,9 +230,9 @@ def bin_completion(lengths: dict[int, int], capacity: int, steps: int = 200_000)
         if placed[-1]:
             undo(node)
             placed[-1] = False
-        steps -= 1
+        steps -= 10
         if not node.times:
-            way = next(node.ways, False)
+            way = node.next()
             if way is False:
                 stack.pop()
                 placed.pop()
@@ -248,6 +258,7 @@ def bin_completion(lengths: dict[int, int], capacity: int, steps: int = 200_000)
             if bins < best_bins:
                 best, best_bins = list(plan), bins
         elif bins + lower_bound(counts, capacity) < best_bins:
+            node.ways = None  # frees its tables; it finds its place again if the search comes back
             same = counts[node.piece] > 0
             stack.append(Node(node.piece, node.tried | {node.filling[1:]}) if same else Node(None, frozenset()))
             placed.append(False)
