@@ -1,6 +1,6 @@
 """The whole design run: from genes or given probes to safe probes, with every intermediate table.
 
-Each table is a lazy DataFrame; candidates and alignments, which several tables use, are kept by Spark at the first use.
+Candidates, alignments and k-mer counts, which several tables use, are written as stages once; each other table is a lazy DataFrame.
 Many genes run as one plan: everything is keyed by `job`.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids as I
 from ..operators import align, annotate, classify, kmers, report, tiling
+from ..sources import stage
 
 
 @dataclass(frozen=True)
@@ -76,9 +77,10 @@ def _sources(hits: DataFrame, options: Options, gene_map: DataFrame | None, head
 
 def _run(candidates: DataFrame, contigs: DataFrame, options: Options, gene_map: DataFrame | None, species: DataFrame | None, headers: DataFrame | None, probe_input: bool) -> Design:
     spark = candidates.sparkSession
-    candidates = candidates.persist()
+    candidates = stage.keep(candidates, "candidates")
     jobs = candidates.select("probe_id", "job")
-    raw = align.align_gapped(candidates.select("probe_id", "seq"), contigs, options.errors, options.bulges).join(jobs, "probe_id").persist()
+    raw = align.align_gapped(candidates.select("probe_id", "seq"), contigs, options.errors, options.bulges).join(jobs, "probe_id")
+    raw = stage.keep(raw, "alignments")
     hits = align.within_budget(raw, options.errors, options.bulges)
     hits = annotate.annotate_genes(hits, gene_map) if gene_map is not None else hits.withColumn("gene_id", F.col("rname"))
     if species is not None:
@@ -101,7 +103,7 @@ def _run(candidates: DataFrame, contigs: DataFrame, options: Options, gene_map:
         on = classify.reject_hosts(on, raw, list(options.host_prefixes))
 
     words = kmers.explode_kmers(on, options.k, ("probe_id", "job"))
-    counts = kmers.count_kmers(contigs, words, options.k).persist()
+    counts = stage.keep(kmers.count_kmers(contigs, words, options.k), "kmer-counts")
     if probe_input and options.is_microbiome:  # a probe's own genome is named by its id
         own = words.select(F.col("probe_id").alias("own"), I.base_id(F.col("probe_id")).alias("genome")).distinct()
         mine = contigs.join(own, I.same_genome(F.col("genome"), F.col("contig"))) if "genome" not in contigs.columns else contigs.drop("genome").withColumn("genome", I.genome_of(F.col("contig"))).join(own, "genome")
@@ -122,7 +124,7 @@ def _run(candidates: DataFrame, contigs: DataFrame, options: Options, gene_map:
         bad = words.join(hosts, "ckmer", "left_semi").select("probe_id").distinct().withColumn("_host", F.lit(True))
         screen = screen.join(bad, "probe_id", "left").withColumn("safe", F.col("safe") & F.col("_host").isNull()).drop("_host")
     safe = tiling.with_metrics(on.join(screen.where("safe").select("probe_id"), "probe_id", "left_semi"))
-    features = report.features(candidates, statuses, safe.select("probe_id"))
+    features = report.features(candidates, statuses, safe.select("probe_id"), options.host_internal)
     stats = stats_of(candidates, raw, hits, statuses, on, safe)
     return Design(candidates, hits, sources, statuses, on, screen, safe, features, stats)
 

@@ -123,6 +123,14 @@ def probe_length_stats(spark, sf):
     return B.genes(spark, sf).agg(F.min(n).alias("shortest"), F.max(n).alias("longest"), F.count_distinct(n).alias("lengths"), F.count("*").alias("n"))
 
 
+@query(
+    f'WITH {B.WINDOWS}, m AS (SELECT *, {B.homopolymer("seq")} AS h FROM windows) SELECT gene_id, "start", CASE WHEN h THEN 0 ELSE round({B.tm("seq")}, 2) END AS tm, CASE WHEN h THEN 0 ELSE round({B.gc("seq")}, 2) END AS gc, '
+    f"CASE WHEN h THEN 0 ELSE round({B.complexity('seq')}, 3) END AS complexity, h AS rejected, CASE WHEN h THEN 'homopolymer run' END AS reason FROM m"
+)
+def hard_filter(spark, sf):
+    return tiling.hard_filtered(tiling.with_metrics(B.windows(spark, sf))).select("gene_id", "start", "tm", "gc", "complexity", "rejected", "reason")
+
+
 # ------------------------------------------------------------------------------------------ k-mers
 
 
@@ -186,6 +194,14 @@ def kmer_safety(spark, sf):
     return m.select("gene_id", "start", "end", "seq", R6(F.col("gc")).alias("gc"), R6(F.col("tm")).alias("tm"), R6(F.col("complexity")).alias("complexity"))
 
 
+@query(f"WITH {B.COUNTS} SELECT count(DISTINCT (gene_id, \"start\")) AS probes FROM kmers SEMI JOIN counts USING (ckmer)")
+def kmer_offtarget_probes(spark, sf):
+    """How many candidates share a k-mer with the reference."""
+    probes = _probe_name(B.candidates(spark, sf))
+    k = kmers.explode_kmers(probes, B.K)
+    return report.kmer_off_target(probes, kmers.safe_probes(probes, k, kmers.count_kmers(B.contigs(spark, sf), k, B.K, by=())))
+
+
 @query(
     f"""WITH {B.COUNTS}, host AS (SELECT DISTINCT ckmer FROM counts WHERE grp = 'en'), x AS (SELECT gene_id, "start", count(host.ckmer) AS host_kmers FROM kmers LEFT JOIN host USING (ckmer) GROUP BY ALL)
 SELECT gene_id, "start", host_kmers, host_kmers = 0 AS safe FROM x"""
@@ -389,6 +405,16 @@ def classify_gene_input(spark, sf):
     return classify.classify(annotate.annotate_genes(h, B.gene_map(spark, sf)), classify.infer_source(h)).select(*_OUT)
 
 
+_CATALOG = f"{_INFER}, {B.SPECIES_MAP}, a AS (SELECT hits.*, rname AS gene_id FROM hits), only_top AS (SELECT job, [top] AS sources FROM top)"
+
+
+@query(_classify_sql("NOT list_contains(list_transform(sources, lambda t: split_part(t, '.', 1)), split_part(rname, '.', 1))", f"CASE WHEN exact THEN 'safe' ELSE {_RISK} END", _CATALOG, "LEFT JOIN only_top USING (job)"))
+def classify_microbiome(spark, sf):
+    """Catalog input: the source is the contig that most probes hit, and only alignments on it are its own."""
+    h = annotate.annotate_species(stage.keep(B.hits(spark, sf), "hits"), B.species_map(spark, sf)).withColumn("gene_id", F.col("rname"))
+    return classify.classify(h, classify.infer_source(h, is_microbiome=True), is_microbiome=True).select(*_OUT)
+
+
 @query(_classify_sql("true", _RISK, _A))
 def classify_probe_input(spark, sf):
     return classify.classify(_genes_of(spark, sf), is_probe_input=True).select(*_OUT)
@@ -559,7 +585,25 @@ def metrics_table(spark, sf):
 # ------------------------------------------------------------------------------------ whole designs
 
 
-@query()
+_RUN = f"""WITH {B.COUNTS}, n AS (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY "start") - 1 AS i FROM candidates),
+p AS (SELECT 'probe_' || i || '|start=' || "start" || '|end=' || "end" || '|' || gene_id AS id, gene_id AS job, "start", seq FROM n),
+q AS (SELECT id, job, 0 AS flag, seq FROM p UNION ALL SELECT id, job, 16, {B.rc('seq')} FROM p),
+seeds AS (SELECT id, job, flag, seq, CAST(j * {B.SEED} AS INTEGER) AS off, substr(seq, CAST(j * {B.SEED} + 1 AS INTEGER), {B.SEED}) AS seed FROM q, range({B.ERRORS + 1}) t(j)),
+ref AS (SELECT contig, p, substr(seq, p, {B.SEED}) AS seed FROM (SELECT contig, seq, unnest(range(1, length(seq) - {B.SEED - 2})) AS p FROM contigs)),
+cand AS (SELECT DISTINCT id, job, flag, seeds.seq, contig, p - off AS pos FROM ref JOIN seeds USING (seed) WHERE p > off),
+hit AS (SELECT id, job, flag, contig AS rname, pos, hamming(cand.seq, substr(c.seq, pos, 36)) AS nm FROM cand JOIN contigs c USING (contig)
+  WHERE length(substr(c.seq, pos, 36)) = 36 AND hamming(cand.seq, substr(c.seq, pos, 36)) <= {B.ERRORS})"""
+
+
+@query(_RUN + """, b AS (SELECT job, rname, id, min(nm) AS nm FROM hit GROUP BY ALL), per AS (SELECT job, rname, count(*) FILTER (nm = 0) AS perfect, count(*) AS every FROM b GROUP BY ALL),
+best AS (SELECT job, max(perfect) > 0 AS ok FROM per GROUP BY job),
+top AS (SELECT job, rname AS top FROM (SELECT per.job, rname, row_number() OVER (PARTITION BY per.job ORDER BY CASE WHEN ok THEN perfect END DESC, every DESC, rname) AS r FROM per JOIN best USING (job)) WHERE r = 1),
+st AS (SELECT id, CASE WHEN bool_and(rname = top) THEN 'safe' ELSE 'risk' END AS status FROM hit JOIN top USING (job) GROUP BY id),
+chosen AS (SELECT p.*, status FROM p LEFT JOIN st USING (id) WHERE status IS NULL OR status = 'safe'),
+tot AS (SELECT ckmer, sum(cnt) AS n FROM counts GROUP BY ckmer),
+own AS (SELECT job, ckmer, sum(cnt) AS n FROM top JOIN counts ON genome = split_part(top, '_', 1) GROUP BY job, ckmer),
+bad AS (SELECT DISTINCT chosen.id FROM kmers JOIN chosen ON kmers.gene_id = chosen.job AND kmers."start" = chosen."start" JOIN tot USING (ckmer) LEFT JOIN own ON own.job = chosen.job AND own.ckmer = kmers.ckmer WHERE tot.n > coalesce(own.n, 0))
+SELECT id AS probe_id, seq, status FROM chosen WHERE id NOT IN (SELECT id FROM bad)""")
 def design_microbiome(spark, sf):
     """Gene input against catalogs: sources are inferred from the alignments, their genomes' own k-mers are excused."""
     return design.of_genes(B.genes(spark, sf), B.contigs(spark, sf), design.Options(is_microbiome=True), species=B.species_map(spark, sf)).safe.select("probe_id", "seq", "status")
@@ -588,6 +632,9 @@ def design_microbe_mode(spark, sf):
     return d.safe.where("status IS NULL").select("gene_id", "start", "seq")
 
 
-@query()
+@query(_RUN + """, bad AS (SELECT DISTINCT gene_id, "start" FROM kmers SEMI JOIN counts USING (ckmer)),
+free AS (SELECT * FROM p WHERE id NOT IN (SELECT id FROM hit))
+SELECT 'candidates' AS stage, count(*) AS n FROM p UNION ALL SELECT 'raw_alignments', count(*) FROM hit UNION ALL SELECT 'filtered_alignments', count(*) FROM hit UNION ALL SELECT 'aligned_probes', count(DISTINCT id) FROM hit
+UNION ALL SELECT 'self_safe', 0 UNION ALL SELECT 'on_target', count(*) FROM free UNION ALL SELECT 'safe', count(*) FROM free WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.gene_id = free.job AND bad."start" = free."start")""")
 def design_stats(spark, sf):
     return design.of_genes(B.genes(spark, sf), B.contigs(spark, sf), design.Options(microbe_mode=True)).stats
