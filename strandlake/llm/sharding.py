@@ -6,7 +6,7 @@ is added, records move into it and nowhere else.
 
 Edge cases: a null key is hashed as the empty key; equal keys go to one shard; a null or empty text
 has no bytes (size 1); repeated rows each get a slot of their own; an empty table gives no rows.
-Columns of the input other than the key and the text are ignored.
+Columns of the input other than the key and the text are ignored; of a very long text only its size and checksum leave the scan.
 """
 
 from __future__ import annotations

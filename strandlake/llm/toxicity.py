@@ -10,12 +10,14 @@ weigh as much as the classes have among all labelled texts, which Spark counts.
 
 Edge cases: a null or empty text has no hits and gets the score of no hits; without labelled rows of both classes every score is
 the smoothed share of positive labels; equal texts get equal scores; a document labelled more than once counts as toxic if
-any label says so; a row without id is not held out; an empty table gives no rows; other columns are ignored.
+any label says so; a row without id is not held out; an empty table gives no rows; other columns are ignored. A very long text is folded and matched whole by one
+task, in time and memory that grow with its length.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialise, prepare
 
 #: Letters of other scripts that look like Latin ones, and digits and signs written for letters.
-HOMOGLYPHS = dict(zip("аеорсухіјѕԁԛԝһӏοαερνικτυχ", "aeopcyxijsdqwhloaepviktux", strict=True))
+HOMOGLYPHS = dict(zip("аеорсухіјѕԁԛԝһӏткмвнзиοαερνικτυχβγημωσ", "aeopcyxijsdqwhltkmbh3uoaepviktuxbynuwo", strict=True))
 DIGITS = dict(zip("013457@$", "oieastas", strict=True))
 #: Phrases in which lexicon words are harmless.
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "class clown", "sore loser clause", "idiot proof", "pond scum", "soap scum")
@@ -40,9 +42,13 @@ class Folding(dict):
 
     def __missing__(self, code: int) -> int:
         c = chr(code)
-        if 0xFF01 <= code <= 0xFF5E:  # full-width forms
-            c = chr(code - 0xFEE0).lower()
-        c = HOMOGLYPHS.get(c, DIGITS.get(c, c))
+        if unicodedata.category(c) in ("Mn", "Me", "Cf"):  # accents on their own, invisible signs
+            self[code] = None
+            return None
+        if code > 127:  # letters without their accents, full-width and styled forms as plain ones
+            c = unicodedata.normalize("NFKD", c)[0].lower()
+        c = HOMOGLYPHS.get(c, c)
+        c = DIGITS.get(c, c)
         self[code] = ord(c) if c.isalnum() else 32
         return self[code]
 
@@ -160,8 +166,8 @@ def _measure(model: Model):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives: int = 6000, size: int = 3000, label: str = "toxic", key: str = "doc_id", text: str = "text", exceptions=EXCEPTIONS) -> Model:
-    """Learn from rows of labels (those with a null label or key are skipped). `size`: most entries of the lexicon."""
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives: int = 6000, label: str = "toxic", key: str = "doc_id", text: str = "text", exceptions=EXCEPTIONS) -> Model:
+    """Learn from rows of labels (those with a null label or key are skipped). The lexicon grows with the bounded sample only."""
     prepare(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("toxic"))
     some = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("key"), "key").limit(n) for v, n in ((1, positives), (0, negatives))]
@@ -184,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives: in
     pos, neg = F.col("c01") + F.col("c11"), F.col("c00") + F.col("c10")
     odds = F.log((pos + 0.5) / (p + 1.0)) - F.log((neg + 0.5) / (n + 1.0))
     least = 4 if p >= 100 else 3
-    table = table.where((pos >= least) & (odds > 2)).orderBy(F.desc(odds * F.sqrt(pos)), "entry").limit(size).collect()
+    table = table.where((pos >= least) & (odds > 2)).collect()
 
     def lexicon(halves: tuple[int, ...]) -> dict[str, float]:
         a = sum(sizes.get((h, 1), 0) for h in halves)
