@@ -1,6 +1,11 @@
 """The corpus pipeline: five operators in a row, each stage written as Parquet and read again as the next one's documents.
 
 Every stage works on all rows that its predecessor kept. All but the last return the columns of `documents`.
+
+Edge cases: a null text counts as an empty one, stays null until it is packed, and is packed as the end token alone; empty texts and texts without words
+are no copies of each other; of rows that share an id, all stay unless an equal or near-equal text has a smaller id; repeated rows are packed each;
+an empty table gives no rows; columns other than those of `documents` are left out at the first stage. Very long texts go through whole: one task holds
+one such text at a time, with what its operator needs beside it.
 """
 
 from __future__ import annotations
