@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags
-from . import gapped, scan
+from ..sources import stage
+from . import gapped, kmers, scan
 
 #: Probes whose seeds are broadcast at once.
 PROBES = 200_000
@@ -177,6 +179,41 @@ def align_gapped(probes: DataFrame, contigs: DataFrame, errors: int, bulges: int
     return suppress_overlaps(_blocks(probes, errors, block, lambda seeds: ref.mapInPandas(_gapped(seeds, errors, bulges), HITS)), errors)
 
 
+_FUSED = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]]) for c in (HITS + ", grp string, code long, n long").split(", ")])
+
+
+def _fused(seeds, errors: int, k: int, table):
+    hits_of, counts_of = _ungapped(seeds, errors), kmers.counter(k, table, 1)
+
+    def row(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in _FUSED], schema=_FUSED)
+
+    def run(batches):
+        for batch in batches:  # contig, grp, seq
+            for hits in hits_of(iter([batch.to_pandas()])):
+                yield row(len(hits), **{c: pa.array(hits[c].tolist(), _FUSED.field(c).type) for c in COLUMNS})
+            for part in counts_of(iter([batch.select(["grp", "seq"])])):
+                yield row(part.num_rows, grp=part.column(0), code=part.column(1), n=part.column(2))
+
+    return run
+
+
+def align_and_count(probes: DataFrame, words: DataFrame, contigs: DataFrame, errors: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """align_ungapped of probes and count_kmers of words (column ckmer) by group, from one scan of the contigs; what the scan finds is written as a stage.
+
+    Where the probes or the k-mers are too many for one broadcast, they are scanned for apart.
+    """
+    few, codes = probes.select("probe_id", "seq").distinct().limit(PROBES + 1).collect(), kmers.wanted_codes(words, k)
+    if len(few) > PROBES or codes is None:
+        return align_ungapped(probes, contigs, errors), kmers.count_kmers(contigs, words, k)
+    width = max(min(min((len(r["seq"]) for r in few), default=1) // (errors + 1), 31), 1)
+    context = contigs.sparkSession.sparkContext
+    seeds, table = context.broadcast(Seeds(sorted((r["probe_id"], r["seq"]) for r in few), errors, width)), context.broadcast(codes)
+    found = stage.keep(contigs.select("contig", "grp", "seq").mapInArrow(_fused(seeds, errors, k, table), HITS + ", grp string, code long, n long"), "fused-scan")
+    hits = found.where("code IS NULL").select(*COLUMNS).withColumn("md", tags.md_ungapped(F.col("seq"), F.col("target")))
+    return hits, kmers.summed(found.where("code IS NOT NULL").select("grp", "code", "n"), words, k, ("grp",))
+
+
 def suppress_overlaps(hits: DataFrame, errors: int) -> DataFrame:
     """Drop hits that overlap a kept hit of the same probe, strand and contig with strictly fewer edits.
 

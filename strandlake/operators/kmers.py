@@ -25,7 +25,7 @@ def code(kmer: Column, k: int) -> Column:
     return digits.cast("long")
 
 
-def _counter(k: int, wanted, keys: int):
+def counter(k: int, wanted, keys: int):
     """Partial counts of each batch by its leading key columns: of the wanted codes, or of all k-mers where none are given."""
 
     def run(batches):
@@ -55,15 +55,28 @@ def count_kmers(contigs: DataFrame, kmers: DataFrame, k: int, by: tuple[str, ...
     Up to `block` wanted k-mers are broadcast, and each task counts those it meets; beyond, tasks count all k-mers, and a join keeps the
     wanted ones. Either way Spark adds the partial counts up by group and k-mer.
     """
-    if k > 31:
-        raise ValueError("k must be at most 31")
-    wanted = kmers.select("ckmer").distinct().select("ckmer", code(F.col("ckmer"), k).alias("code"))
     rows = contigs.select(*by, "seq")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["code long", "n long"])
-    few = wanted.select("code").limit(block + 1).toArrow().column("code").to_numpy()  # whether they are few, and then all of them
-    table = contigs.sparkSession.sparkContext.broadcast(np.sort(few)) if len(few) <= block else None
-    partial = rows.mapInArrow(_counter(k, table, len(by)), schema)
-    return partial.groupBy(*by, "code").agg(F.sum("n").alias("cnt")).join(wanted, "code").select(*by, "ckmer", "cnt")
+    few = wanted_codes(kmers, k, block)
+    table = contigs.sparkSession.sparkContext.broadcast(few) if few is not None else None
+    return summed(rows.mapInArrow(counter(k, table, len(by)), schema), kmers, k, by)
+
+
+def _wanted(kmers: DataFrame, k: int) -> DataFrame:
+    if k > 31:
+        raise ValueError("k must be at most 31")
+    return kmers.select("ckmer").distinct().select("ckmer", code(F.col("ckmer"), k).alias("code"))
+
+
+def wanted_codes(kmers: DataFrame, k: int, block: int = scan.BLOCK) -> np.ndarray | None:
+    """The wanted k-mers' codes, sorted; None where they are more than `block`."""
+    few = _wanted(kmers, k).select("code").limit(block + 1).toArrow().column("code").to_numpy()  # whether they are few, and then all of them
+    return np.sort(few) if len(few) <= block else None
+
+
+def summed(partial: DataFrame, kmers: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
+    """by..., ckmer, cnt: partial counts (by..., code, n) added up for the wanted k-mers."""
+    return partial.groupBy(*by, "code").agg(F.sum("n").alias("cnt")).join(_wanted(kmers, k), "code").select(*by, "ckmer", "cnt")
 
 
 def excess(kmers: DataFrame, genome: DataFrame, source: DataFrame, key: str = "probe_id", own: tuple[str, ...] = ()) -> DataFrame:
@@ -111,7 +124,7 @@ def write_counts(counts: DataFrame, path: str, k: int) -> None:
 def build_database(contigs: DataFrame, k: int, path: str) -> None:
     """All canonical k-mers of each group, counted by the scan with partial sums."""
     rows = contigs.select("grp", "seq")
-    partial = rows.mapInArrow(_counter(k, None, 1), "grp string, code long, n long")
+    partial = rows.mapInArrow(counter(k, None, 1), "grp string, code long, n long")
     write_counts(partial.groupBy("grp", "code").agg(F.sum("n").alias("cnt")).select("grp", kmer_of(F.col("code"), k).alias("ckmer"), "cnt"), path, k)
 
 

@@ -181,3 +181,5 @@ screened AS (SELECT probe_id FROM probes WHERE probe_id NOT IN (SELECT probe_id
 COUNTS = KMERS + ", " + CONTIGS + f""",
 counts AS (SELECT genome, grp, ckmer, count(*) AS cnt FROM (SELECT genome, grp, least(k, {rc('k')}) AS ckmer FROM (SELECT genome, grp, substr(seq, p, {K}) AS k
   FROM (SELECT genome, grp, seq, unnest(range(1, length(seq) - {K - 2})) AS p FROM contigs))) WHERE ckmer IN (SELECT ckmer FROM kmers) GROUP BY ALL)"""
+#: The k-mers and their counts for a query that has candidates and contigs already.
+MORE_COUNTS = KMERS[len(CANDIDATES) :].lstrip(", ") + COUNTS[len(KMERS + ", " + CONTIGS) :]

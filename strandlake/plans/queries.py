@@ -247,6 +247,17 @@ def align_ungapped(spark, sf):
     return B.hits(spark, sf).select(*_COLS)
 
 
+@query(
+    f"WITH {B.HITS}, {B.MORE_COUNTS} SELECT 'hits' AS kind, probe_id AS name, CAST(NULL AS VARCHAR) AS grp, count(*) AS n, sum(nm) AS total FROM hits GROUP BY probe_id "
+    "UNION ALL SELECT 'kmers', ckmer, grp, CAST(sum(cnt) AS BIGINT), 0 FROM counts GROUP BY ckmer, grp"
+)
+def fused_scan(spark, sf):
+    """Alignments of the probes and counts of the candidates' k-mers from one scan of the reference."""
+    hits, counts = align.align_and_count(B.probes(spark, sf), _kmers(spark, sf), B.contigs(spark, sf), B.ERRORS, B.K)
+    per = hits.groupBy("probe_id").agg(F.count("*").alias("n"), F.sum("nm").alias("total"))
+    return per.select(F.lit("hits").alias("kind"), F.col("probe_id").alias("name"), F.lit(None).cast("string").alias("grp"), "n", "total").union(counts.select(F.lit("kmers"), "ckmer", "grp", "cnt", F.lit(0).cast("long")))
+
+
 @query(f"WITH {B.HITS} SELECT probe_id, flag, rname, pos, {B.md()} AS md, seq, target FROM hits")
 def align_md(spark, sf):
     return B.hits(spark, sf).select("probe_id", "flag", "rname", "pos", "md", "seq", "target")
