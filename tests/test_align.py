@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from strandlake.operators import align, gapped, kmers, scan
+from pyspark.sql import functions as F
+
+from strandlake.operators import align, gapped, kmers, report, scan
 
 COMP = str.maketrans("ACGT", "TGCA")
 
@@ -153,3 +155,31 @@ def test_kmer_database(spark, tmp_path):
         if "N" not in w:
             want[min(w, rc(w))] = want.get(min(w, rc(w)), 0) + 1
     assert got == want
+
+
+def test_one_scan_gives_both(spark, monkeypatch):
+    contigs, probes = made(7)
+    ref = spark.createDataFrame([(c, f"g{i % 2}", s) for i, (c, s) in enumerate(contigs)], "contig string, grp string, seq string")
+    p = spark.createDataFrame(probes, "probe_id string, seq string")
+    words = kmers.explode_kmers(p, 5)
+    want = sorted(map(tuple, align.align_ungapped(p, ref, 2).collect())), sorted(map(tuple, kmers.count_kmers(ref, words, 5).collect()))
+    assert want[0] and want[1]
+    for size in (align.PROBES, 3):  # in one scan, and apart
+        monkeypatch.setattr(align, "PROBES", size)
+        hits, counts = align.align_and_count(p, words, ref, 2, 5)
+        assert (sorted(map(tuple, hits.collect())), sorted(map(tuple, counts.collect()))) == want
+
+
+def test_wanted_kmers_beyond_the_block_are_joined(spark):
+    contigs, probes = made(8)
+    ref = spark.createDataFrame([(c, "g", s) for c, s in contigs], "contig string, grp string, seq string")
+    words = kmers.explode_kmers(spark.createDataFrame(probes, "probe_id string, seq string"), 6)
+    few, many = (sorted(map(tuple, kmers.count_kmers(ref, words, 6, block=b).collect())) for b in (10**6, 1))
+    assert few == many and few
+
+
+def test_off_target_hits(spark):
+    hits = spark.createDataFrame([("j", "X_1|p", "T1.1", "G1"), ("j", "X_1|p", "T2", "G2"), ("j", "X_1|p", "T9.3", "G9"), ("k", "X_1|p", "X_7", "X_7")], "job string, probe_id string, rname string, gene_id string")
+    sources = spark.createDataFrame([("j", "G2", ["T1.2"])], "job string, source_gene string, sources array<string>")
+    assert sorted(r.rname for r in report.off_target(hits, sources).collect()) == ["T9.3", "X_7"]
+    assert sorted(r.rname for r in report.off_target(hits.withColumn("probe_id", F.lit("X|p")), None, genome_self=True).collect()) == ["T1.1", "T2", "T9.3"]
