@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Runtime settings of an operator's Python steps: Arrow batches are bounded in bytes, because one document can be very long.
 SETTINGS = {
@@ -19,7 +22,7 @@ SETTINGS = {
 #: Set while a stage is written: the shuffle files of that write are freed at its end.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Bytes of text that a numpy step handles at once (its arrays take about 40 times as much).
+#: Bytes of text that a numpy step handles at once (its words and arrays take about 40 times as much).
 CHUNK_BYTES = 2 << 20
 
 
@@ -78,6 +81,16 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     return out
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """rows joined with a written table of their keys' counts (key, n). Keys with more than a thousandth of all counted rows, at most a thousand keys, are dealt over several tasks."""
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    often = F.col("n") > total / 1000
+    hot = counted.where(often).select(key, F.lit(True).alias("_hot"))
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0)).drop("_hot")
+    keys = counted.select(key, F.explode(F.when(often, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).cast("long").alias("_salt"))
+    return rows.join(keys, [key, "_salt"]).drop("_salt")
+
+
 def release(*stages: DataFrame | None) -> None:
     """Delete stages that nothing will read again. (A stage that a returned DataFrame still reads stays until `clear`.)"""
     for df in stages:
@@ -101,18 +114,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 # ---------------------------------------------------------------------------------------------
-# Words [^\x20\x09-\x0D]+ of many texts at once, as 64-bit hashes.
+# Words [^\x20\x09-\x0D]+ of many texts at once, as hashes.
 
 _U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BASE = _U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE_VALUE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE_CHECK = np.random.Generator(np.random.PCG64(20240608)).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: dict[str, np.ndarray] = {}
+_BASE = _U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,57 +129,86 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("p", ())) < n:
-        m = max(n, CHUNK_BYTES + (1 << 16))
-        for key, base in (("p", _BASE), ("q", _BASE_INVERSE)):
-            a = np.full(m, base, np.uint64)
-            a[0] = 1
-            _POWERS[key] = np.multiply.accumulate(a)
-    return _POWERS["p"], _POWERS["q"]
+class Words(dict):
+    """The distinct words that a task has met, by number. A caller that keeps something for each word drops both once the table is full; it only saves work."""
 
+    MOST, BYTES = 1 << 20, 64 << 20
 
-def word_hashes(texts: list[bytes], fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the texts, all in one array, and where each text's words begin (one more entry)."""
-    words, _, at = _word_hashes(texts, fold_case, False)
-    return words, at
+    def __init__(self):
+        self.fresh: list[bytes] = []
+        self.bytes = 0
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        self.bytes += len(word)
+        return number
 
-def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As word_hashes, with a second, independent hash of each word: together 128 bits."""
-    return _word_hashes(texts, False, True)
+    def full(self) -> bool:
+        return len(self) > self.MOST or self.bytes > self.BYTES
+
+    def index(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each word, and the words that had none, in the order of their new numbers."""
+        self.fresh = []
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)), self.fresh
+
+
+class _Hashes:
+    """128 bits of BLAKE2b for each word: no two words that anyone can write down share them."""
+
+    def __init__(self):
+        self.words, self.values = Words(), np.zeros((1 << 12, 2), _U)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        index, fresh = self.words.index(words)
+        n = len(self.words)
+        if n > len(self.values):
+            self.values = np.append(self.values, np.zeros((max(n, 2 * len(self.values)) - len(self.values), 2), _U), 0)
+        if fresh:
+            digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in fresh)
+            self.values[n - len(fresh) : n] = np.frombuffer(digests, _U).reshape(-1, 2)
+        out = self.values[index]
+        if self.words.full():
+            self.words = Words()
+        return out
 
 
-def _word_hashes(texts: list[bytes], fold_case: bool, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    if fold_case:
-        buf = _LOWER[buf]
-    space = _SPACE[buf]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate(([0], edge))
-    start, end = edge[0::2], edge[1::2]  # the buffer ends with white space, so edges come in pairs
-    p, q = _powers(len(buf) + 1)
+_HASHES = _Hashes()
 
-    def hashed(value: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(value[buf] * p[: len(buf)], out=total[1:])
-        return mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64))
 
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    begins = np.concatenate(([0], np.cumsum(lengths)))
-    return hashed(_BYTE_VALUE), hashed(_BYTE_CHECK) if second else None, np.searchsorted(start, begins)
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words of the texts in one list, and where each text's begin (one more entry)."""
+    split = [t.split() for t in texts]  # of bytes: at the six ASCII blanks
+    return list(chain.from_iterable(split)), np.concatenate(([0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))))
+
+
+def word_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each word as a row of two numbers, and where each text's words begin (one more entry)."""
+    words, at = split_words(texts)
+    return _HASHES.of(words), at
+
+
+def word_hashes(texts: list[bytes], fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of each word of the texts, all in one array, and where each text's words begin (one more entry)."""
+    values, at = word_digests([t.lower() for t in texts] if fold_case else texts)  # of bytes: A-Z only
+    return values[:, 0], at
+
+
+def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, with the other 64 bits of each word's hash besides."""
+    values, at = word_digests(texts)
+    return np.ascontiguousarray(values[:, 0]), np.ascontiguousarray(values[:, 1]), at
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of `width` words (empty if there are fewer)."""
+    """Hash of each run of `width` words (empty if there are fewer). Every word is mixed in, so that no arrangement of few words cancels out."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
+    h = np.full(n, width, np.uint64)
     for i in range(width):
-        h = h * _BASE + words[i : i + n]
-    return mix(h)
+        h = mix(h * _BASE + words[i : i + n])
+    return h
 
 
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

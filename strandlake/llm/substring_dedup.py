@@ -2,16 +2,16 @@
 
 Each round of recompression replaces maximal runs of one symbol and then pairs (a, b) with a on the left and
 b on the right side of a partition of the symbols. A new symbol is named by what it replaces, so all
-documents name equal passages alike, except near their ends; a name has 128 bits, two independent hashes of the words it stands for.
+documents name equal passages alike, except near their ends; a name has 128 bits, made from the BLAKE2b digests of the words it stands for.
 
 1. Where a document is read, its words and the first rounds' symbols are named. A window determines some of them whatever is around it; its anchor is the widest of
    those at the last of ANCHOR rounds that has any (the words are round 0, so there always is one), and equal windows have equal anchors at equal places.
 2. Spark counts anchors over all documents; a window whose anchor occurs once is unique.
 3. Further rounds are Spark jobs over all documents: symbols are counted by name; one that occurs once can't lie in a repeat, nor can any wider symbol with
-   it, so documents keep only the sequences of shared symbols, which the next job replaces. A shared symbol at least as wide as the window proves
+   it, so documents keep only the sequences of shared symbols, which the next job replaces. A shared symbol at least as wide as the window reveals
    that all windows in it repeat.
-4. All other windows with a shared anchor are counted by names of their own (96 bits: two independent hashes of their words), where of windows in a wide
-   shared symbol only those of one occurrence are sent, for others to find.
+4. Before anything is removed, the words of all occurrences of each such symbol are compared, by a BLAKE2b digest of 128 bits. All other windows with a shared anchor are compared
+   by digests of their own, where of windows in a wide shared symbol only those of one occurrence are sent, for others to find.
 
 Edge cases: a null or empty text has no words; a document shorter than a window keeps everything; a window repeated
 within one document counts; rows that repeat an id and text count as two documents; one document's result
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, chunks, materialise, mix, prepare, release, utf8, word_names
+from .common import chunks, join_counted, materialise, mix, prepare, release, utf8, word_digests, word_names
 
 #: Rounds that look for anchors, and rounds where a document is read.
 ANCHOR, FIRST = 3, 9
@@ -206,59 +206,65 @@ def _next_rounds(job: int, window: int):
     return run
 
 
-def window_names(names: np.ndarray, window: int) -> np.ndarray:
-    """Hash of each window of words."""
-    p, q = _powers(len(names) + 1)
-    total = np.zeros(len(names) + 1, _U)
-    np.cumsum(names * p[: len(names)], out=total[1:])
-    n = max(len(names) - window + 1, 0)
-    return mix((total[window : window + n] - total[:n]) * q[:n])
+def digests(words: np.ndarray, begins: list[int], width: int) -> bytes:
+    """BLAKE2b (128 bits each) of runs of `width` words, from the words' own digests."""
+    view = memoryview(np.ascontiguousarray(words)).cast("B")
+    return b"".join(hashlib.blake2b(view[16 * i : 16 * (i + width)], digest_size=16).digest() for i in begins)
 
 
 def _covered(spans: list, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of windows that lie in a wide shared symbol, and of those, the ones that this occurrence sends for all others."""
-    sure, send, level = np.zeros(n, bool), np.zeros(n, bool), np.full(n, -1)
+    sure, send = np.zeros(n, bool), np.zeros(n, bool)
     for s in sorted(spans, key=lambda s: s["level"]):  # a wider symbol decides for the narrower ones in it
         part = slice(s["begin"], s["begin"] + s["width"] - window + 1)
         sure[part] = True
         send[part] = s["sends"]
-        level[part] = s["level"]
     return sure, send
 
 
+WINDOWS = "d long, h long, first int, sure boolean, names array<long>, checks array<long>, shared array<struct<name: long, check: long, seen: binary>>"
+_SHARED = pa.list_(pa.struct([("name", pa.int64()), ("check", pa.int64()), ("seen", pa.binary())]))
+
+
 def _windows(window: int):
-    """The windows that may repeat: first start and names of each run of them; sure: known to repeat."""
+    """The windows that may repeat: first start and names of each run of them; sure: in a shared symbol. And the digest of the words of each shared symbol's occurrence."""
 
     def run(batches):
         for batch in batches:
             ids, prints, texts, marks, spans = batch.column(0), batch.column(1), utf8(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for begin, end in chunks(texts):
-                words, checks, at = word_names(texts[begin:end])
-                rows, firsts, sures, lists, check_lists = [], [], [], [], []
+                words, at = word_digests(texts[begin:end])
+                rows, firsts, sures, lists, shared = [], [], [], [], []
                 for i in range(end - begin):
-                    count = max(at[i + 1] - at[i] - window + 1, 0)
+                    own = words[at[i] : at[i + 1]]
+                    count = max(len(own) - window + 1, 0)
                     may = np.zeros(count + 1, np.int64)
                     for m in marks[begin + i] or []:
                         may[m["place"]] += 1
                         may[m["place"] + m["count"]] -= 1
-                    sure, send = _covered(spans[begin + i] or [], count, window)
+                    wide = spans[begin + i] or []
+                    proofs = [{"name": s["name"], "check": s["check"], "seen": digests(own, [s["begin"]], s["width"])} for s in wide]
+                    sure, send = _covered(wide, count, window)
                     out = np.where(sure, np.where(send, 2, 0), np.cumsum(may[:-1]) > 0)
-                    if not out.any():
-                        continue
-                    h, c = (window_names(x[at[i] : at[i + 1]], window) for x in (words, checks))
-                    h, c = h.view(np.int64), (c >> _U(32)).astype(np.uint32).view(np.int32)
                     cuts = np.flatnonzero(np.diff(out)) + 1
                     for a, b in zip([0, *cuts], [*cuts, count], strict=True):
-                        if out[a]:
+                        if a < b and out[a]:
                             rows.append(begin + i)
                             firsts.append(a)
                             sures.append(bool(out[a] == 2))
-                            lists.append(h[a:b])
-                            check_lists.append(c[a:b])
+                            lists.append(np.frombuffer(digests(own, range(a, b), window), np.int64).reshape(-1, 2))
+                            shared.append(None)
+                    if proofs:
+                        rows.append(begin + i)
+                        firsts.append(None)
+                        sures.append(None)
+                        lists.append(np.zeros((0, 2), np.int64))
+                        shared.append(proofs)
                 if rows:
                     offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-                    take = pa.array(rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([ids.take(take), prints.take(take), pa.array(firsts, pa.int32()), pa.array(sures), _lists(np.concatenate(lists), offsets), _lists(np.concatenate(check_lists), offsets)], names=["d", "h", "first", "sure", "hashes", "checks"])
+                    take, both = pa.array(rows, pa.int64()), np.concatenate(lists)
+                    columns = [ids.take(take), prints.take(take), pa.array(firsts, pa.int32()), pa.array(sures, pa.bool_()), _lists(both[:, 0], offsets), _lists(both[:, 1], offsets), pa.array(shared, _SHARED)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["d", "h", "first", "sure", "names", "checks", "shared"])
 
     return run
 
@@ -305,8 +311,9 @@ def drop_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: s
     read = materialise(docs.select("d", "h", "text").mapInArrow(_symbols(window), READ), "symbols")
 
     anchors = read.select("d", "h", F.explode(F.arrays_zip("anchor", "place", "count")).alias("a")).select("d", "h", "a.*")
-    again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    again = materialise(anchors.join(again, "anchor").select("d", "h", "place", "count"), "anchors")
+    often = materialise(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchor-counts")
+    again = materialise(join_counted(anchors, often, "anchor").select("d", "h", "place", "count"), "anchors")
+    release(often)
     marks = materialise(again.groupBy(*row).agg(F.collect_list(F.struct("place", "count")).alias("marks")), "marks")
     release(again)
 
@@ -319,7 +326,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: s
         shared = materialise(each.join(counts, ["name", "check"]), "shared")
         release(symbols)
         sends = F.struct("d", "h", "begin") == F.col("sender")
-        found.append(materialise(shared.where(F.col("width") >= window).select("d", "h", "begin", "width", F.lit(job).alias("level"), sends.alias("sends")), "spans"))
+        found.append(materialise(shared.where(F.col("width") >= window).select("d", "h", "begin", "width", "name", "check", F.lit(job).alias("level"), sends.alias("sends")), "spans"))
         per = shared.groupBy(*row).agg(F.array_sort(F.collect_set(F.struct("begin", "width", "name", "check"))).alias("s"))
         per = per.select("d", "h", F.col("s.name").alias("name"), F.col("s.check").alias("check"), F.col("s.begin").alias("begin"), F.col("s.width").alias("width"))
         job += 1
@@ -327,17 +334,24 @@ def drop_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: s
         release(shared)
         left = symbols.agg(F.coalesce(F.sum(F.size("name")), F.lit(0))).first()[0]
     release(symbols)
-    proved = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "d long, h long, begin int, width int, level int, sends boolean")
-    proved = materialise(proved.groupBy(*row).agg(F.collect_set(F.struct("begin", "width", "level", "sends")).alias("spans")), "proved")
+    wide = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "d long, h long, begin int, width int, name long, check long, level int, sends boolean")
+    while True:
+        proved = materialise(wide.groupBy(*row).agg(F.collect_set(F.struct("begin", "width", "level", "sends", "name", "check")).alias("spans")), "proved")
+        seen = docs.select("d", "h", "text").join(marks, row).join(proved, row, "left").select("d", "h", "text", "marks", "spans")
+        windows = materialise(seen.mapInArrow(_windows(window), WINDOWS), "windows")
+        # occurrences of one symbol must be of the same words; a symbol for which they aren't proves nothing, and its windows are compared one by one
+        each = windows.where("shared IS NOT NULL").select(F.explode("shared").alias("s")).select("s.*")
+        false = materialise(each.groupBy("name", "check").agg(F.min("seen").alias("a"), F.max("seen").alias("b")).where("a <> b").select("name", "check"), "false-symbols")
+        if false.isEmpty():
+            break
+        wide = wide.join(false, ["name", "check"], "left_anti")
+        release(windows, proved)
     release(*found)
-
-    seen = docs.select("d", "h", "text").join(marks, row).join(proved, row, "left").select("d", "h", "text", "marks", "spans")
-    windows = materialise(seen.mapInArrow(_windows(window), "d long, h long, first int, sure boolean, hashes array<long>, checks array<int>"), "windows")
     release(marks)
-    each = windows.select("d", "h", "first", "sure", F.posexplode(F.arrays_zip("hashes", "checks")).alias("i", "w"))
-    each = each.select("d", "h", (F.col("first") + F.col("i")).alias("start"), "sure", F.col("w.hashes").alias("hash"), F.col("w.checks").alias("check"))
-    counts = each.groupBy("hash", "check").agg(F.sum(F.when(F.col("sure"), 2).otherwise(1)).alias("n")).where("n > 1").select("hash", "check")
-    again = materialise(each.where("NOT sure").drop("sure").join(counts, ["hash", "check"]).select("d", "h", "start"), "repeats")
+    each = windows.where("shared IS NULL").select("d", "h", "first", "sure", F.posexplode(F.arrays_zip("names", "checks")).alias("i", "w"))
+    each = each.select("d", "h", (F.col("first") + F.col("i")).alias("start"), "sure", F.col("w.names").alias("name"), F.col("w.checks").alias("check"))
+    counts = each.groupBy("name", "check").agg(F.sum(F.when(F.col("sure"), 2).otherwise(1)).alias("n")).where("n > 1").select("name", "check")
+    again = materialise(each.where("NOT sure").drop("sure").join(counts, ["name", "check"]).select("d", "h", "start"), "repeats")
     release(windows)
     starts = materialise(again.groupBy(*row).agg(F.collect_set("start").alias("starts")), "starts")
     release(again)
