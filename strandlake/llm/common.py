@@ -87,7 +87,7 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, salts: int = 32)
     often = F.col("n") > total / 1000
     hot = counted.where(often).select(key, F.lit(True).alias("_hot"))
     rows = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0)).drop("_hot")
-    keys = counted.select(key, F.explode(F.when(often, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).cast("long").alias("_salt"))
+    keys = counted.select(key, F.explode(F.when(often, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("_salt"))
     return rows.join(keys, [key, "_salt"]).drop("_salt")
 
 

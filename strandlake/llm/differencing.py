@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from .common import Words, chunks, materialise, prepare, split_words, utf8
 
 #: Pieces of falling sizes that end each block, and the share of the block that they have: small pieces level what large ones leave uneven.
 FALLING, SHARE = (256, 128, 64, 32, 16, 8, 4, 2, 1), 0.15
+#: Units whose ids an encoder holds, besides those of whole chunks.
+UNITS = 500_000
 #: Printable ASCII and U+00C0..U+00FF, which normalize to themselves in lower case.
 _PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\xbf])+")
 #: The tokenizer's own units of such text in lower case.
@@ -51,19 +54,26 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Words()
+        self.units: dict[str, bytes] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _chunk(self, chunk: bytes) -> list[int]:
-        if _PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
-            word = chunk.decode().lower()
-            units = (word,) if word.isalpha() else _UNITS.findall(word)
-            if not word.isascii():
-                units = [u.encode().decode("latin-1").translate(_BYTES) for u in units]
-            return [t.id for unit in units for t in self.model.tokenize(unit)]
-        return self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+    def _unit(self, unit: str) -> bytes:
+        shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(_BYTES)
+        found = self.units[unit] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return found
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        """The chunk's ids, four bytes each."""
+        if _PLAIN.fullmatch(chunk):
+            word, known = chunk.decode().lower(), self.units
+            if word.isalpha() and word not in self.special:
+                return known[word] if word in known else self._unit(word)
+            if not any(s in word for s in self.special):
+                return b"".join([known[u] if u in known else self._unit(u) for u in _UNITS.findall(word)])
+        return array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
 
     def _learn(self, fresh: list[bytes]) -> None:
         n = len(self.words)
@@ -71,14 +81,16 @@ class Encoder:
             grow = max(n, 2 * len(self.first)) - len(self.first)
             self.first, self.count = (np.append(x, np.zeros(grow, np.int64)) for x in (self.first, self.count))
         found = list(map(self._chunk, fresh))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         total = int(sizes.sum())
         if self.used + total > len(self.ids):
             self.ids = np.append(self.ids, np.zeros(len(self.ids) + total, np.uint32))
-        self.ids[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(found), np.uint32)
         self.first[n - len(fresh) : n] = self.used + np.cumsum(sizes) - sizes
         self.count[n - len(fresh) : n] = sizes
         self.used += total
+        if len(self.units) > UNITS:
+            self.units.clear()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids in one array, and where each text's begin (one more entry)."""

@@ -12,14 +12,19 @@ equally wide, and the middle of a vector's cells is off by at most a radius that
 
 Nothing is broadcast but the grid (two numbers for each component of each dimension that occurs), and no pair of single rows is made but for vectors in play.
 
+A vector with a component beyond 2^53 after scaling (wild) has no use for cells: it isn't in the approximation, and its products with all others are computed exactly.
+
 Edge cases: vectors that are null or hold null or non-finite components take no part; vectors only meet queries of their own
 dimension; an empty vector scores 0 with empty ones; ties go to the smaller id; rows that repeat an id are candidates
-each, but a query has no candidate of its own id, and a query id that repeats is answered once per row; scores beyond a long's
-range stop at its ends; an empty table or no query gives no rows; other columns are ignored.
+each, but a query has no candidate of its own id, and a query id that repeats is answered once per row; finite components
+of any size take part, in integers of any size; scores beyond a long's range stop at its ends, where they tie; an empty table or no query gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,22 +37,25 @@ SAFE = float(1 << 53)
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
 
-def _clean(scale: float):
-    """vec_id, dims, v (integers as float64, which holds them exactly) of the vectors that take part."""
+def _taken(df: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
+    """vec_id, dims, wild, v of the vectors that take part: their integers as float64, which holds them exactly, or a wild vector's own components."""
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", finite))
+    wild = F.exists("x", lambda x: F.abs(x * scale) > SAFE)
+    whole = F.transform("x", lambda x: F.floor(x * scale).cast("double"))
+    rows = rows.withColumn("wild", wild).withColumn("x", F.when(F.col("wild"), F.col("x")).otherwise(whole))
+    return rows.select("vec_id", F.size("x").alias("dims"), "wild", "x").mapInArrow(_bytes, "vec_id long, dims int, wild boolean, v binary")
 
-    def run(batches):
-        for batch in batches:
-            ids, vectors = [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i is None or v is None or any(x is None for x in v):
-                    continue
-                x = np.array(v, np.float64)
-                if np.isfinite(x).all():
-                    ids.append(i)
-                    vectors.append(np.floor(scale * x))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in vectors], pa.int32()), pa.array([x.tobytes() for x in vectors], pa.binary())], names=["vec_id", "dims", "v"])
 
-    return run
+def _bytes(batches):
+    """Arrays of numbers as their bytes."""
+    for batch in batches:
+        lists = batch.column(3)
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+        edge = np.concatenate(([0], np.cumsum(batch.column(1).to_numpy(zero_copy_only=False))))
+        v = [values[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(v, pa.binary())], names=["vec_id", "dims", "wild", "v"])
 
 
 def _extent(batches):
@@ -145,18 +153,35 @@ def _scan(k: int, edges: dict[int, tuple[np.ndarray, np.ndarray]]):
     return run
 
 
-def _exact(batches):
+def _exact(scale: float):
     """The integer inner product of each pair."""
-    for batch in batches:
-        out = np.zeros(batch.num_rows, np.int64)
-        size = batch.column(4).to_numpy(zero_copy_only=False)
-        for d in np.unique(size):
-            own = np.flatnonzero(size == d)
-            x, y = (np.frombuffer(b"".join(batch.column(i).take(pa.array(own)).to_pylist()), np.float64).reshape(len(own), d) for i in (5, 6))
-            out[own] = (x * y).sum(1) if d else 0
-            for j in np.flatnonzero((np.abs(x) * np.abs(y)).sum(1) > SAFE):
-                out[own[j]] = min(max(sum(int(a) * int(b) for a, b in zip(x[j], y[j], strict=True)), _LONG[0]), _LONG[1])
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out)], names=["key", "row", "query_id", "vec_id", "score"])
+    factor = Fraction(scale)
+
+    def integers(v: bytes, wild: bool) -> list[int]:
+        x = np.frombuffer(v, np.float64).tolist()
+        return [math.floor(Fraction(a) * factor) for a in x] if wild else [int(a) for a in x]
+
+    def product(a: bytes, b: bytes, wild: tuple[bool, bool]) -> int:
+        total = sum(x * y for x, y in zip(integers(a, wild[0]), integers(b, wild[1]), strict=True))
+        return min(max(total, _LONG[0]), _LONG[1])
+
+    def run(batches):
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.int64)
+            size = batch.column(4).to_numpy(zero_copy_only=False)
+            flags = [batch.column(i).to_numpy(zero_copy_only=False) for i in (7, 8)]
+            wild = flags[0] | flags[1]
+            slow = list(np.flatnonzero(wild))
+            for d in np.unique(size[~wild]):
+                own = np.flatnonzero((size == d) & ~wild)
+                x, y = (np.frombuffer(b"".join(batch.column(i).take(pa.array(own)).to_pylist()), np.float64).reshape(len(own), d) for i in (5, 6))
+                out[own] = (x * y).sum(1) if d else 0
+                slow.extend(own[(np.abs(x) * np.abs(y)).sum(1) > SAFE])
+            for j in slow:
+                out[j] = product(batch.column(5)[j].as_py(), batch.column(6)[j].as_py(), (bool(flags[0][j]), bool(flags[1][j])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out)], names=["key", "row", "query_id", "vec_id", "score"])
+
+    return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", size: int = 4096, bits: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -164,22 +189,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
     spark = vectors.sparkSession
     prepare(spark)
 
-    def clean(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-        return rows.mapInArrow(_clean(scale), "vec_id long, dims int, v binary")
-
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    exact = bucketed(clean(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors", "row", buckets)
-    asked = materialise(clean(queries).withColumn("key", F.monotonically_increasing_id()), "queries")
-    ends = exact.select("dims", "v").mapInArrow(_extent, "dims int, at int, lo double, hi double").groupBy("dims", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    exact = bucketed(_taken(vectors, key, vector, scale).withColumn("row", F.monotonically_increasing_id()), "vectors", "row", buckets)
+    asked = materialise(_taken(queries, key, vector, scale).withColumn("key", F.monotonically_increasing_id()), "queries")
+    tame, tame_asked = exact.where("NOT wild"), asked.where("NOT wild")
+    ends = tame.select("dims", "v").mapInArrow(_extent, "dims int, at int, lo double, hi double").groupBy("dims", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
     edges: dict[int, tuple[np.ndarray, np.ndarray]] = {0: (np.zeros(0), np.ones(0))}
     for r in sorted(ends, key=lambda r: (r["dims"], r["at"])):
         lo, width = edges.setdefault(r["dims"], (np.zeros(r["dims"]), np.ones(r["dims"])))
         lo[r["at"]], width[r["at"]] = r["lo"], (r["hi"] - r["lo"]) / (1 << bits) or 1.0
 
-    approximation = exact.select("row", "vec_id", "dims", "v").mapInArrow(_held(size, 4, _pack(lambda x: cells(x, *edges[x.shape[1]], bits)), BLOCK), SPARK_BLOCK)
+    approximation = tame.select("row", "vec_id", "dims", "v").mapInArrow(_held(size, 4, _pack(lambda x: cells(x, *edges[x.shape[1]], bits)), BLOCK), SPARK_BLOCK)
     approximation = materialise(approximation.withColumn("block", F.monotonically_increasing_id()), "cells")
-    held = asked.select("key", "vec_id", "dims", "v").mapInArrow(_held(size // 4, 4, _pack(lambda x: x), BLOCK), SPARK_BLOCK)
+    held = tame_asked.select("key", "vec_id", "dims", "v").mapInArrow(_held(size // 4, 4, _pack(lambda x: x), BLOCK), SPARK_BLOCK)
     held = materialise(held.withColumn("query_block", F.monotonically_increasing_id()), "query-blocks")
     held = held.select("query_block", "dims", F.col("rows").alias("keys"), F.col("ids").alias("query_ids"), F.col("data").alias("queries"))
     # a row for each pair of blocks of one dimension: block numbers only, as many as (rows / size) x (queries / size)
@@ -194,13 +216,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
     release(approximation, held)
 
     def scores(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(exact.select("row", "vec_id", "dims", "v"), "row").join(asked.select("key", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "key")
-        return joined.select("key", "row", "query_id", "vec_id", "dims", "v", "q").mapInArrow(_exact, "key long, row long, query_id long, vec_id long, score long")
+        joined = pairs.join(exact.select("row", "vec_id", "dims", "v", "wild"), "row").join(asked.select("key", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("wild").alias("wild_q")), "key")
+        return joined.select("key", "row", "query_id", "vec_id", "dims", "v", "q", "wild", "wild_q").mapInArrow(_exact(scale), "key long, row long, query_id long, vec_id long, score long")
 
     first = materialise(scores(play.where(F.col("r") <= k).select("key", "row")), "first-scores")
     least = first.groupBy("key").agg(F.min("score").alias("least"))
     rest = play.where(F.col("r") > k).join(least, "key").where(F.col("middle") + F.col("radius") >= F.col("least"))
-    read = materialise(first.union(scores(rest.select("key", "row"))), "scores")
+    # wild vectors meet all others of their dimension exactly; there are none in most tables
+    ask, have = (df.select(F.col(name), F.col("vec_id").alias(f"{name}_id"), "dims", F.col("wild").alias(f"{name}_wild")) for df, name in ((asked, "key"), (exact, "row")))
+    extra = ask.where("key_wild").join(have, "dims").unionByName(ask.where("NOT key_wild").join(have.where("row_wild"), "dims")).where("key_id <> row_id")
+    read = materialise(first.union(scores(rest.select("key", "row").union(extra.select("key", "row")))), "scores")
     release(first, play, exact, asked)
     w = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id", "row")
     top = read.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
