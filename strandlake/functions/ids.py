@@ -16,6 +16,12 @@ def genome_of(contig: Column) -> Column:
     return F.substring_index(contig, "_", 1)
 
 
+def prefixes(contig: Column) -> Column:
+    """What a contig's id may be called by: itself, and all that ends before one of its underscores."""
+    parts = F.split(contig, "_")
+    return F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "_")), lambda p: p != "")
+
+
 def same_genome(genome: Column, target: Column) -> Column:
     """The target is the genome itself or one of its contigs (genome_...); empty names match nothing."""
     hit = (target == genome) | F.startswith(target, F.concat(genome, F.lit("_")))

@@ -1,9 +1,11 @@
-"""Secondary-structure penalty of probes, by a nearest-neighbour stem model.
+"""Secondary-structure penalty of probes: the most stable hairpin or self-dimer by nearest neighbours.
 
-The most stable stem is searched among hairpins (loop of at least three bases) and self-dimers: helices of stacked pairs, scored with the
-nearest-neighbour free energies at 37 degrees, a terminal penalty and, for hairpins, a loop penalty by length. This is a model of
-its own with published stacking energies, without dangling ends, interior loops or salt correction of loops;
-it doesn't claim the numbers of full thermodynamic alignment.
+A structure is one chain of nested base pairs: of a strand with itself around a hairpin loop, or of two copies of the strand, antiparallel. Between two pairs of the chain lies a
+stack, a single mismatch, a bulge or an interior loop; the ends have dangling bases. Dynamic programming over all pairs finds the least free energy at 37 degrees. All probes of one
+length in a batch go through it together: for each span of a pair, numpy takes all places of all probes at once.
+
+The energies are the published ones of Allawi and SantaLucia (stacks, mismatches), Bommarito et al. (dangling ends) and SantaLucia and Hicks (loops), in 1 M sodium. Special loops
+(tri- and tetraloops), salt correction and coaxial stacking are left out, and a mismatch that closes a loop counts as an inner one, so values differ from those of programs that have them.
 """
 
 from __future__ import annotations
@@ -15,53 +17,192 @@ from pyspark.sql import types as T
 
 from .seq import ENTHALPY, ENTROPY, both_strands
 
-INITIATION = 1.96  # kcal/mol, SantaLucia (2004)
-# Free energies (kcal/mol) of hairpin loops by length, SantaLucia and Hicks (2004).
-LOOPS = {3: 3.5, 4: 3.5, 5: 3.3, 6: 4.0, 7: 4.2, 8: 4.3, 9: 4.5}
+# Fixed values. Enthalpy (kcal/mol) and entropy (cal/mol K) of an inner mismatch behind a pair: 5' xy 3' over 3' x'y' 5' (Allawi and SantaLucia 1997-1998, Peyret et al. 1999).
+MISMATCHES = """
+AG/TT 1.0 0.9  AT/TG -2.5 -8.3  AA/TG -0.6 -2.3  AG/TA -0.7 -2.3  AC/TT 0.7 0.2  AT/TC -1.2 -6.2  AA/TC 2.3 4.6  AC/TA 5.3 14.6  AA/TA 1.2 1.7  AC/TC 0.0 -4.4  AG/TG -3.1 -9.5  AT/TT -2.7 -10.8
+CG/GT -4.1 -11.7  CT/GG -2.8 -8.0  CA/GG -0.7 -2.3  CG/GA -4.0 -13.2  CC/GT -0.8 -4.5  CT/GC -1.5 -6.1  CA/GC 1.9 3.7  CC/GA 0.6 -0.6  CA/GA -0.9 -4.2  CC/GC -1.5 -7.2  CG/GG -4.9 -15.3  CT/GT -5.0 -15.8
+GG/CT 3.3 10.4  GT/CG -4.4 -12.3  GA/CG -0.6 -1.0  GG/CA 0.5 3.2  GC/CT 2.3 5.4  GT/CC 5.2 13.5  GA/CC 5.2 14.2  GC/CA -0.7 -3.8  GA/CA -2.9 -9.8  GC/CC 3.6 8.9  GG/CG -6.0 -15.8  GT/CT -2.2 -8.4
+TG/AT -0.1 -1.7  TT/AG -1.3 -5.3  TA/AG 0.7 0.7  TG/AA 3.0 7.4  TC/AT 1.2 0.7  TT/AC 1.0 0.7  TA/AC 3.4 8.0  TC/AA 7.6 20.2  TA/AA 4.7 12.9  TC/AC 6.1 16.4  TG/AG 1.6 3.6  TT/AT 0.2 -1.5
+"""
+# Fixed values. The same for a base that dangles beside a pair (Bommarito et al. 2000); '.' is the missing base.
+DANGLING = """
+AA/.T 0.2 2.3  AC/.G -6.3 -17.1  AG/.C -3.7 -10.0  AT/.A -2.9 -7.6  CA/.T 0.6 3.3  CC/.G -4.4 -12.6  CG/.C -4.0 -11.9  CT/.A -4.1 -13.0
+GA/.T -1.1 -1.6  GC/.G -5.1 -14.0  GG/.C -3.9 -10.9  GT/.A -4.2 -15.0  TA/.T -6.9 -20.0  TC/.G -4.0 -10.9  TG/.C -4.9 -13.8  TT/.A -0.2 -0.5
+.A/AT -0.7 -0.8  .C/AG -2.1 -3.9  .G/AC -5.9 -16.5  .T/AA -0.5 -1.1  .A/CT 4.4 14.9  .C/CG -0.2 -0.1  .G/CC -2.6 -7.4  .T/CA 4.7 14.2
+.A/GT -1.6 -3.6  .C/GG -3.9 -11.2  .G/GC -3.2 -10.4  .T/GA -4.1 -13.1  .A/TT 2.9 10.4  .C/TG -4.4 -13.1  .G/TC -5.2 -15.0  .T/TA -3.8 -12.6
+"""
+# Free energies (kcal/mol) of loops by unpaired bases (SantaLucia and Hicks 2004).
+HAIRPIN = {3: 3.5, 4: 3.5, 5: 3.3, 6: 4.0, 7: 4.2, 8: 4.3, 9: 4.5}
+BULGE = {1: 4.0, 2: 2.9, 3: 3.1, 4: 3.2, 5: 3.3, 6: 3.5, 7: 3.7, 8: 3.9, 9: 4.1}
+INTERIOR = {3: 3.2, 4: 3.6, 5: 4.0, 6: 4.4, 7: 4.6, 8: 4.8, 9: 4.9}
+INITIATION = 1.96
+ASYMMETRY = 0.3  # for each base that one side of an interior loop has more
+END_AT = 0.05  # for each end of a chain or of a loop that is A-T
+KELVIN = 310.15
+GAS = 0.0019872
+#: Most unpaired bases in a bulge or interior loop.
+WIDEST = 12
+
+
+def loop_energy(table: dict[int, float], n: int) -> float:
+    """Beyond the table, the logarithm of the size decides."""
+    top = max(table)
+    return table[n] if n in table else table[top] + 1.75 * GAS * KELVIN * float(np.log(n / top))
+
 
+def _free(text: str) -> dict[str, float]:
+    words = text.split()
+    return {k: float(h) - KELVIN * float(s) / 1000 for k, h, s in zip(words[0::3], words[1::3], words[2::3], strict=True)}
 
-def _stack() -> np.ndarray:
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """step[x, y, x', y']: 5' xy 3' over 3' x'y' 5', at least one of them a pair. left[d, x, x'], right[x, x', d]: a base before the upper strand's x, behind it; twice each, by strand."""
     h, s = both_strands(ENTHALPY), both_strands(ENTROPY)
-    table = np.zeros((4, 4))
-    for i, a in enumerate("ACGT"):
-        for j, b in enumerate("ACGT"):
-            table[i, j] = h[a + b] / 10 - 310.15 * s[a + b] / 10000
-    return table
-
-
-def _loop(n: np.ndarray) -> np.ndarray:
-    base = np.array([np.inf] * 3 + [LOOPS[i] for i in range(3, 10)])
-    return np.where(n < 10, base[np.clip(n, 0, 9)], LOOPS[9] + 1.75 * 0.001987 * 310.15 * np.log(np.maximum(n, 9) / 9))
-
-
-def free_energy(seq: str) -> float:
-    """Least free energy (kcal/mol) of a stem of the sequence with itself, at most 0."""
-    code = np.array(["ACGT".find(c) for c in seq])
-    n = len(code)
-    if n < 4 or (code < 0).any():
-        return 0.0
-    stack = _stack()
-    pairs = code[:, None] + code[None, :] == 3  # A-T and C-G are complements
-    # e[i, j]: best energy of a helix whose innermost pair so far is (i, j), grown outward from it
-    step = np.full((n, n), 0.0)
-    step[:-1, :] = stack[code[:-1], code[1:]][:, None]  # stacking i -> i + 1 against j - 1 <- j
-    best = 0.0
-    hairpin = np.full((n, n), np.inf)
-    dimer = np.full((n, n), np.inf)
-    gap = np.arange(n)[None, :] - np.arange(n)[:, None] - 1
-    close = np.where(gap >= 3, _loop(gap), np.inf)
-    hairpin[pairs] = close[pairs]
-    dimer[pairs] = INITIATION
-    for table in (hairpin, dimer):
-        for i in range(n - 2, -1, -1):  # (i, j) around (i + 1, j - 1)
-            grown = np.full(n, np.inf)
-            grown[1:] = table[i + 1, :-1] + step[i, 1:]
-            table[i] = np.where(pairs[i], np.minimum(table[i], grown), np.inf)
-        best = min(best, float(np.min(table)))
+    step = np.zeros((4, 4, 4, 4))
+    for x in range(4):
+        for y in range(4):
+            k = "ACGT"[x] + "ACGT"[y]
+            step[x, y, 3 - x, 3 - y] = h[k] / 10 - KELVIN * s[k] / 10000
+    for k, g in _free(MISMATCHES).items():
+        x, y, u, v = ("ACGT".index(k[i]) for i in (0, 1, 3, 4))
+        step[x, y, u, v] = step[v, u, y, x] = g
+    behind, before = np.zeros((4, 4)), np.zeros((4, 4))  # [pair's base on the dangling strand, dangling base]: 3' dangling, 5' dangling
+    for k, g in _free(DANGLING).items():
+        # 'XY/.Z': X dangles 5' of the pair Y-Z; '.Y/XZ': X, on the lower strand and so 3' of it, dangles behind Z, paired with Y
+        if k[3] == ".":
+            before["ACGT".index(k[1]), "ACGT".index(k[0])] = g
+        else:
+            behind["ACGT".index(k[4]), "ACGT".index(k[3])] = g
+    return step, before, behind
+
+
+STEP, BEFORE, BEHIND = _tables()
+
+
+class _Batch:
+    """What the programs below read of probes of one length: (i, j) is base i against base j of the other side."""
+
+    def __init__(self, code: np.ndarray):
+        self.n = n = code.shape[1]
+        self.code = code
+        at, other = code[:, :, None], code[:, None, :]
+        self.pairs = at + other == 3  # A-T and C-G are complements
+        self.end = np.where(self.pairs & ((at == 0) | (at == 3)), END_AT, 0.0)
+        pad = np.full((len(code), 2), -1)
+        right, left = np.concatenate([code[:, 1:], pad], 1), np.concatenate([pad, code], 1)  # right[i + k - 1] is base i + k, left[j + 2 - k] base j - k
+        base = lambda m, k, from_right: (m[:, k - 1 : k - 1 + n] if from_right else m[:, 2 - k : 2 - k + n])
+
+        def step(up: int, down: int) -> np.ndarray:
+            """From (i, j) to (i + up, j - down)."""
+            y, v = base(right, up, True)[:, :, None], base(left, down, False)[:, None, :]
+            return np.where((y < 0) | (v < 0), np.inf, STEP[at, np.maximum(y, 0), other, np.maximum(v, 0)])
+
+        self.next = step(1, 1)
+        self.over = {(1, 0): step(2, 1), (0, 1): step(1, 2)}  # across a bulge of one base
+        y, v = base(right, 1, True)[:, :, None], base(left, 1, False)[:, None, :]
+        inner = (y >= 0) & (v >= 0) & (y + v != 3)
+        self.closing = np.where(inner, np.where(np.isinf(self.next), 0.0, self.next), 0.0)  # a mismatch behind the pair (i, j)
+        # behind(i, j): before the pair read from the other side, which is the pair (i - 1, j + 1)'s step
+        # dangling bases outside the pair (i, j), where i begins a chain: base i - 1 (5') and base j + 1 (3')
+        five = np.where(base(left, 1, False) >= 0, BEFORE[code, np.maximum(base(left, 1, False), 0)], 0.0)
+        three = np.where(base(right, 1, True) >= 0, BEHIND[code, np.maximum(base(right, 1, True), 0)], 0.0)
+        least = lambda a: np.minimum(a, 0.0)
+        self.outside = least(five)[:, :, None] + least(three)[:, None, :] + self.end
+        self.inside = least(three)[:, :, None] + least(five)[:, None, :] + self.end  # where (i, j) ends a chain: base i + 1 and base j - 1
+
+    def between(self, i: slice, j: slice, k: slice, m: slice, up: int, down: int) -> np.ndarray:
+        """What lies between the pairs (i, j) and (k, m) = (i + 1 + up, j - 1 - down), for a diagonal of pairs."""
+        a, b = self.at(self.next, i, j), up + down
+        if not b:
+            return a
+        before = (slice(k.start - 1, k.stop - 1), slice(m.start + 1, m.stop + 1))  # the step into (k, m)
+        if up == down == 1:
+            return a + self.at(self.next, *before)
+        if not up or not down:
+            if b == 1:
+                return BULGE[1] + self.at(self.over[up, down], i, j)
+            return loop_energy(BULGE, b) + self.at(self.end, i, j) + self.at(self.end, k, m)
+        last = self.code[:, before[0]] + self.code[:, before[1]] != 3
+        into = np.where(last, self.at(self.next, *before), 0.0)
+        return loop_energy(INTERIOR, b) + ASYMMETRY * abs(up - down) + self.at(self.closing, i, j) + into
+
+    @staticmethod
+    def at(table: np.ndarray, i: slice, j: slice) -> np.ndarray:
+        """table[:, i, j] for two equally long ranges, one entry for each place."""
+        return table[:, np.arange(i.start, i.stop), np.arange(j.start, j.stop)]
+
+
+def hairpins(code: np.ndarray) -> np.ndarray:
+    """Least free energy of a hairpin of each row, at most 0."""
+    rows, n = code.shape
+    best = np.zeros(rows)
+    if n < 5:
+        return best
+    b = _Batch(code)
+    energy = np.full((rows, n, n), np.inf)
+    for span in range(4, n):  # pairs (i, i + span)
+        i, j = slice(0, n - span), slice(span, n)
+        loop = span - 1
+        e = loop_energy(HAIRPIN, loop) + (b.at(b.closing, i, j) if loop > 3 else b.at(b.end, i, j))
+        for up in range(min(WIDEST, span - 6) + 1):
+            for down in range(min(WIDEST, span - 6) - up + 1):
+                inner = span - 2 - up - down
+                if inner < 4:
+                    break
+                k, m = slice(1 + up, n - span + 1 + up), slice(span - 1 - down, n - 1 - down)
+                e = np.minimum(e, b.between(i, j, k, m, up, down) + b.at(energy, k, m))
+        e = np.where(b.at(b.pairs, i, j), e, np.inf)
+        energy[:, np.arange(i.start, i.stop), np.arange(j.start, j.stop)] = e
+        best = np.minimum(best, (e + b.at(b.outside, i, j)).min(1))
     return best
 
 
+def dimers(code: np.ndarray) -> np.ndarray:
+    """Least free energy of a duplex of two copies of each row, at most 0."""
+    rows, n = code.shape
+    best = np.zeros(rows)
+    if n < 2:
+        return best
+    b = _Batch(code)
+    energy = np.full((rows, n, n), np.inf)
+    for shift in range(-(n - 1), n):  # pairs (i, i - shift), the nearer to the chain's begin the lesser the shift
+        lo, hi = max(shift, 0), n + min(shift, 0)
+        i, j = slice(lo, hi), slice(lo - shift, hi - shift)
+        e = INITIATION + b.at(b.outside, i, j)
+        for up in range(WIDEST + 1):
+            for down in range(WIDEST - up + 1):
+                # the pair before: (i - 1 - up, j + 1 + down)
+                skip_low, skip_high = max(0, 1 + up - lo), max(0, hi - shift + 1 + down - n)
+                if skip_low + skip_high >= hi - lo:
+                    continue
+                k, m = slice(lo + skip_low, hi - skip_high), slice(lo + skip_low - shift, hi - skip_high - shift)
+                p, q = slice(k.start - 1 - up, k.stop - 1 - up), slice(m.start + 1 + down, m.stop + 1 + down)
+                part = slice(skip_low, hi - lo - skip_high)
+                e[:, part] = np.minimum(e[:, part], b.between(p, q, k, m, up, down) + b.at(energy, p, q))
+        e = np.where(b.at(b.pairs, i, j), e, np.inf)
+        energy[:, np.arange(i.start, i.stop), np.arange(j.start, j.stop)] = e
+        best = np.minimum(best, (e + b.at(b.inside, i, j)).min(1))
+    return best
+
+
+def free_energies(seqs: list[str | None], batch: int = 256) -> np.ndarray:
+    """Least free energy (kcal/mol) of a hairpin or self-dimer of each sequence, at most 0; 0 for one with other letters."""
+    out = np.zeros(len(seqs))
+    by_length: dict[int, list[int]] = {}
+    for i, s in enumerate(seqs):
+        if s and not set(s.upper()) - set("ACGT"):
+            by_length.setdefault(len(s), []).append(i)
+    for n, rows in by_length.items():
+        for a in range(0, len(rows), batch):
+            part = rows[a : a + batch]
+            code = np.frombuffer("".join(seqs[i] for i in part).upper().translate(str.maketrans("ACGT", "\0\1\2\3")).encode(), np.uint8).reshape(len(part), n).astype(np.int64)
+            out[part] = np.minimum(hairpins(code), dimers(code))
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def structure_penalty(seqs: pd.Series) -> pd.Series:
     """0 (none) to 1 (10 kcal/mol or more)."""
-    return seqs.map(lambda s: min(1.0, max(0.0, -free_energy(s) / 10)) if s else 0.0)
+    distinct = seqs.drop_duplicates()
+    values = dict(zip(distinct, np.clip(-free_energies(distinct.tolist()) / 10, 0, 1), strict=True))
+    return seqs.map(values)

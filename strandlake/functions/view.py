@@ -2,40 +2,26 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-VIEW = T.StructType([T.StructField("sequence", T.StringType()), T.StructField("target_sequence", T.StringType())])
+from .tags import cigar_ops
 
 
-def columns(seq: str, cigar: str, md: str) -> tuple[str, str]:
-    """Mismatches and inserted bases in lower case; '-' opposite a gap; deleted target bases in lower case."""
-    target_bases: list[str] = []  # of M and D columns in order: '' for a match, a base for a mismatch, '^' + base for a deletion
-    for run, gone, base in re.findall(r"(\d+)|\^([A-Z]+)|([A-Z])", md):
-        target_bases += [""] * int(run) if run else [f"^{b}" for b in gone] if gone else [base]
-    top, bottom, at, tags = [], [], 0, iter(target_bases)
-    for n, op in re.findall(r"(\d+)([MIDNSHPX=])", cigar):
-        for _ in range(int(n)):
-            if op == "D":
-                top.append("-")
-                bottom.append(next(tags)[1:].lower())
-                continue
-            base = seq[at]
-            at += 1
-            if op == "I":
-                top.append(base.lower())
-                bottom.append("-")
-            else:
-                other = next(tags)
-                top.append(base.lower() if other else base)
-                bottom.append(other.lower() if other else base)
-    return "".join(top), "".join(bottom)
+def gapped_view(seq: Column, cigar: Column, md: Column) -> Column:
+    """(sequence, target_sequence): mismatches and inserted bases in lower case; '-' opposite a gap; deleted target bases in lower case. Null where a tag is missing."""
+    ops = F.array_join(F.transform(cigar_ops(cigar), lambda x: F.repeat(x["op"], x["n"])), "")  # a letter for each column
+    items = F.regexp_extract_all(md, F.lit(r"(\d+|\^[A-Z]+|[A-Z])"), F.lit(1))
+    # a sign for each target base: '=', a mismatched base, or a deleted one in lower case
+    sign = lambda x: F.when(F.rlike(x, F.lit(r"^\d")), F.repeat(F.lit("="), F.coalesce(x.try_cast("int"), F.lit(0)))).otherwise(F.when(F.startswith(x, F.lit("^")), F.lower(F.substr(x, F.lit(2)))).otherwise(x))
+    signs = F.array_join(F.transform(items, sign), "")
 
+    def column(acc: Column, i: Column) -> Column:
+        op, base, mark = F.substr(ops, i, F.lit(1)), F.substr(seq, acc["q"] + 1, F.lit(1)), F.substr(signs, acc["t"] + 1, F.lit(1))
+        top = F.when(op == "D", "-").when((op == "I") | (mark != "="), F.lower(base)).otherwise(base)
+        bottom = F.when(op == "I", "-").when(mark != "=", F.lower(mark)).otherwise(base)
+        return F.struct((acc["q"] + (op != "D").cast("int")).alias("q"), (acc["t"] + (op != "I").cast("int")).alias("t"), F.concat(acc["top"], top).alias("top"), F.concat(acc["bottom"], bottom).alias("bottom"))
 
-@F.pandas_udf(VIEW)
-def gapped_view(seq: pd.Series, cigar: pd.Series, md: pd.Series) -> pd.DataFrame:
-    rows = [columns(s, c, m) if s and c and m else (None, None) for s, c, m in zip(seq, cigar, md, strict=True)]
-    return pd.DataFrame(rows, columns=["sequence", "target_sequence"])
+    start = F.struct(F.lit(0).alias("q"), F.lit(0).alias("t"), F.lit("").alias("top"), F.lit("").alias("bottom"))
+    both = F.aggregate(F.sequence(F.lit(1), F.length(ops)), start, column, lambda a: F.struct(a["top"].alias("sequence"), a["bottom"].alias("target_sequence")))
+    return F.when((F.length(seq) > 0) & (F.length(ops) > 0) & (F.length(md) > 0), both)

@@ -49,13 +49,18 @@ def counter(k: int, wanted, keys: int):
     return run
 
 
+def own_bases(contigs: DataFrame, k: int) -> DataFrame:
+    """Contigs in pieces (see sources/pieces.py) without the k-mers that the next piece has; whole contigs as they are."""
+    return contigs.withColumn("seq", F.substr("seq", F.lit(1), F.col("own") + k - 1)) if "own" in contigs.columns else contigs
+
+
 def count_kmers(contigs: DataFrame, kmers: DataFrame, k: int, by: tuple[str, ...] = ("grp",), block: int = scan.BLOCK) -> DataFrame:
     """by..., ckmer, cnt: how often each wanted canonical k-mer (column ckmer of kmers) occurs in the contigs.
 
     Up to `block` wanted k-mers are broadcast, and each task counts those it meets; beyond, tasks count all k-mers, and a join keeps the
     wanted ones. Either way Spark adds the partial counts up by group and k-mer.
     """
-    rows = contigs.select(*by, "seq")
+    rows = own_bases(contigs, k).select(*by, "seq")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["code long", "n long"])
     few = wanted_codes(kmers, k, block)
     table = contigs.sparkSession.sparkContext.broadcast(few) if few is not None else None
@@ -84,10 +89,10 @@ def excess(kmers: DataFrame, genome: DataFrame, source: DataFrame, key: str = "p
 
     genome: ckmer, cnt over all groups. source: own..., ckmer, cnt in the probe's own sequences.
     """
-    total = genome.groupBy("ckmer").agg(F.sum("cnt").alias("genome"))
-    mine = source.groupBy(*own, "ckmer").agg(F.sum("cnt").alias("source"))
+    total = genome.groupBy("ckmer").agg(F.sum("cnt").alias("_genome"))
+    mine = source.groupBy(*own, "ckmer").agg(F.sum("cnt").alias("_source"))
     joined = kmers.join(total, "ckmer", "left").join(mine, [*own, "ckmer"], "left")
-    g, s = F.coalesce("genome", F.lit(0)), F.coalesce("source", F.lit(0))
+    g, s = F.coalesce("_genome", F.lit(0)), F.coalesce("_source", F.lit(0))
     out = joined.groupBy(key).agg(F.count("*").alias("total_kmers"), F.count_if(g > s).alias("off_target"), F.count_if((g > 0) & (g <= s)).alias("self_only"))
     return out.withColumn("safe", F.col("off_target") == 0)
 
@@ -115,23 +120,14 @@ def own_sequences(contigs: DataFrame, sources: DataFrame, versionless: bool = Fa
     return contigs.withColumn("_k", I.genome_of(F.col("contig"))).join(sources.select("source_id", I.genome_of(F.col("source_id")).alias("_k")), "_k").drop("_k")
 
 
-def write_counts(counts: DataFrame, path: str, k: int) -> None:
-    """The k-mer database: Parquet by k and group. What is written replaces its own partitions, so that a rebuild or a retry counts nothing twice."""
-    out = counts.withColumn("k", F.lit(k)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    out.partitionBy("k", "grp").parquet(path)
-
+def genome_contigs(contigs: DataFrame, genomes: DataFrame) -> DataFrame:
+    """contig, genome: whose each contig is. A contig belongs to a genome of its own name or of a prefix of it that ends before an underscore; of several, to the first by `rank`.
 
-def build_database(contigs: DataFrame, k: int, path: str) -> None:
-    """All canonical k-mers of each group, counted by the scan with partial sums."""
-    rows = contigs.select("grp", "seq")
-    partial = rows.mapInArrow(counter(k, None, 1), "grp string, code long, n long")
-    write_counts(partial.groupBy("grp", "code").agg(F.sum("n").alias("cnt")).select("grp", kmer_of(F.col("code"), k).alias("ckmer"), "cnt"), path, k)
-
-
-def read_database(spark: SparkSession, path: str, k: int, groups: list[str] | None = None) -> DataFrame:
-    """grp, ckmer, cnt of a k-mer database; k and groups prune its folders."""
-    out = spark.read.parquet(path).where(F.col("k") == k)
-    return (out.where(F.col("grp").isin(*groups)) if groups else out).select("grp", "ckmer", "cnt")
+    genomes: genome, rank. Names may hold underscores themselves, so every prefix of a contig is looked up, as an ordinary join.
+    """
+    named = contigs.select("contig").distinct().select("contig", F.explode(I.prefixes(F.col("contig"))).alias("genome"))
+    found = named.join(genomes, "genome").groupBy("contig").agg(F.min(F.struct("rank", "genome")).alias("first"))
+    return found.select("contig", F.col("first.genome").alias("genome"))
 
 
 def kmer_of(code_: Column, k: int) -> Column:

@@ -186,7 +186,7 @@ def gapped_records(hits: DataFrame) -> DataFrame:
     """records() of alignments that may hold gaps."""
     from ..functions.view import gapped_view
 
-    view = gapped_view("seq", "cigar", "md")
+    view = gapped_view(F.col("seq"), F.col("cigar"), F.col("md"))
     out = hits.withColumn("_v", view)
     subs, gaps = tags.substitutions(F.col("md")), tags.bulges(F.col("cigar"))
     return out.select(

@@ -70,3 +70,12 @@ def check_lengths(low: int, high: int, k: int | None = None, errors: int = 0, bu
         raise ValueError(f"k = {k} does not fit probes of {low} bases")
     if not 0 <= errors <= 8 or not 0 <= bulges <= min(4, errors) or low // (errors + 1) < 1:
         raise ValueError("errors must be 0..8, bulges 0..4 and no more than errors, and each seed needs a base")
+
+
+def check_request(length: int, k: int, errors: int, bulges: int) -> None:
+    """The narrower domain of requests from a user interface: probes of 20 to 50 bases, k from 14 to the probe's length, at most 2 bulges."""
+    if not 0 <= bulges <= 2:
+        raise ValueError(f"bulges = {bulges} is outside 0..2")
+    if not 14 <= k <= min(length, 31):
+        raise ValueError(f"k = {k} is outside 14..{min(length, 31)}")
+    check_lengths(length, length, k, errors, bulges, (20, 50))

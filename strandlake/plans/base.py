@@ -169,6 +169,31 @@ found AS (SELECT probe_id, CAST(flag AS INTEGER) AS flag, contig AS rname, CAST(
   CASE WHEN nm = c0 THEN n WHEN nm = ci THEN n - 1 ELSE n + 1 END AS used FROM best WHERE nm <= 2),
 k0 AS (SELECT * FROM found WHERE nm = 0), k1 AS (SELECT * FROM k0 UNION ALL SELECT * FROM found h WHERE nm = 1 AND NOT EXISTS (SELECT 1 FROM k0 k WHERE {_OVERLAP})),
 gapped AS (SELECT * FROM k1 UNION ALL SELECT * FROM found h WHERE nm = 2 AND NOT EXISTS (SELECT 1 FROM k1 k WHERE {_OVERLAP}))"""
+#: The same with the place of each gap (the leftmost of the cheapest) and both lines without the gap's column.
+_AT = {kind: _COST[kind].split("list_filter(", 1)[1].split(", lambda i: ", 1) for kind in ("del", "ins")}
+_PLACE = {kind: (rng, *rest.rsplit("), lambda i: ", 1)) for kind, (rng, rest) in _AT.items()}
+_FIRST = {kind: f"list_filter({rng}, lambda i: ({allowed}) AND {cost.rsplit('))', 1)[0]} + 1 = nm)[1]" for kind, (rng, allowed, cost) in _PLACE.items()}
+PLACED = GAPPED.replace("AS nm, q, substr(t, 1,", "AS nm, q, t, n, c0, ci, substr(t, 1,") + f""",
+places AS (SELECT *, CASE WHEN nm = c0 THEN 'none' WHEN nm = ci THEN 'ins' ELSE 'del' END AS kind, CAST(CASE WHEN nm = c0 THEN 0 WHEN nm = ci THEN {_FIRST['ins']} ELSE {_FIRST['del']} END AS INTEGER) AS gap FROM gapped),
+lined AS (SELECT *, CASE kind WHEN 'ins' THEN substr(q, 1, gap - 1) || substr(q, gap + 1) ELSE q END AS qq,
+  CASE kind WHEN 'del' THEN substr(t, 1, gap) || substr(t, gap + 2, n - gap) WHEN 'ins' THEN substr(t, 1, n - 1) ELSE substr(t, 1, n) END AS tt FROM places)"""
+PLACED_CIGAR = "CASE kind WHEN 'none' THEN n || 'M' WHEN 'ins' THEN (gap - 1) || 'M1I' || (n - gap) || 'M' ELSE gap || 'M1D' || (n - gap) || 'M' END"
+PLACED_MD = (
+    f"regexp_replace(CASE kind WHEN 'del' THEN {md('substr(qq, 1, gap)', 'substr(tt, 1, gap)')} || '^' || substr(t, gap + 1, 1) || {md('substr(qq, gap + 1)', 'substr(tt, gap + 1)')} ELSE {md('qq', 'tt')} END, "
+    r"'([A-Z])0$', '\1')"
+)
+_MARKED = "array_to_string(list_transform(range(1, length(qq) + 1), lambda i: CASE WHEN substr(qq, i, 1) <> substr(tt, i, 1) THEN lower(substr({0}, i, 1)) ELSE substr({0}, i, 1) END), '')"
+
+
+def _lines(line: str, own: str, kind: str, gap_kind: str) -> str:
+    """A marked line with the gap's column: a lower-case base where the line has it, else '-'."""
+    marked = _MARKED.format(line)
+    spliced = lambda cut, x: f"substr({marked}, 1, {cut}) || {x} || substr({marked}, {cut} + 1)"
+    return f"CASE kind WHEN '{kind}' THEN {spliced('gap - 1' if kind == 'ins' else 'gap', own)} WHEN '{gap_kind}' THEN {spliced('gap - 1' if gap_kind == 'ins' else 'gap', chr(39) + '-' + chr(39))} ELSE {marked} END"
+
+
+PLACED_SEQUENCE = _lines("qq", "lower(substr(q, gap, 1))", "ins", "del")
+PLACED_TARGET = _lines("tt", "lower(substr(t, gap + 1, 1))", "del", "ins")
 GENE_MAP = """gene_map AS (SELECT CASE WHEN doc_id % 2 = 0 THEN contig ELSE split_part(contig, '.', 1) END AS transcript, 'G' || (doc_id % 97) AS gene FROM contigs WHERE doc_id % 5 <> 0)"""
 SPECIES_MAP = "species_map AS (SELECT source AS genome, min(lang) AS species FROM documents WHERE source <> 'src7' GROUP BY source)"
 KMERS = CANDIDATES + f""",

@@ -49,18 +49,19 @@ def of_genes(genes: DataFrame, contigs: DataFrame, options: Options = Options(),
     tiling.check_lengths(options.length, options.length, options.k, options.errors, options.bulges)
     tiles = tiling.tile(genes, options.length)
     found = tiling.number(tiles.where(tiling.passes(options.gc, options.tm))).withColumn("job", F.col("gene_id"))
-    return _run(found, contigs, options, gene_map, species, headers, probe_input=False)
+    return _run(found, contigs, options, gene_map, species, headers, probe_input=False, funnel=tiling.funnel(tiles, options.gc or (0, 100), options.tm or (-1000, 1000)))
 
 
 def of_probes(probes: DataFrame, contigs: DataFrame, options: Options = Options(gc=None, tm=None), gene_map: DataFrame | None = None, species: DataFrame | None = None) -> Design:
-    """probes: probe_id, seq. Only the filters that are asked for apply; homopolymers are reported, not dropped."""
+    """probes: probe_id, seq, and `line`, their order, if contigs that fit several genomes' names should go to the first (else to the least id). Only the filters that are asked for apply;
+    homopolymers are reported, not dropped."""
     n = F.length("seq")
     r = probes.agg(F.min(n).alias("lo"), F.max(n).alias("hi")).first()
     if r["lo"] is None:
         raise ValueError("no probes")
     tiling.check_lengths(r["lo"], r["hi"], options.k, options.errors, options.bulges)
     found = probes.where(~F.contains("seq", F.lit("N"))).where(tiling.passes(options.gc, options.tm, drop_homopolymers=False))
-    found = found.select("probe_id", F.lit("probes").alias("job"), F.lit("probes").alias("gene_id"), F.lit(1).alias("start"), n.alias("end"), "seq")
+    found = found.select("probe_id", F.lit("probes").alias("job"), F.lit("probes").alias("gene_id"), F.lit(1).alias("start"), n.alias("end"), "seq", *(c for c in ("line",) if c in probes.columns))
     return _run(found, contigs, options, gene_map, species, None, probe_input=True)
 
 
@@ -75,7 +76,7 @@ def _sources(hits: DataFrame, options: Options, gene_map: DataFrame | None, head
     return annotate.source_of_header(headers, gene_map).withColumnRenamed("gene_id", "job")
 
 
-def _run(candidates: DataFrame, contigs: DataFrame, options: Options, gene_map: DataFrame | None, species: DataFrame | None, headers: DataFrame | None, probe_input: bool) -> Design:
+def _run(candidates: DataFrame, contigs: DataFrame, options: Options, gene_map: DataFrame | None, species: DataFrame | None, headers: DataFrame | None, probe_input: bool, funnel: DataFrame | None = None) -> Design:
     spark = candidates.sparkSession
     candidates = stage.keep(candidates, "candidates")
     jobs = candidates.select("probe_id", "job")
@@ -96,6 +97,7 @@ def _run(candidates: DataFrame, contigs: DataFrame, options: Options, gene_map:
     else:
         by_genome = probe_input and options.is_microbiome
         statuses = classify.classify(hits, known, options.is_microbiome, probe_input and not by_genome, by_genome)
+    statuses = stage.keep(statuses, "statuses")  # five tables use it
     sources = known if known is not None else spark.createDataFrame([], "job string, source_gene string, sources array<string>")
 
     on = classify.on_target(candidates, statuses, options.host_internal)
@@ -105,10 +107,12 @@ def _run(candidates: DataFrame, contigs: DataFrame, options: Options, gene_map:
     words = kmers.explode_kmers(on, options.k, ("probe_id", "job"))
     counts = stage.keep(kmers.count_kmers(contigs, words, options.k), "kmer-counts")
     if probe_input and options.is_microbiome:  # a probe's own genome is named by its id
-        own = words.select(F.col("probe_id").alias("own"), I.base_id(F.col("probe_id")).alias("genome")).distinct()
-        mine = contigs.join(own, I.same_genome(F.col("genome"), F.col("contig"))) if "genome" not in contigs.columns else contigs.drop("genome").withColumn("genome", I.genome_of(F.col("contig"))).join(own, "genome")
-        source = kmers.count_kmers(mine.select("own", "seq"), words, options.k, by=("own",)).withColumnRenamed("own", "probe_id")
-        screen = kmers.excess(words, counts, source, own=("probe_id",))
+        words = words.withColumn("genome", I.base_id(F.col("probe_id")))
+        order = F.col("line") if "line" in candidates.columns else F.lit(0)
+        genomes = candidates.groupBy(I.base_id(F.col("probe_id")).alias("genome")).agg(F.min(F.struct(order.alias("line"), "probe_id")).alias("rank"))
+        mine = contigs.drop("genome").join(kmers.genome_contigs(contigs, genomes), "contig")
+        source = kmers.count_kmers(mine, words, options.k, by=("genome",))
+        screen = kmers.excess(words, counts, source, own=("genome",))
     else:
         named = sources.select("job", F.explode("sources").alias("source_id"))
         if options.is_microbiome:
@@ -125,14 +129,23 @@ def _run(candidates: DataFrame, contigs: DataFrame, options: Options, gene_map:
         screen = screen.join(bad, "probe_id", "left").withColumn("safe", F.col("safe") & F.col("_host").isNull()).drop("_host")
     safe = tiling.with_metrics(on.join(screen.where("safe").select("probe_id"), "probe_id", "left_semi"))
     features = report.features(candidates, statuses, safe.select("probe_id"), options.host_internal)
-    stats = stats_of(candidates, raw, hits, statuses, on, safe)
+    stats = stats_of(candidates, raw, hits, statuses, on, safe, funnel)
     return Design(candidates, hits, sources, statuses, on, screen, safe, features, stats)
 
 
-def stats_of(candidates: DataFrame, raw: DataFrame, hits: DataFrame, statuses: DataFrame, on: DataFrame, safe: DataFrame) -> DataFrame:
-    """stage, n: what each step of the run left, as rows of one table."""
-    out = None
-    for name, df in (("candidates", candidates), ("raw_alignments", raw), ("filtered_alignments", hits), ("aligned_probes", statuses), ("self_safe", statuses.where("status = 'safe'")), ("on_target", on), ("safe", safe)):
-        row = df.agg(F.lit(name).alias("stage"), F.count("*").alias("n"))
-        out = row if out is None else out.union(row)
-    return out
+def stats_of(candidates: DataFrame, raw: DataFrame, hits: DataFrame, statuses: DataFrame, on: DataFrame, safe: DataFrame, funnel: DataFrame | None = None) -> DataFrame:
+    """stage, n: what each step of the run left, as rows of one table. All steps are tagged, united and counted in one aggregation; a step that left nothing has 0.
+
+    funnel: what each filter of gene input passed and rejected, a row for each gene (see tiling.funnel).
+    """
+    aligned = statuses.select(F.explode(F.array_compact(F.array(F.lit("aligned_probes"), F.when(F.col("status") == "safe", "self_safe")))).alias("stage"))
+    steps = {"candidates": candidates, "raw_alignments": raw, "filtered_alignments": hits, "on_target": on, "safe": safe}
+    zero = [("aligned_probes",), ("self_safe",), *((name,) for name in steps)]
+    tagged = candidates.sparkSession.createDataFrame(zero, "stage string").select("stage", F.lit(0).cast("long").alias("n"))
+    tagged = tagged.union(aligned.select("stage", F.lit(1).cast("long")))
+    for name, df in steps.items():
+        tagged = tagged.union(df.select(F.lit(name), F.lit(1).cast("long")))
+    if funnel is not None:
+        parts = F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("n")) for c in ("windows", "gc_pass", "gc_reject", "tm_reject", "homopolymer_reject")])
+        tagged = tagged.union(funnel.select(F.explode(parts).alias("p")).select("p.stage", "p.n"))
+    return tagged.groupBy("stage").agg(F.sum("n").alias("n"))

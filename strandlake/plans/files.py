@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from ..operators import annotate, kmers, report, tiling
-from ..sources import annotation, fasta, reports, sam, stage
+from ..operators import align, annotate, kmers, report, tiling
+from ..sources import annotation, fasta, kmer_store, pieces, reports, sam, stage
 from . import base as B
 from .registry import query
 
@@ -59,6 +59,46 @@ def fasta_contigs(spark, sf):
     return found.select("contig", "genome", "grp", F.length("seq").alias("n_bases"), F.md5("seq").alias("digest"))
 
 
+def _in_pieces(spark, sf) -> DataFrame:
+    """The contigs as FASTA, read in small pieces."""
+    at = stage.path(spark, "fasta")
+    fasta.write(B.contigs(spark, sf).where("seq <> ''"), at, name="contig", width=80)
+    return pieces.contigs(spark, {"all": at}, overlap=B.LENGTH + 2, piece=5000, glob="part-*")
+
+
+@query(f"WITH {B.CONTIGS} SELECT contig, genome, 'all' AS grp, CAST(length(seq) AS BIGINT) AS n_bases, md5(seq) AS digest FROM contigs WHERE seq <> ''")
+def fasta_pieces(spark, sf):
+    """The pieces of every record, put together again."""
+    own = F.struct("at", F.substr("seq", F.lit(1), F.col("own")).alias("seq"))
+    per = _in_pieces(spark, sf).groupBy("contig", "genome", "grp").agg(F.sum("own").alias("n_bases"), F.array_sort(F.collect_list(own)).alias("p"))
+    return per.select("contig", "genome", "grp", "n_bases", F.md5(F.array_join("p.seq", "")).alias("digest"))
+
+
+@query(f"WITH {B.HITS} SELECT probe_id, flag, rname, pos, nm, target FROM hits")
+def align_pieces(spark, sf):
+    """Alignments with a reference in pieces: none is lost or doubled at their borders."""
+    return align.align_ungapped(B.probes(spark, sf), _in_pieces(spark, sf), B.ERRORS).select("probe_id", "flag", "rname", "pos", "nm", "target")
+
+
+@query(f"WITH {B.CONTIGS}, r AS (SELECT contig AS name, seq, unnest([[1, 50], [length(seq) // 2, length(seq) // 2 + 200], [length(seq) - 9, length(seq) + 100], [length(seq) + 1, length(seq) + 5]]) AS r FROM contigs WHERE seq <> '') "
+       "SELECT name, CAST(r[1] AS BIGINT) AS lo, CAST(r[2] AS BIGINT) AS hi, substr(seq, CAST(greatest(r[1], 1) AS INTEGER), CAST(greatest(r[2] - greatest(r[1], 1) + 1, 0) AS INTEGER)) AS seq FROM r")
+def fasta_fetch(spark, sf):
+    """Regions of an indexed FASTA of many records, read by ranges of bytes."""
+    c = B.contigs(spark, sf).where("seq <> ''")
+    index = fasta.write_indexed(c, stage.path(spark, "indexed-fasta"), name="contig")
+    n = F.length("seq")
+    ends = [(F.lit(1), F.lit(50)), (F.floor(n / 2), F.floor(n / 2) + 200), (n - 9, n + 100), (n + 1, n + 5)]
+    regions = c.select(F.col("contig").alias("name"), F.explode(F.array(*[F.struct(a.cast("long").alias("lo"), b.cast("long").alias("hi")) for a, b in ends])).alias("r"))
+    return fasta.fetch(index, regions.select("name", "r.lo", "r.hi"))
+
+
+@query(f"WITH {B.PLACED} SELECT probe_id, flag, rname, pos, {B.PLACED_CIGAR} AS cigar, q AS seq, nm, {B.PLACED_MD} AS md FROM lined")
+def sam_gapped(spark, sf):
+    """Gapped alignments as SAM."""
+    hits = align.align_gapped(B.bulged(spark, sf), B.contigs(spark, sf), B.ERRORS, 1)
+    return _sam(spark, hits).select("probe_id", "flag", "rname", "pos", "cigar", "seq", "nm", "md")
+
+
 @query(f"WITH {B.CANDIDATES} SELECT gene_id || '_' || \"start\" AS seq_id, seq FROM candidates")
 def fasta_probes(spark, sf):
     at = stage.path(spark, "fasta")
@@ -134,10 +174,10 @@ def metrics_report(spark, sf):
 
 @query(f"WITH {B.COUNTS} SELECT grp, ckmer, CAST(sum(cnt) AS BIGINT) AS cnt FROM counts WHERE grp IS NOT NULL GROUP BY grp, ckmer")
 def kmer_database(spark, sf):
-    """The whole reference's database, built twice (the second build replaces the first), then asked for the candidates' k-mers."""
+    """The whole reference's database: one language first, then what it lacks, then nothing; asked for the candidates' k-mers."""
     at = stage.path(spark, "kmers")
     ref = B.contigs(spark, sf).where("grp IS NOT NULL")
-    for _ in range(2):
-        kmers.build_database(ref, B.K, at)
-    wanted = kmers.explode_kmers(B.candidates(spark, sf), B.K, ("gene_id", "start")).select("ckmer").distinct()
-    return kmers.read_database(spark, at, B.K).join(wanted, "ckmer").select("grp", "ckmer", "cnt")
+    for part in (ref.where("grp = 'en'"), ref, ref):
+        kmer_store.build(part, [B.K], at)
+    wanted = kmers.explode_kmers(B.candidates(spark, sf), B.K, ("gene_id", "start"))
+    return kmer_store.lookup(spark, at, wanted, B.K)

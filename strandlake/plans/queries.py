@@ -9,8 +9,8 @@ from ..functions import ids as I
 from ..functions import seq as S
 from ..functions import tags
 from ..functions.structure import structure_penalty
-from ..operators import align, annotate, classify, kmers, report, tiling
-from ..sources import stage
+from ..operators import align, annotate, classify, intervals, kmers, report, tiling
+from ..sources import alignment_store, stage
 from . import base as B
 from . import design
 from .registry import QUERIES, SQL, query
@@ -225,6 +225,20 @@ def own_sequences(spark, sf):
     return kmers.own_sequences(B.contigs(spark, sf), sources).select("source_id", "contig", F.length("seq").alias("n"))
 
 
+_UNDER = f"""WITH {B.CONTIGS}, c AS (SELECT 'GUT_' || (doc_id % 7) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '_' || (doc_id % 5) END || '_' || doc_id AS contig FROM contigs),
+g AS (SELECT * FROM (VALUES ('GUT_3_1', 1), ('GUT_3', 2), ('GUT_5', 3), ('GUT_5_2', 4), ('GUT_1_4', 5), ('GU', 6), ('GUT_6_', 7)) v(genome, "rank")),
+m AS (SELECT contig, genome, row_number() OVER (PARTITION BY contig ORDER BY "rank") AS r FROM c JOIN g ON contig = genome OR starts_with(contig, genome || '_'))"""
+
+
+@query(_UNDER + " SELECT contig, genome FROM m WHERE r = 1")
+def own_genomes(spark, sf):
+    """Whose each contig is, where the names of genomes hold underscores themselves and one may be the prefix of another."""
+    c, i = B.contigs(spark, sf), lambda n: (F.col("doc_id") % n).cast("string")
+    named = c.select(F.concat(F.lit("GUT_"), i(7), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("_"), i(5))), F.lit("_"), F.col("doc_id").cast("string")).alias("contig"))
+    genomes = spark.createDataFrame([("GUT_3_1", 1), ("GUT_3", 2), ("GUT_5", 3), ("GUT_5_2", 4), ("GUT_1_4", 5), ("GU", 6), ("GUT_6_", 7)], "genome string, rank int")
+    return kmers.genome_contigs(named, genomes)
+
+
 # --------------------------------------------------------------------------------------- alignment
 
 _COLS = ("probe_id", "flag", "rname", "pos", "nm")
@@ -298,13 +312,29 @@ def gapped_budget(spark, sf):
     return align.within_budget(h, 1, 1).select("probe_id", "flag", "rname", "pos", "nm", "target")
 
 
-@query(f"WITH {B.GAPPED} SELECT probe_id, flag, rname AS target_transcript, pos AS position, upper(q) AS letters, upper(target) AS target_letters, CAST(nm AS INTEGER) AS mismatches, CASE WHEN flag = 16 THEN '-' ELSE '+' END AS strand FROM gapped")
+@query(f"WITH {B.PLACED} SELECT probe_id, flag, rname, pos, nm, {B.PLACED_CIGAR} AS cigar, {B.PLACED_MD} AS md FROM lined")
+def gapped_cigar_md(spark, sf):
+    """Gapped alignments with their CIGAR and MD: where each gap is, and which bases differ."""
+    return align.align_gapped(B.bulged(spark, sf), B.contigs(spark, sf), B.ERRORS, 1).select(*_COLS, "cigar", "md")
+
+
+@query(f"WITH {B.PLACED} SELECT probe_id, {B.PLACED_SEQUENCE} AS sequence, {B.PLACED_TARGET} AS target_sequence, rname AS target_transcript, pos AS position, CAST(nm AS INTEGER) AS mismatches, CASE WHEN flag = 16 THEN '-' ELSE '+' END AS strand FROM lined")
 def gapped_records(spark, sf):
-    """Gapped alignments as shown to a reader; without their gaps and marks, both lines are the sequences."""
+    """Gapped alignments as shown to a reader, with their gaps and marks."""
     h = align.align_gapped(B.bulged(spark, sf), B.contigs(spark, sf), B.ERRORS, 1)
-    bare = lambda c: F.upper(F.replace(c, F.lit("-")))
-    r = report.gapped_records(h).withColumn("flag", F.when(F.col("strand") == "-", 16).otherwise(0))
-    return r.select("probe_id", "flag", "target_transcript", "position", bare(F.col("sequence")).alias("letters"), bare(F.col("target_sequence")).alias("target_letters"), "mismatches", "strand")
+    return report.gapped_records(h).select("probe_id", "sequence", "target_sequence", "target_transcript", "position", "mismatches", "strand")
+
+
+@query(f"WITH {B.HITS} SELECT {', '.join(_COLS)}, seq, target FROM hits")
+def align_join(spark, sf):
+    """align_ungapped as if the probes were too many for a broadcast: one scan of the reference meets the stored seeds in a join."""
+    return align.align_ungapped(B.probes(spark, sf), B.contigs(spark, sf), B.ERRORS, most=0).select(*_COLS, "seq", "target")
+
+
+@query(f"WITH {B.PLACED} SELECT probe_id, flag, rname, pos, nm, {B.PLACED_CIGAR} AS cigar, {B.PLACED_MD} AS md, target FROM lined")
+def align_gapped_join(spark, sf):
+    """The same with gaps."""
+    return align.align_gapped(B.bulged(spark, sf), B.contigs(spark, sf), B.ERRORS, 1, most=0).select(*_COLS, "cigar", "md", "target")
 
 
 @query(f"WITH {B.GAPPED} SELECT DISTINCT abs(length(q) - length(target)) AS bulges FROM gapped")
@@ -488,6 +518,18 @@ def gff3_features(spark, sf):
     return features(spark, sf)
 
 
+_REGION = "VALUES ('first', 1, 120), ('inner', 200, 260), ('none', 50, 40), ('far', 300, 100000000)"
+
+
+@query(_FEATURES + f""", r AS (SELECT * FROM ({_REGION}) v(region, lo, hi)) SELECT region, f.probe_id, "start", "end", status FROM f JOIN r ON lo <= hi AND "start" <= hi AND "end" >= lo""")
+def region_features(spark, sf):
+    """The probes in several regions of every gene."""
+    gene = F.element_at(F.split("probe_id", r"\|"), -1)
+    f = stage.keep(features(spark, sf).withColumn("gene_id", gene), "features")
+    regions = f.select("gene_id").distinct().join(F.broadcast(spark.createDataFrame([("first", 1, 120), ("inner", 200, 260), ("none", 50, 40), ("far", 300, 10**8)], "region string, lo int, hi int")))
+    return intervals.in_regions(f, regions, "gene_id").select("region", "probe_id", "start", "end", "status")
+
+
 @query(_FEATURES + """ SELECT "start", concat_ws(chr(9), 'ref', 'probe_design', 'probe', "start", "end", '.', '+', '.', 'ID=' || split_part(probe_id, '|', 1) || ';Name=' || split_part(probe_id, '|', 1) || ';risk_level=' || status
 || coalesce(';mismatches=' || mismatches, '') || ';color=' || CASE status WHEN 'high_risk' THEN '#dc2626' WHEN 'medium_risk' THEN '#ea580c' WHEN 'safe' THEN '#10b981' ELSE '#6b7280' END || ';description='
 || CASE WHEN status = 'safe' THEN 'Safe: No off-target alignments' WHEN status = 'high_risk' THEN 'High risk: ' || mismatches || ' mismatch(es)' WHEN mismatches IS NULL THEN 'Medium risk: Failed k-mer safety analysis'
@@ -509,6 +551,14 @@ def alignments_page(spark, sf):
     return report.page(B.hits(spark, sf), 2, 50).select(*_COLS)
 
 
+@query(f"WITH {B.HITS} SELECT {', '.join(_COLS)} FROM hits ORDER BY probe_id, rname, pos, flag LIMIT 50 OFFSET 50")
+def alignments_stored_page(spark, sf):
+    """The same page from the store of sorted parts: the parts that hold it are read, no others."""
+    at = stage.path(spark, "alignment-store")
+    alignment_store.write(B.hits(spark, sf).select(*_COLS), at)
+    return alignment_store.page(spark, at, 2, 50).select(*_COLS)
+
+
 @query(f"WITH {B.HITS} SELECT count(*) AS n, CAST(ceil(count(*) / 50) AS BIGINT) AS pages FROM hits")
 def alignment_pages(spark, sf):
     return report.total_pages(B.hits(spark, sf), 50)
@@ -643,9 +693,12 @@ def design_microbe_mode(spark, sf):
     return d.safe.where("status IS NULL").select("gene_id", "start", "seq")
 
 
-@query(_RUN + """, bad AS (SELECT DISTINCT gene_id, "start" FROM kmers SEMI JOIN counts USING (ckmer)),
+@query(_RUN + f""", bad AS (SELECT DISTINCT gene_id, "start" FROM kmers SEMI JOIN counts USING (ckmer)),
+fun AS (SELECT {B.gc('seq')} BETWEEN 40 AND 80 AS g, {B.tm('seq')} BETWEEN 42 AND 47 AS t, {B.homopolymer('seq')} AS h FROM windows),
 free AS (SELECT * FROM p WHERE id NOT IN (SELECT id FROM hit))
 SELECT 'candidates' AS stage, count(*) AS n FROM p UNION ALL SELECT 'raw_alignments', count(*) FROM hit UNION ALL SELECT 'filtered_alignments', count(*) FROM hit UNION ALL SELECT 'aligned_probes', count(DISTINCT id) FROM hit
-UNION ALL SELECT 'self_safe', 0 UNION ALL SELECT 'on_target', count(*) FROM free UNION ALL SELECT 'safe', count(*) FROM free WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.gene_id = free.job AND bad."start" = free."start")""")
+UNION ALL SELECT 'self_safe', 0 UNION ALL SELECT 'on_target', count(*) FROM free UNION ALL SELECT 'safe', count(*) FROM free WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.gene_id = free.job AND bad."start" = free."start")
+UNION ALL SELECT 'windows', count(*) FROM fun UNION ALL SELECT 'gc_pass', count(*) FROM fun WHERE g UNION ALL SELECT 'gc_reject', count(*) FROM fun WHERE NOT g UNION ALL SELECT 'tm_reject', count(*) FROM fun WHERE g AND NOT t
+UNION ALL SELECT 'homopolymer_reject', count(*) FROM fun WHERE g AND t AND h""")
 def design_stats(spark, sf):
     return design.of_genes(B.genes(spark, sf), B.contigs(spark, sf), design.Options(microbe_mode=True)).stats

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BASES = re.compile(r"[ATCGNatcgn]+")
@@ -94,3 +95,59 @@ def write(records: DataFrame, path: str, name: str = "probe_id", seq: str = "seq
 def index_line(name: str, length: int, width: int = 80) -> str:
     """A .fai line of a one-record FASTA."""
     return f"{name}\t{length}\t{len(name.encode()) + 2}\t{width}\t{width + 1}"
+
+
+FAI = "name string, length long, offset long, width int, line int, file string"
+
+
+def write_indexed(records: DataFrame, path: str, name: str = "probe_id", seq: str = "seq", width: int = 80, files: int | None = None) -> DataFrame:
+    """Records as wrapped FASTA, sorted by name over the files, and the index of where each record's bases begin in its file: name, length, offset, width, line, file.
+
+    The index is written beside the texts, as a table and, for each file, as its .fai lines.
+    """
+    spark = records.sparkSession
+    parts = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = records.select(F.col(name).alias("name"), F.col(seq).alias("seq")).repartitionByRange(parts, "name", "seq").sortWithinPartitions("name", "seq").withColumn("part", F.spark_partition_id())
+    rows.write.parquet(f"{path}/records")  # parts and their order stay as they are from here on
+    stored = spark.read.parquet(f"{path}/records")
+    length = F.length("seq").cast("long")
+    head = F.octet_length(F.encode("name", "UTF-8")) + 2
+    size = head + length + F.ceil(length / width)  # bytes: a record without bases is its header
+    before = Window.partitionBy("part").orderBy("name", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = stored.select("part", "name", "seq", length.alias("length"), (F.coalesce(F.sum(size).over(before), F.lit(0)) + head).cast("long").alias("offset"))
+    text = F.concat(F.lit(">"), "name", F.when(length > 0, F.concat(F.lit("\n"), wrapped(F.col("seq"), width))).otherwise(""))
+    placed.select(text.alias("value"), F.format_string("%06d", "part").alias("part")).repartition(parts, "part").sortWithinPartitions("part", F.col("value")).write.partitionBy("part").text(f"{path}/fasta")
+    files_ = spark.createDataFrame([(int(re.search(r"/part=(\d+)/", f)[1]), f) for f in spark.read.text(f"{path}/fasta").inputFiles()], "part int, file string")
+    index = placed.join(F.broadcast(files_), "part").select("name", "length", "offset", F.lit(width).alias("width"), F.lit(width + 1).alias("line"), "file")
+    index.write.parquet(f"{path}/index")
+    lines = index.select(F.concat_ws("\t", "name", *[F.col(c).cast("string") for c in ("length", "offset", "width", "line")]).alias("value"), F.regexp_extract("file", r"/part=(\d+)/", 1).alias("part"))
+    lines.repartition(parts, "part").write.partitionBy("part").text(f"{path}/fai")
+    return spark.read.schema(FAI).parquet(f"{path}/index")
+
+
+def _ranges(batches):
+    """The bases of each region, read from its file by a range of bytes."""
+    from pyarrow import fs
+
+    for batch in batches:
+        rows = batch.to_pylist()
+        out: list[str | None] = [None] * len(rows)
+        for file in {r["file"] for r in rows}:
+            system, at = fs.FileSystem.from_uri(file)
+            with system.open_input_file(at) as f:
+                for i, r in enumerate(rows):
+                    a, b = max(r["lo"] - 1, 0), min(r["hi"], r["length"])
+                    if r["file"] != file:
+                        continue
+                    if a >= b:
+                        out[i] = ""
+                        continue
+                    first, last = (r["offset"] + x // r["width"] * r["line"] + x % r["width"] for x in (a, b - 1))
+                    out[i] = f.read_at(last - first + 1, first).replace(b"\n", b"").decode()
+        yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("lo"), batch.column("hi"), pa.array(out, pa.string())], names=["name", "lo", "hi", "seq"])
+
+
+def fetch(index: DataFrame, regions: DataFrame) -> DataFrame:
+    """name, lo, hi, seq: bases lo..hi (from 1, both included; cut at the record's ends) of records of an indexed FASTA. Each region reads its own bytes."""
+    asked = regions.select("name", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    return asked.join(index, "name").repartition("file").mapInArrow(_ranges, "name string, lo long, hi long, seq string")

@@ -31,7 +31,7 @@ class Host:
 
     @property
     def has_genome(self) -> bool:
-        return bool(self.transcript_chunks_dir)
+        return bool(self.genome_dir and self.genome_file_regex)
 
 
 class Registry:

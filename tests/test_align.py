@@ -41,7 +41,7 @@ def test_ungapped_is_complete(spark, seed, letters):
                     nm = sum(a != b for a, b in zip(q, s[i : i + 16], strict=True))
                     if nm <= 2:
                         want.add((name, flag, c, i + 1, nm))
-    got = align.align_ungapped(spark.createDataFrame(probes, "probe_id string, seq string"), spark.createDataFrame(contigs, "contig string, seq string"), 2, block=3).collect()
+    got = align.align_ungapped(spark.createDataFrame(probes, "probe_id string, seq string"), spark.createDataFrame(contigs, "contig string, seq string"), 2, most=3).collect()
     assert sorted((r.probe_id, r.flag, r.rname, r.pos, r.nm) for r in got) == sorted(want)
 
 
@@ -57,7 +57,7 @@ def test_long_contigs_are_cut_without_loss(spark, monkeypatch):
 
     import pandas as pd
 
-    parts = pd.concat(align._ungapped(Held, 2)(iter([frames[1].toPandas()])))
+    parts = pd.concat(align._ungapped(Held, 2)(iter([align.reference(frames[1]).toPandas()])))
     assert sorted(zip(parts.probe_id, parts.flag, parts.pos, strict=True)) == sorted((r.probe_id, r.flag, r.pos) for r in whole)
 
 
@@ -98,23 +98,78 @@ def test_gapped_costs_are_minimal(seed):
         import numpy as np
 
         starts = np.arange(len(s) - len(q) + b + 1)
-        got = dict(gapped.align(np.repeat(scan.encode(q.encode())[None], len(starts), 0), codes, starts, e, b))
+        h = gapped.align(np.repeat(scan.encode(q.encode())[None], len(starts), 0), codes, starts, e, b)
+        got = {i: (edits_, cigar, used) for i, edits_, cigar, used in zip(h.rows.tolist(), h.edits.tolist(), h.cigar, h.consumed.tolist(), strict=True)}
         for i in starts:
             want = edits(q, s[i:], e, b)
             if i in got:
-                hit = got[i]
-                assert hit.edits == want
+                found, cigar, used = got[i]
+                assert found == want
                 import re
 
-                ops = re.findall(r"(\d+)([MID])", hit.cigar)
-                assert sum(int(n) for n, o in ops if o in "MI") == len(q) and sum(int(n) for n, o in ops if o in "MD") == hit.consumed
+                ops = re.findall(r"(\d+)([MID])", cigar)
+                assert sum(int(n) for n, o in ops if o in "MI") == len(q) and sum(int(n) for n, o in ops if o in "MD") == used
             elif want is not None:  # only an alignment whose leftmost form begins or ends with a gap, or spends other gaps, may be missing
                 assert want > 0
 
 
-def test_leftmost_deletion_in_a_run():
-    assert gapped.leftmost([("C", "C"), ("A", "A"), ("A", "A"), ("", "A"), ("G", "G")]) == [("C", "C"), ("", "A"), ("A", "A"), ("A", "A"), ("G", "G")]
-    assert gapped.describe([("C", "C"), ("", "A"), ("A", "A"), ("T", "G")]) == ("1M1D2M", "1^A1G")
+def lines(*pairs):
+    """Aligned columns as matrices, flush right; '-' is a gap."""
+    import numpy as np
+
+    width = max(len(q) for q, _ in pairs)
+    code = lambda x: [gapped.NONE] * (width - len(x)) + ["ACGTN    -".index(c) - (c == "-") for c in x]
+    return tuple(np.array([code(p[i]) for p in pairs], np.uint8) for i in (0, 1))
+
+
+def test_leftmost_and_tags():
+    top, bottom = lines(("CAA-G", "CAAAG"), ("CA-TGG", "CAATAG"), ("GAA-CC-T", "GAAACCCT"), ("ACGT", "ACGT"), ("TACG", "AACC"), ("CGAAAT", "CGA--T"), ("A-C", "TTC"))
+    gapped.leftmost(top, bottom)
+    shown = ["".join("ACGTN...-"[x] for x in row if x != gapped.NONE) for m in (top, bottom) for row in m]
+    assert shown[:3] == ["C-AAG", "C-ATGG", "G-AA-CCT"] and shown[5] == "CGAAAT" and shown[12] == "CG--AT"
+    assert gapped.cigars(top, bottom) == ["1M1D3M", "1M1D4M", "1M1D2M1D3M", "4M", "4M", "2M2I2M", "1M1D1M"]
+    assert gapped.mds(top, bottom) == ["1^A3", "1^A2A1", "1^A2^C3", "4", "0A2C", "4", "0T0^T1"]
+
+
+def test_seed_join_equals_broadcast(spark, monkeypatch):
+    from collections import Counter
+
+    from strandlake.sources import stage
+
+    contigs, probes = made(11, "AACGT")
+    probes += [("same", probes[0][1]), ("short", probes[1][1][:13]), ("poly", "A" * 16)]
+    contigs += [("poly", "A" * 90 + "C" + "A" * 40), ("nothing", ""), ("low", contigs[2][1].lower())]
+    p, ref = spark.createDataFrame(probes, "probe_id string, seq string"), spark.createDataFrame(contigs, "contig string, seq string")
+    for bulges in (0, 1):
+        run = lambda most: Counter(tuple(r) for r in align.align_gapped(p, ref, 2, bulges, most=most).collect())
+        want = run(100)
+        assert len(want) > 20 and run(0) == want
+        with monkeypatch.context() as m:
+            m.setattr(align, "SKETCH", 64)  # a full map lets all through
+            assert run(0) == want
+    rows = stage.keep(spark.createDataFrame([(1 if i % 3 else i, i) for i in range(4000)], "k long, i long"), "rows")
+    table = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (5000, "d")], "k long, x string")
+    assert sorted(map(tuple, stage.join_hot(rows, table, "k", 5).collect())) == sorted(map(tuple, rows.join(table, "k").collect()))
+
+
+def test_dominance_in_bins_equals_greedy(spark):
+    r = random.Random(4)
+    rows = []
+    for p in "ab":
+        for _ in range(400):
+            n = r.randrange(14, 19)
+            rows.append((p, r.choice((0, 16)), "c", r.randrange(1, 1500), f"{n}M", r.randrange(4), "", "A" * 16, "A" * n))
+    want = set()
+    for key in {(x[0], x[1]) for x in rows}:
+        kept = []
+        for x in sorted((x for x in rows if x[:2] == key), key=lambda x: x[5]):
+            if not any(k[5] < x[5] and k[3] < x[3] + len(x[8]) and x[3] < k[3] + len(k[8]) for k in kept):
+                kept.append(x)
+        want |= set(kept)
+    df = spark.createDataFrame(rows, align.HITS)
+    for width in (64, 1 << 16):
+        got = [tuple(x) for x in align.suppress_overlaps(df, 3, width).collect()]
+        assert set(got) == want and len(got) == sum(x in want for x in rows)
 
 
 def test_suppression_is_by_kept_hits_only(spark):
@@ -145,16 +200,33 @@ def test_kmer_counts(spark):
     assert got == {x: n for x, n in want.items() if x[1] in asked}
 
 
-def test_kmer_database(spark, tmp_path):
-    contigs = spark.createDataFrame([("a", "g1", "ACGTNACGTA" * 200)], "contig string, grp string, seq string")
-    kmers.build_database(contigs, 5, str(tmp_path / "db"))
-    got = {r.ckmer: r.cnt for r in spark.read.parquet(str(tmp_path / "db")).collect()}
-    s, want = "ACGTNACGTA" * 200, {}
-    for i in range(len(s) - 4):
-        w = s[i : i + 5]
-        if "N" not in w:
-            want[min(w, rc(w))] = want.get(min(w, rc(w)), 0) + 1
-    assert got == want
+def counted(contigs, k):
+    want = {}
+    for g, s in contigs:
+        for i in range(len(s) - k + 1):
+            w = s[i : i + k]
+            if "N" not in w:
+                want[g, min(w, rc(w))] = want.get((g, min(w, rc(w))), 0) + 1
+    return want
+
+
+def test_kmer_database_grows(spark, tmp_path):
+    from strandlake.sources import kmer_store
+
+    at = str(tmp_path / "db")
+    rows = [("g1", "f1", "ACGTNACGTA" * 200), ("g2", "f1", "ACCCGGTTTA" * 3), ("g1", "f2", "TTTTTACGTAC"), ("g2", "f3", "AAAAAAAAAAA")]
+    df = spark.createDataFrame(rows, "grp string, file string, seq string")
+    wanted = spark.createDataFrame([(w,) for w in {x for k in (4, 5) for _, x in counted([(g, s) for g, _, s in rows], k)} | {"CCCCC"}], "ckmer string")
+    got = lambda k, **o: {(r.grp, r.ckmer): r.cnt for r in kmer_store.lookup(spark, at, wanted.where(F.length("ckmer") == k), k, **o).collect()}
+    assert got(5) == {}
+    assert kmer_store.build(df.where("file = 'f1'"), [5, 4], at) == {5: 2, 4: 2}
+    assert got(5) == counted([(g, s) for g, f, s in rows if f == "f1"], 5)
+    assert kmer_store.build(df, [5], at) == {5: 2} and kmer_store.build(df, [5], at) == {5: 0}  # only what is new
+    want = counted([(g, s) for g, _, s in rows], 5)
+    assert got(5) == want and got(5, groups=["g2"]) == {x: n for x, n in want.items() if x[0] == "g2"}
+    assert got(4) == counted([(g, s) for g, f, s in rows if f == "f1"], 4)
+    plan = spark.read.parquet(f"{at}/counts").where("k = 5 AND code = 3")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(code), EqualTo(code,3)" in plan
 
 
 def test_one_scan_gives_both(spark, monkeypatch):

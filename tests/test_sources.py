@@ -114,11 +114,11 @@ def test_streamed_probes(spark, tmp_path):
 
 
 def test_views_and_filters(spark):
-    from strandlake.functions.view import columns
+    from strandlake.functions.view import gapped_view
 
-    assert columns("ACGTACGT", "8M", "0T4N1A0") == ("aCGTAcGt", "tCGTAnGa")
-    assert columns("ACGGT", "2M1I2M", "1T2") == ("AcgGT", "At-GT")
-    assert columns("ACGT", "2M2D2M", "2^TT1A") == ("AC--Gt", "ACttGa")
+    rows = [("ACGTACGT", "8M", "0T4N1A0"), ("ACGGT", "2M1I2M", "1T2"), ("ACGT", "2M2D2M", "2^TT1A"), ("ACGT", "2M1D2M", "1T0^C0A1"), (None, "4M", "4"), ("ACGT", "4M", None), ("ACGT", "", "4")]
+    v = spark.createDataFrame(rows, "seq string, cigar string, md string").select(gapped_view(F.col("seq"), F.col("cigar"), F.col("md")).alias("v"))
+    assert [tuple(r.v) if r.v else None for r in v.collect()] == [("aCGTAcGt", "tCGTAnGa"), ("AcgGT", "At-GT"), ("AC--Gt", "ACttGa"), ("Ac-gT", "AtcaT"), None, None, None]
     df = spark.createDataFrame([("p", 0, "c", 4, "2M1I2M", 2, "1T2", "ACGGT", "ATGT")], "probe_id string, flag int, rname string, pos int, cigar string, nm int, md string, seq string, target string")
     r = report.gapped_records(df).first()
     assert (r.sequence, r.target_sequence, r.substitutions, r.bulges, r.strand) == ("AcgGT", "At-GT", 1, 1, "+")
