@@ -10,6 +10,8 @@ The energies are the published ones of Allawi and SantaLucia (stacks, mismatches
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -80,108 +82,133 @@ STEP, BEFORE, BEHIND = _tables()
 
 
 class _Batch:
-    """What the programs below read of probes of one length: (i, j) is base i against base j of the other side."""
+    """What the programs below read of probes of one length: for each diagonal d = j - i of pairs (i, j), an array with a row for each probe and a column for each i."""
 
     def __init__(self, code: np.ndarray):
         self.n = n = code.shape[1]
-        self.code = code
         at, other = code[:, :, None], code[:, None, :]
-        self.pairs = at + other == 3  # A-T and C-G are complements
-        self.end = np.where(self.pairs & ((at == 0) | (at == 3)), END_AT, 0.0)
+        pairs = at + other == 3  # A-T and C-G are complements
+        ends = np.where(pairs & ((at == 0) | (at == 3)), END_AT, 0.0)
         pad = np.full((len(code), 2), -1)
-        right, left = np.concatenate([code[:, 1:], pad], 1), np.concatenate([pad, code], 1)  # right[i + k - 1] is base i + k, left[j + 2 - k] base j - k
-        base = lambda m, k, from_right: (m[:, k - 1 : k - 1 + n] if from_right else m[:, 2 - k : 2 - k + n])
+        right, left = np.concatenate([code, pad], 1), np.concatenate([pad, code], 1)
+        behind, ahead = (lambda k: right[:, k : k + n]), (lambda k: left[:, 2 - k : 2 - k + n])  # base i + k, base j - k
 
         def step(up: int, down: int) -> np.ndarray:
             """From (i, j) to (i + up, j - down)."""
-            y, v = base(right, up, True)[:, :, None], base(left, down, False)[:, None, :]
+            y, v = behind(up)[:, :, None], ahead(down)[:, None, :]
             return np.where((y < 0) | (v < 0), np.inf, STEP[at, np.maximum(y, 0), other, np.maximum(v, 0)])
 
-        self.next = step(1, 1)
-        self.over = {(1, 0): step(2, 1), (0, 1): step(1, 2)}  # across a bulge of one base
-        y, v = base(right, 1, True)[:, :, None], base(left, 1, False)[:, None, :]
-        inner = (y >= 0) & (v >= 0) & (y + v != 3)
-        self.closing = np.where(inner, np.where(np.isinf(self.next), 0.0, self.next), 0.0)  # a mismatch behind the pair (i, j)
-        # behind(i, j): before the pair read from the other side, which is the pair (i - 1, j + 1)'s step
-        # dangling bases outside the pair (i, j), where i begins a chain: base i - 1 (5') and base j + 1 (3')
-        five = np.where(base(left, 1, False) >= 0, BEFORE[code, np.maximum(base(left, 1, False), 0)], 0.0)
-        three = np.where(base(right, 1, True) >= 0, BEHIND[code, np.maximum(base(right, 1, True), 0)], 0.0)
-        least = lambda a: np.minimum(a, 0.0)
-        self.outside = least(five)[:, :, None] + least(three)[:, None, :] + self.end
-        self.inside = least(three)[:, :, None] + least(five)[:, None, :] + self.end  # where (i, j) ends a chain: base i + 1 and base j - 1
-
-    def between(self, i: slice, j: slice, k: slice, m: slice, up: int, down: int) -> np.ndarray:
-        """What lies between the pairs (i, j) and (k, m) = (i + 1 + up, j - 1 - down), for a diagonal of pairs."""
-        a, b = self.at(self.next, i, j), up + down
-        if not b:
-            return a
-        before = (slice(k.start - 1, k.stop - 1), slice(m.start + 1, m.stop + 1))  # the step into (k, m)
-        if up == down == 1:
-            return a + self.at(self.next, *before)
-        if not up or not down:
-            if b == 1:
-                return BULGE[1] + self.at(self.over[up, down], i, j)
-            return loop_energy(BULGE, b) + self.at(self.end, i, j) + self.at(self.end, k, m)
-        last = self.code[:, before[0]] + self.code[:, before[1]] != 3
-        into = np.where(last, self.at(self.next, *before), 0.0)
-        return loop_energy(INTERIOR, b) + ASYMMETRY * abs(up - down) + self.at(self.closing, i, j) + into
-
-    @staticmethod
-    def at(table: np.ndarray, i: slice, j: slice) -> np.ndarray:
-        """table[:, i, j] for two equally long ranges, one entry for each place."""
-        return table[:, np.arange(i.start, i.stop), np.arange(j.start, j.stop)]
+        following = step(1, 1)
+        y, v = behind(1)[:, :, None], ahead(1)[:, None, :]
+        five, three = (np.where(x >= 0, t[code, np.maximum(x, 0)], 0.0) for x, t in ((ahead(1), BEFORE), (behind(1), BEHIND)))
+        five, three = np.minimum(five, 0.0), np.minimum(three, 0.0)
+        tables = {
+            "pairs": pairs,
+            "ends": ends,
+            "next": following,
+            "up": step(2, 1),  # across a bulge of one base on the one side or the other
+            "down": step(1, 2),
+            "closing": np.where((y >= 0) & (v >= 0) & (y + v != 3), following, 0.0),  # a mismatch behind the pair (i, j)
+            "opening": np.where(pairs, 0.0, following),  # the mismatch (i, j) before the pair (i + 1, j - 1)
+            "outside": five[:, :, None] + three[:, None, :] + ends,  # where (i, j) begins a chain: base i - 1 and base j + 1 dangle
+            "inside": three[:, :, None] + five[:, None, :] + ends,  # where it ends one: base i + 1 and base j - 1
+        }
+        self.diagonal = {name: {d: np.ascontiguousarray(np.diagonal(t, d, 1, 2)) for d in range(1 - n, n)} for name, t in tables.items()}
+
+    def first(self, d: int) -> int:
+        """The least i on a diagonal."""
+        return max(0, -d)
+
+
+def _fold(b: _Batch, order: range, begin, step: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Least energies of chains of pairs, pair by pair along diagonals, of which each only needs those before it in `order`.
+
+    begin(d): energy of a chain of the pair alone. step: 1 if chains grow outward, from (i + 1 + up, j - 1 - down) to (i, j); -1 if inward.
+    Yields (d, energies).
+    """
+    n, loops = b.n, {}
+    done: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # energies; with what a loop and a bulge add on their side
+    for size in range(2, WIDEST + 1):
+        loops[size] = loop_energy(BULGE, size), loop_energy(INTERIOR, size) if size > 2 else None
+    for d in order:
+        lo, count = b.first(d), n - abs(d)
+        energy = begin(d).copy()
+        chained = np.full_like(energy, np.inf)  # loops, before this pair's own mismatch
+        bulged = np.full_like(energy, np.inf)
+        for unpaired in range(WIDEST + 1):
+            other = d - step * (2 + unpaired)  # the diagonal of the pair on the far side
+            if other not in done:
+                continue
+            theirs, looped, ended = done[other]
+            base = b.first(other)
+            for up in range(unpaired + 1):
+                # (i, j) is outer and (i + 1 + up, j - 1 - down) inner; or the other way round
+                shift = 1 + up if step == 1 else -1 - up
+                a, z = max(lo, base - shift), min(lo + count, base + n - abs(other) - shift)
+                if a >= z:
+                    continue
+                here, there = slice(a - lo, z - lo), slice(a + shift - base, z + shift - base)
+                down = unpaired - up
+                outer = (d, here) if step == 1 else (other, there)
+                if up == down == 0:
+                    value = theirs[:, there] + b.diagonal["next"][outer[0]][:, outer[1]]
+                elif up == down == 1:
+                    middle = d - 2 if step == 1 else other - 2
+                    m = slice(a - lo, z - lo) if step == 1 else there
+                    m = slice(m.start + b.first(outer[0]) + 1 - b.first(middle), m.stop + b.first(outer[0]) + 1 - b.first(middle))
+                    value = theirs[:, there] + b.diagonal["next"][outer[0]][:, outer[1]] + b.diagonal["next"][middle][:, m]
+                elif unpaired == 1:
+                    value = theirs[:, there] + (BULGE[1] + b.diagonal["up" if up else "down"][outer[0]][:, outer[1]])
+                elif not up or not down:
+                    np.minimum(bulged[:, here], ended[:, there] + loops[unpaired][0], out=bulged[:, here])
+                    continue
+                else:
+                    np.minimum(chained[:, here], looped[:, there] + (loops[unpaired][1] + ASYMMETRY * abs(up - down)), out=chained[:, here])
+                    continue
+                np.minimum(energy[:, here], value, out=energy[:, here])
+        own = _mismatch(b, d, outer=step == 1)
+        energy = np.minimum(energy, np.minimum(chained + own, bulged + b.diagonal["ends"][d]))
+        energy = np.where(b.diagonal["pairs"][d], energy, np.inf)
+        done[d] = energy, energy + _mismatch(b, d, outer=step != 1), energy + b.diagonal["ends"][d]
+        yield d, energy
+
+
+def _mismatch(b: _Batch, d: int, outer: bool) -> np.ndarray:
+    """What the mismatch next to each pair of a diagonal adds to a loop: behind an outer pair, before an inner one."""
+    if outer:
+        return b.diagonal["closing"][d]
+    out = np.zeros_like(b.diagonal["ends"][d])  # before (i, j): the step from (i - 1, j + 1)
+    if d + 2 in b.diagonal["opening"]:
+        before, lo = b.diagonal["opening"][d + 2], b.first(d)
+        a, z = max(lo, b.first(d + 2) + 1), min(lo + b.n - abs(d), b.first(d + 2) + 1 + b.n - abs(d + 2))
+        if a < z:
+            out[:, a - lo : z - lo] = before[:, a - 1 - b.first(d + 2) : z - 1 - b.first(d + 2)]
+    return out
 
 
 def hairpins(code: np.ndarray) -> np.ndarray:
     """Least free energy of a hairpin of each row, at most 0."""
-    rows, n = code.shape
-    best = np.zeros(rows)
-    if n < 5:
+    best = np.zeros(len(code))
+    if code.shape[1] < 5:
         return best
     b = _Batch(code)
-    energy = np.full((rows, n, n), np.inf)
-    for span in range(4, n):  # pairs (i, i + span)
-        i, j = slice(0, n - span), slice(span, n)
-        loop = span - 1
-        e = loop_energy(HAIRPIN, loop) + (b.at(b.closing, i, j) if loop > 3 else b.at(b.end, i, j))
-        for up in range(min(WIDEST, span - 6) + 1):
-            for down in range(min(WIDEST, span - 6) - up + 1):
-                inner = span - 2 - up - down
-                if inner < 4:
-                    break
-                k, m = slice(1 + up, n - span + 1 + up), slice(span - 1 - down, n - 1 - down)
-                e = np.minimum(e, b.between(i, j, k, m, up, down) + b.at(energy, k, m))
-        e = np.where(b.at(b.pairs, i, j), e, np.inf)
-        energy[:, np.arange(i.start, i.stop), np.arange(j.start, j.stop)] = e
-        best = np.minimum(best, (e + b.at(b.outside, i, j)).min(1))
+
+    def loop(d: int) -> np.ndarray:
+        return loop_energy(HAIRPIN, d - 1) + b.diagonal["closing" if d > 4 else "ends"][d]
+
+    for d, energy in _fold(b, range(4, b.n), loop, 1):
+        best = np.minimum(best, (energy + b.diagonal["outside"][d]).min(1))
     return best
 
 
 def dimers(code: np.ndarray) -> np.ndarray:
     """Least free energy of a duplex of two copies of each row, at most 0."""
-    rows, n = code.shape
-    best = np.zeros(rows)
-    if n < 2:
+    best = np.zeros(len(code))
+    if code.shape[1] < 2:
         return best
     b = _Batch(code)
-    energy = np.full((rows, n, n), np.inf)
-    for shift in range(-(n - 1), n):  # pairs (i, i - shift), the nearer to the chain's begin the lesser the shift
-        lo, hi = max(shift, 0), n + min(shift, 0)
-        i, j = slice(lo, hi), slice(lo - shift, hi - shift)
-        e = INITIATION + b.at(b.outside, i, j)
-        for up in range(WIDEST + 1):
-            for down in range(WIDEST - up + 1):
-                # the pair before: (i - 1 - up, j + 1 + down)
-                skip_low, skip_high = max(0, 1 + up - lo), max(0, hi - shift + 1 + down - n)
-                if skip_low + skip_high >= hi - lo:
-                    continue
-                k, m = slice(lo + skip_low, hi - skip_high), slice(lo + skip_low - shift, hi - skip_high - shift)
-                p, q = slice(k.start - 1 - up, k.stop - 1 - up), slice(m.start + 1 + down, m.stop + 1 + down)
-                part = slice(skip_low, hi - lo - skip_high)
-                e[:, part] = np.minimum(e[:, part], b.between(p, q, k, m, up, down) + b.at(energy, p, q))
-        e = np.where(b.at(b.pairs, i, j), e, np.inf)
-        energy[:, np.arange(i.start, i.stop), np.arange(j.start, j.stop)] = e
-        best = np.minimum(best, (e + b.at(b.inside, i, j)).min(1))
+    for d, energy in _fold(b, range(b.n - 1, -b.n, -1), lambda d: INITIATION + b.diagonal["outside"][d], -1):
+        best = np.minimum(best, (energy + b.diagonal["inside"][d]).min(1))
     return best
 
 

@@ -178,6 +178,11 @@ def kmer_report(per_probe: DataFrame) -> DataFrame:
     return per_probe.where("NOT safe").select("probe_id", "off_target", "total_kmers").orderBy("probe_id")
 
 
+def kmer_totals(per_probe: DataFrame) -> DataFrame:
+    """probes, unsafe, kmers, off_target: the head of the k-mer report."""
+    return per_probe.agg(F.count("*").alias("probes"), F.count_if(~F.col("safe")).alias("unsafe"), F.sum("total_kmers").alias("kmers"), F.sum("off_target").alias("off_target"))
+
+
 def ranked(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from ..operators import align, annotate, kmers, report, tiling
+from ..operators import align, annotate, classify, kmers, report, tiling
 from ..sources import annotation, fasta, kmer_store, pieces, reports, sam, stage
 from . import base as B
 from .registry import query
@@ -41,6 +41,31 @@ def sam_with_species(spark, sf):
     return _sam(spark, annotate.annotate_species(B.hits(spark, sf), B.species_map(spark, sf))).drop("line")
 
 
+@query(f"""WITH {B.HITS}, r AS (SELECT probe_id, flag, rname, pos, first_value(seq) OVER (PARTITION BY probe_id ORDER BY rname, pos, flag) AS seq FROM hits)
+SELECT probe_id, flag, rname, pos, seq FROM r UNION ALL SELECT probe_id, 4, '*', 0, seq FROM probes WHERE probe_id NOT IN (SELECT probe_id FROM hits)""")
+def sam_carried(spark, sf):
+    """SAM in which only a probe's first line has its sequence, and unaligned probes lie on '*'."""
+    hits = stage.keep(B.hits(spark, sf), "hits")
+    first = F.row_number().over(Window.partitionBy("probe_id").orderBy("rname", "pos", "flag"))
+    short = hits.withColumn("_n", first).withColumn("seq", F.when(F.col("_n") == 1, F.col("seq")).otherwise("*"))
+    none = B.probes(spark, sf).join(hits, "probe_id", "left_anti").select("probe_id", F.lit(4).alias("flag"), F.lit("*").alias("rname"), F.lit(0).alias("pos"), F.lit("*").alias("cigar"), F.lit(None).cast("int").alias("nm"), F.lit(None).cast("string").alias("md"), "seq", F.lit(1).alias("_n"))
+    both = short.select("probe_id", "flag", "rname", "pos", "cigar", "nm", "md", "seq", "_n").unionByName(none)
+    tags = F.when(F.col("nm").isNotNull(), F.concat(F.lit("\tNM:i:"), F.col("nm").cast("string"), F.lit("\tMD:Z:"), "md")).otherwise("")
+    line = F.concat(F.concat_ws("\t", "probe_id", F.col("flag").cast("string"), "rname", F.col("pos").cast("string"), F.lit("255"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.repeat(F.lit("I"), F.lit(36))), tags)
+    in_order = both.select("probe_id", "_n", line.alias("line")).repartition("probe_id").sortWithinPartitions("probe_id", "_n")
+    return sam.read(spark, _text(in_order, "sam")).select("probe_id", "flag", "rname", "pos", "seq")
+
+
+@query(f"WITH {B.HITS} SELECT probe_id AS seq_id, seq FROM probes WHERE probe_id NOT IN (SELECT probe_id FROM hits)")
+def fasta_on_target(spark, sf):
+    """Probes without any alignment, as FASTA."""
+    p = B.probes(spark, sf)
+    statuses = classify.classify(B.hits(spark, sf).withColumn("gene_id", F.col("rname")), is_probe_input=True)
+    at = stage.path(spark, "fasta")
+    fasta.write(classify.on_target(p, statuses), at)
+    return fasta.read(spark, at, "part-*").select("seq_id", "seq")
+
+
 @query(f"WITH {B.HITS} SELECT probe_id, count(*) AS lines, min(nm) AS best FROM (SELECT * FROM hits UNION ALL SELECT * FROM hits WHERE nm = 0) GROUP BY probe_id")
 def sam_merged(spark, sf):
     """Two parts with their headers, as one."""

@@ -103,6 +103,14 @@ def tile_probes(spark, sf):
     return tiling.number(B.windows(spark, sf)).select("gene_id", "start", "end", "seq", "probe_idx")
 
 
+@query(f"""WITH {B.GENES}, n AS (SELECT gene_id, replace(seq, 'CAT', 'CNT') AS seq FROM genes)
+SELECT gene_id, "start", substr(seq, "start", {B.LENGTH}) AS seq FROM (SELECT gene_id, seq, CAST(unnest(range(1, length(seq) - {B.LENGTH - 2})) AS INTEGER) AS "start" FROM n) WHERE NOT contains(substr(seq, "start", {B.LENGTH}), 'N')""")
+def tile_without_n(spark, sf):
+    """Windows of genes with unknown bases: none that holds one."""
+    genes = B.genes(spark, sf).withColumn("seq", F.replace("seq", F.lit("CAT"), F.lit("CNT")))
+    return tiling.tile(genes, B.LENGTH).select("gene_id", "start", "seq")
+
+
 @query(f"WITH {B.CANDIDATES} SELECT * FROM candidates")
 def filter_gc_tm_homopolymer(spark, sf):
     return B.candidates(spark, sf)
@@ -178,6 +186,11 @@ def kmer_report(spark, sf):
     return report.kmer_report(_excess(spark, sf))
 
 
+@query(_EXCESS + " SELECT count(*) AS probes, count(*) FILTER (off_target > 0) AS unsafe, CAST(sum(total_kmers) AS BIGINT) AS kmers, CAST(sum(off_target) AS BIGINT) AS off_target FROM e")
+def kmer_report_totals(spark, sf):
+    return report.kmer_totals(_excess(spark, sf))
+
+
 _FLAGSHIP = f"""WITH {B.COUNTS}, bad AS (SELECT DISTINCT gene_id, "start" FROM kmers WHERE ckmer IN (SELECT ckmer FROM counts))
 SELECT gene_id, "start", "end", seq, round({B.gc('seq')}, 6) AS gc, round({B.tm('seq')}, 6) AS tm, round({B.complexity('seq')}, 6) AS complexity
 FROM candidates WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.gene_id = candidates.gene_id AND bad."start" = candidates."start")"""
@@ -370,10 +383,26 @@ def annotate_species(spark, sf):
     return annotate.annotate_species(B.hits(spark, sf), B.species_map(spark, sf)).select("probe_id", "flag", "rname", "pos", "species")
 
 
+_PREFIXES = [("src1", "h1"), ("src12", "h2"), ("src4", "h3")]
+
+
+@query(f"WITH {B.CONTIGS} SELECT contig, CASE WHEN starts_with(contig, 'src12') THEN 'h2' WHEN starts_with(contig, 'src1') THEN 'h1' WHEN starts_with(contig, 'src4') THEN 'h3' END AS host FROM contigs")
+def host_by_prefix(spark, sf):
+    """The host with the longest prefix of each contig's id."""
+    return annotate.host_of(B.contigs(spark, sf), spark.createDataFrame(_PREFIXES, "prefix string, host string"), "contig", "host").select("contig", "host")
+
+
 _GROUPS = f"""WITH {B.HITS}, {B.GENE_MAP}, bare AS (SELECT split_part(transcript, '.', 1) AS b, min(gene) AS bg FROM gene_map GROUP BY 1),
 a AS (SELECT hits.*, coalesce(gene, bg, split_part(rname, '.', 1)) AS grp FROM hits LEFT JOIN gene_map ON transcript = rname LEFT JOIN bare ON b = split_part(rname, '.', 1))"""
 
 
+@query(_GROUPS + f", {B.SPECIES_MAP}" + " SELECT a.probe_id, a.flag, a.rname, a.pos, coalesce(CASE WHEN starts_with(a.rname, 'src1') OR starts_with(a.rname, 'src4') THEN coalesce(gene, bg) END, species, 'Unknown') AS species FROM a LEFT JOIN gene_map ON transcript = a.rname LEFT JOIN bare ON b = split_part(a.rname, '.', 1) LEFT JOIN species_map ON genome = split_part(a.rname, '_', 1)")
+def annotate_species_hosts(spark, sf):
+    """Species of contigs, but the genes of transcripts of hosts."""
+    prefixes = spark.createDataFrame(_PREFIXES, "prefix string, host string")
+    return annotate.annotate_species(B.hits(spark, sf), B.species_map(spark, sf), B.gene_map(spark, sf), prefixes).select("probe_id", "flag", "rname", "pos", "species")
+
+
 @query(_GROUPS + " SELECT probe_id, flag, rname, pos, grp FROM a")
 def group_gene(spark, sf):
     return annotate.gene_groups(B.hits(spark, sf), B.gene_map(spark, sf)).select("probe_id", "flag", "rname", "pos", "grp")
@@ -397,6 +426,18 @@ def source_from_header(spark, sf):
     return out.select("gene_id", "source_gene", F.array_join("sources", ",").alias("sources"))
 
 
+@query(f"""WITH {B.CONTIGS}, {B.GENE_MAP}, h AS (SELECT 'g' || item_id AS gene_id, 'G' || (item_id % 120) AS symbol FROM benchmark)
+SELECT gene_id, symbol AS source_gene, array_to_string(list_sort(list(DISTINCT transcript)), ',') AS sources FROM h JOIN gene_map ON gene = symbol GROUP BY gene_id, symbol""")
+def source_from_refseq(spark, sf):
+    """Headers that name a RefSeq accession only; symbols without a transcript don't count."""
+    i = F.col("item_id").cast("string")
+    b = B.table(spark, sf, "benchmark")
+    headers = b.select(F.concat(F.lit("g"), i).alias("gene_id"), F.concat(F.lit("NM_"), i, F.lit(".2 predicted")).alias("header"))
+    refseq = b.select(F.concat(F.lit("NM_"), i).alias("accession"), F.concat(F.lit("G"), (F.col("item_id") % 120).cast("string")).alias("symbol"))
+    out = annotate.source_of_header(headers, B.gene_map(spark, sf), refseq)
+    return out.select("gene_id", "source_gene", F.array_join("sources", ",").alias("sources"))
+
+
 @query(_HEADER + ", x AS (SELECT h.gene_id, 'transcript' AS kind, t || '.9' AS token, 'host' AS species FROM h SEMI JOIN bare USING (t) UNION SELECT gene_id, 'gene', g, 'host' FROM h SEMI JOIN named USING (g) UNION SELECT gene_id, 'binomial', 'Homo  sapiens', 'Homo sapiens' FROM h) SELECT * FROM x")
 def host_tokens(spark, sf):
     m = B.gene_map(spark, sf)
@@ -467,6 +508,30 @@ def classify_same_genome(spark, sf):
     return classify.classify(h, genome_self_match=True).select(*_OUT)
 
 
+_NAMED = f"""WITH {B.HITS}, {B.GENE_MAP}, {B.SPECIES_MAP}, a AS (SELECT job, split_part(probe_id, '|', 1) || '|transcript:src1' AS probe_id, rname, nm, coalesce(gene, rname) AS gene_id, coalesce(species, 'Unknown') AS species
+  FROM hits LEFT JOIN gene_map ON transcript = rname LEFT JOIN species_map ON genome = split_part(rname, '_', 1)),
+c AS (SELECT job, probe_id, count(*) AS total_alignments, count(DISTINCT gene_id) AS unique_genes, min(nm) AS least, min(nm) AS off_mm, bool_or(contains(rname, 'src1')) AS any_named, bool_and(contains(rname, 'src1')) AS all_named,
+  bool_or(species <> 'Unknown') AS is_species FROM a GROUP BY job, probe_id)"""
+_NAMED_OUT = " SELECT job, probe_id, {status} AS status, total_alignments, unique_genes, least AS min_mismatches FROM c"
+_BY_NAME = f"CASE WHEN unique_genes = 1 AND any_named THEN 'safe' ELSE {_RISK} END"
+
+
+def _named_hits(spark, sf) -> DataFrame:
+    """Alignments whose probes name a part of their source's id, and no source is known."""
+    return _genes_of(spark, sf).withColumn("probe_id", F.concat(I.base_id(F.col("probe_id")), F.lit("|transcript:src1")))
+
+
+@query(_NAMED + _NAMED_OUT.format(status=_BY_NAME))
+def classify_by_name(spark, sf):
+    return classify.classify(_named_hits(spark, sf)).select(*_OUT)
+
+
+@query(_NAMED + _NAMED_OUT.format(status=f"CASE WHEN is_species THEN CASE WHEN all_named THEN 'safe' ELSE {_RISK} END ELSE {_BY_NAME} END"))
+def classify_by_name_species(spark, sf):
+    """The same against catalogs: probes with a known species are safe only if all their alignments are named."""
+    return classify.classify(annotate.annotate_species(_named_hits(spark, sf), B.species_map(spark, sf)), is_microbiome=True).select(*_OUT)
+
+
 @query(_GROUPS + """, p AS (SELECT job, probe_id, list_sort(list(DISTINCT grp)) AS groups, list_sort(list(DISTINCT rname)) AS targets FROM a GROUP BY ALL)
 SELECT job, probe_id, CAST(len(groups) AS INTEGER) AS n_groups, len(groups) = 1 AS safe, array_to_string(groups, ',') AS groups, array_to_string(targets, ',') AS targets FROM p""")
 def host_internal(spark, sf):

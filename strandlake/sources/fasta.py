@@ -70,8 +70,9 @@ def faults(records: DataFrame) -> DataFrame:
 CHUNKS = {"host": "*.{fa,fa.gz}", "microbiome": "*.{fna,fna.gz}"}
 
 
-def contigs(spark: SparkSession, groups: dict[str, str | list[str]], glob: str = "*.{fa,fna,fasta,fa.gz,fna.gz}") -> DataFrame:
-    """contig, genome, grp, seq, file of the reference files of each group."""
+def contigs(spark: SparkSession, groups: dict[str, str | list[str]], glob: str = "*.{fa,fna,fasta,fa.gz,fna.gz}", kind: str | None = None) -> DataFrame:
+    """contig, genome, grp, seq, file of the reference files of each group; kind ('host' or 'microbiome') takes only files that are named like its chunks."""
+    glob = CHUNKS[kind] if kind else glob
     out = None
     for name, path in groups.items():
         part = read(spark, path, glob).select(F.col("seq_id").alias("contig"), F.substring_index("seq_id", "_", 1).alias("genome"), F.lit(name).alias("grp"), "seq", "file")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .fasta import CHUNKS
+
 PIECE = 1 << 20
 _BLANK = re.compile(r"\s")
 SPLITS = "file long, block long, named boolean, header string, lead long, head string, tail long"
@@ -156,8 +158,9 @@ def read(spark: SparkSession, path: str | list[str], overlap: int, piece: int =
     return named.select(F.regexp_extract("header", r"^(\S*)", 1).alias("contig"), "header", F.col("path").alias("file"), "at", "own", "seq")
 
 
-def contigs(spark: SparkSession, groups: dict[str, str | list[str]], overlap: int, piece: int = PIECE, glob: str = "*.{fa,fna,fasta,fa.gz,fna.gz}") -> DataFrame:
-    """contig, genome, grp, file, at, own, seq of the reference files of each group, for the scans of `operators`."""
+def contigs(spark: SparkSession, groups: dict[str, str | list[str]], overlap: int, piece: int = PIECE, glob: str = "*.{fa,fna,fasta,fa.gz,fna.gz}", kind: str | None = None) -> DataFrame:
+    """contig, genome, grp, file, at, own, seq of the reference files of each group, for the scans of `operators`; kind ('host' or 'microbiome') takes only files named like its chunks."""
+    glob = CHUNKS[kind] if kind else glob
     out = None
     for name, path in groups.items():
         part = read(spark, path, overlap, piece, glob).select("contig", F.substring_index("contig", "_", 1).alias("genome"), F.lit(name).alias("grp"), "file", "at", "own", "seq")

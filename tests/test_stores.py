@@ -142,3 +142,10 @@ def test_has_genome():
     host = {"id": "h", "display_name": "H", "latin_binomial": "H h", "ncbi_tax_id": 1, "transcript_chunks_dir": "x"}
     assert not registry.Registry.build({"hosts": [host]}).hosts["h"].has_genome
     assert registry.Registry.build({"hosts": [host | {"genome_dir": "d", "genome_file_regex": ".*"}]}).hosts["h"].has_genome
+
+
+def test_chunks_by_kind(spark, tmp_path):
+    for name in ("a.fa", "b.fna", "c.fasta", "d.txt"):
+        (tmp_path / name).write_text(f">{name}\nACGT\n")
+    for read in (lambda kind: fasta.contigs(spark, {"g": str(tmp_path)}, kind=kind), lambda kind: pieces.contigs(spark, {"g": str(tmp_path)}, overlap=3, kind=kind)):
+        assert {k: {r.contig for r in read(k).collect()} for k in ("host", "microbiome", None)} == {"host": {"a.fa"}, "microbiome": {"b.fna"}, None: {"a.fa", "b.fna", "c.fasta"}}
