@@ -10,7 +10,8 @@ the first time are worked out together, one candidate of each at a time, with nu
 With rate 0 the ids are those of the library's own encoder. Characters that are no piece become byte pieces.
 
 Edge cases: a null text is the empty text, with no ids; the piece of the space mark (U+2581) in a text is written as bytes, so that decoding is exact;
-rows are encoded each, equal texts alike; an empty table gives no rows; other columns are ignored.
+rows are encoded each, equal texts alike; an empty table gives no rows; other columns are ignored. A very long text is encoded whole by one task, with some 200 bytes a unit; a unit of more
+than 40 characters by itself, with a heap as its agenda.
 """
 
 from __future__ import annotations

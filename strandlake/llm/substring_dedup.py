@@ -2,7 +2,7 @@
 
 Each round of recompression replaces maximal runs of one symbol and then pairs (a, b) with a on the left and
 b on the right side of a partition of the symbols. A new symbol is named by what it replaces, so all
-documents name equal passages alike, except near their ends; a name has 128 bits, made from the BLAKE2b digests of the words it stands for.
+documents name equal passages alike, except near their ends; a name has 128 bits, mixed from those of the words it stands for.
 
 1. Where a document is read, its words and the first rounds' symbols are named. A window determines some of them whatever is around it; its anchor is the widest of
    those at the last of ANCHOR rounds that has any (the words are round 0, so there always is one), and equal windows have equal anchors at equal places.
@@ -10,8 +10,8 @@ documents name equal passages alike, except near their ends; a name has 128 bits
 3. Further rounds are Spark jobs over all documents: symbols are counted by name; one that occurs once can't lie in a repeat, nor can any wider symbol with
    it, so documents keep only the sequences of shared symbols, which the next job replaces. A shared symbol at least as wide as the window reveals
    that all windows in it repeat.
-4. Before anything is removed, the words of all occurrences of each such symbol are compared, by a BLAKE2b digest of 128 bits. All other windows with a shared anchor are compared
-   by digests of their own, where of windows in a wide shared symbol only those of one occurrence are sent, for others to find.
+4. Before anything is removed, the words of all occurrences of each such symbol are compared, by a BLAKE2b digest of the words as they stand. All other windows with a shared anchor are counted by
+   names of 128 bits of their own, where of windows in a wide shared symbol only those of one occurrence are sent, for others to find.
 
 Edge cases: a null or empty text has no words; a document shorter than a window keeps everything; a window repeated
 within one document counts; rows that repeat an id and text count as two documents; one document's result
@@ -206,10 +206,33 @@ def _next_rounds(job: int, window: int):
     return run
 
 
-def digests(words: np.ndarray, begins: list[int], width: int) -> bytes:
-    """BLAKE2b (128 bits each) of runs of `width` words, from the words' own digests."""
-    view = memoryview(np.ascontiguousarray(words)).cast("B")
-    return b"".join(hashlib.blake2b(view[16 * i : 16 * (i + width)], digest_size=16).digest() for i in begins)
+def window_names(words: np.ndarray, width: int) -> np.ndarray:
+    """128 bits of each run of `width` words, from the words' own: runs of 2, 4, 8, ... words are made of two halves each, and put together."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros((0, 2), _U)
+    out = []
+    for lane, (p, q) in enumerate(((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA24BAED4963EE407))):
+
+        def both(a: np.ndarray, b: np.ndarray, p=_U(p), q=_U(q)) -> np.ndarray:
+            x = a * p
+            x ^= x >> _U(31)
+            x += b
+            x *= q
+            x ^= x >> _U(29)
+            return x
+
+        run, size, done, total = np.ascontiguousarray(words[:, lane]), 1, 0, None
+        while True:
+            if width & size:
+                part = run[done : done + n]
+                total, done = part if total is None else both(total, part), done + size
+            if done == width:
+                break
+            run = both(run[:-size], run[size:])
+            size *= 2
+        out.append(mix(total))
+    return np.stack(out, 1)
 
 
 def _covered(spans: list, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,6 +258,7 @@ def _windows(window: int):
             for begin, end in chunks(texts):
                 words, at = word_digests(texts[begin:end])
                 rows, firsts, sures, lists, shared = [], [], [], [], []
+                spelled: list[bytes] = []
                 for i in range(end - begin):
                     own = words[at[i] : at[i + 1]]
                     count = max(len(own) - window + 1, 0)
@@ -243,17 +267,21 @@ def _windows(window: int):
                         may[m["place"]] += 1
                         may[m["place"] + m["count"]] -= 1
                     wide = spans[begin + i] or []
-                    proofs = [{"name": s["name"], "check": s["check"], "seen": digests(own, [s["begin"]], s["width"])} for s in wide]
+                    if wide:
+                        spelled = texts[begin + i].split()
+                    proofs = [{"name": s["name"], "check": s["check"], "seen": hashlib.blake2b(b" ".join(spelled[s["begin"] : s["begin"] + s["width"]]), digest_size=16).digest()} for s in wide]
                     sure, send = _covered(wide, count, window)
                     out = np.where(sure, np.where(send, 2, 0), np.cumsum(may[:-1]) > 0)
-                    cuts = np.flatnonzero(np.diff(out)) + 1
-                    for a, b in zip([0, *cuts], [*cuts, count], strict=True):
-                        if a < b and out[a]:
-                            rows.append(begin + i)
-                            firsts.append(a)
-                            sures.append(bool(out[a] == 2))
-                            lists.append(np.frombuffer(digests(own, range(a, b), window), np.int64).reshape(-1, 2))
-                            shared.append(None)
+                    if out.any():
+                        names = window_names(own, window).view(np.int64)
+                        cuts = np.flatnonzero(np.diff(out)) + 1
+                        for a, b in zip([0, *cuts], [*cuts, count], strict=True):
+                            if out[a]:
+                                rows.append(begin + i)
+                                firsts.append(a)
+                                sures.append(bool(out[a] == 2))
+                                lists.append(names[a:b])
+                                shared.append(None)
                     if proofs:
                         rows.append(begin + i)
                         firsts.append(None)

@@ -15,7 +15,7 @@ def thue_morse(n, a="a", b="b"):
     return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
 
 
-@pytest.mark.parametrize("n", [512, 1024, 4096])
+@pytest.mark.parametrize("n", [16, 32, 64, 128, 1024, 4096])
 def test_words_that_polynomials_confuse(spark, n):
     one, two = thue_morse(n)
     names, checks, _ = word_names([one.encode(), two.encode()])
@@ -111,3 +111,15 @@ def test_lines_that_end_in_carriage_returns(spark):
     got = {r.doc_id: r for r in line_dedup.drop_boilerplate(df).collect()}
     assert got[0].text == "own 0\r\n\r\n \t\r\n\t\n\x0b" and (got[0].n_lines, got[0].n_dropped) == (7, 2)
     assert got[9].text == "alone" and got[10].text == "\r\n\r\n" and got[11].text is None
+
+
+def test_word_names_tell_words_apart():
+    r = random.Random(12)
+    words = {bytes(r.choice(b"ab\xc3\xa9") for _ in range(r.choice((1, 2, 7, 8, 9, 15, 16, 17, 33, 63, 64, 65, 70)))) for _ in range(20_000)}
+    words |= {b"a" * n for n in range(1, 90)} | {b"\0" * n for n in range(1, 90)} | {b"a" * n + b"\0" for n in range(20)}
+    every = sorted(words)
+    names, checks, at = word_names([b" ".join(every), b"", b" \n " + every[5] + b"\t", every[-1]])
+    assert len(set(names.tolist())) == len(set(checks.tolist())) == len(every) and at.tolist() == [0, len(every), len(every), len(every) + 1, len(every) + 2]
+    assert names[-2] == names[5] and checks[-2] == checks[5] and names[-1] == names[len(every) - 1]
+    one = [word_names([w])[0][0] for w in every[:300]]
+    assert one == names[:300].tolist()  # whatever stands around
