@@ -117,7 +117,8 @@ def write_indexed(records: DataFrame, path: str, name: str = "probe_id", seq: st
     before = Window.partitionBy("part").orderBy("name", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = stored.select("part", "name", "seq", length.alias("length"), (F.coalesce(F.sum(size).over(before), F.lit(0)) + head).cast("long").alias("offset"))
     text = F.concat(F.lit(">"), "name", F.when(length > 0, F.concat(F.lit("\n"), wrapped(F.col("seq"), width))).otherwise(""))
-    placed.select(text.alias("value"), F.format_string("%06d", "part").alias("part")).repartition(parts, "part").sortWithinPartitions("part", F.col("value")).write.partitionBy("part").text(f"{path}/fasta")
+    in_order = placed.withColumns({"value": text, "part": F.format_string("%06d", "part")}).repartition(parts, "part").sortWithinPartitions("part", "name", "seq")
+    in_order.select("value", "part").write.partitionBy("part").text(f"{path}/fasta")
     files_ = spark.createDataFrame([(int(re.search(r"/part=(\d+)/", f)[1]), f) for f in spark.read.text(f"{path}/fasta").inputFiles()], "part int, file string")
     index = placed.join(F.broadcast(files_), "part").select("name", "length", "offset", F.lit(width).alias("width"), F.lit(width + 1).alias("line"), "file")
     index.write.parquet(f"{path}/index")
