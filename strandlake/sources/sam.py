@@ -30,12 +30,13 @@ def typed(raw: DataFrame) -> DataFrame:
     return out.withColumn("seq", F.last(F.when(F.col("seq") != "*", F.col("seq")), ignorenulls=True).over(w))
 
 
-def write(lines: DataFrame, path: str, header: bool = True) -> None:
-    """Lines as one SAM text (a report's size); the header line first."""
+def write(lines: DataFrame, path: str, header: bool = True, single: bool = False) -> None:
+    """Lines as SAM text, a file for each partition; the header line is a part of its own before them. single: one file, for a report's size."""
+    lines = lines.select("line")
     if header:
-        top = lines.sparkSession.createDataFrame([(0, "@HD\tVN:1.4\tSO:unsorted")], "o int, line string")
-        lines = top.union(lines.select(F.lit(1), "line")).orderBy("o").select("line")
-    lines.coalesce(1).write.text(path)
+        top = lines.sparkSession.createDataFrame([("@HD\tVN:1.4\tSO:unsorted",)], "line string").coalesce(1)
+        lines = top.union(lines)  # partitions in this order
+    (lines.coalesce(1) if single else lines).write.text(path)
 
 
 def merge(parts: list[DataFrame]) -> DataFrame:
