@@ -1,8 +1,8 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
-Documents become token ids once. Whole windows of a long document are sequences of their own; what is left of each document (less than a window)
-forms one stream over all tasks, which is cut every `windows` x (`capacity` - `slack`) tokens. Such a block is the unit of differencing: its size is bounded in tokens,
-whatever the documents are, so blocks pack side by side and no task holds more than one. The last part of a block is cut into pieces of falling sizes, because
+Documents become token ids once, and leave their task as pieces. Whole windows of a long document are sequences of their own; what is left of each document (less than a window)
+forms a stream, which each task cuts every `windows` x (`capacity` - `slack`) tokens; what is left of the tasks' streams shares blocks of its own. A block is the unit of differencing: it holds less
+than two blocks' tokens, whatever the documents are, so blocks pack side by side. The last part of a block is cut into pieces of falling sizes, because
 documents alone (three or four to a window) leave windows some per cent apart.
 
 Within a block, each piece begins as a partial partition: one window with the piece, the others empty. The two partitions with the greatest imbalances are merged,
@@ -34,7 +34,7 @@ UNITS = 500_000
 #: Printable ASCII and U+00C0..U+00FF, which normalize to themselves in lower case.
 _PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\xbf])+")
 #: The tokenizer's own units of such text in lower case.
-_UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_UNITS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|(?:[!-/:-@\[-`{-~]|\xc3[\x97\xb7])+")
 #: Byte-level vocabularies write each byte as a printable character: printable bytes as themselves, the others from U+0100 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -54,23 +54,26 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = not any(s.isalpha() for s in self.special)  # no run of letters is a special token
         self.words = Words()
-        self.units: dict[str, bytes] = {}
+        self.units: dict[bytes, bytes] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _unit(self, unit: str) -> bytes:
-        shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(_BYTES)
-        found = self.units[unit] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+    def _unit(self, unit: bytes) -> bytes:
+        shown = unit.decode("latin-1")
+        found = self.units[unit] = array("I", [t.id for t in self.model.tokenize(shown if unit.isascii() else shown.translate(_BYTES))]).tobytes()
         return found
 
     def _chunk(self, chunk: bytes) -> bytes:
         """The chunk's ids, four bytes each."""
+        known = self.units
+        if chunk.isalpha() and self.letters:  # of bytes: A-Z and a-z only
+            word = chunk.lower()
+            return known[word] if word in known else self._unit(word)
         if _PLAIN.fullmatch(chunk):
-            word, known = chunk.decode().lower(), self.units
-            if word.isalpha() and word not in self.special:
-                return known[word] if word in known else self._unit(word)
+            word = chunk.decode().lower().encode()
             if not any(s in word for s in self.special):
                 return b"".join([known[u] if u in known else self._unit(u) for u in _UNITS.findall(word)])
         return array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
@@ -109,42 +112,6 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-TOKENS = "doc_id long, n long, task int, at long, whole long, ids binary"
-
-
-def _tokens(path: str, capacity: int, end: int):
-    """The ids of each document, and its place in its task's stream of rests and among its task's whole windows."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        encoder = _ENCODERS[path] if path in _ENCODERS else _ENCODERS.setdefault(path, Encoder(path))
-        small = encoder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end < 1 << 16
-        last = np.array([end], np.uint32)
-        at = whole = 0
-        for batch in batches:
-            texts = utf8(batch.column(1))
-            for begin, stop in chunks(texts):
-                rows = []
-                flat, edge = encoder.encode(texts[begin:stop])
-                for i in range(stop - begin):
-                    ids = np.append(flat[edge[i] : edge[i + 1]], last).astype("<u2" if small else "<u4")
-                    rows.append((len(ids), at, whole, ids.tobytes()))
-                    at += len(ids) % capacity
-                    whole += len(ids) // capacity
-                n, ats, wholes, ids = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, stop - begin), pa.array(n, pa.int64()), pa.array([task] * len(n), pa.int32()), pa.array(ats, pa.int64()), pa.array(wholes, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "n", "task", "at", "whole", "ids"],
-                )
-
-    return run
-
-
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, block long, number long"
-
-
 def next_cut(place: int, size: int) -> int:
     """Where a block of `size` tokens is cut next after `place`: not before its last pieces begin, which are as many of each of the falling sizes."""
     each = int(size * SHARE) // sum(FALLING)
@@ -158,26 +125,70 @@ def next_cut(place: int, size: int) -> int:
     return size
 
 
-def _pieces(capacity: int, block: int, total: int):
-    """Whole windows (block is null, number is the window's own) and the pieces of each rest; total: tokens of all rests."""
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, block long, whole long, tail boolean"
+
+
+class _Block:
+    """The rests of documents that make up the block at work, and the pieces of those that are done."""
+
+    def __init__(self, task: int, size: int):
+        self.task, self.size = task, size
+        self.number, self.room = 0, size
+        self.held: list[tuple] = []  # document, its tokens, start, ids
+        self.rows: list[tuple] = []
+
+    def add(self, doc: int | None, n: int, start: int, ids: np.ndarray) -> None:
+        while len(ids):
+            part, ids = ids[: self.room], ids[self.room :]
+            self.held.append((doc, n, start, part))
+            start += len(part)
+            self.room -= len(part)
+            if not self.room:
+                self.close(False)
+
+    def close(self, tail: bool) -> None:
+        size, place = self.size - self.room, 0
+        for doc, n, start, ids in self.held:
+            a = 0
+            while a < len(ids):
+                b = min(len(ids), next_cut(place, size) - place + a)
+                self.rows.append((doc, start + a, b - a, zlib.crc32(ids[a:b].tobytes()), n, self.task, self.number, None, tail))
+                place, a = place + b - a, b
+        self.held, self.room = [], self.size
+        self.number += 1
+
+
+def _pieces(path: str, capacity: int, end: int, block: int):
+    """Whole windows (whole is the window's number in the task) and the pieces of each rest (block is the block's number in the task; tail: the task's last block, which isn't full)."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+        kinds = (*(pa.int64(),) * 5, pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
     def run(batches):
+        from pyspark import TaskContext
+
+        encoder = _ENCODERS[path] if path in _ENCODERS else _ENCODERS.setdefault(path, Encoder(path))
+        last = np.array([end], "<u4")
+        stream = _Block(TaskContext.get().partitionId(), block)
+        whole = 0
         for batch in batches:
-            rows = []
-            for doc, n, at, whole, ids in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                values = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
-                full = n - n % capacity
-                cuts = [(a, a + capacity, None, whole + a // capacity) for a in range(0, full, capacity)]
-                a = full
-                while a < n:
-                    part, place = divmod(at + a - full, block)
-                    b = min(n, a + next_cut(place, min(block, total - part * block)) - place)
-                    cuts.append((a, b, part, None))
-                    a = b
-                for a, b, part, number in cuts:
-                    rows.append((doc, a, b - a, zlib.crc32(values[a:b].tobytes()), n, part, number))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in PIECES.split(", ")])
+            ids_of, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
+            for begin, stop in chunks(texts):
+                flat, edge = encoder.encode(texts[begin:stop])
+                for i in range(stop - begin):
+                    ids, doc = np.append(flat[edge[i] : edge[i + 1]], last), ids_of[begin + i]
+                    n = len(ids)
+                    full = n - n % capacity
+                    for a in range(0, full, capacity):
+                        stream.rows.append((doc, a, capacity, zlib.crc32(ids[a : a + capacity].tobytes()), n, stream.task, None, whole, False))
+                        whole += 1
+                    stream.add(doc, n, full, ids[full:].copy())  # nothing holds the rest of a long document
+                yield batch_of(stream.rows)
+                stream.rows = []
+        stream.close(True)
+        yield batch_of(stream.rows)
 
     return run
 
@@ -189,33 +200,28 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     """
     if windows == 1:
         return [list(range(len(sizes)))]
-    heap = [(-size, i, np.array([size]), np.array([i])) for i, size in enumerate(sizes)]
+    heap: list[tuple[int, int, list[tuple[int, int]]]] = [(-size, i, [(size, i)]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     joined: list[tuple[int, int]] = []  # what nodes beyond the items hold
     n = len(sizes)
     while len(heap) > 1:
-        _, tie, a, a_nodes = heapq.heappop(heap)
-        _, _, b, b_nodes = heapq.heappop(heap)
-        width = min(windows, len(a) + len(b))
-        total, nodes = np.zeros(width, np.int64), np.full(width, -1)
-        total[: len(a)], nodes[: len(a)] = a, a_nodes
-        total[width - len(b) :] += b[::-1]
-        both = slice(width - len(b), len(a))
-        others = b_nodes[::-1]
-        if both.start < both.stop:
-            k = both.stop - both.start
-            joined.extend(zip(nodes[both].tolist(), others[:k].tolist(), strict=True))
-            nodes[both] = np.arange(n + len(joined) - k, n + len(joined))
-            nodes[both.stop :] = others[k:]
+        _, tie, a = heapq.heappop(heap)
+        _, _, b = heap[0]
+        over = len(a) + len(b) - windows
+        if over > 0:  # the least of the one meet the greatest of the other
+            b = b[::-1]
+            first = n + len(joined)
+            joined.extend((x[1], y[1]) for x, y in zip(a[-over:], b, strict=False))
+            merged = a[:-over] + [(x[0] + y[0], first + i) for i, (x, y) in enumerate(zip(a[-over:], b, strict=False))] + b[over:]
         else:
-            nodes[width - len(b) :] = others
-        order = np.argsort(-total, kind="stable")
-        total, nodes = total[order], nodes[order]
-        if width == windows:
-            total = total - total[-1]
-        heapq.heappush(heap, (-int(total[0]), tie, total, nodes))
+            merged = a + b
+        merged.sort(reverse=True)
+        if over >= 0 and merged[-1][0]:
+            least = merged[-1][0]
+            merged = [(x - least, node) for x, node in merged]
+        heapq.heapreplace(heap, (-merged[0][0], tie, merged))
     out = []
-    for root in heap[0][3].tolist() if heap else []:
+    for _, root in heap[0][2] if heap else []:
         items, left = [], [root]
         while left:
             node = left.pop()
@@ -257,21 +263,21 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, ke
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece of each document."""
     spark = docs.sparkSession
     block = windows * (capacity - slack)
-    if not 0 < block < 1 << 24:
-        raise ValueError("a block must hold from 1 to 2**24 - 1 tokens")
+    if not 0 < block < 1 << 23:
+        raise ValueError("a block must hold from 1 to 2**23 - 1 tokens")
     prepare(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    tokens = materialise(docs.mapInArrow(_tokens(tokenizer, capacity, end), TOKENS), "tokens")
-    rest = F.col("n") % capacity
-    totals = tokens.groupBy("task").agg(F.max(F.col("at") + rest).alias("rests"), F.max(F.col("whole") + F.floor(F.col("n") / capacity)).alias("wholes")).collect()
-    firsts, a, b = [], 0, 0
-    for r in sorted(totals, key=lambda r: r["task"]):  # a row for each task of the scan
-        firsts.append((r["task"], a, b))
-        a, b = a + r["rests"], b + r["wholes"]
-    firsts = spark.createDataFrame(firsts, "task int, first_at long, first_whole long")
-    placed = tokens.join(F.broadcast(firsts), "task").select("doc_id", "n", (F.col("at") + F.col("first_at")).alias("at"), (F.col("whole") + F.col("first_whole")).alias("whole"), "ids")
-    pieces = materialise(placed.mapInArrow(_pieces(capacity, block, a), PIECES), "pieces")
+    pieces = materialise(docs.mapInArrow(_pieces(tokenizer, capacity, end, block), PIECES), "pieces")
+    full = F.max(F.when(~F.col("tail"), F.col("block") + 1))
+    per = pieces.groupBy("task").agg(F.coalesce(full, F.lit(0)).alias("blocks"), F.coalesce(F.max("whole") + 1, F.lit(0)).alias("wholes"), F.coalesce(F.sum(F.when(F.col("tail"), F.col("length"))), F.lit(0)).alias("rest"))
+    firsts, a, b, held = [], 0, 0, 0
+    for r in sorted(per.collect(), key=lambda r: r["task"]):  # a row for each task of the scan
+        firsts.append([r["task"], a, b, held // block])  # tails share blocks: each begins in the one that those before it have filled so far
+        a, b, held = a + r["blocks"], b + r["wholes"], held + r["rest"]
+    firsts = spark.createDataFrame([(t, x, y, a + z) for t, x, y, z in firsts], "task int, first_block long, first_whole long, tail_block long")
+    placed = pieces.join(F.broadcast(firsts), "task")
     columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
-    whole = pieces.where("block IS NULL").select(*columns, (-F.col("number") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    packed = pieces.where("block IS NOT NULL").drop("number").groupBy("block").applyInArrow(_pack_block(capacity), ", ".join(f"{c} long" for c in (*columns, "sequence_id", "offset")))
+    whole = placed.where("whole IS NOT NULL").select(*columns, (-F.col("whole") - F.col("first_whole") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    blocks = placed.where("block IS NOT NULL").select(*columns, F.when(F.col("tail"), F.col("tail_block")).otherwise(F.col("first_block") + F.col("block")).alias("block"))
+    packed = blocks.groupBy("block").applyInArrow(_pack_block(capacity), ", ".join(f"{c} long" for c in (*columns, "sequence_id", "offset")))
     return whole.union(packed)
