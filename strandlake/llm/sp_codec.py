@@ -4,14 +4,13 @@ A unit (a word with the spaces before it, or a line break) starts as characters.
 piece, best score first, leftmost among equals. A candidate is skipped if the keyed hash of (seed, text's checksum, number of the unit in the
 text, unit, place, merge) falls below the dropout rate: every occurrence of a unit has draws of its own.
 Encoding is a pure function of seed and text, so retried tasks give the same ids.
-What a unit becomes depends only on which of its candidates, in their order, are skipped. A table holds those outcomes (a unit and the
-skips so far, with the candidates that follow); an occurrence walks it by its own draws. Outcomes that a task meets for
-the first time are worked out together, one candidate of each at a time, with numpy.
+A table holds what each unit becomes without skips, and the candidates on that way: if an occurrence's draws skip none of them, as most do,
+that is its outcome. The other occurrences are worked out anew, each by its own draws, thousands at a time, one candidate of each after another, with numpy.
 With rate 0 the ids are those of the library's own encoder. Characters that are no piece become byte pieces.
 
 Edge cases: a null text is the empty text, with no ids; the piece of the space mark (U+2581) in a text is written as bytes, so that decoding is exact;
 rows are encoded each, equal texts alike; an empty table gives no rows; other columns are ignored. A very long text is encoded whole by one task, with some 200 bytes a unit; a unit of more
-than 40 characters by itself, with a heap as its agenda.
+than 40 characters, or with a character that is no piece, by itself, the longer ones with a heap as their agenda.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from heapq import heappop, heappush
+from itertools import islice, pairwise
 from struct import pack
 
 import numpy as np
@@ -30,10 +30,39 @@ from .common import prepare
 
 MARK = "▁"
 UNIT = re.compile(r" *[^ \n]+|\n| +")
-TABLE = 250_000  # outcomes held; what doesn't fit is worked out again
-DRAWS = 62  # candidates of a unit that an outcome can tell apart; units with more are encoded on their own
+TABLE = 500_000  # units held; a fuller table is begun anew
 SHORT = 40  # up to so many characters a plain list is the faster agenda
-NEVER = 1 << 30
+BATCH = 4096  # units that are merged side by side
+BLOCK = 1 << 18  # units whose candidates are drawn, or pieces that are decoded, at once
+NEVER = 1 << 62
+
+
+class Pool:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.values, self.used = np.zeros(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """Where the added values begin."""
+        begin, self.used = self.used, self.used + len(values)
+        while self.used > len(self.values):
+            self.values = np.concatenate((self.values, np.zeros_like(self.values)))
+        self.values[begin : self.used] = values
+        return begin
+
+
+class Units(dict):
+    """Numbers of units, in the order in which they were first asked for."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        return number
+
+
+def _runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of an array, one run after another."""
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 class Codec:
@@ -61,17 +90,26 @@ class Codec:
             self.bytes_of.append(body)
         order = {x: i for i, x in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {piece: order[x] for piece, x in scores.items()}
-        self.forget()
-        # merges of two symbols by their numbers: pieces by id
+        self.none = len(self.bytes_of)  # stands where no symbol is
+        lengths = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.body, self.body_end, self.body_size = np.frombuffer(b"".join(self.bytes_of), np.uint8), np.cumsum(lengths), lengths
+        # merges of two symbols by their numbers, as (rank, room for a place, piece) in one number: a hash table with linear probing
         merges = {}
         for piece, i in self.ids.items():
             for cut in range(1, len(piece)):
                 left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
                 if left is not None and right is not None:
-                    merges[left << 20 | right] = (self.rank[piece], i)
-        self.pair = np.array(sorted(merges), np.int64)
-        self.pair_rank = np.array([merges[k][0] for k in self.pair.tolist()], np.int64)
-        self.pair_id = np.array([merges[k][1] for k in self.pair.tolist()], np.int64)
+                    merges[left << 20 | right] = self.rank[piece] << 26 | i
+        pairs, values = np.array(list(merges), np.int64), np.array(list(merges.values()), np.int64)
+        slots = 1 << max(10, (4 * len(pairs)).bit_length())
+        self.slot_pair, self.slot_merge = np.full(slots, -1, np.int64), np.full(slots, NEVER, np.int64)
+        at = self._slot(pairs)
+        while len(pairs):
+            free = self.slot_pair[at] < 0
+            self.slot_pair[at[free]] = pairs[free]  # of several at one slot, one stays
+            held = self.slot_pair[at] == pairs
+            self.slot_merge[at[held]] = values[held]
+            pairs, values, at = pairs[~held], values[~held], (at[~held] + 1) & (slots - 1)
         self.id_of_char = np.full(0x110000, -1, np.int32)
         for piece, i in self.ids.items():
             if len(piece) == 1:
@@ -80,6 +118,7 @@ class Codec:
         self.id_of_char[ord(MARK)] = -1  # a mark in the text becomes bytes
         single = {c for piece in self.ids for c in piece}
         self.alone = all(c in self.ids for c in single)  # else a character that is no piece may be part of one
+        self.forget()
 
     def key(self, unit: str, at: int, text: int = 0) -> int:
         """Key of the draws of a text's unit number `at`; text: the text's checksum."""
@@ -158,146 +197,137 @@ class Codec:
                 out += [self.byte_ids[b] for b in (s or MARK).encode()]
         return pack(f"<{len(out)}I", *out)
 
-    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and id of the merges of two arrays of symbols (NEVER where there is none)."""
-        key = left << 20 | right
-        at = np.searchsorted(self.pair, key)
-        at[at == len(self.pair)] = 0
-        ok = (self.pair[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(ok, self.pair_rank[at], NEVER), self.pair_id[at]
-
-    def outcomes(self, units: list[str], skips: list[int]) -> tuple[list[bytes | None], np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of units of one length if the candidates whose bit is set in `skips` are skipped; numbers, places and merges of the candidates.
-
-        The ids are None, without candidates, for units with a character that is no piece, or with too many candidates.
-        """
-        n, size = len(units), len(units[0])
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size)
-        symbol = self.id_of_char[codes].astype(np.int64)
-        plain = (symbol >= 0).all(1) & self.alone
-        symbol = symbol[plain]
-        rows = np.arange(len(symbol))
-        bits = np.array(skips, np.int64)[plain]
-        drawn = np.zeros(len(rows), np.int64)
-        width = min(DRAWS, 3 * size)  # a pair, and two more for each merge
-        places, ranks = np.zeros((len(rows), width), np.int32), np.zeros((len(rows), width), np.int32)
-        after = np.tile(np.arange(1, size + 1), (len(rows), 1))
-        before = np.tile(np.arange(-1, size - 1), (len(rows), 1))
-        alive = np.ones(symbol.shape, bool)
-        rank = np.full((len(rows), size), NEVER, np.int64)
-        made = np.zeros((len(rows), size), np.int64)
-        if size > 1 and len(rows):
-            found = self._look_up(symbol[:, :-1].ravel(), symbol[:, 1:].ravel())
-            rank[:, :-1], made[:, :-1] = (x.reshape(-1, size - 1) for x in found)
-        while len(rows):
-            at = rank[rows].argmin(1)  # the leftmost of the best
-            r = rank[rows, at]
-            go = r < NEVER
-            rows, at, r = rows[go], at[go], r[go]
-            if self.limit and len(rows):
-                t = np.minimum(drawn[rows], width - 1)
-                places[rows, t], ranks[rows, t] = at, r
-                skip = bits[rows] >> t & 1 == 1
-                drawn[rows] += 1
-                rank[rows[skip], at[skip]] = NEVER
-                todo, place = rows[~skip], at[~skip]
-            else:
-                todo, place = rows, at
-            gone = after[todo, place]
-            nxt = after[todo, gone]
-            symbol[todo, place] = made[todo, place]
-            alive[todo, gone] = False
-            rank[todo, gone] = NEVER
-            after[todo, place] = nxt
-            has = nxt < size
-            before[todo[has], nxt[has]] = place[has]
-            rank[todo, place] = NEVER
-            for i, j, own in ((place, nxt, has), (before[todo, place], place, before[todo, place] >= 0)):
-                w, i, j = todo[own], i[own], j[own]
-                rank[w, i], made[w, i] = self._look_up(symbol[w, i], symbol[w, j])
-        blob = symbol[alive].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(alive.sum(1))).tolist() if len(symbol) else []
-        ids: list[bytes | None] = [None] * n
-        known = drawn < DRAWS
-        for i, x, y, ok in zip(np.flatnonzero(plain).tolist(), [0, *ends], ends, known.tolist(), strict=False):
-            if ok:
-                ids[i] = blob[x:y]
-        drawn[~known] = 0
-        counts = np.zeros(n, np.int64)
-        counts[plain] = drawn
-        taken = np.arange(width) < drawn[:, None]
-        return ids, counts, places[taken], ranks[taken]
-
-    def _skipped(self, key: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """skipped() of many candidates."""
-        mask = np.uint64(0xFFFFFFFF)
-        x = ((key ^ (at.astype(np.uint64) * np.uint64(0x9E3779B1))) + rank.astype(np.uint64) * np.uint64(0x85EBCA6B)) & mask
-        x = ((x ^ (x >> np.uint64(15))) * np.uint64(0x2C1B3C6D)) & mask
-        x = ((x ^ (x >> np.uint64(12))) * np.uint64(0x297A2D39)) & mask
-        return (x ^ (x >> np.uint64(15))) < np.uint64(self.limit)
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs * 0x1E3779B97F4A7C15 >> 40) & (len(self.slot_pair) - 1)
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merges of two arrays of symbols (NEVER where there is none)."""
+        pair = left << 20 | right
+        at = self._slot(pair)
+        held, found = self.slot_pair[at], self.slot_merge[at]
+        other = np.flatnonzero(held != pair)
+        found[other] = NEVER
+        other = other[held[other] >= 0]
+        while len(other):
+            at[other] = slot = (at[other] + 1) & (len(self.slot_pair) - 1)
+            held, same = self.slot_pair[slot], self.slot_pair[slot] == pair[other]
+            found[other[same]] = self.slot_merge[slot[same]]
+            other = other[(held >= 0) & ~same]
+        return found
+
+    def _skipped(self, keys: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """skipped() of many candidates, all in 32 bits."""
+        x = (keys ^ (at * np.uint32(0x9E3779B1))) + rank * np.uint32(0x85EBCA6B)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        x ^= x >> np.uint32(12)
+        x *= np.uint32(0x297A2D39)
+        x ^= x >> np.uint32(15)
+        return x <= np.uint32(self.limit - 1)
+
+    def _merge(self, symbols: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Merges columns of symbols side by side: the ids of all, how many each has; the candidates of all (without keys, which skip some), how many each has."""
+        size, n = symbols.shape
+        symbol = np.full((size + 1) * n, self.none, np.int64)  # the last row stands for what is outside
+        symbol[: size * n] = symbols.ravel()
+        after = np.arange(n, (size + 2) * n)
+        before = np.arange(-n, size * n)
+        before[:n] += (size + 1) * n
+        place = np.repeat(np.arange(size + 1) << 20, n)
+        agenda = np.full((size + 1) * n, NEVER, np.int64)
+        agenda[: (size - 1) * n] = self._look_up(symbol[: (size - 1) * n], symbol[n : size * n]) | place[: (size - 1) * n]
+        left = agenda.reshape(size + 1, n)[:size]
+        taken = []
+        while True:
+            best = left.min(0)  # the leftmost of the best
+            rows = np.flatnonzero(best < NEVER)
+            if not len(rows):
+                break
+            if keys is None:
+                taken.append(best)
+            best = best[rows]
+            spot = best >> 20 & 63
+            at = spot * n + rows
+            if keys is not None:
+                skip = self._skipped(keys[rows], spot.astype(np.uint32), (best >> 26).astype(np.uint32))
+                agenda[at[skip]] = NEVER  # until one of its symbols changes
+                at, best = at[~skip], best[~skip]
+            made = best & 0xFFFFF
+            gone, prior = after[at], before[at]
+            then = after[gone]
+            symbol[at], symbol[gone] = made, self.none
+            after[at], before[then] = then, at
+            agenda[gone] = NEVER
+            found = self._look_up(np.concatenate((made, symbol[prior])), np.concatenate((symbol[then], made)))
+            agenda[at], agenda[prior] = found[: len(at)] | place[at], found[len(at) :] | place[prior]
+        out = np.ascontiguousarray(symbol[: size * n].reshape(size, n).T)
+        there = out != self.none
+        way = np.array(taken, np.int64).reshape(-1, n).T
+        real = way < NEVER
+        return out[there], there.sum(1), way[real], real.sum(1)
+
+    def _merged(self, begin: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None):
+        """_merge() of units by the places of their symbols, those of like sizes together: (which units, its results) of each batch."""
+        order = np.argsort(sizes, kind="stable")
+        ordered = sizes[order]
+        i = 0
+        while i < len(order):
+            j = min(i + BATCH, int(np.searchsorted(ordered, ordered[i] * 5 // 4 + 1, "right")))
+            some, width = order[i:j], int(ordered[j - 1])
+            spread = np.arange(width)[:, None]
+            at = np.minimum(begin[some] + spread, self.symbols.used - 1)
+            yield some, self._merge(np.where(spread < sizes[some], self.symbols.values[at], self.none), None if keys is None else keys[some])
+            i = j
 
     def forget(self) -> None:
-        """Empty the table. Node i is an outcome: a unit and its skips; its candidates after the last skip can still be drawn."""
-        self.nodes: dict[str | int, int] = {}  # by the unit (no skips), or by a node << 6 | the candidate that is skipped next
-        self.unit_of: list[str] = []
-        self.skips: list[int] = []
-        self.ids_of: list[bytes | None] = []  # None: encoded on its own
-        self.crc = np.zeros(1 << 16, np.uint64)
-        self.first = np.zeros(1 << 16, np.int64)  # the next candidate's number, and the end
-        self.last = np.zeros(1 << 16, np.int64)
-        self.begin = np.zeros(1 << 16, np.int64)  # candidate t is at begin + t of the arrays of places and ranks
-        self.places, self.ranks = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
-        self.used = 0
-
-    def learn(self, names: list, units: list[str], skips: list[int], first: list[int]) -> None:
-        """Add nodes: names, units, skips so far and the first candidates that can be drawn."""
-        by_size: dict[int, list[int]] = {}
-        for i, unit in enumerate(units):
-            by_size.setdefault(len(unit) if len(unit) <= SHORT else 0, []).append(i)
-        for size, same in by_size.items():
-            for i in range(0, len(same), 20_000):
-                part = same[i : i + 20_000]
-                unit, skip = [units[j] for j in part], [skips[j] for j in part]
-                if size:
-                    ids, counts, places, ranks = self.outcomes(unit, skip)
-                else:
-                    ids, counts, places, ranks = [None if u else b"" for u in unit], np.zeros(len(part), np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-                if not self.limit:
-                    ids = [self.encode_unit(u) if x is None else x for u, x in zip(unit, ids, strict=True)]
-                a, used = len(self.unit_of), self.used
-                b, self.used = a + len(part), used + len(places)
-                while b > len(self.crc):
-                    self.crc, self.first, self.last, self.begin = (np.concatenate((x, np.zeros_like(x))) for x in (self.crc, self.first, self.last, self.begin))
-                while self.used > len(self.places):
-                    self.places, self.ranks = (np.concatenate((x, np.zeros_like(x))) for x in (self.places, self.ranks))
-                self.places[used : self.used], self.ranks[used : self.used] = places, ranks
-                self.crc[a:b] = [zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in unit]
-                self.first[a:b] = [first[j] for j in part]
-                self.last[a:b] = counts
-                self.begin[a:b] = used + np.cumsum(counts) - counts
-                self.nodes.update(zip([names[j] for j in part], range(a, b), strict=True))
-                self.unit_of += unit
-                self.skips += skip
-                self.ids_of += ids
-
-    def walk(self, node: np.ndarray, keys: np.ndarray) -> None:
-        """Move each occurrence, in place, from its unit's node to the one of its own draws."""
-        rows = np.flatnonzero(self.first[node] < self.last[node])
-        t = self.first[node[rows]]
-        while len(rows):
-            at = node[rows]
-            i = self.begin[at] + t
-            skip = self._skipped(keys[rows], self.places[i], self.ranks[i])
-            if skip.any():
-                gone, which = at[skip], t[skip]
-                pair, back = np.unique(gone << 6 | which, return_inverse=True)
-                names = pair.tolist()
-                new = [x for x in names if x not in self.nodes]
-                self.learn(new, [self.unit_of[x >> 6] for x in new], [self.skips[x >> 6] | 1 << (x & 63) for x in new], [(x & 63) + 1 for x in new])
-                node[rows[skip]] = np.array([self.nodes[x] for x in names], np.int64)[back]
-            t = t + 1
-            go = t < self.last[node[rows]]
-            rows, t = rows[go], t[go]
+        """Empty the table: of each unit its checksum, symbols, and ids and candidates without skips."""
+        self.units = Units()
+        self.known = 0  # units whose columns are filled
+        self.crc = Pool(np.uint64)
+        self.own = Pool(np.bool_)  # encoded on its own
+        self.symbols, self.symbols_at, self.symbols_n = Pool(np.int32), Pool(np.int64), Pool(np.int64)
+        self.out, self.out_at, self.out_n = Pool(np.uint32), Pool(np.int64), Pool(np.int64)
+        self.places, self.ranks, self.drawn_at, self.drawn_n = Pool(np.uint32), Pool(np.uint32), Pool(np.int64), Pool(np.int64)
+
+    def learn(self) -> None:
+        """Fill the columns of the units that were asked for since."""
+        units = list(islice(reversed(self.units), len(self.units) - self.known))[::-1]
+        n, self.known = len(units), len(self.units)
+        self.crc.add(np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in units], np.uint64))
+        sizes = np.fromiter(map(len, units), np.int64, n)
+        symbols = self.id_of_char[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        own = sizes > SHORT
+        own[np.repeat(np.arange(n), sizes)[symbols < 0]] = True
+        if not self.alone:
+            own |= sizes > 0
+        self.symbols_at.add(self.symbols.add(symbols) + np.cumsum(sizes) - sizes)
+        self.symbols_n.add(sizes)
+        out_at, out_n, drawn_at, drawn_n = (np.zeros(n, np.int64) for _ in range(4))
+        for i in np.flatnonzero(own if not self.limit else own & (sizes == 1)).tolist():  # without draws, or with nothing to draw
+            ids = np.frombuffer(self.encode_unit(units[i]), "<u4")
+            out_at[i], out_n[i], own[i] = self.out.add(ids), len(ids), False
+            sizes[i] = 0
+        plain = np.flatnonzero(~own & (sizes > 0))
+        begin = self.symbols_at.values[self.symbols_at.used - n :]
+        for some, (ids, counts, way, drawn) in self._merged(begin[plain], sizes[plain], None):
+            which = plain[some]
+            out_at[which], out_n[which] = self.out.add(ids) + np.cumsum(counts) - counts, counts
+            if self.limit:
+                self.places.add(way >> 20 & 63)
+                drawn_at[which], drawn_n[which] = self.ranks.add(way >> 26) + np.cumsum(drawn) - drawn, drawn
+        for column, values in ((self.own, own), (self.out_at, out_at), (self.out_n, out_n), (self.drawn_at, drawn_at), (self.drawn_n, drawn_n)):
+            column.add(values)
+
+    def with_skips(self, node: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which occurrences skip a candidate of their units' way without skips."""
+        found = np.zeros(len(node), bool)
+        for i in range(0, len(node), BLOCK):
+            some = node[i : i + BLOCK]
+            counts = self.drawn_n.values[some]
+            at = _runs(self.drawn_at.values[some], counts)
+            skip = self._skipped(np.repeat(keys[i : i + BLOCK], counts), self.places.values[at], self.ranks.values[at])
+            found[np.repeat(np.arange(i, i + len(some)), counts)[skip]] = True
+        return np.flatnonzero(found)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
@@ -313,29 +343,47 @@ class Codec:
                 units = text_.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
             every += units
             sizes.append(len(units))
-        if len(self.unit_of) > TABLE:
+        if len(self.units) > TABLE:
             self.forget()
-        new = list(set(every) - self.nodes.keys())
-        self.learn(new, new, [0] * len(new), [0] * len(new))
-        node = np.array(list(map(self.nodes.__getitem__, every)), np.int64)
+        node = np.fromiter(map(self.units.__getitem__, every), np.int64, len(every))
+        if len(self.units) > self.known:
+            self.learn()
+        begin, counts, parts = self.out_at.values[node], self.out_n.values[node], [self.out.values[: self.out.used]]
+        end = self.out.used
         ends = np.cumsum(sizes, dtype=np.int64)
         if self.limit and len(node):
             checks = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
             at = np.arange(len(node)) - np.repeat(ends - sizes, sizes)
-            keys = self._keys(self.crc[node], at.astype(np.uint64), np.repeat(checks, sizes))
-            self.walk(node, keys)
-        ids = list(map(self.ids_of.__getitem__, node.tolist()))
-        if None in ids:
-            for i in [i for i, x in enumerate(ids) if x is None]:
-                ids[i] = self.encode_unit(every[i], int(keys[i]))
-        return [b"".join(ids[b - n : b]) for b, n in zip(ends.tolist(), sizes, strict=True)]
+            keys = self._keys(self.crc.values[node], at.astype(np.uint64), np.repeat(checks, sizes)).astype(np.uint32)
+            anew = self.with_skips(node, keys)
+            for some, (ids, n, _, _) in self._merged(self.symbols_at.values[node[anew]], self.symbols_n.values[node[anew]], keys[anew]):
+                begin[anew[some]], counts[anew[some]] = end + np.cumsum(n) - n, n
+                parts.append(ids.astype(np.uint32))
+                end += len(ids)
+            for i in np.flatnonzero(self.own.values[node]).tolist():
+                ids = np.frombuffer(self.encode_unit(every[i], int(keys[i])), "<u4")
+                begin[i], counts[i] = end, len(ids)
+                parts.append(ids)
+                end += len(ids)
+        blob = np.concatenate(parts)[_runs(begin, counts)].astype("<u4").tobytes()
+        cuts = (4 * np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], ends))]).tolist()
+        return [blob[a:b] for a, b in pairwise(cuts)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
+    def decode_many(self, texts: list[bytes]) -> list[str]:
+        """The texts of ids."""
+        ids = np.frombuffer(b"".join(texts), "<u4")
+        sizes = self.body_size[ids]
+        begin = self.body_end[ids] - sizes
+        blob = b"".join(self.body[_runs(begin[i : i + BLOCK], sizes[i : i + BLOCK])].tobytes() for i in range(0, len(ids), BLOCK))
+        ends = np.cumsum([len(x) // 4 for x in texts], dtype=np.int64)
+        cuts = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], ends))].tolist()
+        return [blob[a + 1 : b].decode() for a, b in pairwise(cuts)]  # without the space before the text
+
     def decode(self, ids: bytes) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return raw[1:].decode()
+        return self.decode_many([ids])[0]
 
 
 _CODECS: dict[tuple, Codec] = {}
@@ -350,23 +398,23 @@ def codec(path: str, rate: float, seed: int) -> Codec:
 
 
 def encoded(c: Codec, texts: list[str | None]):
-    """(text, ids) of each text, about a million characters at a time; one long text stays whole."""
+    """(texts, ids) about a million characters at a time; one long text stays whole."""
     part: list[str] = []
     size = 0
     for t in texts:
         part.append(t or "")
         size += len(part[-1])
         if size > 1_000_000:
-            yield from zip(part, c.encode_many(part), strict=True)
+            yield part, c.encode_many(part)
             part, size = [], 0
-    yield from zip(part, c.encode_many(part), strict=True)
+    yield part, c.encode_many(part)
 
 
 def _encode(path: str, rate: float, seed: int):
     def run(batches):
         c = codec(path, rate, seed)
         for batch in batches:
-            found = [np.frombuffer(ids, "<i4") for _, ids in encoded(c, batch.column(1).to_pylist())]
+            found = [np.frombuffer(ids, "<i4") for _, part in encoded(c, batch.column(1).to_pylist()) for ids in part]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
@@ -389,8 +437,8 @@ def _digest(path: str, rate: float, seed: int):
         c = codec(path, rate, seed)
         for batch in batches:
             rows = []
-            for text, ids in encoded(c, batch.column(1).to_pylist()):
-                rows.append((len(ids) // 4, zlib.crc32(ids), c.decode(ids) == text))
+            for texts, found in encoded(c, batch.column(1).to_pylist()):
+                rows += [(len(ids) // 4, zlib.crc32(ids), back == text) for text, ids, back in zip(texts, found, c.decode_many(found), strict=True)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True))], names=["doc_id", "n_ids", "ids_crc32", "lossless"])
 

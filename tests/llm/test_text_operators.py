@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -496,6 +497,41 @@ def test_dropout_takes_fewer_merges_and_keeps_odd_characters():
     assert all(c.decode(c.encode(text)) == text for c in (plain, much, all_))
 
 
+@pytest.mark.parametrize("rate", [0.1, 1.0])
+def test_dropout_in_small_blocks(rate, monkeypatch):
+    r = random.Random(7)
+    texts = ["".join(r.choice("aeinrst  \n▁é日") for _ in range(r.choice((0, 1, 40, 300)))) for _ in range(60)]
+    c = sp_codec.Codec(PIECES, rate, 2**40 + 3)
+    units = [sp_codec.UNIT.findall(" " + t) if "  " in " " + t else re.split("\0", (" " + t).replace(" ", "\0 ").replace("\n", "\0\n\0")) for t in texts]
+    want = [b"".join(c.encode_unit(u, c.key(u, i, zlib.crc32(t.encode()))) for i, u in enumerate(us)) if t else b"" for t, us in zip(texts, units, strict=True)]
+    assert c.encode_many(texts) == want and c.decode_many(want) == texts
+    for name, n in (("TABLE", 5), ("BATCH", 3), ("BLOCK", 7)):
+        monkeypatch.setattr(sp_codec, name, n)
+    c.forget()
+    assert [c.encode(t) for t in texts] == want and c.encode_many(texts) == want and c.decode_many(want) == texts
+    assert c.encode_many([]) == c.decode_many([]) == []
+
+
+def test_dropout_of_many_words_is_about_as_fast_as_the_library():
+    import sentencepiece
+
+    r = random.Random(6)
+    words = ["".join(r.choices("an er in on th the ing ed at en tion ble re st nd sh".split(), k=r.randrange(1, 5))) for _ in range(60_000)]
+    texts = [" ".join(r.choices(words, k=500)) for _ in range(160)]
+    plain, c = sentencepiece.SentencePieceProcessor(model_file=PIECES), sp_codec.Codec(PIECES, 0.3, 17)
+
+    def seconds(work):
+        took = []
+        for _ in range(3):
+            c.forget()
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: c.encode_many(texts)) < 2.5 * seconds(lambda: [plain.encode(t) for t in texts])  # measured: 0.8 to 1.4 times; with an outcome held for each set of skips 3.8 to 5.8
+
+
 # ------------------------------------------------------------------------------- substring dedup
 
 
