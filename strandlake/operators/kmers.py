@@ -25,26 +25,39 @@ def code(kmer: Column, k: int) -> Column:
     return digits.cast("long")
 
 
+def canonical_codes(codes: np.ndarray, k: int) -> np.ndarray:
+    """Canonical 2-bit codes of the windows of ACGT in base codes."""
+    w, ok = scan.window_codes(codes, k)
+    w = w[ok]
+    return np.minimum(w, scan.revcomp_codes(w, k))
+
+
 def counter(k: int, wanted, keys: int):
-    """Partial counts of each batch by its leading key columns: of the wanted codes, or of all k-mers where none are given."""
+    """Partial counts of each batch by its leading key columns: of the wanted codes, or of all k-mers where none are given. They leave the task a piece's worth at a time, however long the batch's sequences are."""
 
     def run(batches):
         table = wanted.value if wanted is not None else None
         for batch in batches:
-            rows, found = [], []
-            for i, s in enumerate(batch.column(keys).to_pylist()):
-                for _, codes in scan.pieces(scan.encode((s or "").encode()), k - 1):
-                    w, ok = scan.window_codes(codes, k)
-                    w = w[ok]
-                    w = np.minimum(w, scan.revcomp_codes(w, k))
+            rows, found, held = [], [], 0
+
+            def part():
+                code, n = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+                at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+                return pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(keys)), pa.array(code), pa.array(n)], names=[*batch.schema.names[:keys], "code", "n"])
+
+            for i in range(batch.num_rows):
+                for _, codes in scan.pieces(scan.encode((batch.column(keys)[i].as_py() or "").encode()), k - 1):
+                    w = canonical_codes(codes, k)
                     if table is not None:
                         w = w[scan.found_in(w, table) >= 0]
                     w, n = np.unique(w, return_counts=True)
                     rows.append(np.full(len(w), i))
                     found.append((w, n))
-            code, n = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(keys)), pa.array(code), pa.array(n)], names=[*batch.schema.names[:keys], "code", "n"])
+                    held += len(w)
+                    if held >= scan.PIECE:
+                        yield part()
+                        rows, found, held = [], [], 0
+            yield part()
 
     return run
 

@@ -46,12 +46,11 @@ def window_codes(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def revcomp_codes(w: np.ndarray, k: int) -> np.ndarray:
-    """Code of each window's reverse complement."""
-    out, rest = np.zeros_like(w), w.copy()
-    for _ in range(k):
-        out = (out << 2) | (3 - (rest & 3))
-        rest >>= 2
-    return out
+    """Code of each window's reverse complement: complemented, its pairs of bits turned round within nibbles, bytes and the word."""
+    x = ~w.astype(np.int64).view(np.uint64)
+    for bits, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F)):
+        x = ((x >> np.uint64(bits)) & np.uint64(mask)) | ((x & np.uint64(mask)) << np.uint64(bits))
+    return (x.byteswap() >> np.uint64(64 - 2 * k)).view(np.int64)
 
 
 def code_of(seq: str) -> int:

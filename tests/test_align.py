@@ -229,6 +229,46 @@ def test_kmer_database_grows(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(code), EqualTo(code,3)" in plan
 
 
+def test_counts_leave_a_task_in_parts(monkeypatch):
+    """A batch's k-mers are never held all at once, however many sequences it has."""
+    import pyarrow as pa
+
+    from strandlake.sources import kmer_store
+
+    r = random.Random(4)
+    rows = [(r.choice(("g1", "g2", None)), "".join(r.choice("ACGTN") for _ in range(r.choice((0, 3, 50, 700))))) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.string())], names=["grp", "seq"])
+    for name, value in (("HELD", 5000), ("MERGED", 900), ("GIVEN", 400), ("STEP", 333)):
+        monkeypatch.setattr(kmer_store, name, value)
+    monkeypatch.setattr(scan, "PIECE", 1000)
+    for k in (2, 7, 31):
+        want = counted(rows, k)
+        parts = list(kmers.counter(k, None, 1)(iter([batch])))
+        assert max(p.num_rows for p in parts) <= 2000
+        found = {}
+        for p in parts:
+            for g, c, n in zip(*(x.to_pylist() for x in p.columns), strict=True):
+                found[g, scan.sequence_of(c, k)] = found.get((g, scan.sequence_of(c, k)), 0) + n
+        assert found == want
+        sent = pa.Table.from_batches(kmer_store._counted(k)(iter([batch.slice(0, 170), batch.slice(170)])))
+        merged = list(kmer_store._merged(k)(iter(sent.sort_by([("grp", "ascending"), ("slice", "ascending")]).combine_chunks().to_batches(max_chunksize=7))))
+        got = [x for p in merged for x in zip(*(c.to_pylist() for c in p.columns), strict=True)]
+        assert {(g, scan.sequence_of(c, k)): n for g, c, n in got} == want and len(got) == len(want) and max(p.num_rows for p in merged) <= 400
+        assert [x[:2] for x in got] == sorted((x[:2] for x in got), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+
+
+def test_packed_numbers():
+    import numpy as np
+
+    from strandlake.sources import kmer_store
+
+    x = np.array([0, 1, 127, 128, 16383, 16384, 2**40, 2**62 - 1, 5], np.int64)
+    data, at = kmer_store.pack(x)
+    back, begin = kmer_store.unpack(data)
+    assert back.tolist() == x.tolist() and begin.tolist() == at[:-1].tolist()
+    assert kmer_store.unpack(kmer_store.pack(x[:0])[0])[0].tolist() == []
+
+
 def test_one_scan_gives_both(spark, monkeypatch):
     contigs, probes = made(7)
     ref = spark.createDataFrame([(c, f"g{i % 2}", s) for i, (c, s) in enumerate(contigs)], "contig string, grp string, seq string")
