@@ -31,6 +31,10 @@ PROBES = 200_000
 SKETCH = 1 << 26
 #: Tasks that a frequent seed is dealt to.
 SALTS = 32
+#: Codes, by their last bits, that the seeds may hold: a scan looks only these up.
+SIEVE = 1 << 22
+#: Places of probes that a scan weighs at once, and bases of the contigs that it takes together.
+POSTS, BASES = 1 << 18, 1 << 18
 HITS = "probe_id string, flag int, rname string, pos int, cigar string, nm int, md string, seq string, target string"
 
 
@@ -49,37 +53,93 @@ class Seeds:
                 self.seqs.append(s)
         self.width = width
         self.lengths = np.array([len(s) for s in self.seqs], np.int64)
-        self.matrix = np.full((len(self.seqs), int(self.lengths.max(initial=0))), 5, np.uint8)
+        longest = int(self.lengths.max(initial=0))
+        self.matrix = np.full((len(self.seqs), longest), 5, np.uint8)
+        inside = np.arange(longest) < self.lengths[:, None]
+        self.matrix[inside] = scan.encode("".join(self.seqs).encode())
         found = []
-        for q, s in enumerate(self.seqs):
-            codes = scan.encode(s.encode())
-            self.matrix[q, : len(codes)] = codes
-            w, ok = scan.window_codes(codes, width)
-            at = np.arange(errors + 1) * width
-            at = at[(at < len(w))]
-            at = at[ok[at]]
-            found.append(np.stack([w[at], np.full(len(at), q), at], 1))
+        for at in range(0, min((errors + 1) * width, longest - width + 1), width):
+            part = self.matrix[:, at : at + width].astype(np.int64)
+            q = np.flatnonzero((part <= 3).all(1))
+            found.append(np.stack([part[q] @ (1 << 2 * np.arange(width - 1, -1, -1)), q, np.full(len(q), at)], 1))
         rows = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
         self.table, self.first = np.unique(rows[:, 0], return_index=True)
         self.last = np.append(self.first[1:], len(rows)) if len(self.first) else self.first
         self.query, self.offset = rows[:, 1], rows[:, 2]
-
-    def candidates(self, codes: np.ndarray, band: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (query, start) that a seed proposes; starts may be off by up to `band`."""
+        self.sieve = np.zeros(SIEVE, bool)
+        self.sieve[self.table & (SIEVE - 1)] = True
+        head = self.matrix[:, :64].astype(np.uint64)
+        place = np.arange(head.shape[1], dtype=np.uint64)
+        self.planes = [np.bitwise_or.reduce((x << place), axis=1, initial=0).astype(np.uint64) for x in (head & 1, head >> 1 & 1, (head > 3).astype(np.uint64))]
+
+    def _places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a window is a seed, and which."""
         w, ok = scan.window_codes(codes, self.width)
-        at = scan.found_in(w, self.table)
-        place = np.flatnonzero(ok & (at >= 0))
-        seed = at[place]
+        place = np.flatnonzero(ok & self.sieve[w & (SIEVE - 1)])
+        seed = scan.found_in(w[place], self.table)
+        return place[seed >= 0], seed[seed >= 0]
+
+    def _posts(self, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, start) of each probe with the seeds."""
         n = self.last[seed] - self.first[seed]
         post = np.repeat(self.first[seed], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        query, start = self.query[post], np.repeat(place, n) - self.offset[post]
-        if band:
-            shift = np.arange(-band, band + 1)
-            query, start = np.repeat(query, len(shift)), (start[:, None] + shift).ravel()
-        keep = (start >= 0) & (start + self.lengths[query] - band <= len(codes))
-        both = np.unique(np.stack([query[keep], start[keep]], 1), axis=0)
-        return both[:, 0], both[:, 1]
+        return self.query[post], np.repeat(place, n) - self.offset[post]
+
+    def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (query, start) that a seed proposes."""
+        query, start = self._posts(*self._places(codes))
+        keep = (start >= 0) & (start + self.lengths[query] <= len(codes))
+        both = np.unique(query[keep] * (len(codes) + 1) + start[keep])
+        return both // (len(codes) + 1), both % (len(codes) + 1)
+
+    def alike(self, windows: list[np.ndarray], query: np.ndarray, start: np.ndarray, errors: int, band: int) -> np.ndarray:
+        """Which candidates may align within so many errors: at most `errors` bases of the probe differ from the base on every diagonal of the band (as any base without a match is an error).
+
+        windows: `planes` of codes with 2 * band bases or more before them, which start counts. Of a long probe, the first bases decide.
+        """
+        size = np.minimum(self.lengths[query], 64 - 2 * band).astype(np.uint64)
+        mine = [x[query] for x in self.planes]
+        low, high, bad = (x[start - band] for x in windows)
+        out = (np.uint64(1) << size) - np.uint64(1)
+        for shift in range(2 * band + 1):
+            d = np.uint64(shift)
+            out &= (low >> d ^ mine[0]) | (high >> d ^ mine[1]) | (bad >> d) | mine[2]
+        return np.bitwise_count(out) <= errors
+
+    def near(self, codes: np.ndarray, errors: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (query, start), start up to `band` beside what a seed proposes, that may align within the errors and the band."""
+        lead = 3 * band
+        windows = planes(codes, lead)
+        place, seed = self._places(codes)
+        n = np.cumsum(self.last[seed] - self.first[seed])
+        edges = np.unique(np.concatenate(([0], np.searchsorted(n, np.arange(POSTS, n[-1], POSTS)) if len(n) else [], [len(n)])).astype(np.int64))
+        found = [np.zeros(0, np.int64)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            query, start = self._posts(place[a:b], seed[a:b])
+            keep = start >= -band
+            query, start = query[keep], start[keep]
+            keep = self.alike(windows, query, start + lead, errors, 2 * band)  # for all places beside it at once
+            found.append(query[keep] * (len(codes) + lead) + start[keep] + band)
+        both = np.unique((np.unique(np.concatenate(found))[:, None] + np.arange(-band, band + 1)).ravel())
+        query, start = both // (len(codes) + lead), both % (len(codes) + lead) - band
+        keep = (start >= 0) & (start < len(codes))
+        query, start = query[keep], start[keep]
+        keep = self.alike(windows, query, start + lead, errors, band)
+        return query[keep], start[keep]
+
+
+def planes(codes: np.ndarray, lead: int) -> list[np.ndarray]:
+    """Of each place, with `lead` more before the first: the low bits of the 64 bases from there, their high bits, and which are no bases."""
+    x = np.concatenate((np.full(lead, gapped.NONE, np.uint8), codes, np.full(64, gapped.NONE, np.uint8)))
+    out = []
+    for bits in (x & 1, x >> 1 & 1, x > 3):
+        run, width = bits.astype(np.uint64), 1
+        while width < 64:
+            run[:-width] |= run[width:] << np.uint64(width)
+            width *= 2
+        out.append(run)
+    return out
 
 
 def reference(contigs: DataFrame, *more: str) -> DataFrame:
@@ -129,21 +189,45 @@ def _ungapped(seeds, errors: int):
     return run
 
 
+def _together(pieces: Iterator[tuple], size: int, between: int):
+    """Pieces of the reference, some at a time: they, their codes in one array with as many places without a base behind each, and where each begins in it."""
+    held: list[tuple] = []
+    begin = [0]
+    gap = np.full(between, gapped.NONE, np.uint8)
+
+    def joined():
+        return held, np.concatenate([x for piece in held for x in (piece[4], gap)]), np.array(begin[:-1], np.int64)
+
+    for piece in pieces:
+        held.append(piece)
+        begin.append(begin[-1] + len(piece[4]) + between)
+        if begin[-1] >= size:
+            yield joined()
+            held, begin = [], [0]
+    if held:
+        yield joined()
+
+
 def _gapped(seeds, errors: int, bulges: int):
     def run(frames: Iterator[pd.DataFrame]):
         s = seeds.value
         longest = s.matrix.shape[1]
         rows: list[tuple] = []
-        for name, text, at, offset, codes, own in _contigs(frames, longest + 2 * bulges):
-            query, start = s.candidates(codes, bulges)
-            query, start = query[start < own], start[start < own]
+        for held, codes, begins in _together(_contigs(frames, longest + 2 * bulges), BASES, longest + 2 * bulges):
+            ends = begins + np.array([len(piece[4]) for piece in held], np.int64)
+            owned = begins + np.array([piece[5] for piece in held], np.int64)
+            query, start = s.near(codes, errors, bulges)
+            which = np.searchsorted(begins, start, side="right") - 1
+            keep = (start < owned[which]) & (start + s.lengths[query] - bulges <= ends[which])
+            query, start, which = query[keep], start[keep], which[keep]
             for n in np.unique(s.lengths[query]):
                 of = np.flatnonzero(s.lengths[query] == n)
                 for i in range(0, len(of), 20_000):
-                    q, b = query[of[i : i + 20_000]], start[of[i : i + 20_000]]
+                    q, b, c = (x[of[i : i + 20_000]] for x in (query, start, which))
                     hits = gapped.align(s.matrix[q, :n], codes, b, errors, bulges)
                     for j, nm, cigar, md, used in zip(hits.rows.tolist(), hits.edits.tolist(), hits.cigar, hits.md, hits.consumed.tolist(), strict=True):
-                        k, begin = q[j], int(b[j]) + offset
+                        k, (name, text, at, offset, _, _) = q[j], held[c[j]]
+                        begin = int(b[j] - begins[c[j]]) + offset
                         rows.append((s.names[k], s.flags[k], name, at + begin + 1, cigar, nm, md, s.seqs[k], text[begin : begin + used].decode()))
             if len(rows) > 10_000:
                 yield pd.DataFrame(rows, columns=COLUMNS)

@@ -229,6 +229,52 @@ def test_kmer_database_grows(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(code), EqualTo(code,3)" in plan
 
 
+@pytest.mark.parametrize("seed,letters,length", [(1, "ACGT", 24), (2, "ACGTN", 36), (3, "AC", 30), (4, "ACGT", 90)])
+def test_only_alike_candidates_are_aligned(monkeypatch, seed, letters, length):
+    """The scan aligns what the band's diagonals let through, not all that a seed proposes, and loses nothing, in one contig or several, in pieces or not."""
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(seed)
+    contigs = [(f"c{i}", "".join(r.choice(letters) for _ in range(r.choice((0, 3, length - 1, 200, 900))))) for i in range(30)]
+    probes = []
+    for i in range(40):
+        src = r.choice([s for _, s in contigs if len(s) >= 200])
+        at = r.randrange(len(src) - length)
+        p = list(src[at : at + length].replace("N", "A"))
+        for _ in range(r.randrange(3)):
+            j = r.randrange(len(p))
+            p[j : j + 1] = r.choice(([], [p[j], r.choice("ACGT")], [r.choice("ACGT")]))
+        p = "".join(p)
+        probes.append((f"p{i}", rc(p) if r.random() < 0.5 else p))
+    whole = align.Seeds(probes, 2, min(min(len(p) for _, p in probes) // 3, 31))
+    want = set()
+    for c, s in contigs:
+        if not s:
+            continue
+        codes = scan.encode(s.encode())
+        for q, (name, flag, p) in enumerate(zip(whole.names, whole.flags, whole.seqs, strict=True)):
+            start = np.arange(max(len(s) - len(p) + 2, 0))
+            h = gapped.align(np.repeat(whole.matrix[q : q + 1, : len(p)], len(start), 0), codes, start, 2, 1)
+            want |= {(name, flag, c, int(start[j]) + 1, cigar, int(nm), md, p, s[start[j] : start[j] + used]) for j, nm, cigar, md, used in zip(h.rows, h.edits, h.cigar, h.md, h.consumed, strict=True)}
+    given, plain = [], gapped.align
+    monkeypatch.setattr(gapped, "align", lambda queries, *a: given.append(len(queries)) or plain(queries, *a))
+
+    class Held:
+        value = whole
+
+    frame = pd.DataFrame({"contig": [c for c, _ in contigs], "at": 0, "own": [len(s) for _, s in contigs], "seq": [s for _, s in contigs]})
+    for base, piece in ((1 << 18, 1 << 20), (700, 1 << 20), (100, 128)):
+        monkeypatch.setattr(align, "BASES", base)
+        monkeypatch.setattr(align, "POSTS", 50)
+        monkeypatch.setattr(scan, "PIECE", piece)
+        given.clear()
+        got = pd.concat(list(align._gapped(Held, 2, 1)(iter([frame]))))
+        have = {tuple(x) for x in got.itertuples(index=False)}
+        assert have == want and len(got) == len(want) and want
+        assert letters == "AC" or sum(given) <= 2.5 * len(want) + 10
+
+
 def test_counts_leave_a_task_in_parts(monkeypatch):
     """A batch's k-mers are never held all at once, however many sequences it has."""
     import pyarrow as pa
