@@ -16,12 +16,15 @@ def gapped_view(seq: Column, cigar: Column, md: Column) -> Column:
     sign = lambda x: F.when(F.rlike(x, F.lit(r"^\d")), F.repeat(F.lit("="), F.coalesce(x.try_cast("int"), F.lit(0)))).otherwise(F.when(F.startswith(x, F.lit("^")), F.lower(F.substr(x, F.lit(2)))).otherwise(x))
     signs = F.array_join(F.transform(items, sign), "")
 
-    def column(acc: Column, i: Column) -> Column:
-        op, base, mark = F.substr(ops, i, F.lit(1)), F.substr(seq, acc["q"] + 1, F.lit(1)), F.substr(signs, acc["t"] + 1, F.lit(1))
+    def column(x: Column, acc: Column, i: Column) -> Column:
+        op, base, mark = F.substr(x["ops"], i, F.lit(1)), F.substr(x["seq"], acc["q"] + 1, F.lit(1)), F.substr(x["signs"], acc["t"] + 1, F.lit(1))
         top = F.when(op == "D", "-").when((op == "I") | (mark != "="), F.lower(base)).otherwise(base)
         bottom = F.when(op == "I", "-").when(mark != "=", F.lower(mark)).otherwise(base)
         return F.struct((acc["q"] + (op != "D").cast("int")).alias("q"), (acc["t"] + (op != "I").cast("int")).alias("t"), F.concat(acc["top"], top).alias("top"), F.concat(acc["bottom"], bottom).alias("bottom"))
 
     start = F.struct(F.lit(0).alias("q"), F.lit(0).alias("t"), F.lit("").alias("top"), F.lit("").alias("bottom"))
-    both = F.aggregate(F.sequence(F.lit(1), F.length(ops)), start, column, lambda a: F.struct(a["top"].alias("sequence"), a["bottom"].alias("target_sequence")))
+    # in an array of one, so that both texts are made once for an alignment and not again for each column
+    once = F.array(F.struct(ops.alias("ops"), signs.alias("signs"), seq.alias("seq")))
+    shown = lambda x: F.aggregate(F.sequence(F.lit(1), F.length(x["ops"])), start, lambda acc, i: column(x, acc, i), lambda a: F.struct(a["top"].alias("sequence"), a["bottom"].alias("target_sequence")))
+    both = F.get(F.transform(once, shown), F.lit(0))
     return F.when((F.length(seq) > 0) & (F.length(ops) > 0) & (F.length(md) > 0), both)

@@ -275,6 +275,16 @@ def test_only_alike_candidates_are_aligned(monkeypatch, seed, letters, length):
         assert letters == "AC" or sum(given) <= 2.5 * len(want) + 10
 
 
+def test_view_reads_its_tags_once(spark):
+    """CIGAR and MD are taken apart once for an alignment, not again for each of its columns."""
+    from strandlake.functions.view import gapped_view
+
+    df = spark.createDataFrame([("ACGTACG", "3M1I3M", "2A3"), ("ACGTACG", "2M1D5M", "2^C5"), ("ACG", None, "3")], "seq string, cigar string, md string")
+    out = df.select(gapped_view(F.col("seq"), F.col("cigar"), F.col("md")).alias("v"))
+    assert [r.v and tuple(r.v) for r in out.collect()] == [("ACgtACG", "ACa-ACG"), ("AC-GTACG", "ACcGTACG"), None]
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") <= 6
+
+
 def test_counts_leave_a_task_in_parts(monkeypatch):
     """A batch's k-mers are never held all at once, however many sequences it has."""
     import pyarrow as pa
