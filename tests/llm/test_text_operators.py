@@ -63,6 +63,24 @@ def test_jaccard_with_hot_lists_and_chains(spark, monkeypatch):
     assert kept == {c for _, c in want.values()}
 
 
+def test_jaccard_writes_shared_lists_only(spark, monkeypatch):
+    """Lists of one document, most of all, are never written, nor is a list twice for equal texts."""
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(50)]
+    near = [(100 + i, " ".join(f"n{j}" for j in range(200)) + (" end" if i % 2 else "")) for i in range(6)]
+    wrote, plain = {}, ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name: wrote.setdefault(name, plain(df, name)))
+    monkeypatch.setattr(ngram_join, "release", lambda *stages: None)
+    for copies in (docs, docs + near):
+        wrote.clear()
+        df = spark.createDataFrame(copies, "doc_id long, text string").repartition(4)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df).collect()}
+        assert got == brute.jaccard_components(copies)
+        sizes = {name: df.count() for name, df in wrote.items() if name.startswith(("postings", "raw-lists", "lists", "shared"))}
+        if copies is docs:
+            assert not any(sizes.values())
+    assert 0 < sizes["lists"] <= 2 * 200 and "postings" not in sizes
+
+
 def test_jaccard_keeps_a_pair_at_the_bound_of_its_lists(spark):
     r = random.Random(9)
     say = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
